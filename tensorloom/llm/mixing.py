@@ -11,9 +11,9 @@ a source does not change in any step but the very last one.
 The steps form a reduction tree: documents of a source are dealt by hash to
 small groups; each group settles all but one document, and those residuals are
 dealt to groups of the next level, until a source has one left. A hot source
-just has more groups, so no task holds a source. In a group the largest
-documents meet first, so that what is left over, whose rounding is the only
-error of a source's sum, tends to be small.
+just has more groups, so no task holds a source. Documents meet others of
+their size class, the largest first, so that what is left over in the end,
+whose rounding is the only error of a source's sum, is small.
 """
 
 from __future__ import annotations
@@ -79,37 +79,47 @@ def _meet(state: Column, item: Column, seed: int) -> Column:
     )
 
 
-def pivotal(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
-    """``(key, extra)`` from ``items(stratum, stratum_rows, key, size, p)``: 0 or 1 for each key with expectation ``p``.
+def _fold(dealt: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """For each group of ``dealt``: ``left``, the one document still open, and ``settled``; larger documents meet first."""
+    grouped = dealt.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("size", "key", "p")), asc=False).alias("items"))
+    first = F.element_at("items", 1)
+    start = F.struct(
+        F.struct(first["key"].alias("key"), first["size"].alias("size"), first["p"].alias("p")).alias("left"),
+        F.filter(F.transform("items", lambda x: F.struct(x["key"].alias("key"), F.lit(0).alias("extra"))), lambda x: F.lit(False)).alias("settled"),
+    )
+    rest = F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))
+    return grouped.select(*by, F.aggregate(rest, start, lambda s, x: _meet(s, x, seed)).alias("s")).select(*by, "s.left", "s.settled")
 
-    Within a stratum the sum of ``size * extra`` differs from that of ``size * p``
-    by one size at most. ``key`` is a struct or value without repeats; ``p`` is in
-    [0, 1]. The levels of the tree follow from the largest stratum.
+
+def pivotal(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
+    """``(key, extra)`` from ``items(stratum, size_class, class_rows, key, size, p)``: 0 or 1 for each key with expectation ``p``.
+
+    ``class_rows`` is the number of items of the stratum and size class; ``key``
+    has no repeats; ``p`` is in [0, 1]. Within a stratum the sum of ``size * extra``
+    differs from that of ``size * p`` by the size of the last document at most.
+    Each level of the tree leaves one of about ``fan_in`` documents of a size
+    class open. Once no class of a stratum has more than ``fan_in`` open ones, all
+    classes of the stratum meet, from the largest documents to the smallest.
     """
-    items = items.select("stratum", "stratum_rows", "key", F.col("size").cast("long").alias("size"), F.col("p").cast("double").alias("p"))
-    largest = items.agg(F.max("stratum_rows")).first()[0] or 0
-    level, out = 0, None
-    while True:
-        last = largest <= fan_in
-        groups = F.when(F.lit(last), F.lit(1)).otherwise(F.ceil(F.col("stratum_rows") / fan_in)).cast("long")
-        dealt = items.groupBy("stratum", groups.alias("groups"), F.pmod(F.xxhash64(F.lit(seed + 7919 * (level + 1)), "key"), groups).alias("g")).agg(
-            F.sort_array(F.collect_list(F.struct("size", "key", "p")), asc=False).alias("items")
-        )
-        first = F.element_at("items", 1)
-        start = F.struct(
-            F.struct(first["key"].alias("key"), first["size"].alias("size"), first["p"].alias("p")).alias("left"),
-            F.filter(F.transform("items", lambda x: F.struct(x["key"].alias("key"), F.lit(0).alias("extra"))), lambda x: F.lit(False)).alias("settled"),
-        )
-        folded = dealt.select("stratum", "groups", F.aggregate(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), start, lambda s, x: _meet(s, x, seed + level)).alias("s"))
-        if not last:
-            folded = checkpointed(folded)
-        settled = folded.select(F.explode("s.settled").alias("x")).select("x.key", "x.extra")
-        out = settled if out is None else out.unionByName(settled)
-        left = folded.select("stratum", F.col("groups").alias("stratum_rows"), "s.left.key", "s.left.size", "s.left.p")
-        if last:
-            end = left.select("key", (_uniform(F.lit(seed + 104729), "key") < F.col("p")).cast("int").alias("extra"))
-            return out.unionByName(end)
-        items, largest, level = left, -(-largest // fan_in), level + 1
+    items = items.select("stratum", "size_class", "class_rows", "key", F.col("size").cast("long").alias("size"), F.col("p").cast("double").alias("p"))
+    largest = items.agg(F.max("class_rows")).first()[0] or 0
+    parts, level = [], 0
+    while largest > fan_in:
+        groups = F.ceil(F.col("class_rows") / fan_in).cast("long")
+        dealt = items.where(f"class_rows > {fan_in}").withColumn("groups", groups)
+        dealt = dealt.withColumn("g", F.pmod(F.xxhash64(F.lit(seed + 7919 * (level + 1)), "key"), F.col("groups")))
+        folded = checkpointed(_fold(dealt, ["stratum", "size_class", "groups", "g"], seed + level))
+        parts.append(folded.select(F.explode("settled").alias("x")).select("x.key", "x.extra"))
+        open_ = folded.select("stratum", "size_class", F.col("groups").alias("class_rows"), "left.key", "left.size", "left.p")
+        items = items.where(f"class_rows <= {fan_in}").unionByName(open_)
+        largest, level = -(-largest // fan_in), level + 1
+    folded = checkpointed(_fold(items, ["stratum"], seed + level))
+    parts.append(folded.select(F.explode("settled").alias("x")).select("x.key", "x.extra"))
+    parts.append(folded.select("left.key", (_uniform(F.lit(seed + 104729), F.col("left.key")) < F.col("left.p")).cast("int").alias("extra")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def mix(docs: DataFrame, key: list[str], source: str, size: str, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
@@ -131,10 +141,14 @@ def mix(docs: DataFrame, key: list[str], source: str, size: str, weights=(3, 1,
     whole = F.least(F.floor(rate + _TINY), F.lit(int(most)))
     sized = sized.withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(rate - whole, F.lit(0.0)))
     same = F.struct(*[F.col(k) for k in key], F.col("size"), F.col("source_"))
-    items = sized.where(f"p > {_TINY}").select(F.col("source").alias("stratum"), F.col("source_docs").alias("stratum_rows"), same.alias("key"), "size", "p")
-    once = items.groupBy("stratum", "stratum_rows", "key", "size", "p").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sized.where(f"p > {_TINY}").groupBy(F.col("source").alias("stratum"), same.alias("key"), "size", "p").agg(F.count(F.lit(1)).alias("n"))
     # rows that repeat weigh as often as they stand
-    drawn = pivotal(once.withColumn("size", F.col("size") * F.col("n")).drop("n"), seed)
+    open_ = open_.select("stratum", "key", (F.col("size") * F.col("n")).alias("size"), "p").withColumn("size_class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
+    open_ = checkpointed(open_)
+    counts = open_.groupBy(F.col("stratum").alias("cs"), F.col("size_class").alias("cc")).agg(F.count(F.lit(1)).alias("class_rows"))
+    counts = F.broadcast(counts) if small else counts  # some 20 classes a source
+    items = open_.join(counts, open_["stratum"].eqNullSafe(counts["cs"]) & (open_["size_class"] == counts["cc"]))
+    drawn = pivotal(items, seed)
     drawn = drawn.select(*[F.col(f"key.{k}").alias(f"k_{i}") for i, k in enumerate(key)], F.col("key.size").alias("k_size"), F.col("key.source_").alias("k_source"), "extra")
     on = [sized[k].eqNullSafe(drawn[f"k_{i}"]) for i, k in enumerate(key)] + [sized["size"] == drawn["k_size"], sized["source_"].eqNullSafe(drawn["k_source"])]
     joined = sized.join(drawn, on, "left")
