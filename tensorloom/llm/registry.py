@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, sharding
+from . import linededup, minhash, mixing, quality, sharding
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op6_mixture": mixing.op6_mixture,
+    "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
 
