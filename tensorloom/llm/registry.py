@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, media, minhash, mixing, packing, quality, sharding
+from . import ann, linededup, media, minhash, mixing, packing, quality, sharding, tokens
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
+    "op3_token_pack": tokens.op3_token_pack,
     "op4_bestfit_pack": packing.op4_bestfit_pack,
+    "op5_ann_search": ann.op5_ann_search,
     "op6_mixture": mixing.op6_mixture,
     "op7_media_columns": media.op7_media_columns,
     "op9_quality": quality.op9_quality,
