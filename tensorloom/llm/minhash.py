@@ -25,8 +25,8 @@ from .common import checkpointed, components, fresh, table
 
 #: Bands and coordinates in each. A pair at similarity 0.85 stays unseen with a chance of 6e-9, at 0.8 of 6e-7.
 BANDS, ROWS = 20, 3
-#: Members of a block in the second look.
-BLOCK = 128
+#: Members of a block in the second look, and shingles of its members, about; two blocks meet in one task.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 _U, _W = np.uint64, np.uint32
 
 
@@ -201,10 +201,10 @@ def links(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
     found = checkpointed(both.mapInArrow(lambda it: _confirmed(it, n, percent), "a bigint, b bigint").unionByName(copies))
     joined = components(found)
     # Second look: members other than the hub that ended in different components.
-    labelled = members.where("size > 2").join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("c")).where("l < h")
-    once = split.groupBy("m", "c").agg(F.min("key").alias("k"))  # buckets of the same members count once
-    open_ = checkpointed(labelled.join(once, F.col("key") == F.col("k")).select("key", "rep", "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    labelled = members.where("size > 2").join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    split = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("c")).where("l < h")
+    once = split.groupBy("m", F.col("n").alias("total"), "c").agg(F.min("key").alias("k"))  # buckets of the same members count once
+    open_ = checkpointed(labelled.join(once, F.col("key") == F.col("k")).select("key", "rep", "label", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     if not open_.limit(1).count():
         return joined
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
