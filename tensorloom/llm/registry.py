@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, linededup, media, minhash, mixing, packing, quality, sharding, tokens
+from . import ann, linededup, media, minhash, mixing, packing, quality, sharding, suffixes, tokens
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ann_search": ann.op5_ann_search,
     "op6_mixture": mixing.op6_mixture,
     "op7_media_columns": media.op7_media_columns,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
