@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import _VALUE, chunks, mix, powers, spans_hash, texts
+from .bytesets import _VALUE, chunks, powers, spans_hash, texts
 from .common import checkpointed, table
 
 #: Bytes of a string in the query.
 LENGTH = 50
 #: Bytes of text in a chunk and behind a bucket, about.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 3 << 20
 _U = np.uint64
 _ROW = "chunk bigint, bucket int, data binary"
 _NONE = np.iinfo(np.int64).max
@@ -66,7 +66,10 @@ def pieces(codes: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     up, down = powers(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(_VALUE[codes] * up[:n], dtype=_U, out=total[1:])
-    h = mix((total[k:] - total[: n - k + 1]) * down[: n - k + 1])
+    h = (total[k:] - total[: n - k + 1]) * down[: n - k + 1]
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(32)
     low = _U((1 << n.bit_length()) - 1)
     least, span, width = (h & ~low) | np.arange(len(h), dtype=_U), 1, length - k + 1
     while 2 * span <= width:
@@ -92,54 +95,78 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` symbols, and the symbol before each (0 before the first)."""
+def _packed_words(text: np.ndarray) -> np.ndarray:
+    """The first eight symbols of each suffix as one number."""
     n = len(text)
     wide = np.zeros(n + 8, _U)
     wide[:n] = text
-    rank, at = np.zeros(n, _U), 0
-    for i in range(min(8, depth)):
-        rank = (rank << _U(8)) | wide[i : i + n]
-        at += 1
+    word = wide[:n].copy()
+    for i in range(1, 8):
+        word <<= _U(8)
+        word |= wide[i : i + n]
+    return word
+
+
+def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``depth`` symbols (8 or more), the symbol before each (0 before the
+    first), and their first eight symbols as numbers. Only suffixes that are still tied are sorted again."""
+    n = len(text)
+    word = _packed_words(text)
+    order = np.argsort(word)
+    word = word[order]
+    rank = np.zeros(n + 1, np.int64)
+    tied, key, at = np.arange(n), word, 8
     while True:
-        order = np.argsort(rank)
-        key = rank[order]
-        new = np.zeros(n, _U)
+        new = np.ones(len(tied), bool)
         new[1:] = key[1:] != key[:-1]
-        if at >= depth:
-            return order, np.concatenate([text[:1] * 0, text])[order]
-        dense = np.empty(n, _U)
-        dense[order] = np.cumsum(new, dtype=_U)
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0)) + 1
+        open_ = ~new
+        open_[:-1] |= ~new[1:]
+        tied = tied[open_]
+        if at >= depth or not len(tied):
+            break
         step = min(at, depth - at)
-        rank = dense << _U(32)
-        rank[: n - step] |= dense[step:] + _U(1)
+        part = order[tied]
+        key = (rank[part] << 32) | rank[np.minimum(part + step, n)]
+        again = np.argsort(key)
+        order[tied], key = part[again], key[again]
         at += step
+    return order, np.concatenate([text[:1] * 0, text])[order], word
 
 
-def expand(bwt: np.ndarray, depth: int) -> np.ndarray:
+def expand(bwt: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it, if below ``depth``; else ``depth``.
 
-    Breadth first: level L holds the intervals of words of L symbols whose upper
-    bound was first found at that level. Extending a word backwards by each
-    symbol in its interval gives bounds of common prefix L; those not found
+    Prefixes below eight are read off the packed words, eight levels in one. From
+    there, breadth first: level L holds the intervals of words of L symbols whose
+    upper bound was first found at the level before. Extending a word backwards by
+    each symbol in its interval gives bounds of common prefix L; those not found
     before go on to the next level. Symbol 0 parts texts and is never crossed.
     """
     n = len(bwt)
     psi = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
     lf[psi] = np.arange(n)
-    heads = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
     # the next and the last place before with the same symbol
     after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
     same = bwt[psi][1:] == bwt[psi][:-1]
     after[psi[:-1][same]], before[psi[1:][same]] = psi[1:][same], psi[:-1][same]
     prefix = np.full(n + 1, depth, np.int32)
     prefix[0] = prefix[n] = 0
-    low, high = heads[1:-1], heads[2:]
-    used = high > low
-    low, high = low[used], high[used]
-    prefix[low] = 0
-    for level in range(1, depth):
+    differ = words[1:] ^ words[:-1]
+    found = differ != 0
+    equal = np.zeros(n - 1, np.int32)
+    for k in range(1, 8):
+        equal += differ < _U(1 << (64 - 8 * k))
+    prefix[1:n][found] = equal[found]
+    low = np.concatenate([[0], np.flatnonzero(found) + 1])
+    high = np.append(low[1:], n)
+    word = words[low]
+    ones = _U(0x0101010101010101)
+    whole = ((word - ones) & ~word & (ones << _U(7))) == 0  # no symbol 0 among the eight
+    go = whole & (prefix[high] == 7)
+    low, high = low[go], high[go]
+    for level in range(8, depth):
         if not len(low):
             break
         single = high - low == 1
@@ -147,9 +174,9 @@ def expand(bwt: np.ndarray, depth: int) -> np.ndarray:
         r = r[bwt[r] != 0]
         lows, highs = [lf[r]], [lf[r] + 1]
         wide_low, wide_high = low[~single], high[~single]
-        r = _spread(wide_low, wide_high - wide_low)
-        ok = bwt[r] != 0
         size = wide_high - wide_low
+        r = _spread(wide_low, size)
+        ok = bwt[r] != 0
         begins = ok & (before[r] < np.repeat(wide_low, size))
         finishes = ok & (after[r] >= np.repeat(wide_high, size))
         # children are disjoint, so first and last places pair up in order
@@ -168,8 +195,8 @@ def keepers(text: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     ``owner`` has the owner of each symbol. Starts with fewer symbols before the next 0 get the largest integer.
     """
     out = np.full(len(text), _NONE)
-    order, bwt = transform(text, length)
-    prefix = expand(bwt, length)
+    order, bwt, words = transform(text, length)
+    prefix = expand(bwt, words, length)
     ends = np.flatnonzero(text == 0)
     room = ends[np.searchsorted(ends, order)] - order
     short = room < length
@@ -183,30 +210,42 @@ def keepers(text: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _stored(buckets: int, length: int):
-    """Step 1: (doc_id, text) to a row with the chunk's texts, bucket -1, and one for each bucket of its minimizers."""
+_TEXTS = (np.int64, np.bool_, np.int64, np.uint8)
+
+
+def _rows(chunk: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
-    def store(batches):
-        made = TaskContext.get().partitionId() << 32
+
+def _stored(batches):
+    """Step 1: (doc_id, text) to chunks of texts, bucket -1."""
+    made = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        codes, offsets = texts(batch.column(1))
+        named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        ids = batch.column(0).fill_null(0).to_numpy()
+        for a, b in chunks(offsets, CHUNK_BYTES):
+            part, at = codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            yield from _rows(made, [(-1, _press(ids[a:b], named[a:b], at, part, level=3))]).to_batches()
+            made += 1
+
+
+def _named(buckets: int, length: int):
+    """Step 1: chunks of texts to a row for each chunk and bucket of its distinct minimizers."""
+
+    def name(batches):
         for batch in batches:
-            codes, offsets = texts(batch.column(1))
-            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            for a, b in chunks(offsets, CHUNK_BYTES):
-                part, at = codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                rows = [(-1, _press(ids[a:b], named[a:b], at, part, level=3))]
-                start, _, h = pieces(part, at, length)
-                key, _ = _keys(h, buckets)
-                key = np.unique(key[named[a:b][np.searchsorted(at, start, side="right") - 1]])
-                bucket = (key >> _U(32)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(bucket)) + 1
-                for x in np.split(np.arange(len(key)), cut):
-                    if len(x):
-                        rows.append((int(bucket[x[0]]), (key[x] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([made] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "bucket", "data"])
-                made += 1
-
-    return store
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+                ids, named, at, codes = _unpress(data.as_py(), *_TEXTS)
+                start, _, h = pieces(codes, at, length)
+                key = np.unique(_keys(h[named[np.searchsorted(at, start, side="right") - 1]], buckets)[0])
+                if len(key):
+                    cut = np.flatnonzero(np.diff((key >> _U(32)).astype(np.int64))) + 1
+                    low = (key & _U(0xFFFFFFFF)).astype(np.uint32)
+                    rows = [(int(key[a] >> _U(32)), low[a:b].tobytes()) for a, b in zip([0, *cut], [*cut, len(key)])]
+                    yield from _rows(chunk, rows).to_batches()
+
+    return name
 
 
 def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,14 +264,11 @@ def _compared(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary())})
 
 
-_TEXTS = (np.int64, np.bool_, np.int64, np.uint8)
-
-
 def _sent(buckets: int, length: int):
     """Step 3: a chunk's texts and bits to rows of distinct pieces by bucket, and a row, bucket -1, of where they stand."""
 
     def send(stored: pa.Table, bits: pa.Table) -> pa.Table:
-        empty = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        empty = _rows(0, [])
         if not stored.num_rows:
             return empty
         ids, named, at, codes = _unpress(stored.column("data")[0].as_py(), *_TEXTS)
@@ -255,9 +291,9 @@ def _sent(buckets: int, length: int):
             return empty
         start, count, doc, bucket = start[take], count[take], doc[take], bucket[take]
         end = start + count + length - 1
-        order = np.lexsort((ids[doc], spans_hash(codes, start, end), bucket))
-        start, count, doc, bucket, end = start[order], count[order], doc[order], bucket[order], end[order]
         name = spans_hash(codes, start, end)
+        order = np.lexsort((ids[doc], name, bucket))
+        start, count, doc, bucket, end, name = start[order], count[order], doc[order], bucket[order], end[order], name[order]
         new = np.ones(len(name), bool)
         new[1:] = (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1])
         head = np.flatnonzero(new)  # the piece of the smallest document
@@ -265,16 +301,18 @@ def _sent(buckets: int, length: int):
         for x in np.split(head, np.flatnonzero(np.diff(bucket[head])) + 1):
             sizes = end[x] - start[x]
             rows.append((int(bucket[x[0]]), _press(sizes.astype(np.uint16), ids[doc[x]], codes[_spread(start[x], sizes)])))
-        chunk = stored.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+        return _rows(stored.column("chunk")[0].as_py(), rows)
 
     return send
 
 
 def _answered(length: int):
-    """Step 4: a bucket's pieces to a mask of starts for each, set where a smaller document has the string."""
+    """Step 4: a bucket's pieces to a mask of starts for each, set where a smaller document has the string. Places pass."""
 
     def answer(t: pa.Table) -> pa.Table:
+        t = t.select(["chunk", "bucket", "data"])
+        if t.column("bucket")[0].as_py() < 0:
+            return t
         blobs = [_unpress(x.as_py(), np.uint16, np.int64, np.uint8) for x in t.column("data")]
         size = np.concatenate([x[0] for x in blobs]).astype(np.int64)
         first = np.concatenate([x[1] for x in blobs])
@@ -376,12 +414,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, -(-total // BUCKET_BYTES)))
-    stored = checkpointed(rows.mapInArrow(_stored(buckets, length), _ROW))
-    held = stored.where("bucket < 0").groupBy("chunk")
-    bits = stored.where("bucket >= 0").groupBy("bucket").applyInArrow(_compared, _ROW)
-    sent = checkpointed(held.cogroup(bits.groupBy("chunk")).applyInArrow(_sent(buckets, length), _ROW))
-    masks = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_answered(length), _ROW)
-    told = sent.where("bucket < 0").unionByName(masks)
+    stored = checkpointed(rows.mapInArrow(_stored, _ROW))
+    held = stored.groupBy("chunk")
+    bits = stored.mapInArrow(_named(buckets, length), _ROW).groupBy("bucket").applyInArrow(_compared, _ROW)
+    sent = held.cogroup(bits.groupBy("chunk")).applyInArrow(_sent(buckets, length), _ROW)
+    # pieces go to their bucket, places to a slot of their own, in one exchange
+    slot = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long"))
+    told = sent.withColumn("slot", slot).groupBy("slot").applyInArrow(_answered(length), _ROW)
     return held.cogroup(told.groupBy("chunk")).applyInArrow(_removed(length), _OUT)
 
 
