@@ -1,0 +1,21 @@
+"""Linear operators with tunable parameters on distributed data, planned by Catalyst."""
+
+from .functions.gradients import gather_gradients, grad_input, grad_params
+from .functions.params import from_arrays, generated, init, merge, scale, update
+from .functions.render import dot_string, latex_string, plot_operator_graph
+from .operators.base import Operator, OperatorError
+from .operators.leaves import Diagonal, Fourier, Identity, Matrix, Reduce, Repartition, Restriction, Tensor
+from .operators.nodes import Adjoint, Bound, Broadcasted, Compose, Distributed, Kron, broadcasted, compose, composed, kron, kron_of
+from .plans.cost import complexity, local_complexity
+from .plans.distribute import distribute
+from .plans.grid import cumulative_ranges, local_size, range_axes
+from .plans.lower import apply, dense_of, long_of, rapply
+from .plans.rewrite import Optimizer, merkle_hash, optimize, transforms
+from .sources.json_codec import from_json, to_json
+
+__all__ = [
+    "Adjoint", "Bound", "Broadcasted", "Compose", "Diagonal", "Distributed", "Fourier", "Identity", "Kron", "Matrix", "Operator", "OperatorError", "Optimizer",
+    "Reduce", "Repartition", "Restriction", "Tensor", "apply", "broadcasted", "complexity", "compose", "composed", "cumulative_ranges", "dense_of", "distribute",
+    "dot_string", "from_arrays", "from_json", "gather_gradients", "generated", "grad_input", "grad_params", "init", "kron", "kron_of", "latex_string",
+    "local_complexity", "local_size", "long_of", "merge", "merkle_hash", "optimize", "plot_operator_graph", "range_axes", "rapply", "scale", "to_json", "transforms", "update",
+]
