@@ -115,11 +115,11 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
     order = np.argsort(word)
     word = word[order]
     rank = np.zeros(n + 1, np.int64)
-    tied, key, at = np.arange(n), word, 8
+    tied, part, key, at = np.arange(n), order, word, 8
     while True:
         new = np.ones(len(tied), bool)
         new[1:] = key[1:] != key[:-1]
-        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0)) + 1
+        rank[part] = np.maximum.accumulate(np.where(new, tied, 0)) + 1
         open_ = ~new
         open_[:-1] |= ~new[1:]
         tied = tied[open_]
@@ -129,7 +129,8 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
         part = order[tied]
         key = (rank[part] << 32) | rank[np.minimum(part + step, n)]
         again = np.argsort(key)
-        order[tied], key = part[again], key[again]
+        part, key = part[again], key[again]
+        order[tied] = part
         at += step
     return order, np.concatenate([text[:1] * 0, text])[order], word
 
@@ -148,9 +149,10 @@ def expand(bwt: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     lf = np.empty(n, np.int64)
     lf[psi] = np.arange(n)
     # the next and the last place before with the same symbol
-    after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
-    same = bwt[psi][1:] == bwt[psi][:-1]
-    after[psi[:-1][same]], before[psi[1:][same]] = psi[1:][same], psi[:-1][same]
+    after, before = np.empty(n, np.int64), np.empty(n, np.int64)
+    after[psi[:-1]], before[psi[1:]] = psi[1:], psi[:-1]
+    heads = np.concatenate([[0], np.cumsum(np.bincount(bwt))])
+    after[psi[heads[1:] - 1]], before[psi[heads[:-1][np.diff(heads) > 0]]] = n, -1
     prefix = np.full(n + 1, depth, np.int32)
     prefix[0] = prefix[n] = 0
     differ = words[1:] ^ words[:-1]
@@ -189,24 +191,22 @@ def expand(bwt: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return prefix[:n]
 
 
-def keepers(text: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+def keepers(text: np.ndarray, owner: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
     """For each start of ``length`` bytes in ``text`` (symbols from 1, each piece ended by a 0), the smallest owner of an equal string.
 
-    ``owner`` has the owner of each symbol. Starts with fewer symbols before the next 0 get the largest integer.
+    ``owner`` and ``stop`` have for each symbol the owner and the end of its piece.
+    Starts with fewer symbols before that end get the largest integer.
     """
     out = np.full(len(text), _NONE)
     order, bwt, words = transform(text, length)
-    prefix = expand(bwt, words, length)
-    ends = np.flatnonzero(text == 0)
-    room = ends[np.searchsorted(ends, order)] - order
-    short = room < length
-    edge = prefix < length
+    edge = expand(bwt, words, length) < length
+    short = (stop - np.arange(len(text)) < length)[order]
     edge |= short
     edge[1:] |= short[:-1]
     edge[0] = True
     heads = np.flatnonzero(edge)
     least = np.minimum.reduceat(np.where(short, _NONE, owner[order]), heads)
-    out[order] = least[np.cumsum(edge) - 1]
+    out[order] = np.repeat(least, np.diff(np.append(heads, len(text))))
     return out
 
 
@@ -326,12 +326,12 @@ def _answered(length: int):
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(new) - 1
         long = size[head] + 1
-        text = np.zeros(long.sum(), np.uint16)
-        at = np.cumsum(long) - long
-        text[_spread(at, size[head])] = body[_spread(ends[head] - size[head], size[head])].astype(np.uint16) + 1
         # symbols from 1: the bytes that occur, numbered in order; fewer than 256 as UTF-8 never has them all
-        present, text = np.unique(text, return_inverse=True)
-        least = keepers(text.astype(np.uint8), np.repeat(first[head], long), length)
+        symbol = np.cumsum(np.bincount(body, minlength=256) > 0).astype(np.uint8)
+        text = np.zeros(long.sum(), np.uint8)
+        at = np.cumsum(long) - long
+        text[_spread(at, size[head])] = symbol[body[_spread(ends[head] - size[head], size[head])]]
+        least = keepers(text, np.repeat(first[head], long), np.repeat(at + size[head], long), length)
         mask = np.zeros(len(size), _U)
         starts = size - length + 1
         for k in range(int(starts.max())):
