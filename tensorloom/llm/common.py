@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words: space and the bytes 0x09 to 0x0D.
@@ -29,7 +29,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def word_count(text) -> F.Column:
+def word_count(text: str | Column) -> Column:
     """Number of words of a text column; null counts as empty."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.size(F.filter(F.split(t, WORD_BREAK), lambda w: w != "")).cast("long")
@@ -46,6 +46,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def every(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``; component: the smallest node reachable.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import every, fresh, table
 
 #: Lines in a window.
 WINDOW = 3
@@ -58,16 +58,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
     A text that loses all its lines becomes empty, a null text stays null. Rows
     equal in id and text are one document and are treated alike.
     """
-    cut, hashed, split = fresh(docs, "line_cut", "line_hash", "line_split")
-    lines = repeated_lines(docs, doc_id, text).select(F.struct("d", "t").alias("k"), F.struct("gone", "kept", "at").alias(cut))
+    cut, hashed, split, d, t = fresh(docs, "line_cut", "line_hash", "line_split", "line_d", "line_t")
+    lines = repeated_lines(docs, doc_id, text).select(F.col("d").alias(d), F.col("t").alias(t), F.struct("gone", "kept", "at").alias(cut))
     marked = docs.withColumn(hashed, F.xxhash64(F.col(text)))
-    joined = marked.join(lines, marked[doc_id].eqNullSafe(lines["k.d"]) & marked[hashed].eqNullSafe(lines["k.t"]), "left")
+    joined = marked.join(lines, marked[doc_id].eqNullSafe(lines[d]) & marked[hashed].eqNullSafe(lines[t]), "left")
     joined = joined.withColumn(split, F.when(F.col(cut).isNotNull(), F.split(F.col(text), "\n", -1)))
     rest = F.slice(split, F.col(cut)["at"] + 1, F.greatest(F.size(split) - F.col(cut)["at"], F.lit(0)))
     kept = F.concat(F.flatten(F.transform(F.col(cut)["kept"], lambda r: F.slice(split, r["begin"] + 1, r["length"]))), rest)
     out = joined.withColumn(text, F.when(F.col(cut).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)))
     count = [F.coalesce(F.col(cut)["gone"], F.lit(0)).alias(removed)] if removed else []
-    return out.select(*[F.col(c) for c in docs.columns], *count)
+    return out.select(*every(docs), *count)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

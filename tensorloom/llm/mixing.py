@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, table, word_count
+from .common import checkpointed, every, fresh, table, word_count
 
 #: Documents that meet in one group, on average.
 FAN_IN = 48
@@ -158,12 +158,11 @@ def mix(docs: DataFrame, key: list[str], source: str, size: str, weights=(3, 1,
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    key, size, copies = fresh(docs, "mix_key", "mix_size", "mix_copies")
+    key, size, copies, k, c = fresh(docs, "mix_key", "mix_size", "mix_copies", "mix_k", "mix_c")
     marked = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text"))).withColumn(size, word_count("text"))
-    plan = mix(marked, [key], "source", size, seed=seed).select(F.col(key).alias("k"), F.col("copies").alias("c")).where("c > 0").groupBy("k").agg(F.max("c").alias("c"))
-    joined = marked.join(plan, marked[key].eqNullSafe(plan["k"]))
-    repeated = joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col("c"))))
-    return repeated.select(*[F.col(c) for c in docs.columns])
+    plan = mix(marked, [key], "source", size, seed=seed).where("copies > 0").groupBy(F.col(key).alias(k)).agg(F.max("copies").alias(c))
+    joined = marked.join(plan, marked[key].eqNullSafe(plan[k]))
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*every(docs))
 
 
 def op6_mixture(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,23 +50,24 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return out
 
 
-def _bits(values: pd.Series) -> list[int]:
-    """Numbers of the distinct values; null is a value."""
-    return pd.factorize(values, use_na_sentinel=False)[0].tolist()
-
-
 def _pack_shard(capacity: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "cluster"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        size = pdf["size"].to_numpy(np.int64)
+    names = [c.split()[0] for c in _SCHEMA.split(", ")]
+
+    def pack(t: pa.Table) -> pa.Table:
+        ids, named = t.column("doc_id").fill_null(0).to_numpy(), t.column("doc_id").is_valid().to_numpy()
+        size, cluster = t.column("size").to_numpy(), t.column("cluster").to_numpy()
+        # numbers of the distinct sources; null is a source
+        source = t.column("source").combine_chunks().dictionary_encode().indices
+        source = source.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        first = np.lexsort((source, cluster, ids, named, -size))
+        ids, named, size, cluster, source = (x[first] for x in (ids, named, size, cluster, source))
         # an overlong document fills whole bins; only its rest competes for room
         pieces = np.maximum(-(-size // capacity), 1)
-        row = np.repeat(np.arange(len(pdf)), pieces)
+        row = np.repeat(np.arange(len(size)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         part = np.minimum(size[row] - piece * capacity, capacity)
-        source = np.array(_bits(pdf["source"]), np.int64)
         # a cluster with one row here cannot conflict
-        cluster, n = np.unique(pdf["cluster"].to_numpy(np.int64), return_inverse=True, return_counts=True)[1:]
+        cluster, n = np.unique(cluster, return_inverse=True, return_counts=True)[1:]
         bit = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[cluster]
         order = np.lexsort((row, -part))
         order = order[part[order] > 0]
@@ -74,17 +75,8 @@ def _pack_shard(capacity: int):
         placed = best_fit(part[order].tolist(), source[row[order]].tolist(), bit[row[order]].tolist(), capacity)
         if placed:
             bins[order], offset[order] = np.array(placed, np.int64).T
-        shard = int(pdf["shard"].iloc[0])
-        return pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"].astype("Int64").to_numpy()[row],
-                "piece": piece.astype(np.int32),
-                "doc_offset": piece * capacity,
-                "size": part,
-                "bin_id": pd.array(np.where(bins < 0, 0, (shard << 32) + bins), "Int64"),
-                "bin_offset": offset,
-            }
-        ).assign(bin_id=lambda d: d["bin_id"].mask(bins < 0))
+        bin_id = pa.array((t.column("shard")[0].as_py() << 32) + bins, mask=bins < 0)
+        return pa.table([pa.array(ids[row], mask=~named[row]), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(part), bin_id, pa.array(offset)], names)
 
     return pack
 
@@ -104,7 +96,7 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAPACIT
     largest = rows.groupBy(shard.alias("shard")).count().agg(F.max("count")).first()[0] or 0
     if largest > 4 * shard_docs:  # an id repeats too often: its rows part by their place in the input
         shard = F.pmod(F.xxhash64("doc_id", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(shards))
-    return rows.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack_shard(capacity), _SCHEMA)
+    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(_pack_shard(capacity), _SCHEMA)
 
 
 def text_cluster(text: str = "text") -> Column:

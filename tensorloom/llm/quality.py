@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, chunks, mix, spans_hash, texts, words
-from .common import checkpointed, fresh, table
+from .common import checkpointed, every, fresh, table
 
 #: Coordinates: two to this power.
 BITS = 18
@@ -179,7 +179,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
     (name,) = fresh(docs, "quality_score")
-    return scored(docs, train(docs, labels), name).where(F.col(name) >= 0.5).select(*[F.col(c) for c in docs.columns])
+    return scored(docs, train(docs, labels), name).where(F.col(name) >= 0.5).select(*every(docs))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, table
+from .common import checkpointed, every, fresh, table
 
 #: Byte limit of a shard in the query.
 LIMIT = 1 << 20
@@ -79,7 +79,7 @@ def assign(docs: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataF
     as 0. A single row above the limit is a shard of its own. An empty table
     gives an empty result.
     """
-    bits, width, d, p, b, n = fresh(docs, "shard_bits", "shard_size", "shard_depth", "shard_prefix", "shard_bytes", "shard_rows")
+    bits, width, at, depth, prefix, d, p, b, n = fresh(docs, "shard_bits", "shard_size", "shard_at", "leaf_depth", "leaf_prefix", "shard_depth", "shard_prefix", "shard_bytes", "shard_rows")
     low = 60 - KEY_BITS
     place = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(1 << low))
     marked = docs.withColumn(bits, F.shiftleft(F.shiftright(hash_bits(F.col(key)), low), low) + place)
@@ -87,19 +87,20 @@ def assign(docs: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataF
     leaves = checkpointed(directory(marked.select(F.col(bits).alias("bits"), F.col(width).alias("size")), limit))
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # 61 values at most
     small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    leaves = leaves.select(F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix"), F.col("shard_bytes").alias(b), F.col("shard_rows").alias(n))
+    leaves = leaves.select(F.col("depth").alias(depth), F.col("prefix").alias(prefix), F.col("shard_bytes").alias(b), F.col("shard_rows").alias(n))
     # each row has one leaf, at one of these depths
-    out = marked.withColumn("leaf_at", F.array(*[F.struct(F.lit(x).alias("depth"), _prefix(bits, x, 60).alias("prefix")) for x in depths] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))]))
-    out = out.withColumn("leaf_at", F.explode("leaf_at"))
-    out = out.join(F.broadcast(leaves) if small else leaves, (F.col("leaf_at.depth") == F.col("leaf_depth")) & (F.col("leaf_at.prefix") == F.col("leaf_prefix")))
-    return out.select(*[F.col(c) for c in docs.columns], F.col("leaf_depth").alias(d), F.col("leaf_prefix").alias(p), F.col(b), F.col(n))
+    places = [F.struct(F.lit(x).alias("depth"), _prefix(bits, x, 60).alias("prefix")) for x in depths or [0]]
+    out = marked.withColumn(at, F.explode(F.array(*places)))
+    out = out.join(F.broadcast(leaves) if small else leaves, (F.col(at)["depth"] == F.col(depth)) & (F.col(at)["prefix"] == F.col(prefix)))
+    return out.select(*every(docs), F.col(depth).alias(d), F.col(prefix).alias(p), F.col(b), F.col(n))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", limit: int = LIMIT) -> None:
     """Write one folder a shard under ``path``, each shard from one task."""
     sharded = assign(docs, key, F.octet_length("text"), limit)
-    shard = F.concat_ws("-", F.col(sharded.columns[-4]), F.col(sharded.columns[-3]))
-    sharded.withColumn("shard", shard).repartition("shard").write.partitionBy("shard").parquet(path)
+    (shard,) = fresh(sharded, "shard")
+    name = F.concat_ws("-", *[F.col(c) for c in sharded.columns[-4:-2]])
+    sharded.withColumn(shard, name).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
