@@ -136,15 +136,6 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[rows], score[rows]
 
 
-def _scores(q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of distinct ids, the best of an id that repeats; ids and a column for each."""
-    score = q @ x.T
-    unique, order = np.unique(ids), np.argsort(ids, kind="stable")
-    if len(unique) < len(ids):
-        return unique, np.maximum.reduceat(score[:, order], np.searchsorted(ids[order], unique), axis=1)
-    return ids, score
-
-
 _FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -184,44 +175,73 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, recall: float
     tree.held = held.tolist()
     visits = calibrate(rows, tree, width, k, recall)
 
+    # small leaves share a block of rows, large ones have several
+    group, row_blocks = _blocks(held)
+    group_of = np.array(group)
+
     def visited(batches):
         for batch in batches:
             q = _matrix(batch.column(1), width)
-            got = tree.order(q, visits, k + 1) if len(q) else []
-            n = np.array([len(x) for x in got], np.int64)
-            row = pa.array(np.repeat(np.arange(len(q)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(got) if got else [], pa.int32())], ["id", "v", "leaf"])
-
-    queries = rows.where("q").select("id", "v").mapInArrow(visited, "id bigint, v array<double>, leaf int")
+            row, block, leaves = [], [], []
+            for i, got in enumerate(tree.order(q, visits, k + 1) if len(q) else []):
+                own = group_of[got]
+                for g in np.unique(own):
+                    row.append(i)
+                    block.append(g)
+                    leaves.append([x for x, y in zip(got, own) if y == g])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["id", "v", "block", "leaves"])
+
+    queries = rows.where("q").select("id", "v").mapInArrow(visited, "id bigint, v array<double>, block int, leaves array<int>")
     queries = checkpointed(queries)
-    asked = np.zeros(tree.leaves, np.int64)
-    for r in queries.groupBy("leaf").count().collect():
+    asked = np.zeros(len(row_blocks), np.int64)
+    for r in queries.groupBy("block").count().collect():  # one row a block
         asked[r[0]] = r[1]
-    # blocks of rows and of queries in each leaf
-    row_blocks = F.array(*[F.lit(int(x)) for x in np.maximum(-(-held // BLOCK_ROWS), 1)])
-    query_blocks = F.array(*[F.lit(int(x)) for x in np.maximum(-(-asked // BLOCK_QUERIES), 1)])
-    many = lambda blocks: F.element_at(blocks, F.col("leaf") + 1)
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), many(blocks) - 1))
+    query_blocks = np.maximum(-(-asked // BLOCK_QUERIES), 1).tolist()
+    many = lambda blocks: F.element_at(F.lit(blocks), F.col("block") + 1)
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), many(blocks) - 1))
     own = lambda blocks: F.pmod(F.xxhash64("id"), many(blocks)).cast("int")
-    left = queries.withColumn("j", own(query_blocks)).withColumn("i", every(row_blocks))
-    right = rows.select("id", "v", "leaf").withColumn("i", own(row_blocks)).withColumn("j", every(query_blocks))
+    left = queries.withColumn("j", own(query_blocks)).withColumn("i", each(row_blocks))
+    right = rows.select("id", "v", "leaf", F.element_at(F.lit(group), F.col("leaf") + 1).alias("block"))
+    right = right.withColumn("i", own(row_blocks)).withColumn("j", each(query_blocks))
 
     def met(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if a.num_rows and b.num_rows:
-            asked_ids = a.column("id").to_numpy()
-            ids, score = _scores(_matrix(a.column("v"), width), b.column("id").to_numpy(), _matrix(b.column("v"), width))
-            for q, s in zip(asked_ids, score):
-                i, v = _best(ids, np.where(ids == q, -np.inf, s), k)
-                i, v = i[v > -np.inf], v[v > -np.inf]
-                for x, y in zip(out, (np.full(len(i), q), i, v)):
+            ids, leaf = b.column("id").to_numpy(), b.column("leaf").to_numpy()
+            score = _matrix(a.column("v"), width) @ _matrix(b.column("v"), width).T
+            for q, s, leaves in zip(a.column("id").to_numpy(), score, a.column("leaves").to_pylist()):
+                open_ = np.isin(leaf, leaves) & (ids != q)
+                found = _best(*_once(ids[open_], s[open_]), k)
+                for x, y in zip(out, (np.full(len(found[0]), q), *found)):
                     x.append(y)
         return _table(*out)
 
-    found = left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(met, _FOUND)
+    found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInArrow(met, _FOUND)
     return _ranked(found, k)
 
 
+def _blocks(held: np.ndarray) -> tuple[list[int], list[int]]:
+    """A block number for each leaf and the parts of each block, so that a part has ``BLOCK_ROWS`` rows, about."""
+    group, parts, room = [], [], 0
+    for n in held.tolist():
+        if not parts or n > room:
+            parts.append(max(1, -(-n // BLOCK_ROWS)))
+            room = BLOCK_ROWS * parts[-1]
+        group.append(len(parts) - 1)
+        room -= n
+    return group, parts
+
+
+def _once(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An id that repeats stands once, with its best score."""
+    unique = np.unique(ids)
+    if len(unique) == len(ids):
+        return ids, score
+    order = np.argsort(ids, kind="stable")
+    return unique, np.maximum.reduceat(score[order], np.searchsorted(ids[order], unique))
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k)
@@ -236,15 +256,15 @@ def exact(rows: DataFrame, queries: list[tuple[int, np.ndarray]], width: int, k:
     def partial(batches):
         for batch in batches:
             if batch.num_rows:
-                own, score = _scores(matrix, batch.column(0).to_numpy(), _matrix(batch.column(1), width))
+                own = batch.column(0).to_numpy()
                 out: tuple[list, list, list] = ([], [], [])
-                for q, s in zip(ids, score):
-                    i, v = _best(own, np.where(own == q, -np.inf, s), k)
-                    for x, y in zip(out, (np.full(len(i), q), i, v)):
+                for q, s in zip(ids, matrix @ _matrix(batch.column(1), width).T):
+                    best = _best(*_once(own[own != q], s[own != q]), k)
+                    for x, y in zip(out, (np.full(len(best[0]), q), *best)):
                         x.append(y)
                 yield from _table(*out).to_batches()
 
-    return _ranked(rows.select("id", "v").mapInArrow(partial, _FOUND).where("score > double('-Infinity')"), k)
+    return _ranked(rows.select("id", "v").mapInArrow(partial, _FOUND), k)
 
 
 def calibrate(rows: DataFrame, tree: Tree, width: int, k: int, recall: float) -> int:
