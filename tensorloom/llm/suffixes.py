@@ -18,6 +18,8 @@ Chunks and buckets have bounded bytes; their numbers grow with the input.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -32,6 +34,8 @@ from .common import checkpointed, table
 LENGTH = 50
 #: Bytes of text in a chunk and behind a bucket, about.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 3 << 20
+#: Starts that are hashed at once, and the bits that hold a place among them.
+_BLOCK, _LOW = 1 << 15, (1 << 16) - 1
 _U = np.uint64
 _ROW = "chunk bigint, bucket int, data binary"
 _NONE = np.iinfo(np.int64).max
@@ -42,13 +46,23 @@ def _gram(length: int) -> int:
     return max(1, min(length - 1, length * 22 // 50))
 
 
+@lru_cache(maxsize=4)
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
 def _press(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = np.array([len(arrays), *(x.nbytes for x in arrays)], np.int64)
-    return zstandard.ZstdCompressor(level=level).compress(b"".join(x.tobytes() for x in (head, *arrays)))
+    return _compressor(level).compress(b"".join(x.tobytes() for x in (head, *arrays)))
+
+
+@lru_cache(maxsize=1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def _unpress(data: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = _decompressor().decompress(data)
     sizes = np.frombuffer(raw, np.int64, len(kinds), 8)
     at, out = 8 * (len(kinds) + 1), []
     for kind, n in zip(kinds, sizes.tolist()):
@@ -57,36 +71,57 @@ def _unpress(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _minimizers(codes: np.ndarray, length: int) -> np.ndarray:
+    """For each start of ``length`` bytes, the least hash of its grams, with the gram's place (modulo a block) in the low bits.
+
+    Of equal hashes the first gram counts. Blocks are small enough for the cache.
+    """
+    k, n = _gram(length), len(codes) - length + 1
+    width, low = length - k + 1, _U(_LOW)
+    out = np.empty(n, _U)
+    for a in range(0, n, _BLOCK):
+        b = min(a + _BLOCK, n)
+        part = codes[a : b + length - 1]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, _U)
+        np.cumsum(_VALUE[part] * up[: len(part)], dtype=_U, out=total[1:])
+        h = (total[k:] - total[:-k]) * down[: len(part) - k + 1]
+        h ^= h >> _U(29)
+        h *= _U(0xBF58476D1CE4E5B9)
+        h &= ~low
+        h |= np.arange(len(h), dtype=_U)
+        span = 1
+        while 2 * span <= width:
+            h = np.minimum(h[:-span], h[span:])
+            span *= 2
+        if rest := width - span:
+            h = np.minimum(h[:-rest], h[rest:])
+        out[a:b] = h
+    return out
+
+
 def pieces(codes: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First start, number of starts and minimizer hash of each piece, in order; at most ``length - gram + 1`` starts each."""
-    k, n = _gram(length), len(codes)
-    none = np.zeros(0, np.int64)
-    if n < length:
+    if len(codes) < length:
+        none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, _U)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_VALUE[codes] * up[:n], dtype=_U, out=total[1:])
-    h = (total[k:] - total[: n - k + 1]) * down[: n - k + 1]
-    h ^= h >> _U(29)
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(32)
-    low = _U((1 << n.bit_length()) - 1)
-    least, span, width = (h & ~low) | np.arange(len(h), dtype=_U), 1, length - k + 1
-    while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if rest := width - span:
-        least = np.minimum(least[:-rest], least[rest:])
+    least = _minimizers(codes, length)
     inside = np.ones(len(least), bool)
     for end in offsets[1:].tolist():
         inside[max(0, end - length + 1) : end] = False
     # a text shorter than a string may lie inside the mark of the one before; its own mark covers it as well
-    starts = np.flatnonzero(inside)
-    place = least[starts] & low
-    new = np.ones(len(starts), bool)
-    new[1:] = (place[1:] != place[:-1]) | (np.diff(starts) != 1)
+    new = np.empty(len(least), bool)
+    new[0] = True
+    new[1:] = least[1:] != least[:-1]
+    new[1:] |= ~inside[:-1]
+    new[_BLOCK::_BLOCK] = True  # places count anew
+    new &= inside
     first = np.flatnonzero(new)
-    return starts[first], np.diff(np.append(first, len(starts))), h[place[first].astype(np.int64)]
+    stop = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+    ends = np.sort(np.concatenate([first[1:], stop]))
+    ends = ends[np.searchsorted(ends, first, side="right")]
+    h = (least[first] & ~_U(_LOW)) * _U(0x9E3779B97F4A7C15)
+    return first, ends - first, h ^ (h >> _U(31))
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
