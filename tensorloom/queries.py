@@ -501,7 +501,7 @@ def spectral_block(keep: int = 2):
 
 def _block_sql() -> str:
     turn = lambda j, n: f"2 * pi() * ((k * {j}) % {n}) / {n}"
-    return f"""WITH {_L}, {_w('w', 4, 4, True)}, {_d(4, True)},
+    return f"""WITH {_L}, {_w('w', 4, 4, True)}, {_w('u', 4, 4)}, {_d(4, True)},
 x AS (SELECT b, idx // 16 AS t, (idx // 4) % 4 AS s, idx % 4 AS c, re FROM l),
 f1 AS (SELECT b, k AS kt, s, c, sum(re * cos({turn('t', 4)})) AS re, sum(-re * sin({turn('t', 4)})) AS im FROM x, range(2) r(k) GROUP BY ALL),
 f2 AS (SELECT b, kt, k AS ks, c, sum(re * cos({turn('s', 4)}) + im * sin({turn('s', 4)})) AS re, sum(im * cos({turn('s', 4)}) - re * sin({turn('s', 4)})) AS im FROM f1, range(2) r(k) GROUP BY ALL),
@@ -520,4 +520,34 @@ def spectral_convolution(spark, d):
     return _out(spectral_block().bind(params).apply(tables.vectors(spark, d), partitions=PARTITIONS), 6)
 
 
+@_query(_block_sql().replace("SELECT b, CAST(k * 16", "SELECT b, y AS idx, round(v * 0.5 * (1 + tanh(0.7978845608028654 * (v + 0.044715 * v * v * v))) + 3.3e-8, 6) + 0.0 AS re FROM (SELECT b, y, sum(v) AS v FROM (SELECT b, CAST(k * 16").replace(" AS INTEGER) AS idx, round(sum((CASE WHEN kt", " AS INTEGER) AS y, (sum((CASE WHEN kt").replace("/ 4 + 3.3e-8, 6) + 0.0 AS re\nFROM i2", "/ 4) AS v\nFROM i2") + " UNION ALL SELECT b, CAST(t * 16 + s * 4 + i AS INTEGER) AS y, sum(u.w * re) AS v FROM x JOIN u ON c = j GROUP BY b, t, s, i) GROUP BY b, y)")
+def spectral_layer(spark, d):
+    """The spectral convolution plus a direct mix of channels, through an element-wise nonlinearity."""
+    from .functions.arrays import gelu
+
+    x = tables.vectors(spark, d)
+    leaves = [L.Diagonal(4, "g", "c64"), L.Matrix(4, 4, "M", "c64")]
+    params = generated(spark, leaves[0], D, E).unionByName(generated(spark, leaves[1], W, V))
+    mixed = N.kron(L.Identity(16), L.Matrix(4, 4, "U"))
+    direct = mixed.bind(_params(spark, L.Matrix(4, 4, "U"))).apply(x, partitions=PARTITIONS)
+    both = spectral_block().bind(params).apply(x, partitions=PARTITIONS).unionByName(direct)
+    return _out(both.groupBy("b", "idx").agg(gelu(F.sum("re")).alias("re")), 6)
+
+
+@_query(f"WITH {_L} SELECT b, CAST((idx // 4) % 2 + ((idx // 8) * 2) + (idx % 4) * 16 AS INTEGER) AS idx, re + 0.0 AS re FROM l")
+def rotate_axes(spark, d):
+    """The 64 values as 4 x 2 x 8, the second axis turned to the front."""
+    from .functions.arrays import rotate_axes as turn
+
+    return _out(turn(tables.vectors(spark, d), (4, 2, 8), 1)[0])
+
+
+@_query(f"WITH {_L}, {_w('w', 3, 4)} SELECT b, CAST(idx // 4 AS INTEGER) AS col, {_I}, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx % 4 = j GROUP BY b, col, i")
+def as_matrix(spark, d):
+    """The 64 values as a 4 x 16 matrix, each column multiplied."""
+    from .functions.arrays import as_matrix as view
+
+    return _out(_matrix(spark, 3, 4).apply(view(tables.vectors(spark, d), (4, 16))))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "spectral_block"]

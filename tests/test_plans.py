@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import tensorloom as t
 from tensorloom.plans import types
@@ -235,3 +236,17 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(60)
     out = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
     np.testing.assert_allclose(array(out, (2, 2)), [[1, 2], [4, 5]])
+
+
+def test_array_views(spark):
+    x = draw(2, 24)
+    df = table(spark, x)
+    turned, shape = t.rotate_axes(df, (2, 3, 4), 1)
+    want = np.stack([np.transpose(v.reshape(2, 3, 4, order="F"), (1, 2, 0)).reshape(-1, order="F") for v in x])
+    assert shape == (3, 4, 2)
+    np.testing.assert_array_equal(array(turned, (2, 24)), want)
+    np.testing.assert_array_equal(array(t.from_matrix(t.as_matrix(df, (2, 3, 4)), (2, 3, 4)), (2, 24)), x)
+    assert not array(t.zeros_like(df), (2, 24)).any() and not array(t.zeros(df.select("b").distinct(), 5, True), (2, 5)).any()
+    assert t.cpu(df) is df is t.gpu(df)
+    y = table(spark, np.array([[-1.0, 0.0, 2.0]])).select("b", "idx", t.gelu(F.col("re")).alias("re"))
+    np.testing.assert_allclose(array(y, (1, 3)).real, [[-0.158808, 0, 1.954598]], atol=1e-6)
