@@ -144,17 +144,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], at, value], ["doc_id", "label", "at", "value"])
 
     def learned(batches):
-        got = {}  # documents that repeat count once
-        for batch in batches:
-            for d, y, at, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                got.setdefault((int(d), at, value), y)
-        if len(got) > 2 * rows:
+        got = [x for batch in batches for x in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+        if len(got) > rows:
             raise ValueError("more rows than the sample's bound")
-        keys = sorted(got, key=lambda k: (int(mix(np.array([k[0]], np.int64).view(_U))[0]), k[1]))
-        model = fit([(np.frombuffer(k[1], np.uint32).astype(np.int64), np.frombuffer(k[2], np.float32).astype(float), got[k]) for k in keys], bits)
+        got.sort(key=lambda x: (int(mix(np.array([x[0]], np.int64).view(_U))[0]), x[0]))
+        model = fit([(np.frombuffer(at, np.uint32).astype(np.int64), np.frombuffer(value, np.float32).astype(float), y) for _, y, at, value in got], bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
 
-    features = sample.mapInArrow(featured, "doc_id bigint, label int, at binary, value binary").dropDuplicates(["doc_id"]).repartition(1)
+    features = sample.mapInArrow(featured, "doc_id bigint, label int, at binary, value binary")
+    # of rows that share an id one counts, so an id that repeats without end stays one row
+    features = features.groupBy("doc_id").agg(F.min(F.struct("label", "at", "value")).alias("f")).select("doc_id", "f.*").repartition(1)
     row = features.mapInArrow(learned, "weights binary, bias double").first()
     if row is None:
         return fit([], bits)
