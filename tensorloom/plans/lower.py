@@ -172,31 +172,55 @@ def _fourier(op: L.Fourier, df: DataFrame, inverse: bool) -> DataFrame:
     return _sum(terms, keys, F.col("j"))
 
 
-def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool) -> DataFrame:
+def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool, sparse: bool = False) -> DataFrame:
+    """``sparse``: positions that are zero get no row."""
     keys, spark = keys_of(df), df.sparkSession
     at = op.positions()
     values = ["re", *(["im"] if has_im(df) else [])]
     if not adjoint and len(op.ranges) == 1:
         a, b = op.ranges[0]
         return df.where(F.col("idx").between(a, b - 1)).select(*keys, (F.col("idx") - a).cast("int").alias("idx"), *values)
-    pairs = list(enumerate(at))
-    if adjoint and not op.accumulate:
-        pairs = [(p, i) for i, p in {i: p for p, i in pairs}.items()]  # the last one wins
-    table = _maybe_broadcast(spark.createDataFrame(pairs or [(-1, -1)], "p int, i int"), len(pairs))
     if not adjoint:
-        return df.join(table, F.col("idx") == F.col("i")).select(*keys, F.col("p").alias("idx"), *values)
-    moved = df.join(table, F.col("idx") == F.col("p")).select(*keys, F.col("i").alias("idx"), *values)
-    if op.accumulate:
-        moved = _sum(moved, [F.col(k) for k in keys], F.col("idx"))
-    free = sorted(set(range(op.n)) - set(at))
-    if not free:
-        return moved
-    zero = df.select(*keys).distinct() if keys else df.limit(1).select()
-    gap = F.explode(F.lit(np.array(free, np.int32).tolist())).alias("idx") if len(free) < 4096 else F.explode(F.array_except(F.sequence(F.lit(0), F.lit(op.n - 1)), F.lit(sorted(set(at))))).alias("idx")
-    return moved.unionByName(zero.select(*keys, gap).select(*keys, F.col("idx").cast("int").alias("idx"), *[F.lit(0.0).alias(v) for v in values]))
-
-
-def _kron(op: N.Kron, df: DataFrame) -> DataFrame:
+        table = spark.createDataFrame(list(enumerate(at)) or [(-1, -1)], "p int, i int")
+        return df.join(_maybe_broadcast(table, len(at)), F.col("idx") == F.col("i")).select(*keys, F.col("p").alias("idx"), *values)
+    if not at:
+        zero = df.select(*keys).distinct() if keys else df.limit(1).select()
+        return zero.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(op.n - 1))).alias("idx"), *[F.lit(0.0).alias(v) for v in values]) if op.n else df
+    moves = [(p, i, True) for p, i in enumerate(at)]
+    if not op.accumulate:
+        moves = [(p, i, True) for i, p in {i: p for p, i, _ in moves}.items()]  # the last one wins
+    if not sparse:
+        # each batch item has one row of position 0; it also brings the zeros
+        moves += [(0, i, False) for i in sorted(set(range(op.n)) - set(at))]
+    table = _maybe_broadcast(spark.createDataFrame(moves, "p int, i int, keep boolean"), len(moves))
+    moved = df.join(table, F.col("idx") == F.col("p"))
+    moved = moved.select(*keys, F.col("i").alias("idx"), *[F.when(F.col("keep"), F.col(v)).otherwise(0.0).alias(v) for v in values])
+    return _sum(moved, [F.col(k) for k in keys], F.col("idx")) if op.accumulate else moved
+
+
+def _sums(op: Operator) -> bool:
+    """Whether every output of ``op`` is a sum over its inputs, so that zeros among these need no rows."""
+    if isinstance(op, N.Compose):
+        return _sums(op.ops[-1])
+    if isinstance(op, N.Kron):
+        return all(map(_sums, op.ops))
+    if isinstance(op, (N.Adjoint, N.Bound, N.Broadcasted)):
+        return _sums(op.op)
+    return isinstance(op, (L.Matrix, L.Fourier)) and bool(op.n)
+
+
+def _tolerated(then: Operator | None, op: Operator, sparse):
+    """Of ``op``, or of each operand of a product, whether zeros may be left out as ``then`` follows."""
+    if then is None:
+        return sparse
+    if isinstance(then, N.Compose):
+        then = then.ops[-1]
+    if isinstance(op, N.Kron) and isinstance(then, N.Kron) and [o.range for o in op.ops] == [o.domain for o in then.ops]:
+        return tuple(map(_sums, then.ops))
+    return _sums(then)
+
+
+def _kron(op: N.Kron, df: DataFrame, sparse=False) -> DataFrame:
     """The flat index falls apart into one column an axis, once; each operand then works on its own."""
     keys, n = keys_of(df), len(op.ops)
     mark = "axis"
@@ -209,7 +233,7 @@ def _kron(op: N.Kron, df: DataFrame) -> DataFrame:
     for k in op.order:
         child = op.ops[k]
         if not isinstance(child, L.Identity):
-            out = _long(child, out.withColumnRenamed(axes[k], "idx")).withColumnRenamed("idx", axes[k])
+            out = _long(child, out.withColumnRenamed(axes[k], "idx"), sparse[k] if isinstance(sparse, tuple) else sparse).withColumnRenamed("idx", axes[k])
         sizes[k] = child.range
     flat = flat_index([F.col(a) for a in axes[::-1]], tuple(sizes[::-1]))
     return out.select(*keys, flat.alias("idx"), *[c for c in out.columns if c in ("re", "im")])
@@ -234,15 +258,15 @@ def _repartition(op: L.Repartition, df: DataFrame) -> DataFrame:
     return out.select(*df.columns)
 
 
-def _long(op: Operator, df: DataFrame) -> DataFrame:
+def _long(op: Operator, df: DataFrame, sparse=False) -> DataFrame:
     if isinstance(op, N.Compose):
-        for o in reversed(op.ops):
-            df = _long(o, df)
+        for k in reversed(range(len(op.ops))):
+            df = _long(op.ops[k], df, _tolerated(op.ops[k - 1] if k else None, op.ops[k], sparse))
         return df
     if isinstance(op, N.Kron):
-        return _kron(op, df)
+        return _kron(op, df, sparse)
     if isinstance(op, (N.Broadcasted, N.Distributed)):
-        return _long(op.op, df)
+        return _long(op.op, df, sparse)
     if isinstance(op, L.Identity):
         return df
     if isinstance(op, N.Bound):
@@ -262,8 +286,8 @@ def _long(op: Operator, df: DataFrame) -> DataFrame:
         if isinstance(inner, L.Fourier):
             return _fourier(inner, df, True)
         if isinstance(inner, L.Restriction):
-            return _restriction(inner, df, True)
-        return _long(inner.adjoint(), df)
+            return _restriction(inner, df, True, sparse is True)
+        return _long(inner.adjoint(), df, sparse)
     raise OperatorError(f"no rule for {type(op).__name__}")
 
 
