@@ -7,6 +7,8 @@ A document falls apart into pieces, runs of string starts with one minimizer.
 1. Documents are stored in chunks, and each chunk names its minimizers.
 2. Minimizers are compared in buckets; each chunk learns which occur in several documents.
 3. Chunks send the pieces of those minimizers to buckets, equal pieces of a chunk once.
+   Pieces of a minimizer that very many chunks have are cut into single strings first,
+   which go to buckets by their own hashes, so no bucket grows with one minimizer.
 4. Each bucket builds the Burrows-Wheeler transform of its distinct pieces and
    extends intervals backwards, breadth first, so common prefixes are derived by
    increasing value, up to ``length``. What is then still undivided shares a string
@@ -34,6 +36,8 @@ from .common import checkpointed, table
 LENGTH = 50
 #: Bytes of text in a chunk and behind a bucket, about.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 3 << 20
+#: A minimizer that so many chunks have is hot: its strings are dealt to buckets one by one, by their own hashes.
+HOT_CHUNKS = 20_000
 #: Starts that are hashed at once, and the bits that hold a place among them.
 _BLOCK, _LOW = 1 << 15, (1 << 16) - 1
 _U = np.uint64
@@ -289,13 +293,13 @@ def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket << _U(32) | h & _U(0xFFFFFFFF), bucket.astype(np.int64)
 
 
-def _compared(t: pa.Table) -> pa.Table:
-    """Step 2: for each chunk of a bucket, a bit for each minimizer, set if another chunk has it too."""
+def _compared(t: pa.Table, hot: int) -> pa.Table:
+    """Step 2: for each chunk of a bucket, a bit for each minimizer, set if another chunk has it too, and one set if it is hot."""
     blobs = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("data")]
     ends = np.cumsum([0, *map(len, blobs)])
     _, back, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-    bits = count[back] > 1
-    data = [np.packbits(bits[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    count = count[back]
+    data = [np.packbits(count[a:b] > 1).tobytes() + np.packbits(count[a:b] > hot).tobytes() for a, b in zip(ends[:-1], ends[1:])]
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary())})
 
 
@@ -317,14 +321,21 @@ def _sent(buckets: int, length: int):
         unique, back = np.unique(key, return_inverse=True)
         by = {int(b.as_py()): d.as_py() for b, d in zip(bits.column("bucket"), bits.column("data"))}
         edges = np.flatnonzero(np.diff((unique >> _U(32)).astype(np.int64), prepend=-1, append=-1))
-        shared = np.concatenate([np.unpackbits(np.frombuffer(by[int(unique[a] >> _U(32))], np.uint8), count=b - a) for a, b in zip(edges[:-1], edges[1:])]).astype(bool)
+        told = [np.frombuffer(by[int(unique[a] >> _U(32))], np.uint8) for a in edges[:-1]]
+        sizes = np.diff(edges).tolist()
+        shared = np.concatenate([np.unpackbits(x[: len(x) // 2], count=n) for x, n in zip(told, sizes)]).astype(bool)
+        hot = np.concatenate([np.unpackbits(x[len(x) // 2 :], count=n) for x, n in zip(told, sizes)]).astype(bool)
         low, high = np.full(len(unique), _NONE), np.full(len(unique), -_NONE)
         np.minimum.at(low, back, ids[doc])
         np.maximum.at(high, back, ids[doc])
         take = np.flatnonzero((shared | (low < high))[back])
         if not len(take):
             return empty
-        start, count, doc, bucket = start[take], count[take], doc[take], bucket[take]
+        start, count, doc, bucket, hot = start[take], count[take], doc[take], bucket[take], hot[back[take]]
+        if hot.any():  # cut into single strings
+            n = np.where(hot, count, 1)
+            start, count, doc, bucket, hot = _spread(start, n), np.repeat(np.where(hot, 1, count), n), np.repeat(doc, n), np.repeat(bucket, n), np.repeat(hot, n)
+            bucket[hot] = _keys(spans_hash(codes, start[hot], start[hot] + length), buckets)[1]
         end = start + count + length - 1
         name = spans_hash(codes, start, end)
         order = np.lexsort((ids[doc], name, bucket))
@@ -451,7 +462,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     buckets = int(max(1, -(-total // BUCKET_BYTES)))
     stored = checkpointed(rows.mapInArrow(_stored, _ROW))
     held = stored.groupBy("chunk")
-    bits = stored.mapInArrow(_named(buckets, length), _ROW).groupBy("bucket").applyInArrow(_compared, _ROW)
+    hot = HOT_CHUNKS
+
+    def compared(t: pa.Table) -> pa.Table:
+        return _compared(t, hot)
+
+    bits = stored.mapInArrow(_named(buckets, length), _ROW).groupBy("bucket").applyInArrow(compared, _ROW)
     sent = held.cogroup(bits.groupBy("chunk")).applyInArrow(_sent(buckets, length), _ROW)
     # pieces go to their bucket, places to a slot of their own, in one exchange
     slot = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long"))

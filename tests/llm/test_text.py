@@ -133,8 +133,9 @@ def removed_bytes(docs, length):
         yield d, len(b), bytes(x for x, g in zip(b, gone) if not g), [m.span() for m in re.finditer(b"\1+", bytes(gone))]
 
 
-@pytest.mark.parametrize("length", [8, 20, 50])
-def test_repeats_brute_force(spark, length, monkeypatch):
+@pytest.mark.parametrize("length,hot", [(8, 20_000), (20, 2), (50, 20_000), (50, 2)])
+def test_repeats_brute_force(spark, length, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_CHUNKS", hot)
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 600)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
     rng = random.Random(length)
