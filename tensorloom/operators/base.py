@@ -107,6 +107,8 @@ class Operator:
     def __rmatmul__(self, other):
         return self.rapply(other)
 
+    __rmul__ = __rmatmul__
+
     def __call__(self, other):
         """Bind a table of parameters, or apply to data."""
         if {"op_id", "re"} <= set(getattr(other, "columns", ())):

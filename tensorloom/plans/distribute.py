@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import leaves as L
 from ..operators import nodes as N
 from ..operators.base import Operator, OperatorError
+from .grid import local_size
 
 
 def grid_for(grid: tuple[int, ...], operand: int) -> tuple[int, ...]:
@@ -29,10 +30,10 @@ def distribute(op: Operator, grid: tuple[int, ...] = (), grid_out: tuple[int, ..
     """
     if isinstance(op, L.Identity):
         return op
-    if isinstance(op, (L.Matrix, L.Fourier)) or isinstance(op, (N.Bound, N.Adjoint)) and not isinstance(op, N.Kron):
-        return N.broadcasted(op) if op.has_params else op
     if isinstance(op, L.Diagonal):
-        return op
+        return op  # joined on the index, so its blocks lie where the data's do
+    if isinstance(op, (L.Matrix, L.Fourier, N.Bound, N.Adjoint)):
+        return N.broadcasted(op) if op.has_params else op
     if isinstance(op, L.Tensor):
         return distribute_tensor(op, grid)
     if not isinstance(op, N.Kron):
@@ -63,6 +64,11 @@ def distribute(op: Operator, grid: tuple[int, ...] = (), grid_out: tuple[int, ..
     return N.composed(steps[::-1]) if steps else L.Identity(op.domain, op.ddt)
 
 
+def local_diagonal(op: L.Diagonal, rank: int, workers: int) -> L.Diagonal:
+    """The diagonal of worker ``rank``'s block: its length, and a parameter of its own."""
+    return L.Diagonal(local_size(op.n, rank, workers), f"{op.op_id}@{rank}/{workers}", op.dtype)
+
+
 def distribute_tensor(op: L.Tensor, grid: tuple[int, ...]) -> L.Tensor:
     """The tensor of one worker's block; ``grid`` has workers for each input axis. Summed axes must be whole, divisions exact."""
     workers = dict(zip(op.input_axes, grid))

@@ -294,10 +294,13 @@ def _long(op: Operator, df: DataFrame, sparse=False) -> DataFrame:
 # --- element-wise forms of single leaves ---------------------------------
 
 
-def add_bias(op: N.Bound, df: DataFrame) -> DataFrame:
-    """``x + A`` for a parameter of one column, or with the shape of the batch if it has the key ``j``."""
-    w, wr, wi = _weight(op, False)
-    on = [F.col("idx") == F.col("w_i")] + ([F.col("j") == F.col("w_j")] if op.op.n > 1 else [])
+def add_bias(op: Operator, df: DataFrame) -> DataFrame:
+    """``x + A`` or, for an adjoint, ``x + A'``: a parameter of one column is added to every item, any other
+    element by element to a batch of its shape, whose columns are the key ``j``."""
+    turned = isinstance(op, N.Adjoint)
+    w, wr, wi = _weight(op.op if turned else op, turned)
+    i, j = ("w_j", "w_i") if turned else ("w_i", "w_j")
+    on = [F.col("idx") == F.col(i)] + ([F.col("j") == F.col(j)] if op.domain > 1 or turned else [])
     out = df.join(w, on)
     return out.select(*keys_of(df), "idx", (F.col("re") + wr).alias("re"), *([(F.col("im") + wi).alias("im")] if has_im(df) else []))
 

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from .functions.gradients import gather_gradients, grad_input, grad_params
 from .functions.params import generated, init, merge, scale, update
+from .functions.render import dot_string, latex_string
 from .operators import leaves as L
 from .operators import nodes as N
 from .plans.cost import complexity
 from .plans.distribute import distribute
 from .plans.grid import block_of, cumulative_ranges, range_axes
-from .plans.lower import add_bias, divide_by, has_im, keys_of
+from .plans.lower import add_bias, divide_by, has_im, keys_of, scale_rows
 from .plans.rewrite import Optimizer, merkle_hash, transforms
 from .sources import tables
 from .sources.json_codec import from_json, to_json
@@ -135,6 +136,18 @@ def matrix_bias(spark, d):
     return _out(add_bias(_matrix(spark, 64, 1), tables.vectors(spark, d)))
 
 
+@_query(f"WITH {_L}, {_w('w', 8, 64)} SELECT b, CAST(b % 8 AS INTEGER) AS j, idx, re + w + 0.0 AS re FROM l JOIN w ON b % 8 = i AND idx = w.j")
+def matrix_bias_adjoint(spark, d):
+    x = tables.vectors(spark, d).withColumn("j", (F.col("b") % 8).cast("int"))
+    return _out(add_bias(_matrix(spark, 8, 64).H, x))
+
+
+@_query(f"WITH {_L}, {_d(64)} SELECT b, idx, w * re + 0.0 AS re FROM l JOIN d ON idx = i")
+def diagonal_scale_rows(spark, d):
+    leaf = L.Diagonal(64, "d")
+    return _out(scale_rows(leaf.bind(_params(spark, leaf)), tables.vectors(spark, d)))
+
+
 @_query(f"WITH {_L}, {_w('w', 64, 8)} SELECT b, CAST(b % 8 AS INTEGER) AS j, idx, CASE WHEN re != 0 THEN w / re WHEN w = 0 THEN 'nan'::DOUBLE WHEN w > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END + 0.0 AS re FROM l JOIN w ON idx = i AND b % 8 = j")
 def matrix_divide(spark, d):
     x = tables.vectors(spark, d).withColumn("j", (F.col("b") % 8).cast("int"))
@@ -342,6 +355,19 @@ def distributed_kron(spark, d):
     return _out(op.bind(_params(spark, L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).apply(tables.vectors(spark, d)))
 
 
+@_query(_K2)
+def broadcast_kron(spark, d):
+    """The product with its parameters marked to be whole on every worker."""
+    return _out(N.broadcasted(N.kron(L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).bind(_params(spark, L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).apply(tables.vectors(spark, d), partitions=PARTITIONS))
+
+
+@_query(f"WITH {_L} SELECT b, idx, re + 0.0 AS re FROM l")
+def distributed_identity(spark, d):
+    """Local identities on a grid of 1 x 2 x 1 leave everything where it is."""
+    op = distribute(N.kron(*[L.Identity(4, "f64") for _ in range(3)]), (1, 2, 1))
+    return _out(N.Distributed(op, 0, 1).apply(tables.vectors(spark, d)))
+
+
 def _two_tables(spark, d):
     """Parameters from nations (all) and regions (twice their key), which share the ids 0 to 4, and one id of regions alone."""
     n = tables.read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("op_id"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("n_regionkey").cast("double").alias("re"), F.lit(0.0).alias("im"))
@@ -405,6 +431,25 @@ def grad_of_input(spark, d):
     return _out(grad_input(a, y))
 
 
+@_query(f"WITH {_L} SELECT b, idx, CASE WHEN idx < 8 OR idx >= 56 THEN re ELSE 0 END + 0.0 AS re FROM l")
+def pullback_restriction(spark, d):
+    """The gradient of a restriction's input is scattered into zeros."""
+    return _out(grad_input(_ENDS, _ENDS.apply(tables.vectors(spark, d))))
+
+
+@_query(f"WITH {_L} SELECT b, CAST(CASE WHEN idx < 8 THEN idx ELSE idx - 48 END AS INTEGER) AS idx, re + 0.0 AS re FROM l WHERE idx < 8 OR idx >= 56")
+def pullback_scatter(spark, d):
+    """The gradient of a scatter's input is gathered."""
+    return _out(grad_input(_ENDS.H, tables.vectors(spark, d)))
+
+
+@_query(f"WITH {_L} SELECT b, idx, re + 0.0 AS re FROM l")
+def pullback_repartition(spark, d):
+    """The gradient goes back to where the input came from; a reduction's passes unchanged."""
+    moved = grad_input(L.Repartition((4, 4, 4), (2, 2, 2), (3, 2, 1)), tables.vectors(spark, d))
+    return _out(grad_input(L.Reduce(), moved))
+
+
 @_query(f"WITH {_L}, {_d(64)} SELECT CAST(i AS INTEGER) AS i, sum(w * re * re) + 0.0 AS re FROM l JOIN d ON idx = i GROUP BY i")
 def grad_diagonal(spark, d):
     leaf = L.Diagonal(64, "d")
@@ -457,6 +502,17 @@ def merkle_table(spark, d):
     return spark.createDataFrame([(n, merkle_hash(a) == merkle_hash(b)) for n, (a, b) in pairs.items()], "name string, equal boolean")
 
 
+_TEX = r"(\mathrm{Matrix}(4 \rightarrow 2)\ast \mathrm{Diagonal}(4 \rightarrow 4))\otimes(\mathrm{Matrix}(3 \rightarrow 5)^\top)"
+_DOT = r'digraph g {NEWTAdjoint_1 [label="Adjoint #1"];NEWTMatrix_1 [label="Matrix #1\nid = M"];NEWTAdjoint_1 -> Matrix_1;NEW}'
+
+
+@_query(f"SELECT 'latex' AS name, '{_TEX}' AS text UNION ALL SELECT 'dot', replace(replace('{_DOT}', 'NEWT', chr(10) || chr(9)), 'NEW', chr(10))")
+def render_table(spark, d):
+    op = N.kron(N.compose(L.Matrix(2, 4, "A"), L.Diagonal(4, "d")), L.Matrix(5, 3, "M").H)
+    dot = dot_string(L.Matrix(5, 3, "M").H, {"id": lambda o: o.op_id})
+    return spark.createDataFrame([("latex", latex_string(op)), ("dot", dot)], "name string, text string")
+
+
 @_query("SELECT name, true AS equal FROM (VALUES ('identity'), ('diagonal'), ('matrix'), ('fourier'), ('restriction'), ('tensor'), ('adjoint'), ('compose'), ('kron')) t(name)")
 def json_round_trip(spark, d):
     ops = {
