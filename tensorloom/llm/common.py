@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 #: Separators of words: space and the bytes 0x09 to 0x0D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +28,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def word_count(text: str | Column) -> Column:
+def word_list(text: Column) -> Column:
+    """The words of a text; null counts as empty."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+
+
+def word_count(text: str) -> Column:
     """Number of words of a text column; null counts as empty."""
-    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.size(F.filter(F.split(t, WORD_BREAK), lambda w: w != "")).cast("long")
+    return F.size(word_list(F.col(text))).cast("long")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table, word_count
+from .common import fresh, table, word_list
 
 #: Words in a bin.
 CAPACITY = 2048
@@ -99,20 +99,20 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAPACIT
     return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(_pack_shard(capacity), _SCHEMA)
 
 
-def text_cluster(text: str = "text") -> Column:
-    """Exact duplicates share a cluster: hash of the lower-cased words with single spaces."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
-
-
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Documents packed by words, no two exact duplicates or two documents of a source in a bin."""
-    return pack(docs, word_count("text"), text_cluster("text"), capacity)
+    """Documents packed by words, no two exact duplicates or two documents of a source in a bin.
+
+    Texts of the same words in lower case are one cluster: the hash of the word list.
+    """
+    (words,) = fresh(docs, "pack_words")
+    split = docs.select("doc_id", "source", word_list(F.lower(F.col("text"))).alias(words))
+    return pack(split, F.size(words), F.xxhash64(words), capacity)
 
 
 def packed_texts(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """One row a bin: ``(bin_id, doc_ids, text)`` with the words of its pieces in order, for ids that do not repeat."""
     (words,) = fresh(docs, "pack_words")
-    split = docs.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias(words))
+    split = docs.select("doc_id", word_list(F.col("text")).alias(words))
     part = F.array_join(F.slice(words, (F.col("doc_offset") + 1).cast("int"), F.greatest(F.col("size"), F.lit(0)).cast("int")), " ")
     joined = packed.where("bin_id IS NOT NULL").join(split, "doc_id").select("bin_id", "bin_offset", "doc_id", part.alias("part"))
     rows = joined.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("bin_offset", "doc_id", "part"))).alias("p"))  # at most ``capacity`` words

@@ -164,3 +164,11 @@ def test_sharding_edges(spark, tmp_path):
     assert sharding.assign(df.where("false"), "doc_id", F.octet_length("text"), 50).count() == 0
     sharding.write_shards(df.drop("a.b"), str(tmp_path / "s"), limit=50)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 4
+
+
+def test_native_plans(spark):
+    """No Python, cross joins or caches on the main path."""
+    docs = "/root/testdata/sf0.001"
+    for query in (linededup.op1_line_dedup, mixing.op6_mixture, sharding.op10_sharding):
+        plan = query(spark, docs)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop|InMemoryTableScan", plan), query.__name__
