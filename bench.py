@@ -14,7 +14,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tensorloom.queries import QUERIES
+from tensorloom import Matrix
+from tensorloom.functions.params import generated
+from tensorloom.queries import QUERIES, W
+from tensorloom.sources import tables
 
 HEADLINE = [
     "matrix_apply", "matrix_apply_dense", "matrix_adjoint", "diagonal_apply", "rdft_apply", "cdft_apply", "irdft", "restrict_scatter", "tensor4", "tensor6",
@@ -22,6 +25,16 @@ HEADLINE = [
 ]
 
 
+def dense64(spark: SparkSession, sf_dir: str, fast: bool):
+    """A dense 64 x 64 matrix on all vectors, in LONG or DENSE."""
+    leaf = Matrix(64, 64, "W")
+    x = tables.dense_vectors(spark, sf_dir) if fast else tables.vectors(spark, sf_dir)
+    return leaf.bind(generated(spark, leaf, W)).apply(x)
+
+
+BASELINE = {"dense64_long": lambda s, d: dense64(s, d, False), "dense64_numpy": lambda s, d: dense64(s, d, True)}
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -35,11 +48,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
-    for name in HEADLINE:
+    for name in [*BASELINE, *HEADLINE]:
+        query = BASELINE.get(name) or QUERIES[name]
         runs = []
         for _ in range(4):
             began = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            query(spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
         took[name] = round(statistics.median(runs[1:]), 3)
     sf = re.search(r"sf([\d.]+)/?$", sf_dir)
