@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.grid import axis_columns, flat_index
+from ..plans.grid import axis_exprs, flat_expr
 
 
 def rotate_axes(df: DataFrame, shape: tuple[int, ...], by: int) -> tuple[DataFrame, tuple[int, ...]]:
     """Axes turned cyclically: axis ``by`` of the input becomes the first. Batch keys stay. Also the new shape."""
     n = len(shape)
-    axes = axis_columns(F.col("idx"), shape)
+    axes = axis_exprs("idx", shape)
     turn = [(k + by) % n for k in range(n)]
     out = tuple(shape[k] for k in turn)
-    return df.withColumn("idx", flat_index([axes[k] for k in turn], out)), out
+    return df.withColumn("idx", F.expr(flat_expr([axes[k] for k in turn], out))), out
 
 
 def as_matrix(df: DataFrame, shape: tuple[int, ...]) -> DataFrame:

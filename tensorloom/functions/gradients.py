@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import leaves as L
 from ..operators import nodes as N
 from ..operators.base import Operator, OperatorError
-from ..plans.grid import axis_columns, flat_index
+from ..plans.grid import axis_exprs, flat_expr
 from ..plans.lower import apply, has_im, keys_of
 
 
@@ -39,12 +39,12 @@ def grad_params(op: Operator, x: DataFrame, upstream: DataFrame) -> DataFrame:
         joined = b.join(a, [*same, F.col("x.idx") == F.col("y.idx")])
         i, j = F.col("y.idx"), F.lit(0)
     elif isinstance(leaf, L.Tensor):
-        ax = dict(zip(leaf.input_axes, axis_columns(F.col("x.idx"), leaf.input_shape)))
-        ay = dict(zip(leaf.target_axes, axis_columns(F.col("y.idx"), leaf.target_shape)))
+        ax = dict(zip(leaf.input_axes, axis_exprs("x.idx", leaf.input_shape)))
+        ay = dict(zip(leaf.target_axes, axis_exprs("y.idx", leaf.target_shape)))
         if missing := set(leaf.weight_axes) - set(ax) - set(ay):
             raise OperatorError(f"the gradient is constant along {sorted(missing)}")
-        joined = b.join(a, [*same, *[ax[n] == ay[n] for n in leaf.input_axes if n in ay]])
-        i, j = flat_index([ay.get(n, ax.get(n)) for n in leaf.weight_axes], leaf.weight_shape), F.lit(0)
+        joined = b.join(a, [*same, *[F.expr(f"{ax[n]} = {ay[n]}") for n in leaf.input_axes if n in ay]])
+        i, j = F.expr(flat_expr([ay.get(n, ax.get(n)) for n in leaf.weight_axes], leaf.weight_shape)), F.lit(0)
     else:
         raise OperatorError(f"{type(leaf).__name__} has no parameter")
     terms = joined.select(i.cast("int").alias("i"), j.cast("int").alias("j"), (yr * xr + yi * xi).alias("re"), (yi * xr - yr * xi).alias("im"))

@@ -44,26 +44,31 @@ def block_of(x: Column, n: int, workers: int) -> Column:
     return F.when(x < edge, F.floor(x / (q + 1))).otherwise(high).cast("int")
 
 
-def axis_columns(idx: Column, shape: tuple[int, ...]) -> list[Column]:
-    """Coordinates of a flat index, the first axis fastest."""
+def axis_columns(idx: str, shape: tuple[int, ...]) -> list[Column]:
+    """Coordinates of the flat index column ``idx``, the first axis fastest."""
+    return [F.expr(x) for x in axis_exprs(idx, shape)]
+
+
+def axis_exprs(idx: str, shape: tuple[int, ...]) -> list[str]:
+    """The same as SQL text: one expression is one call to the JVM."""
     out, below = [], 1
     for n in shape:
-        out.append((F.floor(idx / below) % n).cast("int"))
+        out.append(f"CAST(({idx} DIV {below}) % {n} AS INT)" if n and below else "0")
         below *= n
     return out
 
 
-def flat_index(axes: list[Column], shape: tuple[int, ...]) -> Column:
-    """The flat index of coordinates, the first axis fastest."""
-    out, below = F.lit(0), 1
+def flat_expr(axes: list[str], shape: tuple[int, ...]) -> str:
+    """The flat index of coordinates as SQL text, the first axis fastest."""
+    terms, below = [], 1
     for a, n in zip(axes, shape):
-        out = out + a * below
+        terms.append(f"{a} * {below}" if below != 1 else a)
         below *= n
-    return out.cast("int")
+    return f"CAST({' + '.join(terms) or '0'} AS INT)"
 
 
-def rank_of(idx: Column, shape: tuple[int, ...], grid: tuple[int, ...]) -> Column:
-    """The worker that holds flat position ``idx``; its grid coordinates count with the last one fastest."""
+def rank_of(idx: str, shape: tuple[int, ...], grid: tuple[int, ...]) -> Column:
+    """The worker that holds the flat position in column ``idx``; its grid coordinates count with the last one fastest."""
     out = F.lit(0)
     for a, n, p in zip(axis_columns(idx, shape), shape, grid):
         out = out * p + block_of(a, n, p)

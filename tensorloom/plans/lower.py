@@ -22,15 +22,15 @@ from pyspark.sql import types as T
 from ..operators import leaves as L
 from ..operators import nodes as N
 from ..operators.base import Operator, OperatorError
-from .grid import axis_columns, flat_index, rank_of
+from .grid import axis_exprs, flat_expr, rank_of
 from .types import is_complex
 
 #: Elements of a generated table (twiddles, positions) that is broadcast at most.
 BROADCAST_ROWS = 1 << 20
 
 
-def keys_of(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ("idx", "re", "im")]
+def keys_of(df: DataFrame, axis: str = "idx") -> list[str]:
+    return [c for c in df.columns if c not in (axis, "re", "im")]
 
 
 def has_im(df: DataFrame) -> bool:
@@ -93,109 +93,105 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _times(wr: Column, wi: Column, df: DataFrame, kind: str) -> list[Column]:
-    """The product of a weight and the value, in the parts that ``kind`` has."""
-    xr, xi = F.col("re"), F.col("im") if has_im(df) else F.lit(0.0)
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
+def _times(wr: str, wi: str, df: DataFrame, kind: str) -> list[str]:
+    """The product of a weight and the value, in the parts that ``kind`` has. SQL text, as a plan has many of these."""
     if not is_complex(kind):
-        return [(wr * xr).alias("re")]
-    return [(wr * xr - wi * xi).alias("re"), (wr * xi + wi * xr).alias("im")]
+        return [f"{wr} * re AS re"]
+    if not has_im(df):
+        return [f"{wr} * re AS re", f"{wi} * re AS im"]
+    return [f"{wr} * re - {wi} * im AS re", f"{wr} * im + {wi} * re AS im"]
 
 
-def _sum(df: DataFrame, keys: list, idx: Column) -> DataFrame:
-    return df.groupBy(*keys, idx.alias("idx")).agg(*[F.sum(c).alias(c) for c in ("re", "im") if c in df.columns])
+def _sum(df: DataFrame, axis: str) -> DataFrame:
+    """Values of equal keys and position, added up."""
+    return df.groupBy(*_quoted(keys_of(df, axis)), axis).agg(*[F.sum(c).alias(c) for c in ("re", "im") if c in df.columns])
 
 
-def _weight(op: Operator, conj: bool) -> tuple[DataFrame, Column, Column]:
+def _weight(op: Operator, conj: bool) -> tuple[DataFrame, str, str]:
     """A bound leaf's parameter with names of its own, broadcast if its shape says that it is small."""
-    w = op.params_df().select(F.col("i").alias("w_i"), F.col("j").alias("w_j"), F.col("re").alias("w_re"), F.col("im").alias("w_im"))
+    w = op.params_df().selectExpr("i AS w_i", "j AS w_j", "re AS w_re", "im AS w_im")
     if N.parameter_bytes(op.op) <= N.BROADCAST_BYTES:
         w = F.broadcast(w)
-    return w, F.col("w_re"), -F.col("w_im") if conj else F.col("w_im")
+    return w, "w_re", "(-w_im)" if conj else "w_im"
 
 
-def _bound(op: Operator, df: DataFrame, adjoint: bool) -> DataFrame:
-    leaf, keys = op.op, [F.col(k) for k in keys_of(df)]
+def _bound(op: Operator, df: DataFrame, adjoint: bool, axis: str = "idx") -> DataFrame:
+    leaf, keys = op.op, _quoted(keys_of(df, axis))
     w, wr, wi = _weight(op, adjoint)
     if isinstance(leaf, L.Diagonal):
-        return df.join(w, F.col("idx") == F.col("w_i")).select(*keys, "idx", *_times(wr, wi, df, leaf.dtype))
+        return df.join(w, F.col(axis) == F.col("w_i")).selectExpr(*keys, axis, *_times(wr, wi, df, leaf.dtype))
     if isinstance(leaf, L.Matrix):
         on, to = ("w_i", "w_j") if adjoint else ("w_j", "w_i")
-        terms = df.join(w, F.col("idx") == F.col(on)).select(*keys, to, *_times(wr, wi, df, leaf.dtype))
-        return _sum(terms, keys, F.col(to))
+        return _sum(df.join(w, F.col(axis) == F.col(on)).selectExpr(*keys, f"{to} AS {axis}", *_times(wr, wi, df, leaf.dtype)), axis)
     if isinstance(leaf, L.Tensor):
-        t = leaf.turned() if adjoint else leaf
-        return _tensor(t, df, w, wr, wi)
+        return _tensor(leaf.turned() if adjoint else leaf, df, w, wr, wi, axis)
     raise OperatorError(f"no rule for {type(leaf).__name__}")
 
 
-def _tensor(t: L.Tensor, df: DataFrame, w: DataFrame, wr: Column, wi: Column) -> DataFrame:
-    keys = [F.col(k) for k in keys_of(df)]
-    x = df.select(*keys, *[a.alias(f"x_{n}") for n, a in zip(t.input_axes, axis_columns(F.col("idx"), t.input_shape))], "re", *(["im"] if has_im(df) else []))
-    w = w.select(*[a.alias(f"w_{n}") for n, a in zip(t.weight_axes, axis_columns(F.col("w_i"), t.weight_shape))], "w_re", "w_im")
+def _tensor(t: L.Tensor, df: DataFrame, w: DataFrame, wr: str, wi: str, axis: str) -> DataFrame:
+    keys = _quoted(keys_of(df, axis))
+    named = lambda k, axes, index, shape: [f"{e} AS `{k}_{n}`" for n, e in zip(axes, axis_exprs(index, shape))]
+    x = df.selectExpr(*keys, *named("x", t.input_axes, axis, t.input_shape), "re", *(["im"] if has_im(df) else []))
+    w = w.selectExpr(*named("w", t.weight_axes, "w_i", t.weight_shape), "w_re", "w_im")
     if N.parameter_bytes(t) <= N.BROADCAST_BYTES:
         w = F.broadcast(w)
-    shared = [n for n in t.input_axes if n in t.weight_axes]
-    on = [F.col(f"x_{n}") == F.col(f"w_{n}") for n in shared]
+    on = [F.col(f"x_{n}") == F.col(f"w_{n}") for n in t.input_axes if n in t.weight_axes]
     joined = x.join(w, on) if on else x.crossJoin(w)  # an outer product has a term for every pair
-    axis = lambda n: F.col(f"w_{n}" if n in t.weight_axes else f"x_{n}")
-    to = flat_index([axis(n) for n in t.target_axes], t.target_shape)
-    return _sum(joined.select(*keys, to.alias("to"), *_times(wr, wi, df, t.dtype)), keys, F.col("to"))
+    to = flat_expr([f"`{'w' if n in t.weight_axes else 'x'}_{n}`" for n in t.target_axes], t.target_shape)
+    return _sum(joined.selectExpr(*keys, f"{to} AS {axis}", *_times(wr, wi, df, t.dtype)), axis)
 
 
-def twiddles(spark, n: int, outputs: int, sign: int) -> DataFrame:
-    """``(k, j, c, s)``: cosine and signed sine of 2 pi k j / n for every output k and input j."""
-    k, j = F.floor(F.col("id") / n), F.col("id") % n
-    angle = 2 * np.pi / n * ((k * j) % n)
-    t = spark.range(outputs * n).select(k.cast("int").alias("k"), j.cast("int").alias("j"), F.cos(angle).alias("c"), (sign * F.sin(angle)).alias("s"))
+def twiddles(spark, n: int, outputs: int, sign: int, scale: float = 1.0) -> DataFrame:
+    """``(t_k, t_j, t_c, t_s)``: scaled cosine and signed sine of 2 pi k j / n for every output k and input j."""
+    angle = f"({2 * np.pi / n!r}D * (((id DIV {n}) * (id % {n})) % {n}))"
+    t = spark.range(outputs * n).selectExpr(f"CAST(id DIV {n} AS INT) AS t_k", f"CAST(id % {n} AS INT) AS t_j", f"{scale!r}D * cos({angle}) AS t_c", f"{sign * scale!r}D * sin({angle}) AS t_s")
     return _maybe_broadcast(t, outputs * n)
 
 
-def _fourier(op: L.Fourier, df: DataFrame, inverse: bool) -> DataFrame:
-    n, keys, spark = op.n, [F.col(k) for k in keys_of(df)], df.sparkSession
+def _fourier(op: L.Fourier, df: DataFrame, inverse: bool, axis: str = "idx") -> DataFrame:
+    n, keys = op.n, _quoted(keys_of(df, axis))
     if not n:
         return df if is_complex(op.dtype) or not inverse else df.drop("im")
-    scale = 1 / np.sqrt(n) if op.norm == "ortho" else 1 / n if inverse else 1.0
-    if not inverse:
-        t = twiddles(spark, n, op.range, -1)
-        terms = df.join(t, F.col("idx") == F.col("j"))
-    else:
-        # coefficients are on the input side; one table serves, read the other way round
-        t = twiddles(spark, n, op.range, 1)
-        terms = df.join(t, F.col("idx") == F.col("k"))
-    c, s = F.col("c") * float(scale), F.col("s") * float(scale)
+    scale = float(1 / np.sqrt(n) if op.norm == "ortho" else 1 / n if inverse else 1.0)
+    # coefficients are on the input side of the inverse; one kind of table serves, read the other way round
+    on, to = ("t_k", "t_j") if inverse else ("t_j", "t_k")
+    terms = df.join(twiddles(df.sparkSession, n, op.range, 1 if inverse else -1, scale), F.col(axis) == F.col(on))
     if inverse and not is_complex(op.dtype):
         # a half spectrum: all but the first and, for even n, the last coefficient stand for two
-        twice = F.when((F.col("k") == 0) | ((F.col("k") * 2) == n), 1.0).otherwise(2.0)
-        terms = terms.select(*keys, "j", (twice * (c * F.col("re") - s * F.col("im"))).alias("re"))
+        value = [f"CASE WHEN t_k = 0 OR t_k * 2 = {n} THEN 1D ELSE 2D END * (t_c * re - t_s * im) AS re"]
     else:
-        terms = terms.select(*keys, F.col("k" if not inverse else "j").alias("j"), *_times(c, s, df, op.rdt))
-    return _sum(terms, keys, F.col("j"))
+        value = _times("t_c", "t_s", df, op.rdt)
+    return _sum(terms.selectExpr(*keys, f"{to} AS {axis}", *value), axis)
 
 
-def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool, sparse: bool = False) -> DataFrame:
+def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool, sparse: bool = False, axis: str = "idx") -> DataFrame:
     """``sparse``: positions that are zero get no row."""
-    keys, spark = keys_of(df), df.sparkSession
+    keys, spark = _quoted(keys_of(df, axis)), df.sparkSession
     at = op.positions()
     values = ["re", *(["im"] if has_im(df) else [])]
     if not adjoint and len(op.ranges) == 1:
         a, b = op.ranges[0]
-        return df.where(F.col("idx").between(a, b - 1)).select(*keys, (F.col("idx") - a).cast("int").alias("idx"), *values)
+        return df.where(F.col(axis).between(a, b - 1)).selectExpr(*keys, f"CAST({axis} - {a} AS INT) AS {axis}", *values)
     if not adjoint:
-        table = spark.createDataFrame(list(enumerate(at)) or [(-1, -1)], "p int, i int")
-        return df.join(_maybe_broadcast(table, len(at)), F.col("idx") == F.col("i")).select(*keys, F.col("p").alias("idx"), *values)
+        table = spark.createDataFrame(list(enumerate(at)) or [(-1, -1)], "r_p int, r_i int")
+        return df.join(_maybe_broadcast(table, len(at)), F.col(axis) == F.col("r_i")).selectExpr(*keys, f"r_p AS {axis}", *values)
     if not at:
-        zero = df.select(*keys).distinct() if keys else df.limit(1).select()
-        return zero.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(op.n - 1))).alias("idx"), *[F.lit(0.0).alias(v) for v in values]) if op.n else df
+        zero = df.selectExpr(*keys).distinct() if keys else df.limit(1).select()
+        return zero.selectExpr(*keys, f"explode(sequence(0, {op.n - 1})) AS {axis}", *[f"0D AS {v}" for v in values]) if op.n else df
     moves = [(p, i, True) for p, i in enumerate(at)]
     if not op.accumulate:
         moves = [(p, i, True) for i, p in {i: p for p, i, _ in moves}.items()]  # the last one wins
     if not sparse:
         # each batch item has one row of position 0; it also brings the zeros
         moves += [(0, i, False) for i in sorted(set(range(op.n)) - set(at))]
-    table = _maybe_broadcast(spark.createDataFrame(moves, "p int, i int, keep boolean"), len(moves))
-    moved = df.join(table, F.col("idx") == F.col("p"))
-    moved = moved.select(*keys, F.col("i").alias("idx"), *[F.when(F.col("keep"), F.col(v)).otherwise(0.0).alias(v) for v in values])
-    return _sum(moved, [F.col(k) for k in keys], F.col("idx")) if op.accumulate else moved
+    table = _maybe_broadcast(spark.createDataFrame(moves, "r_p int, r_i int, r_keep boolean"), len(moves))
+    moved = df.join(table, F.col(axis) == F.col("r_p"))
+    moved = moved.selectExpr(*keys, f"r_i AS {axis}", *[f"CASE WHEN r_keep THEN {v} ELSE 0D END AS {v}" for v in values])
+    return _sum(moved, axis) if op.accumulate else moved
 
 
 def _sums(op: Operator) -> bool:
@@ -220,74 +216,70 @@ def _tolerated(then: Operator | None, op: Operator, sparse):
     return _sums(then)
 
 
-def _kron(op: N.Kron, df: DataFrame, sparse=False) -> DataFrame:
+def _kron(op: N.Kron, df: DataFrame, sparse=False, axis: str = "idx") -> DataFrame:
     """The flat index falls apart into one column an axis, once; each operand then works on its own."""
-    keys, n = keys_of(df), len(op.ops)
+    keys, n = keys_of(df, axis), len(op.ops)
     mark = "axis"
-    while any(c.startswith(f"{mark}_") for c in keys):  # a product within a product, or a key of that name
+    while any(c.startswith(f"{mark}_") for c in [axis, *keys]):  # a product within a product, or a key of that name
         mark += "_"
     axes = [f"{mark}_{k}" for k in range(n)]
     sizes = [o.domain for o in op.ops]
-    split = axis_columns(F.col("idx"), tuple(sizes[::-1]))[::-1]
-    out = df.select(*keys, *[c.alias(a) for c, a in zip(split, axes)], *[c for c in df.columns if c in ("re", "im")])
+    split = axis_exprs(axis, tuple(sizes[::-1]))[::-1]
+    out = df.selectExpr(*_quoted(keys), *[f"{e} AS {a}" for e, a in zip(split, axes)], *[c for c in df.columns if c in ("re", "im")])
     for k in op.order:
-        child = op.ops[k]
-        if not isinstance(child, L.Identity):
-            out = _long(child, out.withColumnRenamed(axes[k], "idx"), sparse[k] if isinstance(sparse, tuple) else sparse).withColumnRenamed("idx", axes[k])
-        sizes[k] = child.range
-    flat = flat_index([F.col(a) for a in axes[::-1]], tuple(sizes[::-1]))
-    return out.select(*keys, flat.alias("idx"), *[c for c in out.columns if c in ("re", "im")])
+        out = _long(op.ops[k], out, sparse[k] if isinstance(sparse, tuple) else sparse, axes[k])
+        sizes[k] = op.ops[k].range
+    flat = flat_expr(axes[::-1], tuple(sizes[::-1]))
+    return out.selectExpr(*_quoted(keys), f"{flat} AS {axis}", *[c for c in out.columns if c in ("re", "im")])
 
 
-def _reduce(df: DataFrame) -> DataFrame:
+def _reduce(df: DataFrame, axis: str = "idx") -> DataFrame:
     """The sum over the key ``rank``, on every rank again."""
     if "rank" not in df.columns:
         raise OperatorError("a reduction needs the key column rank")
-    keys = [F.col(k) for k in keys_of(df) if k != "rank"]
     ranks = df.select("rank").distinct().agg(F.sort_array(F.collect_list("rank")).alias("ranks"))  # one number a worker
-    total = _sum(df, keys, F.col("idx"))
+    total = _sum(df.drop("rank"), axis)
     out = total.crossJoin(F.broadcast(ranks)).withColumn("rank", F.explode("ranks"))  # one row of ranks
-    return out.select(*df.columns)
+    return out.select(*_quoted(df.columns))
 
 
-def _repartition(op: L.Repartition, df: DataFrame) -> DataFrame:
+def _repartition(op: L.Repartition, df: DataFrame, axis: str = "idx") -> DataFrame:
     """Each block in the partition of its worker, exactly."""
-    rank = rank_of(F.col("idx"), op.shape, op.grid_out)
-    out = df.drop("rank").withColumn("rank", rank) if "rank" in df.columns else df.withColumn("rank", rank)
-    out = out.repartitionById(prod(op.grid_out), F.col("rank"))
-    return out.select(*df.columns)
+    out = df.withColumn("rank", rank_of(axis, op.shape, op.grid_out))
+    return out.repartitionById(prod(op.grid_out), F.col("rank")).select(*_quoted(df.columns))
 
 
-def _long(op: Operator, df: DataFrame, sparse=False) -> DataFrame:
+def _long(op: Operator, df: DataFrame, sparse=False, axis: str = "idx") -> DataFrame:
+    """``op`` along the index column ``axis``; all other columns but the values are keys."""
     if isinstance(op, N.Compose):
         for k in reversed(range(len(op.ops))):
-            df = _long(op.ops[k], df, _tolerated(op.ops[k - 1] if k else None, op.ops[k], sparse))
+            df = _long(op.ops[k], df, _tolerated(op.ops[k - 1] if k else None, op.ops[k], sparse), axis)
         return df
     if isinstance(op, N.Kron):
-        return _kron(op, df, sparse)
+        return _kron(op, df, sparse, axis)
     if isinstance(op, (N.Broadcasted, N.Distributed)):
-        return _long(op.op, df, sparse)
+        return _long(op.op, df, sparse, axis)
     if isinstance(op, L.Identity):
         return df
     if isinstance(op, N.Bound):
-        return _bound(op, df, False)
+        return _bound(op, df, False, axis)
     if isinstance(op, L.Fourier):
-        return _fourier(op, df, False)
+        return _fourier(op, df, False, axis)
     if isinstance(op, L.Restriction):
-        return _restriction(op, df, False)
+        return _restriction(op, df, False, axis=axis)
     if isinstance(op, L.Reduce):
-        return _reduce(df)
+        return _reduce(df, axis)
     if isinstance(op, L.Repartition):
-        return _repartition(op, df)
+        return _repartition(op, df, axis)
     if isinstance(op, N.Adjoint):
         inner = op.op
         if isinstance(inner, N.Bound):
-            return _bound(inner, df, True)
+            return _bound(inner, df, True, axis)
         if isinstance(inner, L.Fourier):
-            return _fourier(inner, df, True)
+            return _fourier(inner, df, True, axis)
         if isinstance(inner, L.Restriction):
-            return _restriction(inner, df, True, sparse is True)
-        return _long(inner.adjoint(), df, sparse)
+            return _restriction(inner, df, True, sparse is True, axis)
+        return _long(inner.adjoint(), df, sparse, axis)
     raise OperatorError(f"no rule for {type(op).__name__}")
 
 
@@ -301,8 +293,7 @@ def add_bias(op: Operator, df: DataFrame) -> DataFrame:
     w, wr, wi = _weight(op.op if turned else op, turned)
     i, j = ("w_j", "w_i") if turned else ("w_i", "w_j")
     on = [F.col("idx") == F.col(i)] + ([F.col("j") == F.col(j)] if op.domain > 1 or turned else [])
-    out = df.join(w, on)
-    return out.select(*keys_of(df), "idx", (F.col("re") + wr).alias("re"), *([(F.col("im") + wi).alias("im")] if has_im(df) else []))
+    return df.join(w, on).selectExpr(*_quoted(keys_of(df)), "idx", f"re + {wr} AS re", *([f"im + {wi} AS im"] if has_im(df) else []))
 
 
 def ieee_divide(a: Column, b: Column) -> Column:
@@ -316,7 +307,7 @@ def divide_by(op: N.Bound, df: DataFrame) -> DataFrame:
     """``A / x`` element by element, for a real matrix of the shape of the batch (key ``j``: the column)."""
     w, wr, _ = _weight(op, False)
     out = df.join(w, (F.col("idx") == F.col("w_i")) & (F.col("j") == F.col("w_j")))
-    return out.select(*keys_of(df), "idx", ieee_divide(wr, F.col("re")).alias("re"))
+    return out.select(*_quoted(keys_of(df)), "idx", ieee_divide(F.col(wr), F.col("re")).alias("re"))
 
 
 def scale_rows(op: N.Bound, df: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ def repartition_blocks(spark, d):
 
     op = L.Repartition((4, 4, 4), (2, 2, 2), (3, 2, 1))
     x = op.apply(tables.vectors(spark, d))
-    rank = rank_of(F.col("idx"), op.shape, op.grid_out)
+    rank = rank_of("idx", op.shape, op.grid_out)
     return x.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"), (F.sum("re") + F.lit(0.0)).alias("re"))
 
 
