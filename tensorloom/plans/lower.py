@@ -168,14 +168,41 @@ def _fourier(op: L.Fourier, df: DataFrame, inverse: bool, axis: str = "idx") ->
     return _sum(terms.selectExpr(*keys, f"{to} AS {axis}", *value), axis)
 
 
+#: Restrictions of so many ranges at most are expressions; more are joined with a table of positions.
+MAX_CASES = 32
+
+
+def _shifted(ranges: list[tuple[int, int]], axis: str, adjoint: bool) -> list[str]:
+    """For each range, where it sends position ``axis``, or null if it does not hold it."""
+    out, at = [], 0
+    for a, b in ranges:
+        here, there = (at, a) if adjoint else (a, at)
+        out.append(f"CASE WHEN {axis} BETWEEN {here} AND {here + b - a - 1} THEN {axis} + {there - here} END")
+        at += b - a
+    return out
+
+
 def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool, sparse: bool = False, axis: str = "idx") -> DataFrame:
     """``sparse``: positions that are zero get no row."""
     keys, spark = _quoted(keys_of(df, axis)), df.sparkSession
     at = op.positions()
     values = ["re", *(["im"] if has_im(df) else [])]
-    if not adjoint and len(op.ranges) == 1:
-        a, b = op.ranges[0]
-        return df.where(F.col(axis).between(a, b - 1)).selectExpr(*keys, f"CAST({axis} - {a} AS INT) AS {axis}", *values)
+    ranges = [(a, b) for a, b in op.ranges if b > a]
+    disjoint = len(set(at)) == len(at)
+    if 0 < len(ranges) <= MAX_CASES and not (adjoint and not disjoint):
+        shifted = _shifted(ranges, axis, adjoint)
+        if not adjoint:
+            hits = f"coalesce({', '.join(shifted)})" if disjoint else f"explode(filter(array({', '.join(shifted)}), x -> x IS NOT NULL))"
+            return df.selectExpr(*keys, f"{hits} AS {axis}", *values).where(F.col(axis).isNotNull())
+        target = f"coalesce({', '.join(shifted)})"
+        ends = sorted({0, op.n, *(x for r in ranges for x in r)})
+        free = [f"sequence({a}, {b - 1})" for a, b in zip(ends, ends[1:]) if not any(x <= a < y for x, y in ranges)]
+        if sparse or not free:
+            return df.selectExpr(*keys, f"{target} AS {axis}", *values)
+        # each batch item has one row of position 0; it also brings the zeros
+        spread = f"explode(CASE WHEN {axis} = 0 THEN concat(array({target}), {', '.join(free)}) ELSE array({target}) END) AS r_i"
+        out = df.selectExpr(*keys, f"{target} AS r_t", spread, *values)
+        return out.selectExpr(*keys, f"r_i AS {axis}", *[f"CASE WHEN r_i = r_t THEN {v} ELSE 0D END AS {v}" for v in values])
     if not adjoint:
         table = spark.createDataFrame(list(enumerate(at)) or [(-1, -1)], "r_p int, r_i int")
         return df.join(_maybe_broadcast(table, len(at)), F.col(axis) == F.col("r_i")).selectExpr(*keys, f"r_p AS {axis}", *values)

@@ -102,6 +102,13 @@ def test_restriction(spark):
     over = t.Restriction(4, ((0, 3), (1, 3)))
     y = np.array([[1, 2, 3, 20, 30.0]])
     both(spark, over.H, y, np.array([[1, 20, 30, 0.0]]))
+    both(spark, over, np.array([[1, 2, 3, 4.0]]), np.array([[1, 2, 3, 2, 3.0]]))
+    many = t.Restriction(90, tuple((i, i + 1) for i in range(0, 80, 2)))
+    z = draw(2, 40)
+    both(spark, many.H, z, np.insert(np.zeros((2, 50)), np.arange(0, 40), z, axis=1))
+    both(spark, many, draw(1, 90) * 0 + np.arange(90.0), np.arange(0.0, 80, 2)[None])
+    none = t.Restriction(3, ((1, 1),))
+    assert none.range == 0 and none.apply(table(spark, draw(1, 3))).count() == 0
     both(spark, t.Restriction(4, ((0, 3), (1, 3)), accumulate=True).H, y, np.array([[1, 22, 33, 0.0]]))
     with pytest.raises(t.OperatorError):
         t.Restriction(4, ((0, 5),)).apply(table(spark, x[:, :4]))
