@@ -29,7 +29,7 @@ def dense64(spark: SparkSession, sf_dir: str, fast: bool):
     """A dense 64 x 64 matrix on all vectors, in LONG or DENSE."""
     leaf = Matrix(64, 64, "W")
     x = tables.dense_vectors(spark, sf_dir) if fast else tables.vectors(spark, sf_dir)
-    return leaf.bind(generated(spark, leaf, W)).apply(x)
+    return leaf.bind(generated(spark, leaf, W)).apply(x, partitions=None if fast else spark.sparkContext.defaultParallelism)
 
 
 BASELINE = {"dense64_long": lambda s, d: dense64(s, d, False), "dense64_numpy": lambda s, d: dense64(s, d, True)}

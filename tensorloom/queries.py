@@ -118,12 +118,12 @@ def matrix_apply_dense(spark, d):
 
 @_query(f"WITH {_L}, {_Z}, {_w('w', 32, 16, True)} SELECT b, CAST(j AS INTEGER) AS idx, sum(w * re + wi * im) + 0.0 AS re, sum(w * im - wi * re) + 0.0 AS im FROM z JOIN w ON idx = i GROUP BY b, j")
 def matrix_adjoint(spark, d):
-    return _out(_matrix(spark, 32, 16, "c64").H.apply(tables.complex_vectors(spark, d)))
+    return _out(_matrix(spark, 32, 16, "c64").H.apply(tables.complex_vectors(spark, d), partitions=PARTITIONS))
 
 
 @_query(f"WITH {_L}, {_Z}, {_w('w', 32, 16, True)} SELECT b, CAST(j AS INTEGER) AS idx, sum(w * re - wi * im) + 0.0 AS re, sum(w * im + wi * re) + 0.0 AS im FROM z JOIN w ON idx = i GROUP BY b, j")
 def matrix_rapply(spark, d):
-    return _out(_matrix(spark, 32, 16, "c64").rapply(tables.complex_vectors(spark, d)))
+    return _out(_matrix(spark, 32, 16, "c64").rapply(tables.complex_vectors(spark, d), partitions=PARTITIONS))
 
 
 @_query(f"WITH {_L}, {_w('w', 8, 64)} SELECT b, label, {_I}, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx = j GROUP BY b, label, i")
@@ -164,23 +164,23 @@ _SIN = "2 * pi() * ((k * {j}) % {n}) / {n}"
 
 @_query(f"WITH {_L} SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * cos({_SIN.format(j='idx', n=64)})) + 3.3e-8, 6) + 0.0 AS re, round(sum(-re * sin({_SIN.format(j='idx', n=64)})) + 3.3e-8, 6) + 0.0 AS im FROM l, range(33) t(k) GROUP BY b, k")
 def rdft_apply(spark, d):
-    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d)), 6)
+    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d), partitions=PARTITIONS), 6)
 
 
 @_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * c + im * s) + 3.3e-8, 6) + 0.0 AS re, round(sum(im * c - re * s) + 3.3e-8, 6) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
 def cdft_apply(spark, d):
-    return _out(L.Fourier(32).apply(tables.complex_vectors(spark, d)), 6)
+    return _out(L.Fourier(32).apply(tables.complex_vectors(spark, d), partitions=PARTITIONS), 6)
 
 
 @_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * c - im * s) / 32 + 3.3e-8, 6) + 0.0 AS re, round(sum(im * c + re * s) / 32 + 3.3e-8, 6) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
 def icdft(spark, d):
-    return _out(L.Fourier(32).H.apply(tables.complex_vectors(spark, d)), 6)
+    return _out(L.Fourier(32).H.apply(tables.complex_vectors(spark, d), partitions=PARTITIONS), 6)
 
 
 @_query(f"WITH {_L}, {_Z}, h AS (SELECT * FROM z WHERE idx < 17) SELECT b, CAST(k AS INTEGER) AS idx, round(sum((CASE WHEN idx IN (0, 16) THEN 1 ELSE 2 END) * (re * cos({_SIN.format(j='idx', n=32)}) - im * sin({_SIN.format(j='idx', n=32)}))) / 32 + 3.3e-8, 6) + 0.0 AS re FROM h, range(32) t(k) GROUP BY b, k")
 def irdft(spark, d):
     half = tables.complex_vectors(spark, d).where("idx < 17")
-    return _out(L.Fourier(32, "f64").H.apply(half), 6)
+    return _out(L.Fourier(32, "f64").H.apply(half, partitions=PARTITIONS), 6)
 
 
 _ENDS = L.Restriction(64, ((0, 8), (56, 64)))
@@ -225,7 +225,7 @@ def _tensor_query(weight: str, shape: tuple[int, ...], source: str, target: str)
 
     def run(spark, d):
         x = tables.vectors(spark, d).where(F.col("idx") < leaf.domain)
-        return _out(leaf.bind(_params(spark, leaf)).apply(x))
+        return _out(leaf.bind(_params(spark, leaf)).apply(x, partitions=PARTITIONS))
 
     return run, sql
 
