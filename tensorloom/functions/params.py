@@ -33,7 +33,7 @@ def generated(spark: SparkSession, leaf: Operator, re, im=None) -> DataFrame:
     """The parameter of a leaf from column functions of ``(i, j)``, made on the executors."""
     m, n = leaf.shape if isinstance(leaf, L.Matrix) else (prod(leaf.shape), 1)
     i, j = F.floor(F.col("id") / max(n, 1)).cast("int"), (F.col("id") % max(n, 1)).cast("int")
-    cells = spark.range(m * n).select(i.alias("i"), j.alias("j"))
+    cells = spark.range(0, m * n, 1, max(1, m * n >> 16)).select(i.alias("i"), j.alias("j"))
     value = lambda f: f(F.col("i"), F.col("j")).cast("double") if f else F.lit(0.0)
     return cells.select(F.lit(leaf.op_id).alias("op_id"), "i", "j", value(re).alias("re"), value(im).alias("im"))
 
@@ -84,26 +84,44 @@ def merge(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     key = ["op_id", "i", "j"]
     x, y = ((F.col(f"{t}.re"), F.col(f"{t}.im")) for t in "ab")
     (ar, ai), (br, bi) = x, y
-    square = br * br + bi * bi
     both = {
-        "+": (ar + br, ai + bi),
-        "-": (ar - br, ai - bi),
-        "*": (ar * br - ai * bi, ar * bi + ai * br),
-        "/": (_over(ar * br + ai * bi, square), _over(ai * br - ar * bi, square)),
-        "^": (F.pow(ar, br), F.lit(0.0)),
+        "+": lambda: (ar + br, ai + bi),
+        "-": lambda: (ar - br, ai - bi),
+        "*": lambda: (ar * br - ai * bi, ar * bi + ai * br),
+        "/": lambda: _quotient(ar, ai, br, bi),
+        "^": lambda: _power(ar, ai, br, bi),
     }.get(op)
     if both is None:
         raise OperatorError(f"no arithmetic {op!r}")
+    re, im = both()
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
     pick = lambda k, v, w, r: F.when(F.col("a.op_id").isNull(), w).when(F.col("b.op_id").isNull(), v).otherwise(r).alias(k)
     joined = a.alias("a").join(b.alias("b"), on, "full")
-    return joined.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key], pick("re", ar, br, both[0]), pick("im", ai, bi, both[1]))
+    return joined.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key], pick("re", ar, br, re), pick("im", ai, bi, im))
 
 
-def _over(a: Column, b: Column) -> Column:
+def _quotient(ar: Column, ai: Column, br: Column, bi: Column) -> tuple[Column, Column]:
+    """Real values divide as IEEE doubles; complex ones with the larger part of the divisor scaled to 1, so nothing overflows on the way."""
     from ..plans.lower import ieee_divide
 
-    return ieee_divide(a, b)
+    real = (ai == 0) & (bi == 0)
+    flat = F.abs(br) >= F.abs(bi)
+    r = F.when(flat, ieee_divide(bi, br)).otherwise(ieee_divide(br, bi))
+    below = F.when(flat, br + bi * r).otherwise(br * r + bi)
+    re = F.when(flat, ar + ai * r).otherwise(ar * r + ai)
+    im = F.when(flat, ai - ar * r).otherwise(ai * r - ar)
+    return F.when(real, ieee_divide(ar, br)).otherwise(ieee_divide(re, below)), F.when(real, F.lit(0.0)).otherwise(ieee_divide(im, below))
+
+
+def _power(ar: Column, ai: Column, br: Column, bi: Column) -> tuple[Column, Column]:
+    """Real values by ``pow`` (NaN for a broken power of a negative number), complex ones in polar form; 0 to the power 0 is 1."""
+    real = (ai == 0) & (bi == 0)
+    size, angle = F.hypot(ar, ai), F.atan2(ai, ar)
+    log = F.log(F.when(size > 0, size).otherwise(F.lit(1.0)))
+    length, turn = F.exp(br * log - bi * angle), br * angle + bi * log
+    zero = F.when((br == 0) & (bi == 0), F.lit(1.0)).otherwise(F.lit(0.0))
+    re = F.when(real, F.pow(ar, br)).when(size == 0, zero).otherwise(length * F.cos(turn))
+    return re, F.when(real | (size == 0), F.lit(0.0)).otherwise(length * F.sin(turn))
 
 
 def update(params: DataFrame, gradients: DataFrame) -> DataFrame:

@@ -180,11 +180,45 @@ class Restriction(Operator):
     def ddt(self):
         return self.dtype
 
-    def positions(self) -> list[int]:
-        for a, b in self.ranges:
-            if b > a and not (0 <= a and b <= self.n):
+    def checked_ranges(self) -> list[tuple[int, int]]:
+        """The ranges that hold something, all within the domain."""
+        ranges = [(a, b) for a, b in self.ranges if b > a]
+        for a, b in ranges:
+            if a < 0 or b > self.n:
                 raise OperatorError(f"range [{a}, {b}) is outside of {self.n} elements")
-        return [i for a, b in self.ranges for i in range(a, b)]
+        return ranges
+
+    def disjoint(self) -> bool:
+        """Whether no position is in two ranges."""
+        ranges = sorted(self.checked_ranges())
+        return all(b <= c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+    def gathered(self) -> list[tuple[int, int, int]]:
+        """``(a, b, to)`` of each move: positions ``[a, b)`` go to those from ``to`` on."""
+        out, at = [], 0
+        for a, b in self.checked_ranges():
+            out.append((a, b, at))
+            at += b - a
+        return out
+
+    def scattered(self) -> list[tuple[int, int, int]]:
+        """The moves of the adjoint. Without ``accumulate`` only what is not overwritten by a later range."""
+        moves = [(at, at + b - a, a) for a, b, at in self.gathered()]
+        if self.accumulate or self.disjoint():
+            return moves
+        out: list[tuple[int, int, int]] = []
+        for at, end, a in moves:
+            stop = a + end - at
+            kept = []
+            for x, y, to in out:  # earlier pieces lose what this one covers
+                last = to + y - x
+                if to < a:
+                    kept.append((x, x + min(last, a) - to, to))
+                if last > stop:
+                    cut = max(stop, to) - to
+                    kept.append((x + cut, y, to + cut))
+            out = [*kept, (at, end, a)]
+        return [(x, y, to) for x, y, to in out if y > x]
 
 
 @dataclass(frozen=True)

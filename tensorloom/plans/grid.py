@@ -27,6 +27,15 @@ def range_axes(grid: tuple[int, ...], shape: tuple[int, ...]) -> list[list[tuple
     return [block_ranges(n, p) for n, p in zip(shape, grid)]
 
 
+def grid_block(shape: tuple[int, ...], grid: tuple[int, ...], rank: int) -> list[tuple[int, int]]:
+    """The range of each axis that worker ``rank`` has; grid coordinates count with the last one fastest."""
+    out = []
+    for axis, p in zip(reversed(range_axes(grid, shape)), reversed(grid)):
+        rank, at = divmod(rank, p)
+        out.append(axis[at])
+    return out[::-1]
+
+
 def cumulative_ranges(lengths) -> list[tuple[int, int]]:
     """Half-open ranges of the given lengths, one after the other."""
     ends = [0]

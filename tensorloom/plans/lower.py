@@ -5,7 +5,14 @@ LONG: ``(keys..., idx, re[, im])``, one row an element; every column besides
 parameter and an aggregate, so Catalyst plans it and SQL can say it.
 
 DENSE: ``(keys..., re array[, im array])``, one row a batch item, NumPy on Arrow
-batches. It is the fast path for transforms and large dense matrices.
+batches. It is the fast path for transforms and large dense matrices. LONG input
+of a tree with transforms takes that path too, each item gathered into one row,
+as long as items and parameters are small enough.
+
+Inputs are checked where they enter: positions outside of the operator's domain,
+rows of another length and null values are errors in either layout. A null array
+(a batch item without values) stays null. Positions that a LONG item lacks count
+as zero; of those that stand twice the sum counts.
 """
 
 from __future__ import annotations
@@ -27,6 +34,12 @@ from .types import is_complex
 
 #: Elements of a generated table (twiddles, positions) that is broadcast at most.
 BROADCAST_ROWS = 1 << 20
+#: Elements of a LONG item that is gathered into one row at most; larger ones are transformed axis by axis.
+ITEM_CELLS = 1 << 22
+#: Transforms up to this length are a join with a table of twiddles, longer ones a fast transform of each fibre.
+TWIDDLE_LENGTH = 64
+#: Elements that a task evaluates at once, about.
+BATCH_CELLS = 1 << 22
 
 
 def keys_of(df: DataFrame, axis: str = "idx") -> list[str]:
@@ -56,12 +69,15 @@ def is_dense(df: DataFrame) -> bool:
     return isinstance(df.schema["re"].dataType, T.ArrayType)
 
 
-def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int | None = None) -> DataFrame:
+def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int | None = None, check: bool = True) -> DataFrame:
     """``op`` on each batch item of ``df``, LONG to LONG or DENSE to DENSE.
 
-    ``fast``: NumPy on Arrow batches; by default for DENSE tables only. ``partitions``:
-    deal batch items to so many partitions first; all later steps then go without
-    a shuffle. Worth it where there are many more items than partitions.
+    ``fast``: NumPy on Arrow batches; by default for DENSE tables, and for LONG ones
+    where the tree has transforms and its items and parameters are small enough.
+    ``partitions``: deal batch items to so many partitions first; all later steps then
+    go without a shuffle. Worth it where there are many more items than partitions.
+    ``check``: refuse positions outside of the domain and null values in LONG tables; without
+    it, filters on positions reach the source, and such rows are lost or spoil sums.
     """
     if not op.applicable:
         raise OperatorError("the operator has parameters without values; bind them first")
@@ -70,12 +86,52 @@ def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int
         raise OperatorError(f"complex input for an operator on {op.ddt}")
     if is_complex(op.ddt) and not has_im(df):
         raise OperatorError(f"real input for an operator on {op.ddt}; add an im column")
+    _check_ranges(op)
     if partitions and keys_of(df):
-        df = df.repartition(partitions, *keys_of(df))
-    if fast or (fast is None and dense):
-        out = _fast(op, df if dense else dense_of(df))
-        return out if dense else long_of(out)
-    return dense_of(_long(op, long_of(df))) if dense else _long(op, df)
+        df = df.repartition(partitions, *_quoted(keys_of(df)))
+    if check and not dense:
+        df = _guarded(df, _stripped(op).domain)
+    if fast is None:
+        fast = dense or _gathers(op)
+    if fast:
+        return _fast(op, df) if dense else long_of(_fast(op, df))
+    return dense_of(_long(op, _guarded(long_of(df), _stripped(op).domain))) if dense else _long(op, df)
+
+
+def _guarded(df: DataFrame, n: int | None) -> DataFrame:
+    """``df``, failing on positions outside of ``n`` elements and on null values. Whoever reads ``idx`` runs the check."""
+    good = ["idx >= 0", *([f"idx < {n}"] if n is not None else []), *[f"{c} IS NOT NULL" for c in ("re", "im") if c in df.columns]]
+    text = "a position is outside of the domain, or a value is null" if n is None else f"a position is outside of {n} elements, or a value is null"
+    kind = df.schema["idx"].dataType.simpleString()
+    idx = f"IF({' AND '.join(good)}, idx, CAST(raise_error('{text}') AS {kind})) AS idx"
+    return df.selectExpr(*[idx if c == "idx" else f"`{c}`" for c in df.columns])
+
+
+def _check_ranges(op: Operator) -> None:
+    for leaf in op.leaves():
+        if isinstance(leaf, L.Restriction):
+            leaf.checked_ranges()
+
+
+def _gathers(op: Operator) -> bool:
+    """Whether LONG items are gathered into rows: the tree has transforms, nothing that crosses items, and fits."""
+    leaves = list(op.leaves())
+    if not any(isinstance(x, L.Fourier) for x in leaves) or any(isinstance(x, (L.Reduce, L.Repartition)) for x in leaves):
+        return False
+    small = all(N.parameter_bytes(x) <= N.BROADCAST_BYTES for x in leaves if x.parametricity != "nonparametric")
+    return small and _widest(op) <= ITEM_CELLS
+
+
+def _widest(op: Operator) -> int:
+    """The most elements that an item has in any step of ``op``."""
+    if isinstance(op, N.Kron):
+        most = size = op.domain
+        for k in op.order:
+            child = op.ops[k]
+            others = size // child.domain if child.domain else 0
+            most, size = max(most, others * _widest(child)), others * child.range
+        return most
+    return max([op.domain, op.range, *map(_widest, op.children)])
 
 
 def rapply(op: Operator, df: DataFrame, **options) -> DataFrame:
@@ -140,7 +196,12 @@ def _tensor(t: L.Tensor, df: DataFrame, w: DataFrame, wr: str, wi: str, axis: st
     if N.parameter_bytes(t) <= N.BROADCAST_BYTES:
         w = F.broadcast(w)
     on = [F.col(f"x_{n}") == F.col(f"w_{n}") for n in t.input_axes if n in t.weight_axes]
-    joined = x.join(w, on) if on else x.crossJoin(w)  # an outer product has a term for every pair
+    if not on:  # an outer product has a term for every pair: each value meets the weight block by block
+        first = f"w_{t.weight_axes[0]}" if t.weight_axes else "0"
+        blocks = 1 if N.parameter_bytes(t) <= N.BROADCAST_BYTES else (t.weight_shape or (1,))[0]
+        x, w = x.withColumn("x_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), w.withColumn("w_block", F.expr(f"CAST({first} % {blocks} AS INT)"))
+        on = [F.col("x_block") == F.col("w_block")]
+    joined = x.join(w, on)
     to = flat_expr([f"`{'w' if n in t.weight_axes else 'x'}_{n}`" for n in t.target_axes], t.target_shape)
     return _sum(joined.selectExpr(*keys, f"{to} AS {axis}", *_times(wr, wi, df, t.dtype)), axis)
 
@@ -156,6 +217,8 @@ def _fourier(op: L.Fourier, df: DataFrame, inverse: bool, axis: str = "idx") ->
     n, keys = op.n, _quoted(keys_of(df, axis))
     if not n:
         return df if is_complex(op.dtype) or not inverse else df.drop("im")
+    if n > TWIDDLE_LENGTH:
+        return _fibres(op.adjoint() if inverse else op, df, axis)
     scale = float(1 / np.sqrt(n) if op.norm == "ortho" else 1 / n if inverse else 1.0)
     # coefficients are on the input side of the inverse; one kind of table serves, read the other way round
     on, to = ("t_k", "t_j") if inverse else ("t_j", "t_k")
@@ -168,57 +231,56 @@ def _fourier(op: L.Fourier, df: DataFrame, inverse: bool, axis: str = "idx") ->
     return _sum(terms.selectExpr(*keys, f"{to} AS {axis}", *value), axis)
 
 
-#: Restrictions of so many ranges at most are expressions; more are joined with a table of positions.
-MAX_CASES = 32
+def _fibres(op: Operator, df: DataFrame, axis: str) -> DataFrame:
+    """``op`` in NumPy on each fibre along ``axis``; the other axes are keys like any others."""
+    keys = keys_of(df, axis)
+    out = long_of(_fast(op, df.selectExpr(*_quoted(keys), f"{axis} AS idx", *_values(df))))
+    return out.selectExpr(*_quoted(keys), f"idx AS {axis}", *_values(out))
 
 
-def _shifted(ranges: list[tuple[int, int]], axis: str, adjoint: bool) -> list[str]:
-    """For each range, where it sends position ``axis``, or null if it does not hold it."""
-    out, at = [], 0
-    for a, b in ranges:
-        here, there = (at, a) if adjoint else (a, at)
-        out.append(f"CASE WHEN {axis} BETWEEN {here} AND {here + b - a - 1} THEN {axis} + {there - here} END")
-        at += b - a
-    return out
+#: Restrictions of so many ranges at most are expressions; more are joined with a table of positions.
+MAX_CASES = 32
 
 
 def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool, sparse: bool = False, axis: str = "idx") -> DataFrame:
     """``sparse``: positions that are zero get no row."""
-    keys, spark = _quoted(keys_of(df, axis)), df.sparkSession
-    at = op.positions()
-    values = ["re", *(["im"] if has_im(df) else [])]
-    ranges = [(a, b) for a, b in op.ranges if b > a]
-    disjoint = len(set(at)) == len(at)
-    if 0 < len(ranges) <= MAX_CASES and not (adjoint and not disjoint):
-        shifted = _shifted(ranges, axis, adjoint)
-        if not adjoint:
-            hits = f"coalesce({', '.join(shifted)})" if disjoint else f"explode(filter(array({', '.join(shifted)}), x -> x IS NOT NULL))"
-            return df.selectExpr(*keys, f"{hits} AS {axis}", *values).where(F.col(axis).isNotNull())
-        target = f"coalesce({', '.join(shifted)})"
-        ends = sorted({0, op.n, *(x for r in ranges for x in r)})
-        free = [f"sequence({a}, {b - 1})" for a, b in zip(ends, ends[1:]) if not any(x <= a < y for x, y in ranges)]
-        if sparse or not free:
-            return df.selectExpr(*keys, f"{target} AS {axis}", *values)
-        # each batch item has one row of position 0; it also brings the zeros
-        spread = f"explode(CASE WHEN {axis} = 0 THEN concat(array({target}), {', '.join(free)}) ELSE array({target}) END) AS r_i"
-        out = df.selectExpr(*keys, f"{target} AS r_t", spread, *values)
-        return out.selectExpr(*keys, f"r_i AS {axis}", *[f"CASE WHEN r_i = r_t THEN {v} ELSE 0D END AS {v}" for v in values])
+    keys, values = _quoted(keys_of(df, axis)), _values(df)
+    moves = op.scattered() if adjoint else op.gathered()
+    if len(moves) <= MAX_CASES:
+        shifted = [f"CASE WHEN {axis} BETWEEN {a} AND {b - 1} THEN {axis} + {to - a} END" for a, b, to in moves] or ["CAST(NULL AS INT)"]
+        # a gather may read one position for several ranges; a scatter sends each to one place
+        several = not adjoint and not op.disjoint()
+        hits = f"explode(filter(array({', '.join(shifted)}), x -> x IS NOT NULL))" if several else f"coalesce({', '.join(shifted)})"
+        out = df.selectExpr(*keys, f"{hits} AS {axis}", *values).where(F.col(axis).isNotNull())
+    else:
+        table = df.sparkSession.createDataFrame(moves, "a long, b long, t long")  # one row a range; positions are made on the executors
+        table = table.selectExpr("t - a AS r_by", "explode(sequence(a, b - 1)) AS r_p")
+        out = df.join(_maybe_broadcast(table, op.range), F.col(axis) == F.col("r_p")).selectExpr(*keys, f"CAST({axis} + r_by AS INT) AS {axis}", *values)
     if not adjoint:
-        table = spark.createDataFrame(list(enumerate(at)) or [(-1, -1)], "r_p int, r_i int")
-        return df.join(_maybe_broadcast(table, len(at)), F.col(axis) == F.col("r_i")).selectExpr(*keys, f"r_p AS {axis}", *values)
-    if not at:
+        return out
+    if op.accumulate and not op.disjoint():
+        out = _sum(out, axis)
+    if sparse or (sum(b - a for a, b, _ in moves) == op.n and (op.disjoint() or not op.accumulate)):
+        return out
+    if not moves:  # nothing but zeros
         zero = df.selectExpr(*keys).distinct() if keys else df.limit(1).select()
-        return zero.selectExpr(*keys, f"explode(sequence(0, {op.n - 1})) AS {axis}", *[f"0D AS {v}" for v in values]) if op.n else df
-    moves = [(p, i, True) for p, i in enumerate(at)]
-    if not op.accumulate:
-        moves = [(p, i, True) for i, p in {i: p for p, i, _ in moves}.items()]  # the last one wins
-    if not sparse:
-        # each batch item has one row of position 0; it also brings the zeros
-        moves += [(0, i, False) for i in sorted(set(range(op.n)) - set(at))]
-    table = _maybe_broadcast(spark.createDataFrame(moves, "r_p int, r_i int, r_keep boolean"), len(moves))
-    moved = df.join(table, F.col(axis) == F.col("r_p"))
-    moved = moved.selectExpr(*keys, f"r_i AS {axis}", *[f"CASE WHEN r_keep THEN {v} ELSE 0D END AS {v}" for v in values])
-    return _sum(moved, axis) if op.accumulate else moved
+        return zero.selectExpr(*keys, f"explode(sequence(0, {op.n - 1})) AS {axis}", *[f"0D AS {v}" for v in values]) if op.n else out
+    return _filled(out, op.n, axis)
+
+
+def _filled(df: DataFrame, n: int, axis: str) -> DataFrame:
+    """Zeros for the positions that an item lacks, in one pass: the item's rows in an array, and the rest behind them."""
+    keys, values = _quoted(keys_of(df, axis)), _values(df)
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(axis).cast("int").alias("p"), *values)).alias("v_"))
+    zero = ", ".join(f"'{v}', 0D" for v in values)
+    rest = f"transform(array_except(sequence(0, {n - 1}), v_.p), p -> named_struct('p', p, {zero}))"
+    names = f"({', '.join([axis, *values])})"
+    rows = rows.where("size(v_) > 0").selectExpr(*keys, f"inline(concat(v_, {rest})) AS {names}")
+    return rows
+
+
+def _values(df: DataFrame) -> list[str]:
+    return [c for c in ("re", "im") if c in df.columns]
 
 
 def _sums(op: Operator) -> bool:
@@ -280,6 +342,8 @@ def _long(op: Operator, df: DataFrame, sparse=False, axis: str = "idx") -> DataF
     """``op`` along the index column ``axis``; all other columns but the values are keys."""
     if isinstance(op, N.Compose):
         for k in reversed(range(len(op.ops))):
+            if k and isinstance(op.ops[k], L.Repartition):
+                continue  # what follows deals rows by its own keys, so only a last placement can be seen
             df = _long(op.ops[k], df, _tolerated(op.ops[k - 1] if k else None, op.ops[k], sparse), axis)
         return df
     if isinstance(op, N.Kron):
@@ -346,24 +410,32 @@ def scale_rows(op: N.Bound, df: DataFrame) -> DataFrame:
 
 
 def gathered(op: Operator) -> dict[str, np.ndarray]:
-    """Values of all bound leaves as arrays on the driver; refused above the broadcast limit."""
-    out: dict[str, np.ndarray] = {}
+    """Values of all bound leaves as arrays on the driver, one job a table; refused above the broadcast limit."""
+    tables: dict[int, tuple[DataFrame, dict[str, Operator]]] = {}
 
     def visit(o: Operator) -> None:
-        if isinstance(o, N.Bound) and o.op.op_id not in out:
+        if isinstance(o, N.Bound):
             if N.parameter_bytes(o.op) > N.BROADCAST_BYTES:
                 raise OperatorError(f"{o.op.op_id!r} is too large to send to every task; use the LONG form")
-            t = o.params_df().toArrow()
-            kind = np.complex128 if is_complex(o.op.dtype) else np.float64
-            flat = t.column("re").to_numpy() + (1j * t.column("im").to_numpy() if kind is np.complex128 else 0)
-            w = np.zeros((o.op.m, o.op.n) if isinstance(o.op, L.Matrix) else prod(o.op.shape), kind)
-            w[(t.column("i").to_numpy(), t.column("j").to_numpy()) if w.ndim == 2 else t.column("i").to_numpy()] = flat
-            out[o.op.op_id] = w
-        elif not isinstance(o, N.Bound):
+            tables.setdefault(id(o.params), (o.params, {}))[1][o.op.op_id] = o.op
+        else:
             for c in o.children:
                 visit(c)
 
     visit(op)
+    out: dict[str, np.ndarray] = {}
+    for params, slots in tables.values():
+        t = params.where(F.col("op_id").isin(list(slots))).select("op_id", "i", "j", "re", "im").toArrow()
+        names = t.column("op_id").combine_chunks().dictionary_encode()
+        which, known = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
+        i, j, re, im = (t.column(c).to_numpy() for c in ("i", "j", "re", "im"))
+        for op_id, leaf in slots.items():
+            here = which == known.index(op_id) if op_id in known else np.zeros(len(which), bool)
+            kind = np.complex128 if is_complex(leaf.dtype) else np.float64
+            w = np.zeros((leaf.m, leaf.n) if isinstance(leaf, L.Matrix) else prod(leaf.shape), kind)
+            at = (i[here], j[here]) if w.ndim == 2 else i[here]
+            w[at] = re[here] + 1j * im[here] if kind is np.complex128 else re[here]
+            out[op_id] = w
     return out
 
 
@@ -414,15 +486,7 @@ def _evaluate_leaf(op: Operator, x: np.ndarray, values: dict[str, np.ndarray], a
             return (np.fft.ifft if adjoint else np.fft.fft)(x, op.n, norm=op.norm)
         return np.fft.irfft(x, op.n, norm=op.norm) if adjoint else np.fft.rfft(x, op.n, norm=op.norm)
     if isinstance(op, L.Restriction):
-        at = np.array(op.positions(), np.int64)
-        if not adjoint:
-            return x[..., at]
-        out = np.zeros((*x.shape[:-1], op.n), x.dtype)
-        if op.accumulate:
-            np.add.at(out, (..., at), x)
-        else:
-            out[..., at] = x
-        return out
+        return scatter(op, x) if adjoint else gather(op, x)
     if isinstance(op, L.Tensor):
         t = op.turned() if adjoint else op
         letter = {a: chr(97 + k) for k, a in enumerate(t.sizes)}
@@ -436,24 +500,73 @@ def _evaluate_leaf(op: Operator, x: np.ndarray, values: dict[str, np.ndarray], a
     raise OperatorError(f"no dense rule for {type(op).__name__}")
 
 
+def gather(op: L.Restriction, x: np.ndarray) -> np.ndarray:
+    """The elements at the ranges, along the last axis."""
+    return np.concatenate([x[..., a:b] for a, b, _ in op.gathered()] or [x[..., :0]], axis=-1)
+
+
+def scatter(op: L.Restriction, x: np.ndarray) -> np.ndarray:
+    """Into zeros along the last axis; where ranges overlap, the last one wins or values add up."""
+    out = np.zeros((*x.shape[:-1], op.n), x.dtype)
+    for a, b, to in op.scattered():
+        if op.accumulate:
+            out[..., to : to + b - a] += x[..., a:b]
+        else:
+            out[..., to : to + b - a] = x[..., a:b]
+    return out
+
+
+def rows_of(column: pa.Array, n: int, fibres: bool, what: str = "re") -> np.ndarray:
+    """One row an item from a column without null rows: arrays of ``n`` values, or with ``fibres`` arrays of ``(idx, value)``."""
+    ends = column.offsets.to_numpy()
+    if fibres:
+        cells = column.values.slice(ends[0], ends[-1] - ends[0])
+        out = np.zeros(len(column) * n)
+        row = np.repeat(np.arange(len(column)), np.diff(ends))
+        np.add.at(out, row * n + cells.field("idx").to_numpy(zero_copy_only=False), cells.field(what).to_numpy(zero_copy_only=False))
+        return out.reshape(len(column), n)
+    if (np.diff(ends) != n).any():
+        raise OperatorError(f"a row has {next(k for k in np.diff(ends).tolist() if k != n)} elements where the operator takes {n}")
+    cells = column.values.slice(ends[0], ends[-1] - ends[0])
+    if cells.null_count:
+        raise OperatorError("a value is null")
+    return cells.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), n)
+
+
+def items(df: DataFrame) -> DataFrame:
+    """LONG items as one row each: ``(keys..., cells array<struct<idx, re[, im]>>)``, in no order."""
+    return df.groupBy(*_quoted(keys_of(df))).agg(F.collect_list(F.struct("idx", *_values(df))).alias("cells")).where("size(cells) > 0")
+
+
+def slices(batch: pa.RecordBatch, n: int):
+    """Parts of a batch of about ``BATCH_CELLS`` elements, for items of ``n``."""
+    step = max(1, BATCH_CELLS // max(n, 1))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
+
+
 def _fast(op: Operator, df: DataFrame) -> DataFrame:
-    keys, values, tree = keys_of(df), gathered(op), _stripped(op)
-    into, out_of, length = is_complex(op.ddt), is_complex(op.rdt), op.range
+    """DENSE result from a DENSE or LONG table. A null array stays null."""
+    keys, values, tree, fibres = keys_of(df), gathered(op), _stripped(op), not is_dense(df)
+    into, out_of, domain, widest = is_complex(op.ddt), is_complex(op.rdt), tree.domain, max(_widest(tree), 1)
     shared = df.sparkSession.sparkContext.broadcast(values)  # checked by gathered()
 
-    def arrays(column: pa.Array, rows: int) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
-
     def step(batches, n: int):
         for batch in batches:
-            rows = batch.num_rows
-            x = arrays(batch.column(n), rows)
-            if into:
-                x = x + 1j * arrays(batch.column(n + 1), rows)
-            y = evaluate(tree, x, shared.value) if rows else np.zeros((0, length))
-            ends = pa.array(np.arange(rows + 1, dtype=np.int32) * y.shape[1])
-            parts = [y.real, y.imag] if out_of else [y.real]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(p).ravel())) for p in parts)], [*keys, "re", *(["im"] if out_of else [])])
+            for part in slices(batch, widest):
+                whole = np.ones(part.num_rows, bool)
+                for k in range(n, part.num_columns):
+                    whole &= part.column(k).is_valid().to_numpy(zero_copy_only=False)
+                given = part if whole.all() else part.filter(pa.array(whole))
+                x = rows_of(given.column(n), domain, fibres)
+                if into:
+                    x = x + 1j * (rows_of(given.column(n), domain, True, "im") if fibres else rows_of(given.column(n + 1), domain, False))
+                y = evaluate(tree, x, shared.value)
+                ends = np.concatenate([[0], np.cumsum(whole * y.shape[-1])]).astype(np.int32)
+                kinds = [y.real, y.imag] if out_of else [y.real]
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(v).ravel()), mask=None if whole.all() else pa.array(~whole)) for v in kinds]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *lists], [*keys, "re", *(["im"] if out_of else [])])
 
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in (["re", "im"] if out_of else ["re"])])
-    return df.select(*keys, "re", *(["im"] if into else [])).mapInArrow(partial(step, n=len(keys)), schema)
+    given = items(df) if fibres else df.select(*_quoted(keys), "re", *(["im"] if into else []))
+    return given.mapInArrow(partial(step, n=len(keys)), schema)

@@ -13,8 +13,10 @@ from .functions.params import generated, init, merge, scale, update
 from .functions.render import dot_string, latex_string
 from .operators import leaves as L
 from .operators import nodes as N
-from .plans.cost import complexity
-from .plans.distribute import distribute
+from .operators.base import OperatorError
+from .plans import types
+from .plans.cost import complexity, local_complexity
+from .plans.distribute import distribute, global_rows, local_params, local_part, local_rows
 from .plans.grid import block_of, cumulative_ranges, range_axes
 from .plans.lower import add_bias, divide_by, has_im, keys_of, scale_rows
 from .plans.rewrite import Optimizer, merkle_hash, transforms
@@ -24,9 +26,6 @@ from .sources.json_codec import from_json, to_json
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Partitions that batches are dealt to where a query has several steps.
-PARTITIONS = 8
-
 
 def _query(sql: str | None = None):
     def add(f):
@@ -55,7 +54,8 @@ def _params(spark, *leaves, re=W, im=None) -> DataFrame:
 
 
 def _out(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """Columns in order, without negative zeros; rounded after trigonometric steps, off the exact ties of dyadic values."""
+    """Columns in order, without negative zeros. Values after trigonometric steps are rounded; as those of dyadic inputs
+    may lie right between two roundings, both this and the SQL add the same 3.3e-8 first."""
     value = lambda c: ((F.round(F.col(c) + 3.3e-8, digits) if digits else F.col(c)) + F.lit(0.0)).alias(c)
     return df.select(*keys_of(df), F.col("idx").cast("int").alias("idx"), value("re"), *([value("im")] if has_im(df) else []))
 
@@ -105,7 +105,7 @@ def _matrix(spark, m, n, dtype="f64", op_id="W"):
 
 @_query(f"WITH {_L}, {_w('w', 8, 64)} SELECT b, {_I}, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx = j GROUP BY b, i")
 def matrix_apply(spark, d):
-    return _out(_matrix(spark, 8, 64).apply(tables.vectors(spark, d)))
+    return _out(_matrix(spark, 8, 64).apply(tables.vectors(spark, d, deal=True)))
 
 
 @_query(f"WITH {_L}, {_w('w', 8, 64)} SELECT b, {_I}, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx = j GROUP BY b, i")
@@ -118,17 +118,17 @@ def matrix_apply_dense(spark, d):
 
 @_query(f"WITH {_L}, {_Z}, {_w('w', 32, 16, True)} SELECT b, CAST(j AS INTEGER) AS idx, sum(w * re + wi * im) + 0.0 AS re, sum(w * im - wi * re) + 0.0 AS im FROM z JOIN w ON idx = i GROUP BY b, j")
 def matrix_adjoint(spark, d):
-    return _out(_matrix(spark, 32, 16, "c64").H.apply(tables.complex_vectors(spark, d), partitions=PARTITIONS))
+    return _out(_matrix(spark, 32, 16, "c64").H.apply(tables.complex_vectors(spark, d, deal=True)))
 
 
 @_query(f"WITH {_L}, {_Z}, {_w('w', 32, 16, True)} SELECT b, CAST(j AS INTEGER) AS idx, sum(w * re - wi * im) + 0.0 AS re, sum(w * im + wi * re) + 0.0 AS im FROM z JOIN w ON idx = i GROUP BY b, j")
 def matrix_rapply(spark, d):
-    return _out(_matrix(spark, 32, 16, "c64").rapply(tables.complex_vectors(spark, d), partitions=PARTITIONS))
+    return _out(_matrix(spark, 32, 16, "c64").rapply(tables.complex_vectors(spark, d, deal=True)))
 
 
 @_query(f"WITH {_L}, {_w('w', 8, 64)} SELECT b, label, {_I}, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx = j GROUP BY b, label, i")
 def matrix_batched3(spark, d):
-    return _out(_matrix(spark, 8, 64).apply(tables.vectors(spark, d, "label")))
+    return _out(_matrix(spark, 8, 64).apply(tables.vectors(spark, d, "label", deal=True)))
 
 
 @_query(f"WITH {_L}, {_w('w', 64, 1)} SELECT b, idx, re + w + 0.0 AS re FROM l JOIN w ON idx = i")
@@ -156,7 +156,7 @@ def matrix_divide(spark, d):
 
 @_query(f"WITH {_L}, {_w('w', 16, 80)} SELECT b, CAST(i - 4 AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx = j - 8 WHERE i >= 4 AND i < 12 GROUP BY b, i")
 def matrix_slice(spark, d):
-    return _out(_matrix(spark, 16, 80)[4:12, 8:72].apply(tables.vectors(spark, d)))
+    return _out(_matrix(spark, 16, 80)[4:12, 8:72].apply(tables.vectors(spark, d, deal=True)))
 
 
 _SIN = "2 * pi() * ((k * {j}) % {n}) / {n}"
@@ -164,23 +164,23 @@ _SIN = "2 * pi() * ((k * {j}) % {n}) / {n}"
 
 @_query(f"WITH {_L} SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * cos({_SIN.format(j='idx', n=64)})) + 3.3e-8, 6) + 0.0 AS re, round(sum(-re * sin({_SIN.format(j='idx', n=64)})) + 3.3e-8, 6) + 0.0 AS im FROM l, range(33) t(k) GROUP BY b, k")
 def rdft_apply(spark, d):
-    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d), partitions=PARTITIONS), 6)
+    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d, deal=True)), 6)
 
 
 @_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * c + im * s) + 3.3e-8, 6) + 0.0 AS re, round(sum(im * c - re * s) + 3.3e-8, 6) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
 def cdft_apply(spark, d):
-    return _out(L.Fourier(32).apply(tables.complex_vectors(spark, d), partitions=PARTITIONS), 6)
+    return _out(L.Fourier(32).apply(tables.complex_vectors(spark, d, deal=True)), 6)
 
 
 @_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * c - im * s) / 32 + 3.3e-8, 6) + 0.0 AS re, round(sum(im * c + re * s) / 32 + 3.3e-8, 6) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
 def icdft(spark, d):
-    return _out(L.Fourier(32).H.apply(tables.complex_vectors(spark, d), partitions=PARTITIONS), 6)
+    return _out(L.Fourier(32).H.apply(tables.complex_vectors(spark, d, deal=True)), 6)
 
 
-@_query(f"WITH {_L}, {_Z}, h AS (SELECT * FROM z WHERE idx < 17) SELECT b, CAST(k AS INTEGER) AS idx, round(sum((CASE WHEN idx IN (0, 16) THEN 1 ELSE 2 END) * (re * cos({_SIN.format(j='idx', n=32)}) - im * sin({_SIN.format(j='idx', n=32)}))) / 32 + 3.3e-8, 6) + 0.0 AS re FROM h, range(32) t(k) GROUP BY b, k")
+@_query(f"WITH {_L}, {_Z}, h AS (SELECT b, idx % 17 AS idx, sum(re) AS re, sum(im) AS im FROM z GROUP BY ALL) SELECT b, CAST(k AS INTEGER) AS idx, round(sum((CASE WHEN idx IN (0, 16) THEN 1 ELSE 2 END) * (re * cos({_SIN.format(j='idx', n=32)}) - im * sin({_SIN.format(j='idx', n=32)}))) / 32 + 3.3e-8, 6) + 0.0 AS re FROM h, range(32) t(k) GROUP BY b, k")
 def irdft(spark, d):
-    half = tables.complex_vectors(spark, d).where("idx < 17")
-    return _out(L.Fourier(32, "f64").H.apply(half, partitions=PARTITIONS), 6)
+    half = tables.folded(tables.complex_vectors(spark, d, deal=True), 17)
+    return _out(L.Fourier(32, "f64").H.apply(half), 6)
 
 
 _ENDS = L.Restriction(64, ((0, 8), (56, 64)))
@@ -193,16 +193,16 @@ def restrict_gather(spark, d):
 
 @_query(f"WITH {_L} SELECT b, idx, CASE WHEN idx < 8 OR idx >= 56 THEN re ELSE 0 END + 0.0 AS re FROM l")
 def restrict_scatter(spark, d):
-    return _out(N.compose(_ENDS.H, _ENDS).apply(tables.vectors(spark, d)))
+    return _out(N.compose(_ENDS.H, _ENDS).apply(tables.vectors(spark, d, deal=True)))
 
 
 _OVER = L.Restriction(64, ((0, 20), (10, 30)))
 
 
-@_query(f"WITH {_L} SELECT b, CAST(p AS INTEGER) AS idx, coalesce(re, 0.0) + 0.0 AS re FROM (SELECT b, p, CASE WHEN p < 10 THEN p WHEN p < 30 THEN p + 10 END AS q FROM (SELECT DISTINCT b FROM l), range(64) t(p)) LEFT JOIN (SELECT b AS b2, idx, re FROM l) ON b = b2 AND idx = q")
+@_query(f"WITH {_L} SELECT b, CAST(p AS INTEGER) AS idx, coalesce(re, 0.0) + 0.0 AS re FROM (SELECT b, p, CASE WHEN p < 10 THEN p WHEN p < 30 THEN p + 10 END AS q FROM (SELECT DISTINCT b FROM l), range(64) t(p)) LEFT JOIN (SELECT b AS b2, idx % 40 AS idx, sum(re) AS re FROM l GROUP BY ALL) ON b = b2 AND idx = q")
 def restrict_scatter_overlap(spark, d):
     """Overlapping ranges: the last one wins."""
-    return _out(_OVER.H.apply(tables.vectors(spark, d).where("idx < 40")))
+    return _out(_OVER.H.apply(tables.folded(tables.vectors(spark, d, deal=True), 40)))
 
 
 def _tensor_query(weight: str, shape: tuple[int, ...], source: str, target: str):
@@ -221,11 +221,11 @@ def _tensor_query(weight: str, shape: tuple[int, ...], source: str, target: str)
         to.append(f"{'w' if a in weight else 'x'}_{a} * {below}")
         below *= size[a]
     on = " AND ".join(f"w_{a} = x_{a}" for a in source if a in weight)
-    sql = f"WITH {_L}, x AS (SELECT b, re, {axes(source, 'xi')} FROM (SELECT b, re, idx AS xi FROM l WHERE idx < {leaf.domain})), w AS (SELECT CAST((7 * wi) % 11 - 5 AS DOUBLE) AS w, {axes(weight, 'wi')} FROM range({int(np.prod(shape))}) t(wi)) SELECT b, CAST({' + '.join(to)} AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM x JOIN w ON {on} GROUP BY ALL"
+    sql = f"WITH {_L}, x AS (SELECT b, re, {axes(source, 'xi')} FROM (SELECT b, sum(re) AS re, idx % {leaf.domain} AS xi FROM l GROUP BY b, xi)), w AS (SELECT CAST((7 * wi) % 11 - 5 AS DOUBLE) AS w, {axes(weight, 'wi')} FROM range({int(np.prod(shape))}) t(wi)) SELECT b, CAST({' + '.join(to)} AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM x JOIN w ON {on} GROUP BY ALL"
 
     def run(spark, d):
-        x = tables.vectors(spark, d).where(F.col("idx") < leaf.domain)
-        return _out(leaf.bind(_params(spark, leaf)).apply(x, partitions=PARTITIONS))
+        x = tables.folded(tables.vectors(spark, d, deal=True), leaf.domain)
+        return _out(leaf.bind(_params(spark, leaf)).apply(x))
 
     return run, sql
 
@@ -282,12 +282,12 @@ def _chain(spark):
 
 @_query(f"WITH {_L}, {_w('w', 16, 64)}, {_w('v', 8, 16)}, {_d(16)}, y AS (SELECT b, i, sum(w * re) AS re FROM l JOIN w ON idx = j GROUP BY b, i), g AS (SELECT b, y.i AS i, w * re AS re FROM y JOIN d ON y.i = d.i) SELECT b, CAST(v.i AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM g JOIN v ON g.i = v.j GROUP BY b, v.i")
 def compose_chain(spark, d):
-    return _out(_chain(spark).apply(tables.vectors(spark, d), partitions=PARTITIONS))
+    return _out(_chain(spark).apply(tables.vectors(spark, d, deal=True)))
 
 
-@_query(f"WITH {_L}, {_w('w', 16, 64)}, {_w('v', 8, 16)}, {_d(16)}, y AS (SELECT b, j AS i, sum(w * re) AS re FROM l JOIN v ON idx = i WHERE idx < 8 GROUP BY b, j), g AS (SELECT b, y.i AS i, w * re AS re FROM y JOIN d ON y.i = d.i) SELECT b, CAST(w.j AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM g JOIN w ON g.i = w.i GROUP BY b, w.j")
+@_query(f"WITH {_L}, {_w('w', 16, 64)}, {_w('v', 8, 16)}, {_d(16)}, y AS (SELECT b, j AS i, sum(w * re) AS re FROM l JOIN v ON idx % 8 = i GROUP BY b, j), g AS (SELECT b, y.i AS i, w * re AS re FROM y JOIN d ON y.i = d.i) SELECT b, CAST(w.j AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM g JOIN w ON g.i = w.i GROUP BY b, w.j")
 def compose_adjoint(spark, d):
-    return _out(_chain(spark).H.apply(tables.vectors(spark, d).where("idx < 8"), partitions=PARTITIONS))
+    return _out(_chain(spark).H.apply(tables.folded(tables.vectors(spark, d, deal=True), 8)))
 
 
 def _product(spark, *sizes):
@@ -300,7 +300,7 @@ _K2 = f"WITH {_L}, {_w('p', 4, 8)}, {_w('q', 3, 8)} SELECT b, CAST(p.i * 3 + q.i
 
 @_query(_K2)
 def kron2(spark, d):
-    return _out(_product(spark, (4, 8), (3, 8)).apply(tables.vectors(spark, d), partitions=PARTITIONS))
+    return _out(_product(spark, (4, 8), (3, 8)).apply(tables.vectors(spark, d, deal=True)))
 
 
 @_query(_K2)
@@ -315,28 +315,28 @@ _K3 = f"WITH {_L}, {_w('p', 2, 4)}, {_w('q', 3, 4)}, {_w('r', 5, 4)} SELECT b, C
 
 @_query(_K3)
 def kron3(spark, d):
-    return _out(_product(spark, (2, 4), (3, 4), (5, 4)).apply(tables.vectors(spark, d), partitions=PARTITIONS))
+    return _out(_product(spark, (2, 4), (3, 4), (5, 4)).apply(tables.vectors(spark, d, deal=True)))
 
 
 @_query(_K3)
 def kron3_optimized(spark, d):
     """The same product in the order that the optimizer finds."""
-    return _out(Optimizer(_product(spark, (2, 4), (3, 4), (5, 4))).run().apply(tables.vectors(spark, d), partitions=PARTITIONS))
+    return _out(Optimizer(_product(spark, (2, 4), (3, 4), (5, 4))).run().apply(tables.vectors(spark, d, deal=True)))
 
 
 @_query(f"WITH {_L}, {_w('p', 4, 6)}, {_w('q', 4, 3)}, {_w('r', 4, 2)} SELECT b, CAST((p.j * 3 + q.j) * 2 + r.j AS INTEGER) AS idx, sum(p.w * q.w * r.w * re) + 0.0 AS re FROM l JOIN p ON idx // 16 = p.i JOIN q ON (idx // 4) % 4 = q.i JOIN r ON idx % 4 = r.i GROUP BY b, p.j, q.j, r.j")
 def kron_adjoint(spark, d):
-    return _out(_product(spark, (4, 6), (4, 3), (4, 2)).H.apply(tables.vectors(spark, d), partitions=PARTITIONS))
+    return _out(_product(spark, (4, 6), (4, 3), (4, 2)).H.apply(tables.vectors(spark, d, deal=True)))
 
 
 @_query("SELECT CAST(64 AS BIGINT) * count(*) AS n, CAST(0 AS BIGINT) AS bad FROM embeddings")
 def kron_orders_agree(spark, d):
     """Elements of all orders of a product of three, and how many of them differ from the first order's."""
-    op, x = _product(spark, (4, 4), (4, 4), (4, 4)), tables.vectors(spark, d)
+    op, x = _product(spark, (4, 4), (4, 4), (4, 4)), tables.vectors(spark, d, deal=True)
     orders = [(0, 1, 2), (1, 2, 0), (2, 0, 1)]
     out = None
     for k, order in enumerate(orders):
-        y = op.with_order(order).apply(x, partitions=PARTITIONS).withColumnRenamed("re", f"r{k}")
+        y = op.with_order(order).apply(x).withColumnRenamed("re", f"r{k}")
         out = y if out is None else out.join(y, ["b", "idx"])
     return out.agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("r0") != F.col("r1")) | (F.col("r0") != F.col("r2"))).cast("bigint")).alias("bad"))
 
@@ -345,20 +345,20 @@ def kron_orders_agree(spark, d):
 def kron_mixed_type(spark, d):
     """Two-dimensional transform of real 8 x 8 arrays: the real axis goes first."""
     op = N.kron(L.Fourier(8, "c64"), L.Fourier(8, "f64"))
-    return _out(op.apply(tables.vectors(spark, d), partitions=PARTITIONS), 6)
+    return _out(op.apply(tables.vectors(spark, d, deal=True)), 6)
 
 
 @_query(_K2)
 def distributed_kron(spark, d):
     """The product as repartitions and local steps on a grid of 2 x 4 workers."""
     op = distribute(N.kron(L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1")), (4, 2))
-    return _out(op.bind(_params(spark, L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).apply(tables.vectors(spark, d)))
+    return _out(op.bind(_params(spark, L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).apply(tables.vectors(spark, d, deal=True)))
 
 
 @_query(_K2)
 def broadcast_kron(spark, d):
     """The product with its parameters marked to be whole on every worker."""
-    return _out(N.broadcasted(N.kron(L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).bind(_params(spark, L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).apply(tables.vectors(spark, d), partitions=PARTITIONS))
+    return _out(N.broadcasted(N.kron(L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).bind(_params(spark, L.Matrix(4, 8, "K0"), L.Matrix(3, 8, "K1"))).apply(tables.vectors(spark, d, deal=True)))
 
 
 @_query(f"WITH {_L} SELECT b, idx, re + 0.0 AS re FROM l")
@@ -415,7 +415,7 @@ def params_init(spark, d):
 
 def _step(spark, d):
     a = _matrix(spark, 8, 64)
-    x = tables.vectors(spark, d)
+    x = tables.vectors(spark, d, deal=True)
     return a, x, a.apply(x)
 
 
@@ -434,7 +434,7 @@ def grad_of_input(spark, d):
 @_query(f"WITH {_L} SELECT b, idx, CASE WHEN idx < 8 OR idx >= 56 THEN re ELSE 0 END + 0.0 AS re FROM l")
 def pullback_restriction(spark, d):
     """The gradient of a restriction's input is scattered into zeros."""
-    return _out(grad_input(_ENDS, _ENDS.apply(tables.vectors(spark, d))))
+    return _out(grad_input(_ENDS, _ENDS.apply(tables.vectors(spark, d, deal=True))))
 
 
 @_query(f"WITH {_L} SELECT b, CAST(CASE WHEN idx < 8 THEN idx ELSE idx - 48 END AS INTEGER) AS idx, re + 0.0 AS re FROM l WHERE idx < 8 OR idx >= 56")
@@ -530,13 +530,13 @@ def json_round_trip(spark, d):
 @_query("SELECT CAST(7 AS BIGINT) AS n, true AS equal")
 def rewrites_agree(spark, d):
     """Seven forms of one product of three factors: how many there are, and whether their sums over the table agree."""
-    op, x = _product(spark, (4, 4), (4, 4), (4, 4)), tables.vectors(spark, d)
+    op, x = _product(spark, (4, 4), (4, 4), (4, 4)), tables.vectors(spark, d, deal=True)
     forms: dict[str, N.Operator] = {}
     for other in transforms(op):
         forms.setdefault(merkle_hash(other), other)
     out = None
     for k, other in enumerate(list(forms.values())[:7]):
-        s = other.apply(x, partitions=PARTITIONS).agg(F.sum(F.col("re") * (F.col("idx") % 13)).alias("s")).select(F.lit(k).alias("k"), "s")
+        s = other.apply(x).agg(F.sum(F.col("re") * (F.col("idx") % 13)).alias("s")).select(F.lit(k).alias("k"), "s")
         out = s if out is None else out.unionByName(s)
     return out.agg(F.count(F.lit(1)).alias("n"), (F.min("s") == F.max("s")).alias("equal"))
 
@@ -573,7 +573,7 @@ def spectral_convolution(spark, d):
     """The flagship: transforms, mode restriction, weights with channel mixing, and back."""
     leaves = [L.Diagonal(4, "g", "c64"), L.Matrix(4, 4, "M", "c64")]
     params = generated(spark, leaves[0], D, E).unionByName(generated(spark, leaves[1], W, V))
-    return _out(spectral_block().bind(params).apply(tables.vectors(spark, d), partitions=PARTITIONS), 6)
+    return _out(spectral_block().bind(params).apply(tables.vectors(spark, d, deal=True)), 6)
 
 
 @_query(_block_sql().replace("SELECT b, CAST(k * 16", "SELECT b, y AS idx, round(v * 0.5 * (1 + tanh(0.7978845608028654 * (v + 0.044715 * v * v * v))) + 3.3e-8, 6) + 0.0 AS re FROM (SELECT b, y, sum(v) AS v FROM (SELECT b, CAST(k * 16").replace(" AS INTEGER) AS idx, round(sum((CASE WHEN kt", " AS INTEGER) AS y, (sum((CASE WHEN kt").replace("/ 4 + 3.3e-8, 6) + 0.0 AS re\nFROM i2", "/ 4) AS v\nFROM i2") + " UNION ALL SELECT b, CAST(t * 16 + s * 4 + i AS INTEGER) AS y, sum(u.w * re) AS v FROM x JOIN u ON c = j GROUP BY b, t, s, i) GROUP BY b, y)")
@@ -581,12 +581,12 @@ def spectral_layer(spark, d):
     """The spectral convolution plus a direct mix of channels, through an element-wise nonlinearity."""
     from .functions.arrays import gelu
 
-    x = tables.vectors(spark, d)
+    x = tables.vectors(spark, d, deal=True)
     leaves = [L.Diagonal(4, "g", "c64"), L.Matrix(4, 4, "M", "c64")]
     params = generated(spark, leaves[0], D, E).unionByName(generated(spark, leaves[1], W, V))
     mixed = N.kron(L.Identity(16), L.Matrix(4, 4, "U"))
-    direct = mixed.bind(_params(spark, L.Matrix(4, 4, "U"))).apply(x, partitions=PARTITIONS)
-    both = spectral_block().bind(params).apply(x, partitions=PARTITIONS).unionByName(direct)
+    direct = mixed.bind(_params(spark, L.Matrix(4, 4, "U"))).apply(x)
+    both = spectral_block().bind(params).apply(x).unionByName(direct)
     return _out(both.groupBy("b", "idx").agg(gelu(F.sum("re")).alias("re")), 6)
 
 
@@ -606,4 +606,261 @@ def as_matrix(spark, d):
     return _out(_matrix(spark, 3, 4).apply(view(tables.vectors(spark, d), (4, 16))))
 
 
+# --- layouts, odd items and the remaining forms ---------------------------
+
+_RDFT = ORACLE_SQL["rdft_apply"]
+
+
+@_query(_RDFT)
+def rdft_dense(spark, d):
+    """By a fast transform of arrays, one a row."""
+    from .plans.lower import long_of
+
+    return _out(long_of(L.Fourier(64, "f64").apply(tables.dense_vectors(spark, d))), 6)
+
+
+@_query(_RDFT)
+def rdft_twiddle(spark, d):
+    """By a join with the table of twiddles, in DataFrame operations only."""
+    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d, deal=True), fast=False), 6)
+
+
+@_query(f"WITH {_L}, p AS (SELECT b // 2 AS b, (b % 2) * 64 + idx AS idx, re FROM l) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * cos({_SIN.format(j='idx', n=128)})) + 3.3e-8, 6) + 0.0 AS re, round(sum(-re * sin({_SIN.format(j='idx', n=128)})) + 3.3e-8, 6) + 0.0 AS im FROM p, range(65) t(k) GROUP BY b, k")
+def rdft_fibres(spark, d):
+    """Pairs of vectors end to end, too long for the table of twiddles: a fast transform of each fibre."""
+    x = tables.vectors(spark, d)
+    x = x.select(F.floor(F.col("b") / 2).alias("b"), (F.col("b") % 2 * 64 + F.col("idx")).cast("int").alias("idx"), "re")
+    return _out(L.Fourier(128, "f64").apply(x, fast=False), 6)
+
+
+@_query(f"WITH {_L}, f AS (SELECT b, idx % 16 AS idx, sum(re) AS re FROM l WHERE idx % 3 = 1 GROUP BY ALL) SELECT k.b, CAST(p AS INTEGER) AS idx, coalesce(re, 0.0) + 0.0 AS re FROM (SELECT DISTINCT b FROM f) k CROSS JOIN range(64) t(p) LEFT JOIN (SELECT b, CASE WHEN idx < 8 THEN idx ELSE idx + 48 END AS q, re FROM f WHERE idx % 3 = 1) f ON k.b = f.b AND p = q")
+def scatter_sparse_items(spark, d):
+    """Items that lack most positions, the first among them: all 64 come out, zeros where nothing was."""
+    x = tables.folded(tables.vectors(spark, d).where("idx % 3 = 1"), 16)
+    return _out(_ENDS.H.apply(x.where("idx % 3 = 1")))
+
+
+@_query(f"WITH {_L} SELECT b, CASE WHEN b % 7 = 3 THEN -1 ELSE 64 END AS n, CASE WHEN b % 7 != 3 THEN sum(re) END AS re FROM l GROUP BY b")
+def identity_dense_nulls(spark, d):
+    """Items without an array keep none; no other item is touched."""
+    x = tables.dense_vectors(spark, d).select("b", F.when(F.col("b") % 7 != 3, F.col("re")).alias("re"))
+    y = L.Identity(64).apply(x)
+    return y.select("b", F.coalesce(F.size("re"), F.lit(-1)).alias("n"), F.aggregate("re", F.lit(0.0), lambda s, v: s + v).alias("re"))
+
+
+@_query(f"WITH {_L}, w AS (SELECT o, i, CAST((7 * (o + 3 * i)) % 11 - 5 AS DOUBLE) AS w FROM range(3) a(o), range(8) c(i)) SELECT b, CAST(idx // 8 + 8 * o AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx % 8 = i GROUP BY b, l.idx // 8, o")
+def tensor_einsum(spark, d):
+    """A contraction in which one axis of the input is not in the weight: (o, i), (i, p) to (p, o)."""
+    leaf = L.Tensor(("o", "i"), (3, 8), ("i", "p"), (8, 8), ("p", "o"), (8, 3), "T")
+    return _out(leaf.bind(_params(spark, leaf)).apply(tables.vectors(spark, d, deal=True)))
+
+
+@_query(f"WITH {_L}, w AS (SELECT o, CAST((7 * o) % 11 - 5 AS DOUBLE) AS w FROM range(3) a(o)) SELECT b, CAST(idx * 3 + o AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM l, w GROUP BY b, l.idx, o")
+def tensor_outer(spark, d):
+    """An outer product: weight and input share no axis."""
+    leaf = L.Tensor(("o",), (3,), ("i",), (64,), ("o", "i"), (3, 64), "T")
+    return _out(leaf.bind(_params(spark, leaf)).apply(tables.vectors(spark, d, deal=True)))
+
+
+@_query(f"WITH {_L}, {_w('w', 8, 64)}, f AS (SELECT b, idx % 8 AS idx, sum(re) AS re FROM l GROUP BY ALL) SELECT b, CAST(j AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM f JOIN w ON idx = i GROUP BY b, j")
+def bind_adjoint(spark, d):
+    """An adjoint that gets its values after it was made."""
+    leaf = L.Matrix(8, 64, "W")
+    return _out(leaf.H.bind(_params(spark, leaf)).apply(tables.folded(tables.vectors(spark, d, deal=True), 8)))
+
+
+@_query(f"WITH {_L} SELECT b, idx, CAST(0 AS DOUBLE) AS re FROM l")
+def zeros_like_table(spark, d):
+    from .functions.arrays import zeros_like
+
+    return _out(zeros_like(tables.vectors(spark, d)))
+
+
+@_query(f"WITH {_L}, {_d(64)} SELECT b, idx, w * re + 0.0 AS re FROM l JOIN d ON idx = i")
+def distributed_diagonal(spark, d):
+    """Each of four workers applies the diagonal of its own block to its own rows."""
+    leaf = L.Diagonal(64, "d")
+    return _out(_by_workers(leaf, (64,), (64,), (4,), _params(spark, leaf), tables.vectors(spark, d)))
+
+
+@_query(f"WITH {_L}, w AS (SELECT i, o, t, CAST((7 * (i + 8 * o + 24 * t)) % 11 - 5 AS DOUBLE) AS w FROM range(8) a(i), range(3) c(o), range(8) e(t)) SELECT b, CAST(o + 3 * t AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx % 8 = i AND idx // 8 = t GROUP BY b, o, t")
+def distributed_tensor(spark, d):
+    """Each of four workers contracts its own block of the third axis with its part of the weight."""
+    leaf = L.Tensor(("i", "o", "t"), (8, 3, 8), ("i", "t"), (8, 8), ("o", "t"), (3, 8), "T")
+    return _out(_by_workers(leaf, (8, 8), (3, 8), (1, 4), _params(spark, leaf), tables.vectors(spark, d)))
+
+
+def _by_workers(leaf, shape, shape_out, grid, params, x) -> DataFrame:
+    out = None
+    for rank in range(int(np.prod(grid))):
+        local = local_part(leaf, grid, rank).bind(local_params(leaf, grid, rank, params))
+        y = global_rows(local.apply(local_rows(x, shape, grid, rank)), shape_out, grid, rank)
+        out = y if out is None else out.unionByName(y)
+    return out
+
+
+@_query(f"WITH {_L}, f AS (SELECT b // 16 AS b, ((b % 16) * 64 + idx) % 1000 AS idx, sum(re) AS re FROM l GROUP BY ALL) SELECT CAST((idx % 10 // 5) * 4 + (idx // 10 % 10 // 5) * 2 + idx // 100 // 5 AS INTEGER) AS rank, count(*) AS n, sum(re) + 0.0 AS re FROM f GROUP BY 1")
+def repartition_back(spark, d):
+    """The adjoint of a move of 10 x 10 x 10 arrays from a grid of 2 x 2 x 2 workers to 8 x 1 x 1: back to the eight octants."""
+    from .plans.grid import rank_of
+
+    x = tables.vectors(spark, d)
+    x = tables.folded(x.select(F.floor(F.col("b") / 16).alias("b"), (F.col("b") % 16 * 64 + F.col("idx")).alias("idx"), "re"), 1000)
+    back = L.Repartition((10, 10, 10), (2, 2, 2), (8, 1, 1)).H
+    y = back.apply(x)
+    return y.groupBy(rank_of("idx", back.shape, back.grid_out).alias("rank")).agg(F.count(F.lit(1)).alias("n"), (F.sum("re") + F.lit(0.0)).alias("re"))
+
+
+def _complex_tables(spark, d):
+    n, r = _two_tables(spark, d)
+    n = n.withColumn("im", F.when(F.length("op_id") == 1, F.col("op_id").cast("double")).otherwise(F.lit(0.0)))
+    return n, r.withColumn("re", (F.col("re") + 1) / 2).withColumn("im", F.when(F.col("op_id") == "only", F.lit(0.0)).otherwise(F.col("op_id").try_cast("int") % 2))
+
+
+_CTWO = f"{_TWO}, cn AS (SELECT op_id, re, CASE WHEN length(op_id) = 1 THEN CAST(op_id AS DOUBLE) ELSE 0 END AS im FROM n), cr AS (SELECT op_id, (re + 1) / 2 AS re, CASE WHEN op_id = 'only' THEN 0 ELSE CAST(TRY_CAST(op_id AS INTEGER) % 2 AS DOUBLE) END AS im FROM r), j AS (SELECT coalesce(cn.op_id, cr.op_id) AS op_id, cn.re AS ar, cn.im AS ai, cr.re AS br, cr.im AS bi FROM cn FULL JOIN cr ON cn.op_id = cr.op_id)"
+
+
+def _complex_sql(re: str, im: str) -> str:
+    pick = lambda a, b, both: f"round(CASE WHEN ar IS NULL THEN {b} WHEN br IS NULL THEN {a} ELSE {both} END + 3.3e-8, 6) + 0.0"
+    return f"WITH {_CTWO} SELECT op_id, {pick('ar', 'br', re)} AS re, {pick('ai', 'bi', im)} AS im FROM j"
+
+
+def _complex_merged(spark, d, op: str) -> DataFrame:
+    value = lambda c: (F.round(F.col(c) + 3.3e-8, 6) + F.lit(0.0)).alias(c)
+    return merge(*_complex_tables(spark, d), op).select("op_id", value("re"), value("im"))
+
+
+_POLAR = "exp(br * ln(sqrt(ar * ar + ai * ai)) - bi * atan2(ai, ar))", "(br * atan2(ai, ar) + bi * ln(sqrt(ar * ar + ai * ai)))"
+
+
+@_query(_complex_sql(f"CASE WHEN ai = 0 AND bi = 0 THEN pow(ar, br) ELSE {_POLAR[0]} * cos({_POLAR[1]}) END", f"CASE WHEN ai = 0 AND bi = 0 THEN 0 ELSE {_POLAR[0]} * sin({_POLAR[1]}) END"))
+def params_power_complex(spark, d):
+    return _complex_merged(spark, d, "^")
+
+
+@_query(_complex_sql("(ar * br + ai * bi) / (br * br + bi * bi)", "(ai * br - ar * bi) / (br * br + bi * bi)"))
+def params_divide_complex(spark, d):
+    return _complex_merged(spark, d, "/")
+
+
+@_query(f"WITH {_TWO} SELECT coalesce(n.op_id, r.op_id) AS op_id, CASE WHEN n.op_id IS NULL THEN 0 WHEN r.op_id IS NULL THEN n.re WHEN n.re = 0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END + 0.0 AS re FROM n FULL JOIN r ON n.op_id = r.op_id")
+def params_divide_zero(spark, d):
+    """Division by zero as IEEE doubles do it."""
+    n, r = _two_tables(spark, d)
+    return merge(n, r.withColumn("re", F.lit(0.0)), "/").select("op_id", (F.col("re") + F.lit(0.0)).alias("re"))
+
+
+@_query(ORACLE_SQL["grad_matrix"])
+def grad_null_key(spark, d):
+    """Batch items that have a null in their key count like any others."""
+    a, x, _ = _step(spark, d)
+    x = x.withColumn("k", F.when(F.col("b") % 2 == 0, F.lit("x")))
+    return grad_params(a, x, a.apply(x)).select("i", "j", (F.col("re") + F.lit(0.0)).alias("re"))
+
+
+_GRAD = _block_sql()[: _block_sql().index(",\ni2 AS")].replace("\nm AS", "\nmx AS") + """,
+up AS (SELECT b, kt, ks, c, (CASE WHEN kt = 0 THEN 1 ELSE 2 END) / 16.0 * re AS re, (CASE WHEN kt = 0 THEN 1 ELSE 2 END) / 16.0 * im AS im FROM f2),
+mm AS (SELECT b, kt, ks, i AS c, sum(w * re - wi * im) AS re, sum(w * im + wi * re) AS im FROM f2 JOIN w ON c = j GROUP BY ALL),
+r AS (SELECT 'g' AS op_id, CAST(up.kt * 2 + up.ks AS INTEGER) AS i, 0 AS j, sum(up.re * mm.re + up.im * mm.im) AS re, sum(up.im * mm.re - up.re * mm.im) AS im FROM up JOIN mm USING (b, kt, ks, c) GROUP BY up.kt, up.ks
+      UNION ALL SELECT 'M', CAST(up.c AS INTEGER), CAST(g.c AS INTEGER), sum(up.re * g.re + up.im * g.im), sum(up.im * g.re - up.re * g.im) FROM up JOIN g USING (b, kt, ks) GROUP BY up.c, g.c)
+SELECT op_id, i, j, round(re + 3.3e-8, 5) + 0.0 AS re, round(im + 3.3e-8, 5) + 0.0 AS im FROM r"""
+
+
+@_query(_GRAD)
+def grad_spectral_block(spark, d):
+    """Gradients of the flagship's parameters, walked backwards through transforms, restrictions and products."""
+    leaves = [L.Diagonal(4, "g", "c64"), L.Matrix(4, 4, "M", "c64")]
+    params = generated(spark, leaves[0], D, E).unionByName(generated(spark, leaves[1], W, V))
+    x = tables.dense_vectors(spark, d)
+    value = lambda c: (F.round(F.col(c) + 3.3e-8, 5) + F.lit(0.0)).alias(c)
+    return grad_params(spectral_block().bind(params), x, x).select("op_id", "i", "j", value("re"), value("im"))
+
+
+def _two_range_sql() -> str:
+    turn = lambda j: f"2 * pi() * ((k * {j}) % 8) / 8"
+    return f"""WITH {_L}, x AS (SELECT b, idx // 8 AS t, idx % 8 AS s, re FROM l),
+f1 AS (SELECT b, k AS kt, s, sum(re * cos({turn('t')})) AS re, sum(-re * sin({turn('t')})) AS im FROM x, range(3) r(k) GROUP BY ALL),
+f2 AS (SELECT b, kt, k AS ks, sum(re * cos({turn('s')}) + im * sin({turn('s')})) AS re, sum(im * cos({turn('s')}) - re * sin({turn('s')})) AS im FROM f1, (SELECT k FROM range(8) r(k) WHERE k < 2 OR k >= 6) GROUP BY ALL),
+i2 AS (SELECT b, kt, k AS s, sum(re * cos({turn('ks')}) - im * sin({turn('ks')})) / 8 AS re, sum(im * cos({turn('ks')}) + re * sin({turn('ks')})) / 8 AS im FROM f2, range(8) r(k) GROUP BY ALL)
+SELECT b, CAST(k * 8 + s AS INTEGER) AS idx, round(sum((CASE WHEN kt = 0 THEN 1 ELSE 2 END) * (re * cos({turn('kt')}) - im * sin({turn('kt')}))) / 8 + 3.3e-8, 6) + 0.0 AS re FROM i2, range(8) r(k) GROUP BY b, k, s"""
+
+
+@_query(_two_range_sql())
+def spectral_two_ranges(spark, d):
+    """Low frequencies of 8 x 8 arrays, both ends of the full axis, and back."""
+    low = N.kron(L.Restriction(5, ((0, 3),), "c64"), L.Restriction(8, ((0, 2), (6, 8)), "c64"))
+    modes = N.compose(low, N.kron(L.Fourier(8, "f64"), L.Fourier(8, "c64")))
+    return _out(N.compose(modes.H, modes).apply(tables.vectors(spark, d, deal=True)), 6)
+
+
+# --- tables of what expressions say about themselves ----------------------
+
+
+@_query("SELECT name, CAST(value AS VARCHAR) AS value FROM (VALUES ('flattened', '4'), ('as given', '2'), ('single', 'Matrix'), ('parametric', 'parametric'), ('bound', 'parameterized'), ('free', 'nonparametric'), ('mixed', 'parametric'), ('linear', 'linear'), ('leaf', 'external'), ('node', 'internal'), ('types', 'f64 to c64'), ('lengths', '8 to 5'), ('children', '3'), ('rebuilt', 'True'), ('parameters', 'A,d'), ('mismatch', 'OperatorError'), ('negative', 'OperatorError'), ('unbound', 'OperatorError')) t(name, value)")
+def traits_table(spark, d):
+    """Flattening, traits, types, lengths, parameters and errors of expressions."""
+    a, g, f = L.Matrix(4, 4, "A"), L.Diagonal(4, "d"), L.Fourier(8, "f64")
+    nested = N.composed([a, N.composed([a, a])])
+    bound = a.bind(_params(spark, a))
+    k = N.kron(a, g, L.Identity(2))
+
+    def fails(make) -> str:
+        try:
+            make()
+        except OperatorError as e:
+            return type(e).__name__
+        return "nothing"
+
+    rows = {
+        "flattened": len(N.compose(N.compose(a, a), N.compose(a, a)).ops), "as given": len(nested.ops), "single": type(N.compose(a)).__name__,
+        "parametric": a.parametricity, "bound": bound.parametricity, "free": f.parametricity, "mixed": N.composed([bound, a]).parametricity,
+        "linear": k.linearity, "leaf": a.location, "node": k.location, "types": f"{f.ddt} to {f.rdt}", "lengths": f"{f.domain} to {f.range}",
+        "children": len(k.children), "rebuilt": k.rebuild(k.children) == k, "parameters": ",".join(k.slots()),
+        "mismatch": fails(lambda: N.compose(a, L.Matrix(3, 4, "B"))), "negative": fails(lambda: L.Identity(-1)), "unbound": fails(lambda: a.apply(tables.vectors(spark, d))),
+    }
+    return spark.createDataFrame([(n, str(v)) for n, v in rows.items()], "name string, value string")
+
+
+@_query("SELECT name, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('add f16', 0.25), ('add f32', 1.5), ('add f64', 1), ('add c16', 0.5), ('add c32', 1), ('add c64', 2), ('multiply f64', 2), ('multiply c64', 4), ('transfer 3 bytes', 300), ('identity', 0), ('restriction', 0), ('tensor', 48), ('reduce', 1), ('repartition', 9600), ('local half', 16), ('local all', 32)) t(name, cost)")
+def cost_table(spark, d):
+    """Unit costs and the costs of single leaves, whole and on one of two workers."""
+    costs = {f"add {k}": types.addition_cost(k) for k in types.NAMES}
+    costs |= {f"multiply {k}": types.multiplication_cost(k) for k in ("f64", "c64")}
+    m = L.Matrix(4, 4, "A")
+    costs |= {
+        "transfer 3 bytes": types.transfer_cost(3), "identity": complexity(L.Identity(4)), "restriction": complexity(L.Restriction(8, ((0, 2),))), "tensor": complexity(L.Tensor(("i", "o"), (4, 6), ("i",), (4,), ("o",), (6,), "T")),
+        "reduce": complexity(L.Reduce()), "repartition": complexity(L.Repartition((4, 4), (4, 1), (1, 4))), "local half": local_complexity(N.Distributed(m, 0, 2)), "local all": local_complexity(m),
+    }
+    return spark.createDataFrame([(k, float(v)) for k, v in costs.items()], "name string, cost double")
+
+
+@_query("SELECT name, text FROM (VALUES ('matrix', '{\"type\": \"ParMatrix\", \"m\": 4, \"n\": 5, \"T\": \"Float64\", \"id\": \"W\"}'), ('restriction', '{\"type\": \"ParRestriction\", \"n\": 8, \"ranges\": [[1, 2], [7, 8]], \"T\": \"Float64\"}'), ('adjoint', '{\"type\": \"ParAdjoint\", \"of\": {\"type\": \"ParDFT\", \"n\": 4, \"m\": 3, \"T\": \"Float32\"}}'), ('no type', 'OperatorError'), ('unknown type', 'OperatorError'), ('unknown element', 'OperatorError'), ('wrong length', 'OperatorError'), ('no form', 'OperatorError'), ('no program', 'OperatorError')) t(name, text)")
+def text_forms(spark, d):
+    """JSON texts, and what is refused when reading, writing or drawing."""
+    from .functions.render import plot_operator_graph
+
+    def tried(make) -> str:
+        try:
+            return str(make())
+        except OperatorError as e:
+            return type(e).__name__
+
+    forms = {
+        "matrix": lambda: to_json(L.Matrix(4, 5, "W")), "restriction": lambda: to_json(L.Restriction(8, ((0, 2), (6, 8)))), "adjoint": lambda: to_json(L.Fourier(4, "f32").H),
+        "no type": lambda: from_json("{}"), "unknown type": lambda: from_json('{"type": "Nothing"}'), "unknown element": lambda: from_json('{"type": "ParIdentity", "T": "Int8", "n": 4}'),
+        "wrong length": lambda: from_json('{"type": "ParDFT", "T": "Float64", "n": 4, "m": 4}'), "no form": lambda: to_json(L.Reduce()), "no program": lambda: plot_operator_graph(L.Identity(1), "x", program="no such program"),
+    }
+    return spark.createDataFrame([(k, tried(f)) for k, f in forms.items()], "name string, text string")
+
+
+@_query("SELECT op_id, CAST(n AS BIGINT) AS n FROM (VALUES ('A', 12), ('B', 6), ('d', 4)) t(op_id, n)")
+def params_init_tree(spark, d):
+    """Initial values of a tree with inner, adjoint and broadcast nodes, one set for each id, kept by both devices."""
+    from .functions.arrays import cpu, gpu
+
+    a, b, g = L.Matrix(3, 4, "A"), L.Matrix(2, 3, "B"), L.Diagonal(4, "d")
+    tree = N.compose(N.broadcasted(N.kron(b, L.Identity(2))), N.kron(a, L.Identity(2)), N.kron(a.H, L.Identity(2)), N.kron(a, L.Identity(2)), N.kron(g, L.Identity(2)))
+    return cpu(gpu(init(spark, tree))).groupBy("op_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "spectral_block"]

@@ -231,3 +231,85 @@ def test_type_checks(spark):
         t.Matrix(2, 3, "a").apply(table(spark, draw(1, 3)))
     assert t.Matrix(2, 3, "a").parametricity == "parametric" and t.Identity(2).parametricity == "nonparametric"
     assert t.Matrix(2, 3, "a").H.H == t.Matrix(2, 3, "a") and t.Matrix(2, 3, "a").location == "external"
+
+
+def dense(spark, rows, c=False):
+    return spark.createDataFrame(rows, "b long, re array<double>" + (", im array<double>" if c else ""))
+
+
+def test_dense_rows_are_checked(spark):
+    """Rows of a wrong length and null values are errors; a null array stays null and moves nothing."""
+    for op, rows in [(t.Identity(4), [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0, 4.0, 5.0])]), (t.Fourier(4, "f64"), [(0, [1.0] * 8)]), (t.Identity(2), [(0, [1.0, None])])]:
+        with pytest.raises(Exception, match="elements where|a value is null"):
+            op.apply(dense(spark, rows)).collect()
+    got = {r["b"]: r["re"] for r in t.Identity(2).apply(dense(spark, [(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0])])).collect()}
+    assert got == {0: [1, 2], 1: None, 2: [3, 4]}
+    half = t.Fourier(4, "f64").H.apply(dense(spark, [(0, [4.0, 0.0, 0.0], [0.0, 0.0, 0.0]), (1, [4.0, 0.0, 0.0], None)], True))
+    assert {r["b"]: r["re"] for r in half.collect()} == {0: [1, 1, 1, 1], 1: None}
+    assert t.Identity(3).apply(dense(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("fast", [False, True])
+def test_long_rows_are_checked(spark, fast):
+    for op in (t.Fourier(2), t.Identity(2, "c64"), t.Restriction(2, ((0, 1),), "c64")):
+        for row in [(0, 7, 1.0, 0.0), (0, -1, 1.0, 0.0), (0, 0, None, 0.0), (0, 0, 1.0, None)]:
+            with pytest.raises(Exception, match="outside of 2 elements"):
+                op.apply(spark.createDataFrame([(0, 1, 1.0, 0.0), row], "b long, idx int, re double, im double"), fast=fast).collect()
+
+
+def test_sparse_items(spark):
+    """Positions that an item lacks are zero, whichever they are; null keys are items."""
+    df = spark.createDataFrame([(0, 1, 5.0), (None, 0, 2.0)], "b long, idx int, re double")
+    r = t.Restriction(4, ((1, 3),))
+    for fast in (False, True):
+        got = {(x["b"], x["idx"]): x["re"] for x in r.H.apply(df, fast=fast).collect()}
+        assert got == {(0, 0): 0, (0, 1): 0, (0, 2): 5, (0, 3): 0, (None, 0): 0, (None, 1): 2, (None, 2): 0, (None, 3): 0}
+        y = {(x["b"], x["idx"]): x["re"] for x in t.Fourier(2, "f64").apply(df, fast=fast).collect()}
+        assert y == {(0, 0): 5, (0, 1): -5, (None, 0): 2, (None, 1): 2}
+    assert r.H.apply(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [((0, 5), (2, 4)), ((2, 4), (0, 5), (1, 3)), ((0, 3), (3, 6)), ((4, 6), (0, 2))])
+def test_overlaps(spark, ranges):
+    r = t.Restriction(6, ranges)
+    y = draw(2, r.range)
+    want = np.zeros((2, 6))
+    at = 0
+    for a, b in ranges:
+        want[:, a:b] = y[:, at : at + b - a]
+        at += b - a
+    both(spark, r.H, y, want)
+    assert r.disjoint() == (len({i for a, b in ranges for i in range(a, b)}) == r.range)
+
+
+def test_large_restriction_stays_small(spark):
+    """A range of many positions is one move, not a list of positions."""
+    r = t.Restriction(10**12, ((0, 10**11), (5 * 10**11, 10**12)))
+    assert len(r.gathered()) == 2 == len(r.scattered()) and r.disjoint()
+
+
+def test_long_transforms(spark, monkeypatch):
+    """Fibres, and items too large to be gathered."""
+    from tensorloom.plans import lower
+
+    x = draw(2, 100)
+    np.testing.assert_allclose(array(t.Fourier(100, "f64").apply(table(spark, x), fast=False), (2, 51)), np.fft.rfft(x), atol=1e-9)
+    z = draw(2, 6 * 70)
+    op = t.kron(t.Fourier(6), t.Fourier(70, "f64"))
+    want = np.fft.rfft2(z.reshape(2, 6, 70)).reshape(2, -1)
+    both(spark, op, z, want)
+    monkeypatch.setattr(lower, "ITEM_CELLS", 10)
+    np.testing.assert_allclose(array(op.apply(table(spark, z)), want.shape), want, atol=1e-9)
+    monkeypatch.setattr(lower, "BATCH_CELLS", 100)
+    both(spark, op, z, want)
+
+
+def test_outer_product(spark, monkeypatch):
+    from tensorloom.operators import nodes
+
+    w, x = draw(3), draw(2, 4)
+    op = t.Tensor(("o",), (3,), ("i",), (4,), ("o", "i"), (3, 4), "T")
+    want = np.einsum("o,bi->bio", w, x).reshape(2, -1)
+    both(spark, op, x, want, t.from_arrays(spark, {"T": w}))
+    monkeypatch.setattr(nodes, "BROADCAST_BYTES", 1)
+    np.testing.assert_allclose(array(op.bind(t.from_arrays(spark, {"T": w})).apply(table(spark, x)), want.shape), want, atol=1e-9)

@@ -150,7 +150,8 @@ def test_distribution(spark):
     for bad in [(2, 1), (1, 3)]:
         with pytest.raises(t.OperatorError):
             t.distribute(tensor, bad)
-    d = t.Distributed(t.Identity(10), 0, 8)
+    assert t.Distributed(t.Identity(10), 0, 8).domain == 2
+    d = t.Distributed(t.Identity(16), 0, 8)
     assert (d.domain, d.range) == (2, 2)
     np.testing.assert_allclose(array(d.apply(table(spark, y)), (1, 16)), y)
 
@@ -250,3 +251,103 @@ def test_array_views(spark):
     assert t.cpu(df) is df is t.gpu(df)
     y = table(spark, np.array([[-1.0, 0.0, 2.0]])).select("b", "idx", t.gelu(F.col("re")).alias("re"))
     np.testing.assert_allclose(array(y, (1, 3)).real, [[-0.158808, 0, 1.954598]], atol=1e-6)
+
+
+def test_parameter_arithmetic(spark):
+    """Division and powers as IEEE doubles and complex numbers have them."""
+    one = lambda z: t.from_arrays(spark, {"z": np.array([z])})
+    got = lambda a, b, op: complex(*t.merge(one(a), one(b), op).select("re", "im").first())
+    assert got(3.0, 0.0, "/").real == np.inf and got(-3.0, 0.0, "/").real == -np.inf and np.isnan(got(0.0, 0.0, "/").real)
+    assert got(1e200, 1e200, "/") == 1 and got(1e200 + 1e200j, 1e200 + 1e200j, "/") == pytest.approx(1)
+    for a, b in [(1 + 2j, 3 - 1j), (2j, 1e-3), (1.0, 4j)]:
+        assert got(a, b, "/") == pytest.approx(a / b)
+    for a, b in [(1 + 2j, 2), (2j, 1 - 1j), (-1 + 0.5j, 0.5)]:
+        assert got(a, b, "^") == pytest.approx(a**b)
+    assert got(0j, 1j, "^") == 0 and got(2.0, 3.0, "^") == 8 and np.isnan(got(-1.0, 0.5, "^").real)
+
+
+def tree_cases():
+    c = lambda i, j, op_id: M(i, j, op_id, "c64")
+    yield t.compose(M(3, 4, "A"), t.Diagonal(4, "d"), M(4, 5, "B"))
+    yield t.kron(M(2, 3, "A"), M(3, 2, "B"), M(2, 2, "C"))
+    yield t.compose(M(3, 4, "A").H, t.broadcasted(M(3, 2, "B")), t.Diagonal(2, "d").H)
+    yield t.compose(t.kron(c(2, 3, "A"), t.Diagonal(4, "d", "c64")), t.kron(t.Fourier(3), t.Restriction(5, ((0, 2), (3, 5)), "c64")), t.kron(t.Fourier(3, "c64"), t.Fourier(8, "f64")))
+    modes = t.kron(t.Restriction(3, ((0, 2),), "c64"), t.Restriction(5, ((0, 2), (3, 5)), "c64")) @ t.kron(t.Fourier(4, "f64"), t.Fourier(5, "c64"))
+    yield t.compose(modes.H, t.Diagonal(8, "d", "c64"), modes)
+    yield t.compose(t.Restriction(4, ((0, 3), (1, 3))).H, M(5, 4, "A"), t.Restriction(4, ((0, 3), (1, 2))), M(4, 4, "A2"))
+    yield t.compose(t.Tensor(("i", "o", "q"), (2, 3, 2), ("i", "p"), (2, 4), ("o", "p"), (3, 4), "T"), M(8, 3, "A"))
+    yield t.Tensor(("i", "o"), (2, 3), ("o",), (3,), ("i",), (2,), "T").H @ M(2, 2, "A")
+
+
+@pytest.mark.parametrize("k", range(8))
+def test_gradients_of_trees(spark, k):
+    """Against finite differences of the real product of output and upstream gradient."""
+    from tensorloom.plans.lower import evaluate
+
+    op = list(tree_cases())[k]
+    rng = np.random.default_rng(k)
+    number = lambda shape, c: rng.normal(size=shape) + (1j * rng.normal(size=shape) if c else 0)
+    w = {i: number(leaf.shape if isinstance(leaf, t.Matrix) else int(np.prod(leaf.shape)), leaf.dtype[0] == "c") for i, leaf in op.slots().items()}
+    x, up = number((3, op.domain), op.ddt[0] == "c"), number((3, op.range), op.rdt[0] == "c")
+    params = t.from_arrays(spark, w)
+    got = {i: np.zeros(v.shape, complex) for i, v in w.items()}
+    for r in t.grad_params(op.bind(params), table(spark, x), table(spark, up)).collect():
+        at = (r["i"], r["j"]) if got[r["op_id"]].ndim == 2 else r["i"]
+        got[r["op_id"]][at] = complex(r["re"], r["im"])
+    tree = t.plans.lower._stripped(op)
+    loss = lambda v: float((evaluate(tree, x, v) * up.conj()).real.sum())
+    for i, v in w.items():
+        for at in np.ndindex(v.shape):
+            for part in (1, 1j) if np.iscomplexobj(v) else (1,):
+                e = np.zeros(v.shape, v.dtype)
+                e[at] = part * 1e-6
+                slope = (loss({**w, i: v + e}) - loss({**w, i: v - e})) / 2e-6
+                assert slope == pytest.approx(got[i][at].imag if part == 1j else got[i][at].real, rel=1e-4, abs=1e-5)
+    # the input's gradient of the same walk
+    grads = {}
+    back = t.functions.gradients.taped(tree, x, w, grads)[1](up)
+    for at in [(0, 0), (2, op.domain - 1)]:
+        e = np.zeros(x.shape, x.dtype)
+        e[at] = 1e-6
+        slope = ((evaluate(tree, x + e, w) - evaluate(tree, x - e, w)) * up.conj()).real.sum() / 2e-6
+        assert slope == pytest.approx(back[at].real, rel=1e-4, abs=1e-5)
+
+
+def test_gradients_with_null_keys(spark):
+    a = M(1, 1, "W").bind(t.from_arrays(spark, {"W": np.array([[2.0]])}))
+    x = spark.createDataFrame([(None, 0, 3.0), (1, 0, 1.0)], "b long, idx int, re double")
+    assert t.grad_params(a, x, a.apply(x)).first()["re"] == 20
+    assert t.grad_params(a, x.drop("b").limit(1), x.drop("b").limit(1)).first()["re"] in (1, 9)
+
+
+def test_large_parameters_by_joins(spark, monkeypatch):
+    from tensorloom.operators import nodes
+
+    monkeypatch.setattr(nodes, "BROADCAST_BYTES", 1)
+    w, x = draw(3, 4), draw(5, 4)
+    a = M(3, 4, "W").bind(t.from_arrays(spark, {"W": w}))
+    y = x @ w.T
+    got = {(r["i"], r["j"]): r["re"] for r in t.grad_params(a, table(spark, x), table(spark, y)).collect()}
+    np.testing.assert_allclose([[got[i, j] for j in range(4)] for i in range(3)], y.T @ x, atol=1e-9)
+    with pytest.raises(t.OperatorError):
+        t.grad_params(a @ M(4, 4, "V").bind(t.from_arrays(spark, {"V": draw(4, 4)})), table(spark, x), table(spark, y))
+
+
+def test_distribution_moves_rows_once(spark):
+    """Moves between grids inside of an expression cost no exchange; the last one does."""
+    op = t.distribute(t.kron(M(2, 4, "A"), M(2, 4, "B"), M(2, 4, "C")), (2, 2, 1), (1, 2, 2)).bind(t.from_arrays(spark, {k: draw(2, 4) for k in "ABC"}))
+    df = spark.range(64 * 64).selectExpr("id div 64 AS b", "CAST(id % 64 AS INT) AS idx", "CAST(id AS DOUBLE) AS re")
+    plan = op.apply(df, partitions=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange ") - plan.count("BroadcastExchange") == 2
+
+
+def test_cheapest_order_of_many_operands():
+    k = t.kron(*[M(3 + i * 7 % 5, 4 + i * 3 % 7, f"m{i}") for i in range(5)])
+    from itertools import permutations
+
+    from tensorloom.plans.rewrite import best_order
+
+    assert t.complexity(k.with_order(best_order(k.ops))) == min(t.complexity(k.with_order(p)) for p in permutations(range(5)))
+    many = t.kron(*[M(3 + i * 7 % 5, 4 + i * 3 % 7, f"m{i}") for i in range(8)])
+    assert t.complexity(t.optimize(many, bfs_rounds=1, bfs_threshold=1)) == t.complexity(many.with_order(best_order(many.ops)))
+    assert best_order(t.kron(t.Fourier(8, "c64"), t.Fourier(8, "f64")).ops) == (1, 0)
