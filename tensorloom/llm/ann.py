@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a bounded sample; every row is filed under a leaf. A query
-walks the tree through a priority queue of nodes, best first, and visits leaves
-in that order. How many it visits is calibrated: some queries are answered
+The tree is fitted on a bounded sample; every row is filed under a leaf. Leaves that
+hold too many rows get a subtree each, fitted on the executors on a bounded sample of
+the leaf's own rows, so the number of leaves grows with the table. A query walks the
+tree through a priority queue of nodes, best first, and visits leaves in that order. How many it visits is calibrated: some queries are answered
 exactly, and visits are widened until those would reach the wanted recall.
 Leaves are searched in blocks of bounded size, so a leaf with a third of all
-rows is many tasks' work.
+rows is many tasks' work. Matrix products only make a short list, with room for
+their rounding; scores are then added up component by component, so they and
+the order of ties depend on the two vectors alone.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
 
@@ -18,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, discard, table
 
-#: Rows that the tree is fitted on, at most: those with the smallest hashes of their ids.
+#: Rows that the tree is fitted on, at most: those with the smallest hashes of their ids. About as many for each subtree.
 SAMPLE_ROWS = 8192
+#: Leaves with more rows get a subtree.
+LEAF_MOST = 16384
 #: Children of a node; sample rows of a leaf, at most, if they differ.
 BRANCHES, LEAF_ROWS = 8, 48
 #: Queries that are answered exactly for calibration, at most, and the mean recall that they must reach.
-CALIBRATION, RECALL = 128, 0.98
+CALIBRATION, RECALL = 128, 0.95
 #: Rows and queries that meet in one task's block, about.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 NEAREST = 20
@@ -58,6 +64,24 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
+    def graft(self, subtrees: dict[int, Tree]) -> Tree:
+        """The tree with subtrees in the place of leaves; leaves are numbered anew."""
+        centre, spread, children, leaf = [self.centre], [self.spread], [list(c) for c in self.children], self.leaf.tolist()
+        for node in np.flatnonzero(self.leaf >= 0).tolist():
+            sub = subtrees.get(int(self.leaf[node]))
+            if sub is None or sub.leaves < 2:
+                continue
+            base = len(children) - 1  # the subtree's root is the leaf itself
+            children[node] = [base + c for c in sub.children[0]]
+            leaf[node] = -1
+            centre.append(sub.centre[1:])
+            spread.append(sub.spread[1:])
+            children += [[base + c for c in cs] for cs in sub.children[1:]]
+            leaf += sub.leaf[1:].tolist()
+        number = np.array(leaf)
+        number[number >= 0] = np.arange((number >= 0).sum())
+        return Tree(np.concatenate(centre), np.concatenate(spread), children, number)
+
     def order(self, q: np.ndarray, visits: int, least: int) -> list[list[int]]:
         """Leaves that each query visits, best bin first: ``visits`` of them, and on until they hold ``least`` rows."""
         hope = q @ self.centre.T + np.linalg.norm(q, axis=1)[:, None] * self.spread
@@ -127,13 +151,38 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
-def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (id, score): by score, ties to the smaller id."""
-    if len(score) > 4 * k:
-        rows = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-        ids, score = ids[rows], score[rows]
-    rows = np.lexsort((ids, -score))[:k]
-    return ids[rows], score[rows]
+def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of ``q`` with the rows of ``x``, added up from the first component to the last, whatever the number of rows."""
+    out = np.zeros(len(x))
+    for k in range(len(q)):
+        out += q[k] * x[:, k]
+    return out
+
+
+class Rows:
+    """Rows that queries are compared with: distinct or repeated ids, vectors, and the longest vector's length."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.distinct = len(np.unique(ids)) == len(ids)
+        self.longest = float(np.sqrt((x * x).sum(axis=1).max())) if len(x) else 0.0
+
+    def best(self, q: np.ndarray, guess: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (id, score) among ``rows``: by score, ties to the smaller id; an id that repeats counts with its best score.
+
+        ``guess`` are the products up to rounding, which is below width * 2^-52 * |q| * |x| each.
+        """
+        if len(rows) > 2 * k:
+            near = guess[rows]
+            per_id = near if self.distinct else _once(self.ids[rows], near)[1]
+            if len(per_id) > k:
+                slack = 4 * len(q) * 2.0**-52 * float(np.linalg.norm(q)) * self.longest
+                rows = rows[near >= np.partition(per_id, len(per_id) - k)[len(per_id) - k] - slack]
+        ids, score = self.ids[rows], dots(q, self.x[rows])
+        if not self.distinct:
+            ids, score = _once(ids, score)
+        first = np.lexsort((ids, -score))[:k]
+        return ids[first], score[first]
 
 
 _FOUND = "query_id bigint, vec_id bigint, score double"
@@ -163,15 +212,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, recall: float
     sample = pick(rows.select("id", "v"), SAMPLE_ROWS).toArrow()
     tree = grow(_matrix(sample.column("v"), width), seed)
 
-    def filed(batches):
-        for batch in batches:
-            leaf = tree.file(_matrix(batch.column(1), width)) if batch.num_rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], ["id", "v", "q", "leaf"])
-
-    rows = checkpointed(rows.mapInArrow(filed, "id bigint, v array<double>, q boolean, leaf int"))
-    held = np.zeros(tree.leaves, np.int64)
-    for r in rows.groupBy("leaf").count().collect():  # one row a leaf
-        held[r[0]] = r[1]
+    schema = "id bigint, v array<double>, q boolean, leaf int"
+
+    def filing(tree: Tree):
+        def filed(batches):
+            for batch in batches:
+                leaf = tree.file(_matrix(batch.column(1), width)) if batch.num_rows else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaf, pa.int32())], ["id", "v", "q", "leaf"])
+
+        return filed
+
+    def counted(rows: DataFrame, tree: Tree) -> np.ndarray:
+        held = np.zeros(tree.leaves, np.int64)
+        for r in rows.groupBy("leaf").count().collect():  # one row a leaf
+            held[r[0]] = r[1]
+        return held
+
+    rows = checkpointed(rows.mapInArrow(filing(tree), schema))
+    held = counted(rows, tree)
+    if held.max() > LEAF_MOST:
+        whole, tree = rows, tree.graft(_subtrees(rows, held, width, seed))
+        rows = checkpointed(whole.mapInArrow(filing(tree), schema))
+        discard(whole)
+        held = counted(rows, tree)
     tree.held = held.tolist()
     visits = calibrate(rows, tree, width, k, recall)
 
@@ -198,29 +261,55 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, recall: float
     for r in queries.groupBy("block").count().collect():  # one row a block
         asked[r[0]] = r[1]
     query_blocks = np.maximum(-(-asked // BLOCK_QUERIES), 1).tolist()
-    many = lambda blocks: F.element_at(F.lit(blocks), F.col("block") + 1)
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), many(blocks) - 1))
-    own = lambda blocks: F.pmod(F.xxhash64("id"), many(blocks)).cast("int")
-    left = queries.withColumn("j", own(query_blocks)).withColumn("i", each(row_blocks))
-    right = rows.select("id", "v", "leaf", F.element_at(F.lit(group), F.col("leaf") + 1).alias("block"))
-    right = right.withColumn("i", own(row_blocks)).withColumn("j", each(query_blocks))
+    block_of = F.broadcast(spark.createDataFrame(list(enumerate(group)), "leaf int, block int"))  # one row a leaf
+    parts = [(g, r, q) for g, (r, q) in enumerate(zip(row_blocks, query_blocks))]
+    parts = F.broadcast(spark.createDataFrame(parts, "block int, row_parts long, query_parts long"))  # one row a block
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    left = queries.join(parts, "block").withColumn("j", own("query_parts")).withColumn("i", each("row_parts"))
+    right = rows.select("id", "v", "leaf").join(block_of, "leaf").join(parts, "block")
+    right = right.withColumn("i", own("row_parts")).withColumn("j", each("query_parts"))
+    left, right = left.drop("row_parts", "query_parts"), right.drop("row_parts", "query_parts")
 
     def met(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if a.num_rows and b.num_rows:
             ids, leaf = b.column("id").to_numpy(), b.column("leaf").to_numpy()
-            score = _matrix(a.column("v"), width) @ _matrix(b.column("v"), width).T
-            for q, s, leaves in zip(a.column("id").to_numpy(), score, a.column("leaves").to_pylist()):
-                open_ = np.isin(leaf, leaves) & (ids != q)
-                found = _best(*_once(ids[open_], s[open_]), k)
-                for x, y in zip(out, (np.full(len(found[0]), q), *found)):
-                    x.append(y)
+            asking, held_here = _matrix(a.column("v"), width), Rows(ids, _matrix(b.column("v"), width))
+            guess = asking @ held_here.x.T
+            # leaves by number, so a query's own leaves are looked up at once
+            numbers, leaf = np.unique(leaf, return_inverse=True)
+            for q, v, s, leaves in zip(a.column("id").to_numpy(), asking, guess, a.column("leaves").to_pylist()):
+                open_ = np.flatnonzero(np.isin(numbers, leaves)[leaf] & (ids != q))
+                found = held_here.best(v, s, open_, k)
+                for got, y in zip(out, (np.full(len(found[0]), q), *found)):
+                    got.append(y)
         return _table(*out)
 
     found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInArrow(met, _FOUND)
     return _ranked(found, k)
 
 
+def _subtrees(rows: DataFrame, held: np.ndarray, width: int, seed: int) -> dict[int, Tree]:
+    """A tree for each leaf with too many rows, fitted where its sample is: about ``SAMPLE_ROWS`` of its ids, by their hashes."""
+    large = [(int(n), int(-(-held[n] // SAMPLE_ROWS))) for n in np.flatnonzero(held > LEAF_MOST)]
+    large = F.broadcast(rows.sparkSession.createDataFrame(large, "leaf int, one_in long"))  # leaves of the first tree
+    sample = rows.join(large, "leaf").where(F.pmod(F.xxhash64(F.lit(1), "id"), F.col("one_in")) == 0)
+    sample = sample.groupBy("leaf", "id").agg(F.min("v").alias("v"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("id").to_numpy(), kind="stable")
+        tree = grow(_matrix(t.column("v"), width)[order], seed)
+        packed = pickle.dumps((tree.centre.astype(np.float32), tree.spread.astype(np.float32), tree.children, tree.leaf))
+        return pa.table({"leaf": t.column("leaf").slice(0, 1), "tree": pa.array([packed], pa.binary())})
+
+    out = {}
+    for leaf, packed in sample.groupBy("leaf").applyInArrow(fit, "leaf int, tree binary").collect():  # bounded by samples, some 100 KB each
+        centre, spread, children, number = pickle.loads(packed)  # noqa: S301  written by the tasks above
+        out[leaf] = Tree(centre.astype(float), spread.astype(float), children, number)
+    return out
+
+
 def _blocks(held: np.ndarray) -> tuple[list[int], list[int]]:
     """A block number for each leaf and the parts of each block, so that a part has ``BLOCK_ROWS`` rows, about."""
     group, parts, room = [], [], 0
@@ -258,10 +347,11 @@ def exact(rows: DataFrame, queries: list[tuple[int, np.ndarray]], width: int, k:
             if batch.num_rows:
                 own = batch.column(0).to_numpy()
                 out: tuple[list, list, list] = ([], [], [])
-                for q, s in zip(ids, matrix @ _matrix(batch.column(1), width).T):
-                    best = _best(*_once(own[own != q], s[own != q]), k)
-                    for x, y in zip(out, (np.full(len(best[0]), q), *best)):
-                        x.append(y)
+                rows_ = Rows(own, _matrix(batch.column(1), width))
+                for q, v, guess in zip(ids, matrix, matrix @ rows_.x.T):
+                    best = rows_.best(v, guess, np.flatnonzero(own != q), k)
+                    for got, y in zip(out, (np.full(len(best[0]), q), *best)):
+                        got.append(y)
                 yield from _table(*out).to_batches()
 
     return _ranked(rows.select("id", "v").mapInArrow(partial, _FOUND), k)

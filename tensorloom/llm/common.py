@@ -18,16 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and cut its lineage.
 
-    The folder comes from ``spark.checkpoint.dir``; only where the session names
-    none (tests on one machine) a temporary folder is set.
+    The folder comes from ``spark.checkpoint.dir``. Only a session on one machine
+    that names none gets a temporary folder; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tensorloom-checkpoint-"))
     return df.checkpoint()
 
 
+def discard(*checkpoints: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more."""
+    for df in checkpoints:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_list(text: Column) -> Column:
     """The words of a text; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
@@ -54,17 +65,19 @@ def every(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``; component: the smallest node reachable.
 
     Alternates large-star and small-star steps, each an aggregate with partial
     sums and an equi-join that adaptive execution can split on hot nodes. Each
-    round is checkpointed; only a count and a checksum reach the driver.
+    round is checkpointed and the one before deleted; only a count and a checksum
+    reach the driver. Rounds end when nothing changes, after some log^2 of the
+    longest path.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = checkpointed(e.distinct())
+    last = e = checkpointed(e.distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         # large star: neighbours above u point to the smallest node around u
@@ -73,11 +86,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(low, F.col("a") == F.col("u")).select("u", "b", "m")
         e = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = checkpointed(e.distinct())
+        before, e = last, checkpointed(e.distinct())
+        discard(before)
+        last = e
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(now) == seen:
             break
         seen = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

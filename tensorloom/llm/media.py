@@ -113,10 +113,24 @@ class Track:
 
 
 def probe(data: bytes) -> Track:
-    """The first track's tables."""
-    boxes: dict[bytes, tuple[int, int]] = {}
+    """The first track."""
+    return tracks(data)[0]
+
+
+def tracks(data: bytes) -> list[Track]:
+    """All tracks, each from the tables in its own box; optional tables that one lacks are not taken from another."""
+    found: list[dict[bytes, tuple[int, int]]] = []
     for path, a, b in walk(data):
-        boxes.setdefault(path[-1], (a, b))
+        if path[-1] == b"trak":
+            found.append({})
+        elif b"trak" in path:
+            found[-1].setdefault(path[-1], (a, b))
+    if not found:
+        raise ValueError("no track")
+    return [_track(data, boxes) for boxes in found]
+
+
+def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     if missing := {b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"} - boxes.keys():
         raise ValueError(f"no box {sorted(missing)}")
     at = lambda kind, fmt, skip=4: struct.unpack_from(fmt, data, boxes[kind][0] + skip)

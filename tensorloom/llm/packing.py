@@ -25,21 +25,42 @@ SHARD_DOCS = 8192
 _SCHEMA = "doc_id bigint, piece int, doc_offset bigint, size bigint, bin_id bigint, bin_offset bigint"
 
 
+#: Bins that a search looks at one after the other before it turns to the lists of bins with equal sources.
+WALK = 32
+
+
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[tuple[int, int]]:
-    """Bin and offset of each piece, in the given order. Sources and clusters are bit numbers; a negative one conflicts with nothing."""
+    """Bin and offset of each piece, in the given order. Sources and clusters are bit numbers; a negative one conflicts with nothing.
+
+    Open bins are kept in one list and again by their sources. Where most bins
+    conflict, the lists whose sources are free of the piece's give their tightest
+    bins, so bins that hold the source are not walked through.
+    """
     open_: list[tuple[int, int]] = []  # (residual, bin), ordered
+    alike: dict[int, list[tuple[int, int]]] = {}  # the same by bitmap of sources
     held: list[tuple[int, int]] = []  # bitmaps of each bin
     out = []
+
+    def first(bins: list[tuple[int, int]], size: int, s: int, c: int, most: int) -> tuple[int, int]:
+        """The place of the tightest compatible bin, -1 if there is none, and whether the search ended by itself."""
+        at = bisect_left(bins, (size, -1))
+        for k in range(at, min(len(bins), at + most)):
+            have = held[bins[k][1]]
+            if not (have[0] & s or have[1] & c):
+                return k, 1
+        return -1, at + most >= len(bins)
+
     for size, source, cluster in zip(sizes, sources, clusters):
         s, c = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
-        at = bisect_left(open_, (size, -1))
-        while at < len(open_):
-            have = held[open_[at][1]]
-            if not (have[0] & s or have[1] & c):
-                break
-            at += 1
-        if at < len(open_):
+        at, ended = first(open_, size, s, c, WALK)
+        if not ended:
+            places = ((bins, first(bins, size, s, c, len(bins))[0]) for mask, bins in alike.items() if not mask & s)
+            best = min((bins[k] for bins, k in places if k >= 0), default=None)
+            at = -1 if best is None else bisect_left(open_, best)
+        if at >= 0:
             residual, b = open_.pop(at)
+            bins = alike[held[b][0]]
+            bins.pop(bisect_left(bins, (residual, b)))
             held[b] = (held[b][0] | s, held[b][1] | c)
         else:
             residual, b = capacity, len(held)
@@ -47,6 +68,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
         out.append((b, capacity - residual))
         if residual > size:
             insort(open_, (residual - size, b))
+            insort(alike.setdefault(held[b][0], []), (residual - size, b))
     return out
 
 
@@ -60,6 +82,7 @@ def _pack_shard(capacity: int):
         source = t.column("source").combine_chunks().dictionary_encode().indices
         source = source.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         first = np.lexsort((source, cluster, ids, named, -size))
+        first = np.repeat(first, t.column("copies").to_numpy()[first])
         ids, named, size, cluster, source = (x[first] for x in (ids, named, size, cluster, source))
         # an overlong document fills whole bins; only its rest competes for room
         pieces = np.maximum(-(-size // capacity), 1)
@@ -88,15 +111,18 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAPACIT
     source) or of one ``cluster``. A document above the capacity is split into
     pieces that cover it without gap. One without size has one piece of size 0
     and a null bin. Rows that repeat are packed as often as they stand, each in
-    another bin. Only ids, sources, clusters and sizes are shuffled.
+    another bin. Only ids, sources, clusters and sizes are shuffled. Equal rows
+    are counted first and dealt in lots of ``shard_docs`` at most, so an id that
+    repeats without end fills no shard, and the shard of a row depends on rows alone.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"), size.cast("long").alias("size"))
     shards = max(1, -(-docs.count() // shard_docs))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
-    largest = rows.groupBy(shard.alias("shard")).count().agg(F.max("count")).first()[0] or 0
-    if largest > 4 * shard_docs:  # an id repeats too often: its rows part by their place in the input
-        shard = F.pmod(F.xxhash64("doc_id", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(shards))
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(_pack_shard(capacity), _SCHEMA)
+    same = ["doc_id", "source", "cluster", "size"]
+    counted = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
+    lots = counted.select(*same, "n", F.explode(F.expr(f"sequence(0L, (n - 1) DIV {shard_docs})")).alias("lot"))
+    copies = F.least(F.lit(shard_docs), F.col("n") - F.col("lot") * shard_docs).cast("int")
+    lots = lots.select(*same, copies.alias("copies"), F.pmod(F.xxhash64(*same, "lot"), F.lit(shards)).alias("shard"))
+    return lots.groupBy("shard").applyInArrow(_pack_shard(capacity), _SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -2,13 +2,19 @@
 
 A row's hash is read bit by bit. The directory starts as one bucket; only a
 bucket above the byte limit splits, on the next bit, until every bucket fits.
-A leaf is the shortest prefix of the hash whose rows fit the limit. The sums of
-all prefixes come from one histogram, so documents are read once to build the
-directory and once to be dealt out.
+A leaf is the shortest prefix of the hash whose rows fit the limit.
+
+Splits are worked out in passes. A pass takes the rows of the buckets that are
+still too large and looks at as many further bits as the largest of them needs, so its
+sums number a few for each leaf. Each pass leaves a directory of its own: an entry for
+every value of its bits, with the leaf there, or none where a later pass goes on.
+A row finds its leaf by one equi-join a pass, on its leading bits.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +22,12 @@ from .common import checkpointed, every, fresh, table
 
 #: Byte limit of a shard in the query.
 LIMIT = 1 << 20
-#: Bits that one pass looks at; a pass follows only for buckets that are still too large.
-PASS_BITS = 20
-#: Bits of the key's hash. Beyond these, rows of equal keys split by their place in the input.
-KEY_BITS = 40
-#: Directories up to so many leaves are broadcast (some 40 bytes each); larger ones are joined by shuffle.
-BROADCAST_LEAVES = 100_000
+#: Bits that the first pass looks at, and a later one at most.
+FIRST_BITS, PASS_BITS = 12, 20
+#: Bits of a row's hash: first those of the key, then those that part rows of equal key.
+BITS, KEY_BITS = 60, 40
+#: Directories up to so many entries are broadcast (some 60 bytes each); larger ones are joined by shuffle.
+BROADCAST_ENTRIES = 100_000
 
 
 def hash_bits(key: Column) -> Column:
@@ -29,33 +35,29 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
 
 
-def _prefix(bits: str, depth: Column | int, width: int) -> Column:
-    """The first ``depth`` of ``width`` bits."""
-    return F.shiftright(F.col(bits), width - depth) if isinstance(depth, int) else F.expr(f"shiftright({bits}, {width} - depth)")
+def _prefix(bits: str, depth: int) -> Column:
+    """The first ``depth`` bits."""
+    return F.shiftright(F.col(bits), BITS - depth)
 
 
-def directory(rows: DataFrame, limit: int) -> DataFrame:
-    """Leaves ``(depth, prefix, shard_bytes, shard_rows)`` from ``rows(bits, size)``, with ``bits`` of 60 bits.
+def directory(rows: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]], DataFrame | None]:
+    """For each pass its number of bits and its leaves ``(depth, prefix, shard_bytes, shard_rows)``, from ``rows(bits, size)``.
+    Also the buckets of several rows that are too large with all bits used up, if there are any.
 
-    A bucket that cannot split further, as all bits are used up, stays a leaf
-    whatever its size: a single row above the limit, or rows beyond what the
-    place bits tell apart. Both halves of a bucket that splits are in the
-    directory, an empty one with 0 bytes, so every hash has exactly one leaf.
+    Such a bucket stays a leaf whatever its size, and so does a single row above
+    the limit. Both halves of a bucket that splits are in the directory, an empty
+    one with 0 bytes, so every hash has exactly one leaf.
     """
-    total = 60
-    done, leaves = 0, None
-    open_ = rows
+    done, step, passes, open_ = 0, FIRST_BITS, [], rows
     while True:
-        last = min(done + PASS_BITS, total)
-        fine = open_.groupBy(_prefix("bits", last, total).alias("fine")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        fine = checkpointed(fine)
-        depths = F.explode(F.sequence(F.lit(done), F.lit(last)))
+        last = min(done + step, BITS)
+        fine = open_.groupBy(_prefix("bits", last).alias("fine")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
         sums = (
-            fine.select("fine", "bytes", "n", depths.alias("depth"))
-            .groupBy("depth", F.expr(f"shiftright(fine, {last} - depth)").alias("prefix"))
+            fine.select("bytes", "n", F.inline(F.expr(f"transform(sequence({done}, {last}), d -> named_struct('depth', d, 'prefix', shiftright(fine, {last} - d)))")))
+            .groupBy("depth", "prefix")
             .agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
         )
-        fits = (F.col("shard_bytes") <= limit) | (F.col("depth") == total) | (F.col("shard_rows") == 1)
+        fits = (F.col("shard_bytes") <= limit) | (F.col("depth") == BITS) | (F.col("shard_rows") == 1)
         sums = checkpointed(sums.withColumn("fits", fits))
         # a leaf fits and its parent, one bit shorter, does not
         parents = sums.where(~F.col("fits") & (F.col("depth") < last)).select((F.col("depth") + 1).alias("d"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("p"))
@@ -63,36 +65,67 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         found = found.select(F.col("d").alias("depth"), F.col("p").alias("prefix"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shard_bytes", "shard_rows")])
         if done == 0:
             found = found.unionByName(sums.where("fits AND depth = 0").select(*found.columns))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        over = sums.where((F.col("depth") == last) & ~F.col("fits")).select(F.col("prefix").alias("over"))
-        if last == total or not over.limit(1).count():
-            return leaves
-        open_ = open_.join(over, _prefix("bits", last, total) == F.col("over"), "left_semi")
-        done = last
+        passes.append((last, checkpointed(found)))
+        over = sums.where((F.col("depth") == last) & ((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)))
+        most = over.agg(F.max("shard_bytes")).first()[0]
+        if most is None or last == BITS:
+            return passes, None if most is None else over.select("prefix")
+        open_ = open_.join(over.select(F.col("prefix").alias("over")), _prefix("bits", last) == F.col("over"), "left_semi")
+        done, step = last, min(PASS_BITS, ceil(log2(most / limit)) + 1)
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    columns = [c for c, f in zip(every(docs), docs.schema.fields) if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*columns)
 
 
 def assign(docs: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataFrame:
     """``docs`` with ``shard_depth``, ``shard_prefix``, ``shard_bytes`` and ``shard_rows``; names that clash get underscores in front.
 
-    Rows of equal key, even a third of the table, part by their place in the
-    input once the ``KEY_BITS`` bits of the key are used up. A null size counts
-    as 0. A single row above the limit is a shard of its own. An empty table
-    gives an empty result.
+    Rows of equal key, even a third of the table, part by the hash of their other
+    columns once the ``KEY_BITS`` bits of the key are used up, so the shard of a row
+    depends on the table's rows alone. Only where rows that are equal in
+    everything exceed the limit, they part by their place in the input; these rows
+    are checkpointed first, so that a task that runs again cannot move them. A
+    null size counts as 0. A single row above the limit is a shard of its own. An
+    empty table gives an empty result.
+
+    Rows are shuffled once at most, if the directory is too large to be broadcast; the
+    leaves of the distinct hashes are then looked up without the rows.
     """
-    bits, width, at, depth, prefix, d, p, b, n = fresh(docs, "shard_bits", "shard_size", "shard_at", "leaf_depth", "leaf_prefix", "shard_depth", "shard_prefix", "shard_bytes", "shard_rows")
-    low = 60 - KEY_BITS
-    place = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(1 << low))
-    marked = docs.withColumn(bits, F.shiftleft(F.shiftright(hash_bits(F.col(key)), low), low) + place)
+    bits, width, d, p, b, n = fresh(docs, "shard_bits", "shard_size", "shard_depth", "shard_prefix", "shard_bytes", "shard_rows")
+    low = BITS - KEY_BITS
+    own = lambda x: F.shiftleft(F.shiftright(x, low), low)  # noqa: E731  the key's bits
+    marked = docs.withColumn(bits, own(hash_bits(F.col(key))) + F.pmod(_content(docs), F.lit(1 << low)))
     marked = marked.withColumn(width, F.coalesce(size, F.lit(0)).cast("long"))
-    leaves = checkpointed(directory(marked.select(F.col(bits).alias("bits"), F.col(width).alias("size")), limit))
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # 61 values at most
-    small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    leaves = leaves.select(F.col("depth").alias(depth), F.col("prefix").alias(prefix), F.col("shard_bytes").alias(b), F.col("shard_rows").alias(n))
-    # each row has one leaf, at one of these depths
-    places = [F.struct(F.lit(x).alias("depth"), _prefix(bits, x, 60).alias("prefix")) for x in depths or [0]]
-    out = marked.withColumn(at, F.explode(F.array(*places)))
-    out = out.join(F.broadcast(leaves) if small else leaves, (F.col(at)["depth"] == F.col(depth)) & (F.col(at)["prefix"] == F.col(prefix)))
-    return out.select(*every(docs), F.col(depth).alias(d), F.col(prefix).alias(p), F.col(b), F.col(n))
+    sizes = lambda rows: rows.select(F.col(bits).alias("bits"), F.col(width).alias("size"))
+    passes, stuck = directory(sizes(marked), limit)
+    if stuck is not None:
+        keys = checkpointed(stuck.select(F.shiftright("prefix", low).alias("stuck_key")).distinct())
+        on = F.shiftright(F.col(bits), low) == F.col("stuck_key")
+        place = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(1 << low))
+        heavy = checkpointed(marked.join(keys, on, "left_semi").withColumn(bits, own(F.col(bits)) + place))
+        marked = marked.join(keys, on, "left_anti").unionByName(heavy)
+        passes, _ = directory(sizes(marked), limit)
+    entries = 0
+    for last, leaves in passes:
+        entries += leaves.agg(F.sum(F.expr(f"shiftleft(1L, {last} - depth)"))).first()[0] or 0
+    small = entries <= BROADCAST_ENTRIES
+    found = marked if small else marked.select(bits).distinct()
+    at = []
+    for k, (last, leaves) in enumerate(passes):
+        covers = F.expr(f"explode(sequence(shiftleft(prefix, {last} - depth), shiftleft(prefix + 1, {last} - depth) - 1))")
+        (entry, leaf) = fresh(found, f"shard_entry_{k}", f"shard_leaf_{k}")
+        table_ = leaves.select(covers.alias(entry), F.struct("depth", "prefix", "shard_bytes", "shard_rows").alias(leaf))
+        found = found.join(F.broadcast(table_) if small else table_, _prefix(bits, last) == F.col(entry), "left").drop(entry)
+        at.append(leaf)
+    leaf = F.coalesce(*at)
+    if not small:
+        (same, one) = fresh(marked, "shard_same", "shard_leaf")
+        found = marked.join(found.select(F.col(bits).alias(same), leaf.alias(one)), F.col(bits) == F.col(same))
+        leaf = F.col(one)
+    return found.select(*every(docs), leaf["depth"].alias(d), leaf["prefix"].alias(p), leaf["shard_bytes"].alias(b), leaf["shard_rows"].alias(n))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", limit: int = LIMIT) -> None:

@@ -62,6 +62,52 @@ def test_hot_vector_and_small_blocks(spark, monkeypatch):
     assert [i for _, i, _ in got[0]][:3] == [i for i, _ in want[0]][:3]
 
 
+def exact_neighbours(rows, k):
+    """By scores that are added up from the first component to the last."""
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    ids = np.array([i for i, _ in rows])
+    out = {}
+    for i, v in zip(ids, x):
+        if i % 20 == 0:
+            score = np.zeros(len(x))
+            for d in range(x.shape[1]):
+                score += v[d] * x[:, d]
+            best = sorted((-s, j) for s, j in zip(score.tolist(), ids.tolist()) if j != i)[:k]
+            out[int(i)] = [(j, -s) for s, j in best]
+    return out
+
+
+@pytest.mark.parametrize("block", [37, 4096])
+def test_scores_and_ties_do_not_depend_on_blocks(spark, monkeypatch, block):
+    """Equal real-valued vectors lie in several blocks: exact scores, ties to the smaller id."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 5 if block == 37 else 2048)
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(9, 33)).astype(np.float32)
+    rows = [(i, few[i * 7 % 9].tolist()) for i in range(700)]
+    got = searched(spark, rows, k=20, recall=1.0)
+    assert {q: [(i, s) for _, i, s in v] for q, v in got.items()} == exact_neighbours(rows, 20)
+
+
+def test_large_leaves_get_subtrees(spark, monkeypatch):
+    """Leaves grow in number with the table; results stay near the exact ones."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(ann, "LEAF_MOST", 120)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8))
+    rows = [(i, (centres[i % 40] + 0.2 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(4000)]
+    grafted = []
+    graft = ann.Tree.graft
+    monkeypatch.setattr(ann.Tree, "graft", lambda self, subtrees: grafted.append((self.leaves, graft(self, subtrees))) or grafted[-1][1])
+    got, want = searched(spark, rows, k=10), exact_neighbours(rows, 10)
+    (before, tree) = grafted[0]
+    assert tree.leaves > 2 * before and sorted(tree.leaf[tree.leaf >= 0]) == list(range(tree.leaves))
+    x = np.array([v for _, v in rows])
+    assert sum(tree.held) == 4000 and set(tree.file(x).tolist()) <= set(range(tree.leaves))
+    hit = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * sum(map(len, want.values()))
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (20, [3.0, 1.0]), (20, [-3.0, 1.0]), (1, [1.0, 0.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0]), (9, [1.0, 2.0, 3.0])]
     want = neighbours([r for r in rows if r[1] is None or len(r[1]) < 3], 20)
@@ -120,6 +166,28 @@ def test_broken_containers():
     assert track.keyframes == [(100, 4), (104, 6), (200, 5)] and track.runs == [(100, 10), (200, 5)]
 
 
+def test_two_tracks():
+    """A track that lacks a table of sync samples, or has chunk offsets of another width, does not take the other track's."""
+    import struct
+
+    box, full = media._box, media._full
+
+    def trak(codec, sizes, offsets, wide, keys):
+        tables = [full(b"stsd", struct.pack(">I", 1), box(codec)), full(b"stts", struct.pack(">III", 1, len(sizes), 10)), full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1))]
+        tables += [full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), full(b"co64" if wide else b"stco", struct.pack(f">I{'Q' if wide else 'I'}", 1, *offsets))]
+        tables += [full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))] if keys else []
+        mdhd = full(b"mdhd", bytes(8), struct.pack(">IIHH", 600, 30, 0, 0))
+        return box(b"trak", box(b"mdia", mdhd, box(b"minf", box(b"stbl", *tables))))
+
+    data = box(b"moov", trak(b"avc1", [3, 4, 5], [100], False, []), trak(b"mp4a", [6, 7], [200], True, [2]))
+    one, two = media.tracks(data)
+    assert one.codec == "avc1" and one.keyframes == [(100, 3), (103, 4), (107, 5)] and one.runs == [(100, 12)]
+    assert two.codec == "mp4a" and two.keyframes == [(206, 7)] and two.runs == [(200, 13)]
+    assert media.probe(data) == one
+    with pytest.raises(ValueError, match="no track"):
+        media.probe(box(b"moov"))
+
+
 def test_media_columns(spark):
     docs = [(1, "hello"), (2, ""), (3, None), (4, "é" * 40), (5, "x" * 64), (None, "hello"), (6, "long " * 100_000)]
     df = wide(spark, [(d, t, "s") for d, t in docs])
