@@ -7,10 +7,13 @@ are candidates, and every link is confirmed on the full shingle sets.
 
 Texts with equal sets form one class first. Within a bucket, candidates are
 tested against the smallest class (a star, not all pairs). Only buckets whose
-other members are still in several components afterwards are looked at again:
-their members meet in blocks of bounded size, and each block reports a spanning
-forest of its confirmed links. No link between components is lost, and none of
-the pairs that are already connected are made.
+other members are still in several components afterwards are looked at again.
+Members of a small one meet in one block, which reports a spanning forest of its
+confirmed links. Members of large ones meet where they share a rare shingle: with
+shingles ordered by how many of these members have them, rarest first, two sets of
+a similarity of s share one among their first (1 - s) of shingles, so pages of a
+template that have texts of their own do not meet at all. No link between
+components is lost, and none of the pairs that are already connected are made.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, chunks, mix, spans_hash, texts, words
-from .common import checkpointed, components, fresh, table
+from .common import checkpointed, components, discard, fresh, table
 
 #: Bands and coordinates in each. A pair at similarity 0.85 stays unseen with a chance of 6e-9, at 0.8 of 6e-7.
 BANDS, ROWS = 20, 3
@@ -202,19 +205,58 @@ def links(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
     joined = components(found)
     # Second look: members other than the hub that ended in different components.
     labelled = members.where("size > 2").join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    open_ = checkpointed(_undecided(labelled))
+    more = None
+    if open_.limit(1).count():
+        more = _meet(open_.where("blocks = 1"), text, n, percent)
+        large = open_.where("blocks > 1")
+        if large.limit(1).count():
+            more = more.unionByName(_meet(_undecided(_rare(large, text, n, percent)), text, n, percent))
+        more = checkpointed(more)
+        if more.limit(1).count():
+            joined = components(found.unionByName(more))
+        discard(more)
+    discard(classes, members, found, open_)
+    return joined
+
+
+def _undecided(labelled: DataFrame) -> DataFrame:
+    """Of groups ``(key, rep, n, label)`` those with several labels, once for groups of the same members: ``(key, rep, label, blocks)``."""
     split = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("c")).where("l < h")
-    once = split.groupBy("m", F.col("n").alias("total"), "c").agg(F.min("key").alias("k"))  # buckets of the same members count once
-    open_ = checkpointed(labelled.join(once, F.col("key") == F.col("k")).select("key", "rep", "label", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    if not open_.limit(1).count():
-        return joined
+    once = split.groupBy("m", F.col("n").alias("total"), "c").agg(F.min("key").alias("k"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    return labelled.join(once, F.col("key") == F.col("k")).select("key", "rep", "label", blocks.alias("blocks"))
+
+
+def _meet(open_: DataFrame, text: DataFrame, n: int, percent: int) -> DataFrame:
+    """Confirmed links between different labels of each group, whose members meet block by block."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     met = open_.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "rep", "label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     met = met.join(text.withColumnRenamed("doc_id", "rep"), "rep")
-    more = checkpointed(met.groupBy("key", "i", "j").applyInArrow(_forest(n, percent), "a bigint, b bigint"))
-    if not more.limit(1).count():
-        return joined
-    return components(found.unionByName(more))
+    return met.groupBy("key", "i", "j").applyInArrow(_forest(n, percent), "a bigint, b bigint")
+
+
+def _rare(large: DataFrame, text: DataFrame, n: int, percent: int) -> DataFrame:
+    """Members of large groups by shingle, ``(key, rep, n, label)``: for each its rarest ones, as many as any partner must share one of."""
+    def sets(batches):
+        for batch in batches:
+            codes, offsets = texts(batch.column(2))
+            for a, b in chunks(offsets):
+                got = shingles(codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in got])]).astype(np.int32))
+                flat = np.concatenate(got).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.ListArray.from_arrays(ends, pa.array(flat))], ["rep", "label", "s"])
+
+    members = large.select("rep", "label").distinct().join(text.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "label", "text")
+    # rows that share an id are one member with the shingles of all
+    each = members.mapInArrow(sets, "rep bigint, label bigint, s array<bigint>").select("rep", "label", F.explode("s").alias("token")).distinct()
+    each = checkpointed(each)
+    common = each.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("held"))
+    ranked = each.join(common, F.col("token") == F.col("t")).groupBy("rep", "label").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("s"))  # a text's shingles
+    first = F.expr(f"size(s) - CAST(ceil(size(s) * {percent} / 100) AS INT) + 1")
+    rare = ranked.select("rep", "label", F.size("s").alias("n"), F.inline(F.slice("s", F.lit(1), first)))
+    return rare.where("held > 1").select(F.col("token").alias("key"), "rep", "n", "label")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -7,8 +7,10 @@ A document falls apart into pieces, runs of string starts with one minimizer.
 1. Documents are stored in chunks, and each chunk names its minimizers.
 2. Minimizers are compared in buckets; each chunk learns which occur in several documents.
 3. Chunks send the pieces of those minimizers to buckets, equal pieces of a chunk once.
-   Pieces of a minimizer that very many chunks have are cut into single strings first,
-   which go to buckets by their own hashes, so no bucket grows with one minimizer.
+   Pieces of a minimizer that stands in very many contexts are cut into single strings
+   first, which go to buckets by their own hashes, so no bucket grows with one
+   minimizer. As such a string may stand in every chunk, its smallest document is
+   found in two steps: among some thousand chunks each, then among what these found.
 4. Each bucket builds the Burrows-Wheeler transform of its distinct pieces and
    extends intervals backwards, breadth first, so common prefixes are derived by
    increasing value, up to ``length``. What is then still undivided shares a string
@@ -36,12 +38,16 @@ from .common import checkpointed, table
 LENGTH = 50
 #: Bytes of text in a chunk and behind a bucket, about.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 3 << 20
-#: A minimizer that so many chunks have is hot: its strings are dealt to buckets one by one, by their own hashes.
-HOT_CHUNKS = 20_000
+#: A minimizer is hot if it has so many units, each of up to four different pieces of one chunk (some 300 bytes):
+#: its strings are dealt to buckets one by one, by their own hashes.
+HOT_UNITS, UNIT_PIECES = 20_000, 4
+#: Chunks whose hot strings meet first; bytes of a partition, about, where the session's shuffle partitions are too few.
+FAN_IN, PARTITION_BYTES = 2048, 64 << 20
 #: Starts that are hashed at once, and the bits that hold a place among them.
 _BLOCK, _LOW = 1 << 15, (1 << 16) - 1
 _U = np.uint64
 _ROW = "chunk bigint, bucket int, data binary"
+_BITS = "chunk bigint, bucket int, data binary, hot boolean"
 _NONE = np.iinfo(np.int64).max
 
 
@@ -276,8 +282,9 @@ def _named(buckets: int, length: int):
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(2)):
                 ids, named, at, codes = _unpress(data.as_py(), *_TEXTS)
-                start, _, h = pieces(codes, at, length)
-                key = np.unique(_keys(h[named[np.searchsorted(at, start, side="right") - 1]], buckets)[0])
+                start, count, h = pieces(codes, at, length)
+                key, units = _counted(codes, at, named, start, count, h, buckets, length)
+                key = np.repeat(key, units)
                 if len(key):
                     cut = np.flatnonzero(np.diff((key >> _U(32)).astype(np.int64))) + 1
                     low = (key & _U(0xFFFFFFFF)).astype(np.uint32)
@@ -287,20 +294,39 @@ def _named(buckets: int, length: int):
     return name
 
 
+def _counted(codes, at, named, start, count, h, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's distinct minimizers, as by ``_keys``, and their units: different pieces, by fours. Few pieces are not compared."""
+    good = named[np.searchsorted(at, start, side="right") - 1]
+    start, count = start[good], count[good]
+    key, back, pieces_ = np.unique(_keys(h[good], buckets)[0], return_inverse=True, return_counts=True)
+    many = np.flatnonzero(pieces_[back] > 16 * UNIT_PIECES)
+    if len(many):
+        name = spans_hash(codes, start[many], start[many] + count[many] + length - 1)
+        order = np.lexsort((name, back[many]))
+        own, name = back[many][order], name[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (name[1:] != name[:-1])
+        pieces_[np.unique(own)] = 0
+        np.add.at(pieces_, own[new], 1)
+    return key, -(-pieces_ // UNIT_PIECES)
+
+
 def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 32 further bits of a minimizer as one number, and the bucket."""
     bucket = (h >> _U(32)) % _U(buckets)
     return bucket << _U(32) | h & _U(0xFFFFFFFF), bucket.astype(np.int64)
 
 
-def _compared(t: pa.Table, hot: int) -> pa.Table:
-    """Step 2: for each chunk of a bucket, a bit for each minimizer, set if another chunk has it too, and one set if it is hot."""
+def _compared(t: pa.Table, most: int) -> pa.Table:
+    """Step 2: for each chunk of a bucket, a bit for each minimizer, set if another chunk has it too, and one set if it is
+    hot, as it has more than ``most`` units. Minimizers stand once for each unit; all but the first bits of one are idle."""
     blobs = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("data")]
     ends = np.cumsum([0, *map(len, blobs)])
-    _, back, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-    count = count[back]
-    data = [np.packbits(count[a:b] > 1).tobytes() + np.packbits(count[a:b] > hot).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary())})
+    _, back, units = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+    once = np.concatenate([np.concatenate([[True], x[1:] != x[:-1]]) for x in blobs])
+    shared, hot = np.bincount(back[once], minlength=len(units))[back] > 1, (units > most)[back]
+    data = [np.packbits(shared[a:b]).tobytes() + np.packbits(hot[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary()), "hot": pa.array([bool(hot[a:b].any()) for a, b in zip(ends[:-1], ends[1:])])})
 
 
 def _sent(buckets: int, length: int):
@@ -319,12 +345,15 @@ def _sent(buckets: int, length: int):
             return empty
         key, bucket = _keys(h, buckets)
         unique, back = np.unique(key, return_inverse=True)
+        units = _counted(codes, at, named, start, count, h, buckets, length)[1]
         by = {int(b.as_py()): d.as_py() for b, d in zip(bits.column("bucket"), bits.column("data"))}
         edges = np.flatnonzero(np.diff((unique >> _U(32)).astype(np.int64), prepend=-1, append=-1))
         told = [np.frombuffer(by[int(unique[a] >> _U(32))], np.uint8) for a in edges[:-1]]
-        sizes = np.diff(edges).tolist()
-        shared = np.concatenate([np.unpackbits(x[: len(x) // 2], count=n) for x, n in zip(told, sizes)]).astype(bool)
-        hot = np.concatenate([np.unpackbits(x[len(x) // 2 :], count=n) for x, n in zip(told, sizes)]).astype(bool)
+        total = np.concatenate([[0], np.cumsum(units)])
+        sizes = np.diff(total[edges]).tolist()
+        first = total[:-1]  # where each minimizer's bits begin
+        shared = np.concatenate([np.unpackbits(x[: len(x) // 2], count=n) for x, n in zip(told, sizes)]).astype(bool)[first]
+        hot = np.concatenate([np.unpackbits(x[len(x) // 2 :], count=n) for x, n in zip(told, sizes)]).astype(bool)[first]
         low, high = np.full(len(unique), _NONE), np.full(len(unique), -_NONE)
         np.minimum.at(low, back, ids[doc])
         np.maximum.at(high, back, ids[doc])
@@ -335,7 +364,7 @@ def _sent(buckets: int, length: int):
         if hot.any():  # cut into single strings
             n = np.where(hot, count, 1)
             start, count, doc, bucket, hot = _spread(start, n), np.repeat(np.where(hot, 1, count), n), np.repeat(doc, n), np.repeat(bucket, n), np.repeat(hot, n)
-            bucket[hot] = _keys(spans_hash(codes, start[hot], start[hot] + length), buckets)[1]
+            bucket[hot] = buckets + _keys(spans_hash(codes, start[hot], start[hot] + length), buckets)[1]
         end = start + count + length - 1
         name = spans_hash(codes, start, end)
         order = np.lexsort((ids[doc], name, bucket))
@@ -352,6 +381,33 @@ def _sent(buckets: int, length: int):
     return send
 
 
+def _distinct(rows: pa.ChunkedArray):
+    """Pieces of all rows: sizes, owners, bytes and ends; those that differ, each of its smallest owner, by hash; and which of these each is."""
+    blobs = [_unpress(x.as_py(), np.uint16, np.int64, np.uint8) for x in rows]
+    size = np.concatenate([x[0] for x in blobs]).astype(np.int64)
+    first = np.concatenate([x[1] for x in blobs])
+    body = np.concatenate([x[2] for x in blobs])
+    ends = np.cumsum(size)
+    name = spans_hash(body, ends - size, ends)
+    order = np.lexsort((first, name))
+    new = np.ones(len(order), bool)
+    new[1:] = name[order][1:] != name[order][:-1]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return size, first, body, ends, order[new], back, np.cumsum([len(x[0]) for x in blobs])[:-1]
+
+
+def _least(size, first, body, ends, head, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start in the pieces ``head`` the smallest owner of its string, by the transform, and where each piece begins."""
+    long = size[head] + 1
+    # symbols from 1: the bytes that occur, numbered in order; fewer than 256 as UTF-8 never has them all
+    symbol = np.cumsum(np.bincount(body, minlength=256) > 0).astype(np.uint8)
+    text = np.zeros(long.sum(), np.uint8)
+    at = np.cumsum(long) - long
+    text[_spread(at, size[head])] = symbol[body[_spread(ends[head] - size[head], size[head])]]
+    return keepers(text, np.repeat(first[head], long), np.repeat(at + size[head], long), length), at
+
+
 def _answered(length: int):
     """Step 4: a bucket's pieces to a mask of starts for each, set where a smaller document has the string. Places pass."""
 
@@ -359,37 +415,51 @@ def _answered(length: int):
         t = t.select(["chunk", "bucket", "data"])
         if t.column("bucket")[0].as_py() < 0:
             return t
-        blobs = [_unpress(x.as_py(), np.uint16, np.int64, np.uint8) for x in t.column("data")]
-        size = np.concatenate([x[0] for x in blobs]).astype(np.int64)
-        first = np.concatenate([x[1] for x in blobs])
-        body = np.concatenate([x[2] for x in blobs])
-        ends = np.cumsum(size)
-        name = spans_hash(body, ends - size, ends)
-        order = np.lexsort((first, name))
-        new = np.ones(len(order), bool)
-        new[1:] = name[order][1:] != name[order][:-1]
-        head = order[new]  # distinct pieces, each of its smallest document
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(new) - 1
-        long = size[head] + 1
-        # symbols from 1: the bytes that occur, numbered in order; fewer than 256 as UTF-8 never has them all
-        symbol = np.cumsum(np.bincount(body, minlength=256) > 0).astype(np.uint8)
-        text = np.zeros(long.sum(), np.uint8)
-        at = np.cumsum(long) - long
-        text[_spread(at, size[head])] = symbol[body[_spread(ends[head] - size[head], size[head])]]
-        least = keepers(text, np.repeat(first[head], long), np.repeat(at + size[head], long), length)
+        size, first, body, ends, head, back, cut = _distinct(t.column("data"))
+        least, at = _least(size, first, body, ends, head, length)
         mask = np.zeros(len(size), _U)
         starts = size - length + 1
         for k in range(int(starts.max())):
             rows = np.flatnonzero(starts > k)
             mask[rows] |= (least[at[back[rows]] + k] < first[rows]).astype(_U) << _U(k)
-        cut = np.cumsum([len(x[0]) for x in blobs])[:-1]
         data = [_press(x) for x in np.split(mask, cut)]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary())})
 
     return answer
 
 
+_HOT = "chunk bigint, bucket int, data binary, lot bigint"
+
+
+def _met(t: pa.Table) -> pa.Table:
+    """Step 4, hot strings of one bucket in a lot of chunks: the different ones in one row, each with its smallest owner."""
+    size, first, body, ends, head, _, _ = _distinct(t.column("data"))
+    data = _press(size[head].astype(np.uint16), first[head], body[_spread(ends[head] - size[head], size[head])])
+    return pa.table({"chunk": pa.array([-1], pa.int64()), "bucket": t.column("bucket").slice(0, 1), "data": pa.array([data], pa.binary()), "lot": t.column("lot").slice(0, 1)})
+
+
+def _settled(length: int):
+    """Step 4, what the lots of a bucket found: for each string of each lot its smallest owner among all."""
+
+    def settle(t: pa.Table) -> pa.Table:
+        size, first, body, ends, head, back, cut = _distinct(t.column("data"))
+        least, at = _least(size, first, body, ends, head, length)
+        data = [_press(x) for x in np.split(least[at[back]], cut)]
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary()), "lot": t.column("lot")})
+
+    return settle
+
+
+def _returned(asked: pa.Table, found: pa.Table) -> pa.Table:
+    """Step 4, hot strings of a lot and their smallest owners: masks as from ``_answered``, of one start each."""
+    if not asked.num_rows:
+        return _rows(0, [])
+    _, first, _, _, _, back, cut = _distinct(asked.column("data"))
+    (least,) = _unpress(found.column("data")[0].as_py(), np.int64)  # in the order of the lot's different strings
+    data = [_press(x) for x in np.split((least[back] < first).astype(_U), cut)]
+    return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "data": pa.array(data, pa.binary())})
+
+
 _OUT = "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
 
 
@@ -460,19 +530,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, -(-total // BUCKET_BYTES)))
+    parts = -(-total // PARTITION_BYTES)
+
+    def by(df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` dealt by ``keys``, to more partitions than the session's where these would be too large."""
+        return df.repartition(int(parts), *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
     stored = checkpointed(rows.mapInArrow(_stored, _ROW))
-    held = stored.groupBy("chunk")
-    hot = HOT_CHUNKS
+    held = by(stored, "chunk").groupBy("chunk")
+    most = HOT_UNITS
 
     def compared(t: pa.Table) -> pa.Table:
-        return _compared(t, hot)
+        return _compared(t, most)
 
-    bits = stored.mapInArrow(_named(buckets, length), _ROW).groupBy("bucket").applyInArrow(compared, _ROW)
-    sent = held.cogroup(bits.groupBy("chunk")).applyInArrow(_sent(buckets, length), _ROW)
+    bits = checkpointed(by(stored.mapInArrow(_named(buckets, length), _ROW), "bucket").groupBy("bucket").applyInArrow(compared, _BITS))
+    hot = bits.where("hot").limit(1).count() > 0
+    sent = held.cogroup(by(bits.drop("hot"), "chunk").groupBy("chunk")).applyInArrow(_sent(buckets, length), _ROW)
+    sent = checkpointed(sent) if hot else sent
     # pieces go to their bucket, places to a slot of their own, in one exchange
     slot = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long"))
-    told = sent.withColumn("slot", slot).groupBy("slot").applyInArrow(_answered(length), _ROW)
-    return held.cogroup(told.groupBy("chunk")).applyInArrow(_removed(length), _OUT)
+    told = by(sent.where(F.col("bucket") < buckets).withColumn("slot", slot), "slot").groupBy("slot").applyInArrow(_answered(length), _ROW)
+    if hot:
+        lots = max(1, -(-total // (CHUNK_BYTES * FAN_IN)))
+        single = sent.where(F.col("bucket") >= buckets).withColumn("lot", F.pmod(F.xxhash64("chunk"), F.lit(lots)))
+        lot = single.groupBy("bucket", "lot")
+        owners = lot.applyInArrow(_met, _HOT).groupBy("bucket").applyInArrow(_settled(length), _HOT)
+        told = told.unionByName(lot.cogroup(owners.groupBy("bucket", "lot")).applyInArrow(_returned, _ROW))
+    return held.cogroup(by(told, "chunk").groupBy("chunk")).applyInArrow(_removed(length), _OUT)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tensorloom.llm import bytesets, common, minhash, packing, quality, suffixes, tokens
@@ -89,6 +90,27 @@ def test_second_look_finds_links_that_miss_the_hub(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in rows} == want
 
 
+def test_second_look_by_rare_shingles(spark, monkeypatch):
+    """Pages of one template with texts of their own, some of them copied with small edits: links that miss the hub are found,
+    and pages that share the template alone do not meet."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    head = [f"t{i}" for i in range(60)]
+    docs = []
+    for k in range(60):
+        own = [f"p{k // 3}x{i}" for i in range(40)]
+        own[7 + k % 3] = f"e{k}"
+        docs.append((k * 17 % 61, " ".join(head + own)))
+    rows = minhash.near_duplicates(docs_of(spark, docs), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(docs, 3, 85)
+    text = docs_of(spark, docs).select("doc_id", "text")
+    members = text.select(F.lit(1).alias("key"), F.col("doc_id").alias("rep"), F.lit(98).alias("n"), F.col("doc_id").alias("label"), F.lit(10).alias("blocks"))
+    met = minhash._rare(members, text, 3, 85)
+    assert met.groupBy("key").count().agg(F.max("count")).first()[0] <= 3, "only copies meet"
+    got = minhash._meet(minhash._undecided(met), text, 3, 85).collect()
+    found = {(min(a, b), max(a, b)) for a, b in got}
+    assert len({x for p in found for x in p}) == 60
+
+
 def test_keep_one_edges(spark):
     base = "a b c d e f g h i j k l"
     df = wide(spark, [(1, base, "s"), (2, base, None), (None, base, "s"), (3, None, "s"), (4, "", None), (5, base + " m" * 30_000, "s")])
@@ -133,9 +155,12 @@ def removed_bytes(docs, length):
         yield d, len(b), bytes(x for x, g in zip(b, gone) if not g), [m.span() for m in re.finditer(b"\1+", bytes(gone))]
 
 
-@pytest.mark.parametrize("length,hot", [(8, 20_000), (20, 2), (50, 20_000), (50, 2)])
-def test_repeats_brute_force(spark, length, hot, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT_CHUNKS", hot)
+@pytest.mark.parametrize("length,hot,fan_in", [(8, 20_000, 2048), (20, 2, 3), (50, 20_000, 2048), (50, 2, 1), (50, 0, 2048)])
+def test_repeats_brute_force(spark, length, hot, fan_in, monkeypatch):
+    """Also with hot minimizers, whose strings meet in lots of chunks first, and with partitions of a few bytes."""
+    monkeypatch.setattr(suffixes, "HOT_UNITS", hot)
+    monkeypatch.setattr(suffixes, "FAN_IN", fan_in)
+    monkeypatch.setattr(suffixes, "PARTITION_BYTES", 700 if fan_in == 3 else 64 << 20)
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 600)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
     rng = random.Random(length)
