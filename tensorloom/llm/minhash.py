@@ -8,12 +8,14 @@ are candidates, and every link is confirmed on the full shingle sets.
 Texts with equal sets form one class first. Within a bucket, candidates are
 tested against the smallest class (a star, not all pairs). Only buckets whose
 other members are still in several components afterwards are looked at again.
-Members of a small one meet in one block, which reports a spanning forest of its
-confirmed links. Members of large ones meet where they share a rare shingle: with
-shingles ordered by how many of these members have them, rarest first, two sets of
-a similarity of s share one among their first (1 - s) of shingles, so pages of a
-template that have texts of their own do not meet at all. No link between
-components is lost, and none of the pairs that are already connected are made.
+Members meet in blocks of bounded size, and each block reports a spanning forest of its
+confirmed links. Members of very large buckets may meet where they share a rare
+shingle instead: with shingles ordered by how many of these members have them,
+rarest first, two sets of a similarity of s share one among their first (1 - s) of
+shingles, so pages of a template that have texts of their own do not meet at all.
+Both ways find the same links; the one that brings fewer members together is taken.
+No link between components is lost, and none of the pairs that are already
+connected are made.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import checkpointed, components, discard, fresh, table
 BANDS, ROWS = 20, 3
 #: Members of a block in the second look, and shingles of its members, about; two blocks meet in one task.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Buckets of more blocks are looked at by rare shingles too.
+LARGE_BLOCKS = 16
 _U, _W = np.uint64, np.uint32
 
 
@@ -208,14 +212,18 @@ def links(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
     open_ = checkpointed(_undecided(labelled))
     more = None
     if open_.limit(1).count():
-        more = _meet(open_.where("blocks = 1"), text, n, percent)
-        large = open_.where("blocks > 1")
-        if large.limit(1).count():
-            more = more.unionByName(_meet(_undecided(_rare(large, text, n, percent)), text, n, percent))
+        large, rare = open_.where(F.col("blocks") > LARGE_BLOCKS), None
+        brought = large.agg(F.sum("blocks")).first()[0]  # each member comes once for every block
+        if brought:
+            rare = checkpointed(_undecided(_rare(large, text, n, percent)))
+            if (rare.agg(F.sum("blocks")).first()[0] or 0) < brought:
+                large = rare
+        more = _meet(open_.where(F.col("blocks") <= LARGE_BLOCKS), text, n, percent)
+        more = more.unionByName(_meet(large, text, n, percent)) if brought else more
         more = checkpointed(more)
         if more.limit(1).count():
             joined = components(found.unionByName(more))
-        discard(more)
+        discard(more, *([rare] if rare is not None else []))
     discard(classes, members, found, open_)
     return joined
 

@@ -76,9 +76,11 @@ def test_near_duplicates_brute_force(spark, n, percent):
             assert r["n_shingles"] in {len(s) for s in sets_of(docs, n)[r["doc_id"]]}
 
 
-def test_second_look_finds_links_that_miss_the_hub(spark, monkeypatch):
+@pytest.mark.parametrize("large", [1, 16])
+def test_second_look_finds_links_that_miss_the_hub(spark, monkeypatch, large):
     """A chain whose ends are not alike, in blocks of a few members."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "LARGE_BLOCKS", large)
     rng = random.Random(1)
     w = [f"w{i}" for i in range(120)]
     docs = []
@@ -94,6 +96,7 @@ def test_second_look_by_rare_shingles(spark, monkeypatch):
     """Pages of one template with texts of their own, some of them copied with small edits: links that miss the hub are found,
     and pages that share the template alone do not meet."""
     monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr(minhash, "LARGE_BLOCKS", 1)
     head = [f"t{i}" for i in range(60)]
     docs = []
     for k in range(60):
