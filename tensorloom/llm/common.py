@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tensorloom-checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    for made in _watching:
+        made.append(out)
+    return out
+
+
+_watching: list[list[DataFrame]] = []
+
+
+@contextmanager
+def watched() -> Iterator[list[DataFrame]]:
+    """The checkpoints that are made within, for ``discard`` once their last reader is done."""
+    made: list[DataFrame] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
 
 
 def discard(*checkpoints: DataFrame) -> None:

@@ -12,8 +12,10 @@ The steps form a reduction tree: documents of a source are dealt by hash to
 small groups; each group settles all but one document, and those residuals are
 dealt to groups of the next level, until a source has one left. A hot source
 just has more groups, so no task holds a source. Documents meet others of
-their size class, the largest first, so that what is left over in the end,
-whose rounding is the only error of a source's sum, is small.
+their size class, the largest first. What is left over in the end is rounded to
+the nearer side; that is the only error of a source's sum. It is made smaller
+where turning one other document of the last group, the one that fits best,
+makes up for it.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def _meet(state: Column, item: Column, seed: int) -> Column:
     pa, pb = a["p"] + move / wa, b["p"] - move / wb
     done = lambda p: (p < _TINY) | (p > 1 - _TINY)
     moved = lambda x, p: F.struct(x["key"].alias("key"), x["size"].alias("size"), p.alias("p"))
-    settled = lambda x, p: F.struct(x["key"].alias("key"), F.round(p).cast("int").alias("extra"))
+    settled = lambda x, p: F.struct(x["key"].alias("key"), x["size"].alias("size"), F.round(p).cast("int").alias("extra"))
     na, nb = moved(a, pa), moved(b, pb)
     # a document that has become integral is settled; if both have, b waits with its 0 or 1 and changes nothing later
     return F.struct(
@@ -85,18 +87,30 @@ def _fold(dealt: DataFrame, by: list[str], seed: int) -> DataFrame:
     first = F.element_at("items", 1)
     start = F.struct(
         F.struct(first["key"].alias("key"), first["size"].alias("size"), first["p"].alias("p")).alias("left"),
-        F.filter(F.transform("items", lambda x: F.struct(x["key"].alias("key"), F.lit(0).alias("extra"))), lambda x: F.lit(False)).alias("settled"),
+        F.filter(F.transform("items", lambda x: F.struct(x["key"].alias("key"), x["size"].alias("size"), F.lit(0).alias("extra"))), lambda x: F.lit(False)).alias("settled"),
     )
     rest = F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))
     return grouped.select(*by, F.aggregate(rest, start, lambda s, x: _meet(s, x, seed)).alias("s")).select(*by, "s.left", "s.settled")
 
 
+def _evened(left: Column, settled: Column) -> Column:
+    """All documents of a stratum's last group with their 0 or 1: the one left over on its nearer side, and one other turned if that helps."""
+    extra = F.round(left["p"]).cast("int")
+    over = (extra - left["p"]) * left["size"]
+    turned = lambda x: over + F.when(x["extra"] == 1, -x["size"]).otherwise(x["size"])
+    best = F.array_min(F.transform(settled, lambda x: F.struct(F.abs(turned(x)).alias("off"), F.xxhash64(x["key"]).alias("h"))))
+    helps = lambda x: F.coalesce((best["off"] < F.abs(over)) & (F.abs(turned(x)) == best["off"]) & (F.xxhash64(x["key"]) == best["h"]), F.lit(False))
+    rest = F.transform(settled, lambda x: F.struct(x["key"].alias("key"), F.when(helps(x), 1 - x["extra"]).otherwise(x["extra"]).alias("extra")))
+    return F.concat(rest, F.array(F.struct(left["key"].alias("key"), extra.alias("extra"))))
+
+
 def pivotal(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
     """``(key, extra)`` from ``items(stratum, size_class, class_rows, key, size, p)``: 0 or 1 for each key with expectation ``p``.
 
     ``class_rows`` is the number of items of the stratum and size class; ``key``
     has no repeats; ``p`` is in [0, 1]. Within a stratum the sum of ``size * extra``
-    differs from that of ``size * p`` by the size of the last document at most.
+    differs from that of ``size * p`` by half the size of the last document at most.
+    That document, and the one that makes up for it, are off their expectation.
     Each level of the tree leaves one of about ``fan_in`` documents of a size
     class open. Once no class of a stratum has more than ``fan_in`` open ones, all
     classes of the stratum meet, from the largest documents to the smallest.
@@ -114,8 +128,7 @@ def pivotal(items: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
         items = items.where(f"class_rows <= {fan_in}").unionByName(open_)
         largest, level = -(-largest // fan_in), level + 1
     folded = checkpointed(_fold(items, ["stratum"], seed + level))
-    parts.append(folded.select(F.explode("settled").alias("x")).select("x.key", "x.extra"))
-    parts.append(folded.select("left.key", (_uniform(F.lit(seed + 104729), F.col("left.key")) < F.col("left.p")).cast("int").alias("extra")))
+    parts.append(folded.select(F.explode(_evened(F.col("left"), F.col("settled"))).alias("x")).select("x.key", "x.extra"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

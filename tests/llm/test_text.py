@@ -123,6 +123,17 @@ def test_keep_one_edges(spark):
     assert minhash.keep_one(df.where("false")).count() == 0
 
 
+def test_checkpoints_are_deleted(spark):
+    with common.watched() as made:
+        common.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")).collect()
+    files = [d._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get() for d in made]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = [path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f)) for f in files]
+    assert len(files) > 2 and there == [False] * (len(files) - 1) + [True], "only the last one is still read"
+    common.discard(*made)
+    common.discard(*made)
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (103, 101), (200, 200)] + [(500, k) for k in range(501, 530)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -229,13 +240,45 @@ def test_quality(spark):
     ((where, value),) = quality.sparse(codes, at)
     assert 1 / (1 + np.exp(-(model.bias + model.weights[where].astype(float) @ value))) == pytest.approx(row["score"], rel=1e-5)
     # labels of held-out rows are not read
-    from pyspark.sql import functions as F
-
     flipped = labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert np.array_equal(quality.train(docs, flipped).weights, model.weights)
     assert np.array_equal(quality.train(docs.repartition(7), labels.repartition(3)).weights, model.weights)
 
 
+def plain_leader(rows, epochs, alpha, beta, l1, l2):
+    """Follow-the-regularised-leader as published, one coordinate at a time: the weights after all rows."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_leader_against_the_published_updates():
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(60):
+        at = np.unique(rng.integers(0, 32, 6))
+        rows.append((at, rng.random(len(at)), int(rng.random() < 0.5)))
+    options = {"alpha": 0.7, "beta": 0.3, "l1": 0.05, "l2": 0.02}
+    model = quality.fit(rows, bits=5, epochs=3, **options)
+    want = plain_leader([({**dict(zip(at.tolist(), value.tolist())), 32: 1.0}, y) for at, value, y in rows], 3, **options)
+    np.testing.assert_allclose(model.weights, [want.get(i, 0.0) for i in range(32)], rtol=1e-5, atol=1e-7)
+    assert model.bias == pytest.approx(want[32]) and (model.weights == 0).any()
+
+
 def test_quality_edges(spark):
     docs, labels, _ = labelled(spark, 60)
     model = quality.train(docs, labels)
@@ -264,7 +307,9 @@ def brute_best_fit(sizes, sources, clusters, capacity):
     return out
 
 
-def test_best_fit_brute_force():
+@pytest.mark.parametrize("walk", [1, 32])
+def test_best_fit_brute_force(monkeypatch, walk):
+    monkeypatch.setattr(packing, "WALK", walk)
     rng = random.Random(3)
     for _ in range(20):
         n = rng.randrange(1, 150)
@@ -304,6 +349,20 @@ def test_packing(spark):
     assert sum(len(t.split()) for t in texts.values()) == sum(size[d] for d in range(20))
 
 
+def test_rows_that_repeat_without_end(spark):
+    """Equal rows fill no shard: they are counted and dealt in lots."""
+    docs = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    packed = packing.pack(docs, F.lit(3), F.lit(1), 10, shard_docs=100)
+    rows = packed.collect()
+    assert len(rows) == 3000 == len({r["bin_id"] for r in rows}) and {r["size"] for r in rows} == {3}
+    shards = defaultdict(int)
+    for r in rows:
+        shards[r["bin_id"] >> 32] += 1
+    assert max(shards.values()) <= 600 and len(shards) > 10
+    again = packing.pack(docs.repartition(5), F.lit(3), F.lit(1), 10, shard_docs=100).collect()
+    assert sorted(r["bin_id"] for r in again) == sorted(r["bin_id"] for r in rows)
+
+
 def test_packing_edges(spark):
     df = wide(spark, [(2**60 + 1, "a b", None), (None, "a b", None), (3, "w " * 10_000, "s")])
     rows = packing.pack_documents(df, 2048).collect()
