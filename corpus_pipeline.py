@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import checkpointed, table
+from tensorloom.llm.common import checkpointed, discard, table, watched
 from tensorloom.llm.linededup import dedup_lines
 from tensorloom.llm.minhash import keep_one
 from tensorloom.llm.mixing import mixed_documents
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, checkpointed(docs) if k else docs, sf_dir)
-    return docs
+    """All stages on ``documents``. What a stage wrote on its way goes once its result is written, and so does that once it has been read."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with watched() as made:
+            docs = checkpointed(stage(spark, docs, sf_dir))
+        discard(*before, *made[:-1])
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
