@@ -13,10 +13,11 @@ import statistics
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from tensorloom import Matrix
+from tensorloom import Fourier, Identity, Matrix, Restriction, Tensor, compose, kron, kron_of
 from tensorloom.functions.params import generated
-from tensorloom.queries import QUERIES, W
+from tensorloom.queries import QUERIES, V, W
 from tensorloom.sources import tables
 
 HEADLINE = [
@@ -32,7 +33,22 @@ def dense64(spark: SparkSession, sf_dir: str, fast: bool):
     return leaf.bind(generated(spark, leaf, W)).apply(x, partitions=None if fast else spark.sparkContext.defaultParallelism)
 
 
-BASELINE = {"dense64_long": lambda s, d: dense64(s, d, False), "dense64_numpy": lambda s, d: dense64(s, d, True)}
+def spectral_full(spark: SparkSession, sf_dir: str):
+    """A spectral block on two arrays of 64 x 64 x 20 with 20 channels (the fastest axis): 16 x 16 x 8 modes, from both ends
+    of the full axes, channels mixed by weights of their own for each mode, and back. The vectors of the table fill the arrays."""
+    ends = Restriction(64, ((0, 8), (56, 64)), "c64")
+    low = kron(Restriction(11, ((0, 8),), "c64"), ends, ends)
+    modes = kron_of([compose(low, kron(Fourier(20, "f64"), Fourier(64), Fourier(64))), Identity(20, "f64")])
+    mix = Tensor(("o", "i", "m"), (20, 20, 2048), ("i", "m"), (20, 2048), ("o", "m"), (20, 2048), "R", "c64")
+    block = compose(modes.H, mix, modes)
+    x = tables.vectors(spark, sf_dir)
+    n = tables.read(spark, sf_dir, "embeddings").count()
+    cells = spark.range(2 * block.domain).selectExpr(f"CAST(id DIV {block.domain} AS INT) AS item", f"CAST(id % {block.domain} AS INT) AS cell", f"(id DIV 64) % {n} AS b", "CAST(id % 64 AS INT) AS idx")
+    x = cells.join(F.broadcast(x), ["b", "idx"]).select(F.col("item").alias("b"), F.col("cell").alias("idx"), "re")
+    return block.bind(generated(spark, mix, W, V)).apply(x)
+
+
+BASELINE = {"spectral_64x64x20x20": spectral_full, "dense64_long": lambda s, d: dense64(s, d, False), "dense64_numpy": lambda s, d: dense64(s, d, True)}
 
 
 def main() -> None:

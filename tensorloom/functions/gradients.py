@@ -62,11 +62,20 @@ def _by_items(op: Operator, x: DataFrame, upstream: DataFrame) -> DataFrame:
     tree, fibres = lower._stripped(op), not is_dense(x)
     complex_in, complex_out = is_complex(tree.ddt) and has_im(x), is_complex(tree.rdt) and has_im(upstream)
     keys, domain, size = keys_of(x), tree.domain, tree.range
-    cells = (lower.items(lower._guarded(x, domain)), lower.items(lower._guarded(upstream, size))) if fibres else (x, upstream)
     columns = [["cells"] if fibres else ["re", *(["im"] if c else [])] for c in (complex_in, complex_out)]
-    a, b = (d.alias(n) for d, n in zip(cells, ("x", "y")))
-    same = [F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`{k}`")) for k in keys] or [F.lit(True)]  # without keys each side is one item
-    both = a.join(b, same).select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in columns[0]], *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns[1]])
+    # input and upstream gradient of an item come together in one aggregate, which takes null keys for keys
+    sides = [lower._guarded(d, n) for d, n in ((x, domain), (upstream, size))] if fibres else [x, upstream]
+    rows = []
+    for side, (df, c) in enumerate(zip(sides, (complex_in, complex_out))):
+        values = ["idx", "re", *(["im"] if c else [])] if fibres else columns[side]
+        rows.append(df.select(*[F.col(f"`{k}`") for k in keys], F.struct(*values).alias(("s_x", "s_y")[side])))
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).groupBy(*[f"`{k}`" for k in keys])
+    if fibres:
+        both = both.agg(F.collect_list("s_x").alias("x_cells"), F.collect_list("s_y").alias("y_cells")).where("size(x_cells) > 0 AND size(y_cells) > 0")
+    else:
+        both = both.agg(F.any_value("s_x", True).alias("x"), F.any_value("s_y", True).alias("y"))
+        both = both.select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in columns[0]], *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns[1]])
+    both = both.drop(*keys)
     shapes = {leaf.op_id: leaf for leaf in tree.leaves() if getattr(leaf, "op_id", None) is not None}
     values = lower.gathered(op) or {op_id: np.zeros(leaf.shape if isinstance(leaf, L.Matrix) else prod(leaf.shape)) for op_id, leaf in shapes.items()}
     shared = x.sparkSession.sparkContext.broadcast(values)  # checked by grad_params()
