@@ -157,6 +157,25 @@ def test_sharding(spark):
     assert [r[0] for r in whole] == [0]
 
 
+def test_sharding_without_broadcast(spark, monkeypatch):
+    """The same shards from a directory that is joined by shuffle, and from rows that come out of a shuffle."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "x" * rng.randrange(0, 400)) for i in range(2000)], "doc_id long, text string")
+    want = sorted(map(tuple, sharding.assign(docs, "doc_id", F.octet_length("text"), 3000).collect()), key=str)
+    monkeypatch.setattr(sharding, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(sharding, "FIRST_BITS", 2)
+    for moved in (docs, docs.repartition(7)):
+        out = sharding.assign(moved, "doc_id", F.octet_length("text"), 3000)
+        assert sorted(map(tuple, out.collect()), key=str) == want
+    assert len({r[3] for r in want}) > 3
+
+
+def test_assignment_shuffles_no_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = sharding.assign(docs, "doc_id", F.octet_length("text"), 10_000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Generate" not in plan.split("BroadcastExchange")[0]
+
+
 def test_sharding_edges(spark, tmp_path):
     df = wide(spark, [(1, "abc", "s"), (None, None, None), (2, "", "s"), (3, "x" * 100_000, "s")])
     out = sharding.assign(df, "doc_id", F.octet_length("text"), 50)
