@@ -1,7 +1,7 @@
 """Linear operators with tunable parameters on distributed data, planned by Catalyst."""
 
 from .functions.arrays import as_matrix, cpu, from_matrix, gelu, gpu, rotate_axes, zeros, zeros_like
-from .functions.gradients import gather_gradients, grad_input, grad_params
+from .functions.gradients import gather_gradients, grad_input, grad_params, pullback
 from .functions.params import from_arrays, generated, init, merge, scale, update
 from .functions.render import dot_string, latex_string, plot_operator_graph
 from .operators.base import Operator, OperatorError
@@ -18,5 +18,5 @@ __all__ = [
     "Adjoint", "Bound", "Broadcasted", "Compose", "Diagonal", "Distributed", "Fourier", "Identity", "Kron", "Matrix", "Operator", "OperatorError", "Optimizer",
     "Reduce", "Repartition", "Restriction", "Tensor", "apply", "as_matrix", "broadcasted", "complexity", "compose", "composed", "cpu", "cumulative_ranges", "dense_of", "distribute",
     "dot_string", "from_arrays", "from_json", "from_matrix", "gather_gradients", "gelu", "generated", "global_rows", "gpu", "grad_input", "grad_params", "init", "kron", "kron_of", "latex_string",
-    "local_complexity", "local_diagonal", "local_params", "local_part", "local_rows", "local_size", "long_of", "merge", "merkle_hash", "optimize", "plot_operator_graph", "range_axes", "rapply", "rotate_axes", "scale", "to_json", "transforms", "update", "zeros", "zeros_like",
+    "local_complexity", "local_diagonal", "local_params", "local_part", "local_rows", "local_size", "long_of", "merge", "merkle_hash", "optimize", "plot_operator_graph", "pullback", "range_axes", "rapply", "rotate_axes", "scale", "to_json", "transforms", "update", "zeros", "zeros_like",
 ]

@@ -30,10 +30,27 @@ Grads = dict[str, np.ndarray]
 
 
 def grad_input(op: Operator, upstream: DataFrame) -> DataFrame:
-    """The adjoint on the upstream gradient; for a reduction the gradient itself."""
+    """The adjoint on the upstream gradient; for a reduction the gradient itself. Where the adjoint is an inverse or
+    overwrites, as that of a transform or of overlapping ranges, ``pullback`` is the derivative."""
     return upstream if isinstance(op, L.Reduce) else apply(op.adjoint(), upstream)
 
 
+def pullback(op: Operator, upstream: DataFrame) -> DataFrame:
+    """The gradient of the input of a bound tree, for every kind of node the true derivative; LONG to LONG or DENSE to DENSE."""
+    if not op.applicable:
+        raise OperatorError("the operator has parameters without values; bind them first")
+    tree, dense = lower._stripped(op), is_dense(upstream)
+    into, out_of = is_complex(tree.rdt) and has_im(upstream), is_complex(tree.ddt)
+
+    def rule(g: np.ndarray, values: dict[str, np.ndarray]) -> np.ndarray:
+        none = np.zeros((len(g), tree.domain), complex if out_of else float)  # a linear operator's derivative is the same everywhere
+        return taped(tree, none, values, {})[1](g)
+
+    given = upstream if dense else lower._guarded(upstream, tree.range)
+    out = lower.by_items(op, given, rule, tree.range, into, out_of)
+    return out if dense else lower.long_of(out)
+
+
 def grad_params(op: Operator, x: DataFrame, upstream: DataFrame) -> DataFrame:
     """Gradients of all bound leaves of ``op`` as a table of parameters, summed over the batch.
 
@@ -245,4 +262,4 @@ def gather_gradients(gradients: DataFrame) -> DataFrame:
     return gradients.groupBy("op_id", "i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-__all__ = ["gather_gradients", "grad_input", "grad_params", "taped"]
+__all__ = ["gather_gradients", "grad_input", "grad_params", "pullback", "taped"]

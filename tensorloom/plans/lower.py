@@ -547,8 +547,14 @@ def slices(batch: pa.RecordBatch, n: int):
 
 def _fast(op: Operator, df: DataFrame) -> DataFrame:
     """DENSE result from a DENSE or LONG table. A null array stays null."""
-    keys, values, tree, fibres = keys_of(df), gathered(op), _stripped(op), not is_dense(df)
-    into, out_of, domain, widest = is_complex(op.ddt), is_complex(op.rdt), tree.domain, max(_widest(tree), 1)
+    tree = _stripped(op)
+    return by_items(op, df, partial(evaluate, tree), tree.domain, is_complex(op.ddt), is_complex(op.rdt))
+
+
+def by_items(op: Operator, df: DataFrame, rule, length: int, into: bool, out_of: bool) -> DataFrame:
+    """``rule(rows, values of op)`` on batches of the items of a DENSE or LONG table, of ``length`` elements each, as a DENSE
+    table; ``into`` and ``out_of`` say whether input and output are complex."""
+    keys, values, fibres, widest = keys_of(df), gathered(op), not is_dense(df), max(_widest(_stripped(op)), 1)
     shared = df.sparkSession.sparkContext.broadcast(values)  # checked by gathered()
 
     def step(batches, n: int):
@@ -558,10 +564,10 @@ def _fast(op: Operator, df: DataFrame) -> DataFrame:
                 for k in range(n, part.num_columns):
                     whole &= part.column(k).is_valid().to_numpy(zero_copy_only=False)
                 given = part if whole.all() else part.filter(pa.array(whole))
-                x = rows_of(given.column(n), domain, fibres)
+                x = rows_of(given.column(n), length, fibres)
                 if into:
-                    x = x + 1j * (rows_of(given.column(n), domain, True, "im") if fibres else rows_of(given.column(n + 1), domain, False))
-                y = evaluate(tree, x, shared.value)
+                    x = x + 1j * (rows_of(given.column(n), length, True, "im") if fibres else rows_of(given.column(n + 1), length, False))
+                y = rule(x, values=shared.value)
                 ends = np.concatenate([[0], np.cumsum(whole * y.shape[-1])]).astype(np.int32)
                 kinds = [y.real, y.imag] if out_of else [y.real]
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(v).ravel()), mask=None if whole.all() else pa.array(~whole)) for v in kinds]

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.gradients import gather_gradients, grad_input, grad_params
+from .functions.gradients import gather_gradients, grad_input, grad_params, pullback
 from .functions.params import generated, init, merge, scale, update
 from .functions.render import dot_string, latex_string
 from .operators import leaves as L
@@ -776,6 +776,13 @@ def grad_spectral_block(spark, d):
     return grad_params(spectral_block().bind(params), x, x).select("op_id", "i", "j", value("re"), value("im"))
 
 
+@_query(f"WITH {_L}, y AS (SELECT b, k, sum(re * cos({_SIN.format(j='idx', n=64)})) AS re, sum(-re * sin({_SIN.format(j='idx', n=64)})) AS im FROM l, range(33) t(k) GROUP BY b, k) SELECT b, CAST(j AS INTEGER) AS idx, round(sum(re * cos({_SIN.format(j='j', n=64)}) - im * sin({_SIN.format(j='j', n=64)})) + 3.3e-8, 6) + 0.0 AS re FROM y, range(64) u(j) GROUP BY b, j")
+def pullback_transform(spark, d):
+    """The derivative of a real transform at its own output: each stored coefficient counts once, nothing is divided."""
+    f = L.Fourier(64, "f64")
+    return _out(pullback(f, f.apply(tables.vectors(spark, d, deal=True))), 6)
+
+
 def _two_range_sql() -> str:
     turn = lambda j: f"2 * pi() * ((k * {j}) % 8) / 8"
     return f"""WITH {_L}, x AS (SELECT b, idx // 8 AS t, idx % 8 AS s, re FROM l),

@@ -303,7 +303,8 @@ def test_gradients_of_trees(spark, k):
                 e[at] = part * 1e-6
                 slope = (loss({**w, i: v + e}) - loss({**w, i: v - e})) / 2e-6
                 assert slope == pytest.approx(got[i][at].imag if part == 1j else got[i][at].real, rel=1e-4, abs=1e-5)
-    # the input's gradient of the same walk
+    # the input's gradient, on the driver and as a table
+    pulled = array(t.pullback(op.bind(params), table(spark, up)), x.shape)
     grads = {}
     back = t.functions.gradients.taped(tree, x, w, grads)[1](up)
     for at in [(0, 0), (2, op.domain - 1)]:
@@ -311,6 +312,28 @@ def test_gradients_of_trees(spark, k):
         e[at] = 1e-6
         slope = ((evaluate(tree, x + e, w) - evaluate(tree, x - e, w)) * up.conj()).real.sum() / 2e-6
         assert slope == pytest.approx(back[at].real, rel=1e-4, abs=1e-5)
+    np.testing.assert_allclose(pulled, back, atol=1e-9)
+
+
+def test_training_step(spark):
+    """Steps down the gradient of a squared error through two layers lower it, and the parameters' table stays one table."""
+    rng = np.random.default_rng(2)
+    modes = t.kron(t.Restriction(3, ((0, 2),), "c64"), t.Restriction(4, ((0, 1), (3, 4)), "c64")) @ t.kron(t.Fourier(4, "f64"), t.Fourier(4, "c64"))
+    layer = lambda k: t.compose(modes.H, t.Diagonal(4, f"g{k}", "c64"), modes)
+    x, target = table(spark, rng.normal(size=(6, 16))), table(spark, rng.normal(size=(6, 16)))
+    params = t.init(spark, layer(0), layer(1), seed=4)
+    errors = []
+    for _ in range(3):
+        rows = params.toArrow()
+        params = spark.createDataFrame(rows)  # a small table; on a cluster it is written and read
+        first, second = (layer(k).bind(params) for k in (0, 1))
+        h = first.apply(x)
+        y = second.apply(h)
+        off = y.alias("y").join(target.alias("t"), ["b", "idx"]).select("b", "idx", (F.col("y.re") - F.col("t.re")).alias("re"))
+        errors.append(off.agg(F.sum(F.col("re") * F.col("re"))).first()[0])
+        grads = t.grad_params(second, h, off).unionByName(t.grad_params(first, x, t.pullback(second, off)))
+        params = t.update(params, t.scale(0.1, grads))
+    assert errors[0] > errors[1] > errors[2] and params.count() == 8
 
 
 def test_gradients_with_null_keys(spark):
