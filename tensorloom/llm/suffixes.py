@@ -41,8 +41,9 @@ CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 3 << 20
 #: A minimizer is hot if it has so many units, each of up to four different pieces of one chunk (some 300 bytes):
 #: its strings are dealt to buckets one by one, by their own hashes.
 HOT_UNITS, UNIT_PIECES = 20_000, 4
-#: Chunks whose hot strings meet first; bytes of a partition, about, where the session's shuffle partitions are too few.
-FAN_IN, PARTITION_BYTES = 2048, 64 << 20
+#: Chunks whose hot strings meet first; bytes of text behind a partition, about, where the session's shuffle partitions are
+#: too few, and the most partitions that are asked for (a task takes one group after the other, so larger ones only take longer).
+FAN_IN, PARTITION_BYTES, MOST_PARTITIONS = 2048, 64 << 20, 50_000
 #: Starts that are hashed at once, and the bits that hold a place among them.
 _BLOCK, _LOW = 1 << 15, (1 << 16) - 1
 _U = np.uint64
@@ -530,7 +531,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, -(-total // BUCKET_BYTES)))
-    parts = -(-total // PARTITION_BYTES)
+    parts = min(-(-total // PARTITION_BYTES), MOST_PARTITIONS)
 
     def by(df: DataFrame, *keys: str) -> DataFrame:
         """``df`` dealt by ``keys``, to more partitions than the session's where these would be too large."""
