@@ -284,7 +284,8 @@ def _named(buckets: int, length: int):
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(2)):
                 ids, named, at, codes = _unpress(data.as_py(), *_TEXTS)
                 start, count, h = pieces(codes, at, length)
-                key, units = _counted(codes, at, named, start, count, h, buckets, length)
+                good = named[np.searchsorted(at, start, side="right") - 1]
+                key, _, units = _counted(codes, start[good], count[good], _keys(h[good], buckets)[0], length)
                 key = np.repeat(key, units)
                 if len(key):
                     cut = np.flatnonzero(np.diff((key >> _U(32)).astype(np.int64))) + 1
@@ -295,11 +296,9 @@ def _named(buckets: int, length: int):
     return name
 
 
-def _counted(codes, at, named, start, count, h, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's distinct minimizers, as by ``_keys``, and their units: different pieces, by fours. Few pieces are not compared."""
-    good = named[np.searchsorted(at, start, side="right") - 1]
-    start, count = start[good], count[good]
-    key, back, pieces_ = np.unique(_keys(h[good], buckets)[0], return_inverse=True, return_counts=True)
+def _counted(codes: np.ndarray, start: np.ndarray, count: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct minimizers by key, which of them each piece has, and their units: different pieces, by fours. Few pieces are not compared."""
+    key, back, pieces_ = np.unique(keys, return_inverse=True, return_counts=True)
     many = np.flatnonzero(pieces_[back] > 16 * UNIT_PIECES)
     if len(many):
         name = spans_hash(codes, start[many], start[many] + count[many] + length - 1)
@@ -309,7 +308,7 @@ def _counted(codes, at, named, start, count, h, buckets: int, length: int) -> tu
         new[1:] = (own[1:] != own[:-1]) | (name[1:] != name[:-1])
         pieces_[np.unique(own)] = 0
         np.add.at(pieces_, own[new], 1)
-    return key, -(-pieces_ // UNIT_PIECES)
+    return key, back, -(-pieces_ // UNIT_PIECES)
 
 
 def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -345,8 +344,7 @@ def _sent(buckets: int, length: int):
         if not len(start):
             return empty
         key, bucket = _keys(h, buckets)
-        unique, back = np.unique(key, return_inverse=True)
-        units = _counted(codes, at, named, start, count, h, buckets, length)[1]
+        unique, back, units = _counted(codes, start, count, key, length)
         by = {int(b.as_py()): d.as_py() for b, d in zip(bits.column("bucket"), bits.column("data"))}
         edges = np.flatnonzero(np.diff((unique >> _U(32)).astype(np.int64), prepend=-1, append=-1))
         told = [np.frombuffer(by[int(unique[a] >> _U(32))], np.uint8) for a in edges[:-1]]
