@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.gradients import gather_gradients, grad_input, grad_params, pullback
@@ -53,10 +53,14 @@ def _params(spark, *leaves, re=W, im=None) -> DataFrame:
     return out
 
 
-def _out(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """Columns in order, without negative zeros. Values after trigonometric steps are rounded; as those of dyadic inputs
-    may lie right between two roundings, both this and the SQL add the same 3.3e-8 first."""
-    value = lambda c: ((F.round(F.col(c) + 3.3e-8, digits) if digits else F.col(c)) + F.lit(0.0)).alias(c)
+def _rounded(c: str, bits: int) -> Column:
+    """To the nearest multiple of ``2**-bits``: finer than the dyadic inputs and results, so none of these lies between two of them."""
+    return F.rint(F.col(c) * 2.0**bits) / 2.0**bits
+
+
+def _out(df: DataFrame, bits: int = 0) -> DataFrame:
+    """Columns in order, without negative zeros; values after trigonometric steps are rounded to ``bits`` binary places."""
+    value = lambda c: ((_rounded(c, bits) if bits else F.col(c)) + F.lit(0.0)).alias(c)
     return df.select(*keys_of(df), F.col("idx").cast("int").alias("idx"), value("re"), *([value("im")] if has_im(df) else []))
 
 
@@ -162,25 +166,25 @@ def matrix_slice(spark, d):
 _SIN = "2 * pi() * ((k * {j}) % {n}) / {n}"
 
 
-@_query(f"WITH {_L} SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * cos({_SIN.format(j='idx', n=64)})) + 3.3e-8, 6) + 0.0 AS re, round(sum(-re * sin({_SIN.format(j='idx', n=64)})) + 3.3e-8, 6) + 0.0 AS im FROM l, range(33) t(k) GROUP BY b, k")
+@_query(f"WITH {_L} SELECT b, CAST(k AS INTEGER) AS idx, round((sum(re * cos({_SIN.format(j='idx', n=64)}))) * pow(2, 20)) / pow(2, 20) + 0.0 AS re, round((sum(-re * sin({_SIN.format(j='idx', n=64)}))) * pow(2, 20)) / pow(2, 20) + 0.0 AS im FROM l, range(33) t(k) GROUP BY b, k")
 def rdft_apply(spark, d):
-    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d, deal=True)), 6)
+    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d, deal=True)), 20)
 
 
-@_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * c + im * s) + 3.3e-8, 6) + 0.0 AS re, round(sum(im * c - re * s) + 3.3e-8, 6) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
+@_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round((sum(re * c + im * s)) * pow(2, 20)) / pow(2, 20) + 0.0 AS re, round((sum(im * c - re * s)) * pow(2, 20)) / pow(2, 20) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
 def cdft_apply(spark, d):
-    return _out(L.Fourier(32).apply(tables.complex_vectors(spark, d, deal=True)), 6)
+    return _out(L.Fourier(32).apply(tables.complex_vectors(spark, d, deal=True)), 20)
 
 
-@_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * c - im * s) / 32 + 3.3e-8, 6) + 0.0 AS re, round(sum(im * c + re * s) / 32 + 3.3e-8, 6) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
+@_query(f"WITH {_L}, {_Z}, t AS (SELECT k, idx AS j, cos({_SIN.format(j='idx', n=32)}) AS c, sin({_SIN.format(j='idx', n=32)}) AS s FROM range(32) a(k), range(32) e(idx)) SELECT b, CAST(k AS INTEGER) AS idx, round((sum(re * c - im * s) / 32) * pow(2, 20)) / pow(2, 20) + 0.0 AS re, round((sum(im * c + re * s) / 32) * pow(2, 20)) / pow(2, 20) + 0.0 AS im FROM z JOIN t ON idx = j GROUP BY b, k")
 def icdft(spark, d):
-    return _out(L.Fourier(32).H.apply(tables.complex_vectors(spark, d, deal=True)), 6)
+    return _out(L.Fourier(32).H.apply(tables.complex_vectors(spark, d, deal=True)), 20)
 
 
-@_query(f"WITH {_L}, {_Z}, h AS (SELECT b, idx % 17 AS idx, sum(re) AS re, sum(im) AS im FROM z GROUP BY ALL) SELECT b, CAST(k AS INTEGER) AS idx, round(sum((CASE WHEN idx IN (0, 16) THEN 1 ELSE 2 END) * (re * cos({_SIN.format(j='idx', n=32)}) - im * sin({_SIN.format(j='idx', n=32)}))) / 32 + 3.3e-8, 6) + 0.0 AS re FROM h, range(32) t(k) GROUP BY b, k")
+@_query(f"WITH {_L}, {_Z}, h AS (SELECT b, idx % 17 AS idx, sum(re) AS re, sum(im) AS im FROM z GROUP BY ALL) SELECT b, CAST(k AS INTEGER) AS idx, round((sum((CASE WHEN idx IN (0, 16) THEN 1 ELSE 2 END) * (re * cos({_SIN.format(j='idx', n=32)}) - im * sin({_SIN.format(j='idx', n=32)}))) / 32) * pow(2, 20)) / pow(2, 20) + 0.0 AS re FROM h, range(32) t(k) GROUP BY b, k")
 def irdft(spark, d):
     half = tables.folded(tables.complex_vectors(spark, d, deal=True), 17)
-    return _out(L.Fourier(32, "f64").H.apply(half), 6)
+    return _out(L.Fourier(32, "f64").H.apply(half), 20)
 
 
 _ENDS = L.Restriction(64, ((0, 8), (56, 64)))
@@ -341,11 +345,11 @@ def kron_orders_agree(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("r0") != F.col("r1")) | (F.col("r0") != F.col("r2"))).cast("bigint")).alias("bad"))
 
 
-@_query(f"WITH {_L}, y AS (SELECT b, idx // 8 AS a, k, sum(re * cos({_SIN.format(j='(idx % 8)', n=8)})) AS re, sum(-re * sin({_SIN.format(j='(idx % 8)', n=8)})) AS im FROM l, range(5) t(k) GROUP BY b, a, k), t AS (SELECT k AS m, j, cos({_SIN.format(j='j', n=8)}) AS c, sin({_SIN.format(j='j', n=8)}) AS s FROM range(8) p(k), range(8) q(j)) SELECT b, CAST(m * 5 + k AS INTEGER) AS idx, round(sum(re * c + im * s) + 3.3e-8, 6) + 0.0 AS re, round(sum(im * c - re * s) + 3.3e-8, 6) + 0.0 AS im FROM y JOIN t ON a = j GROUP BY b, m, k")
+@_query(f"WITH {_L}, y AS (SELECT b, idx // 8 AS a, k, sum(re * cos({_SIN.format(j='(idx % 8)', n=8)})) AS re, sum(-re * sin({_SIN.format(j='(idx % 8)', n=8)})) AS im FROM l, range(5) t(k) GROUP BY b, a, k), t AS (SELECT k AS m, j, cos({_SIN.format(j='j', n=8)}) AS c, sin({_SIN.format(j='j', n=8)}) AS s FROM range(8) p(k), range(8) q(j)) SELECT b, CAST(m * 5 + k AS INTEGER) AS idx, round((sum(re * c + im * s)) * pow(2, 20)) / pow(2, 20) + 0.0 AS re, round((sum(im * c - re * s)) * pow(2, 20)) / pow(2, 20) + 0.0 AS im FROM y JOIN t ON a = j GROUP BY b, m, k")
 def kron_mixed_type(spark, d):
     """Two-dimensional transform of real 8 x 8 arrays: the real axis goes first."""
     op = N.kron(L.Fourier(8, "c64"), L.Fourier(8, "f64"))
-    return _out(op.apply(tables.vectors(spark, d, deal=True)), 6)
+    return _out(op.apply(tables.vectors(spark, d, deal=True)), 20)
 
 
 @_query(_K2)
@@ -541,9 +545,9 @@ def rewrites_agree(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n"), (F.min("s") == F.max("s")).alias("equal"))
 
 
-@_query(f"WITH h AS (SELECT user_id AS b, CAST(date_part('hour', ts) AS INTEGER) AS h, sum(floor(coalesce(value, 0) * 1024) / 1024) AS v FROM events GROUP BY 1, 2) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(v * cos({_SIN.format(j='h', n=24)})) + 3.3e-8, 4) + 0.0 AS re, round(sum(-v * sin({_SIN.format(j='h', n=24)})) + 3.3e-8, 4) + 0.0 AS im FROM h, range(13) t(k) GROUP BY b, k")
+@_query(f"WITH h AS (SELECT user_id AS b, CAST(date_part('hour', ts) AS INTEGER) AS h, sum(floor(coalesce(value, 0) * 1024) / 1024) AS v FROM events GROUP BY 1, 2) SELECT b, CAST(k AS INTEGER) AS idx, round((sum(v * cos({_SIN.format(j='h', n=24)}))) * pow(2, 14)) / pow(2, 14) + 0.0 AS re, round((sum(-v * sin({_SIN.format(j='h', n=24)}))) * pow(2, 14)) / pow(2, 14) + 0.0 AS im FROM h, range(13) t(k) GROUP BY b, k")
 def events_hour_dft(spark, d):
-    return _out(L.Fourier(24, "f64").apply(tables.hourly(spark, d)), 4)
+    return _out(L.Fourier(24, "f64").apply(tables.hourly(spark, d)), 14)
 
 
 def spectral_block(keep: int = 2):
@@ -564,7 +568,7 @@ f2 AS (SELECT b, kt, k AS ks, c, sum(re * cos({turn('s', 4)}) + im * sin({turn('
 g AS (SELECT b, kt, ks, c, w * re - wi * im AS re, w * im + wi * re AS im FROM f2 JOIN d ON kt * 2 + ks = i),
 m AS (SELECT b, kt, ks, i AS c, sum(w * re - wi * im) AS re, sum(w * im + wi * re) AS im FROM g JOIN w ON c = j GROUP BY ALL),
 i2 AS (SELECT b, kt, k AS s, c, sum(re * cos({turn('ks', 4)}) - im * sin({turn('ks', 4)})) / 4 AS re, sum(im * cos({turn('ks', 4)}) + re * sin({turn('ks', 4)})) / 4 AS im FROM m, range(4) r(k) GROUP BY ALL)
-SELECT b, CAST(k * 16 + s * 4 + c AS INTEGER) AS idx, round(sum((CASE WHEN kt = 0 THEN 1 ELSE 2 END) * (re * cos({turn('kt', 4)}) - im * sin({turn('kt', 4)}))) / 4 + 3.3e-8, 6) + 0.0 AS re
+SELECT b, CAST(k * 16 + s * 4 + c AS INTEGER) AS idx, round((sum((CASE WHEN kt = 0 THEN 1 ELSE 2 END) * (re * cos({turn('kt', 4)}) - im * sin({turn('kt', 4)}))) / 4) * pow(2, 20)) / pow(2, 20) + 0.0 AS re
 FROM i2, range(4) r(k) GROUP BY b, k, s, c"""
 
 
@@ -573,10 +577,10 @@ def spectral_convolution(spark, d):
     """The flagship: transforms, mode restriction, weights with channel mixing, and back."""
     leaves = [L.Diagonal(4, "g", "c64"), L.Matrix(4, 4, "M", "c64")]
     params = generated(spark, leaves[0], D, E).unionByName(generated(spark, leaves[1], W, V))
-    return _out(spectral_block().bind(params).apply(tables.vectors(spark, d, deal=True)), 6)
+    return _out(spectral_block().bind(params).apply(tables.vectors(spark, d, deal=True)), 20)
 
 
-@_query(_block_sql().replace("SELECT b, CAST(k * 16", "SELECT b, y AS idx, round(v * 0.5 * (1 + tanh(0.7978845608028654 * (v + 0.044715 * v * v * v))) + 3.3e-8, 6) + 0.0 AS re FROM (SELECT b, y, sum(v) AS v FROM (SELECT b, CAST(k * 16").replace(" AS INTEGER) AS idx, round(sum((CASE WHEN kt", " AS INTEGER) AS y, (sum((CASE WHEN kt").replace("/ 4 + 3.3e-8, 6) + 0.0 AS re\nFROM i2", "/ 4) AS v\nFROM i2") + " UNION ALL SELECT b, CAST(t * 16 + s * 4 + i AS INTEGER) AS y, sum(u.w * re) AS v FROM x JOIN u ON c = j GROUP BY b, t, s, i) GROUP BY b, y)")
+@_query(_block_sql().replace("SELECT b, CAST(k * 16", "SELECT b, y AS idx, round((v * 0.5 * (1 + tanh(0.7978845608028654 * (v + 0.044715 * v * v * v)))) * pow(2, 20)) / pow(2, 20) + 0.0 AS re FROM (SELECT b, y, sum(v) AS v FROM (SELECT b, CAST(k * 16").replace(" AS INTEGER) AS idx, round((sum((CASE WHEN kt", " AS INTEGER) AS y, (sum((CASE WHEN kt").replace("/ 4) * pow(2, 20)) / pow(2, 20) + 0.0 AS re\nFROM i2", "/ 4) AS v\nFROM i2") + " UNION ALL SELECT b, CAST(t * 16 + s * 4 + i AS INTEGER) AS y, sum(u.w * re) AS v FROM x JOIN u ON c = j GROUP BY b, t, s, i) GROUP BY b, y)")
 def spectral_layer(spark, d):
     """The spectral convolution plus a direct mix of channels, through an element-wise nonlinearity."""
     from .functions.arrays import gelu
@@ -587,7 +591,7 @@ def spectral_layer(spark, d):
     mixed = N.kron(L.Identity(16), L.Matrix(4, 4, "U"))
     direct = mixed.bind(_params(spark, L.Matrix(4, 4, "U"))).apply(x)
     both = spectral_block().bind(params).apply(x).unionByName(direct)
-    return _out(both.groupBy("b", "idx").agg(gelu(F.sum("re")).alias("re")), 6)
+    return _out(both.groupBy("b", "idx").agg(gelu(F.sum("re")).alias("re")), 20)
 
 
 @_query(f"WITH {_L} SELECT b, CAST((idx // 4) % 2 + ((idx // 8) * 2) + (idx % 4) * 16 AS INTEGER) AS idx, re + 0.0 AS re FROM l")
@@ -616,21 +620,21 @@ def rdft_dense(spark, d):
     """By a fast transform of arrays, one a row."""
     from .plans.lower import long_of
 
-    return _out(long_of(L.Fourier(64, "f64").apply(tables.dense_vectors(spark, d))), 6)
+    return _out(long_of(L.Fourier(64, "f64").apply(tables.dense_vectors(spark, d))), 20)
 
 
 @_query(_RDFT)
 def rdft_twiddle(spark, d):
     """By a join with the table of twiddles, in DataFrame operations only."""
-    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d, deal=True), fast=False), 6)
+    return _out(L.Fourier(64, "f64").apply(tables.vectors(spark, d, deal=True), fast=False), 20)
 
 
-@_query(f"WITH {_L}, p AS (SELECT b // 2 AS b, (b % 2) * 64 + idx AS idx, re FROM l) SELECT b, CAST(k AS INTEGER) AS idx, round(sum(re * cos({_SIN.format(j='idx', n=128)})) + 3.3e-8, 6) + 0.0 AS re, round(sum(-re * sin({_SIN.format(j='idx', n=128)})) + 3.3e-8, 6) + 0.0 AS im FROM p, range(65) t(k) GROUP BY b, k")
+@_query(f"WITH {_L}, p AS (SELECT b // 2 AS b, (b % 2) * 64 + idx AS idx, re FROM l) SELECT b, CAST(k AS INTEGER) AS idx, round((sum(re * cos({_SIN.format(j='idx', n=128)}))) * pow(2, 20)) / pow(2, 20) + 0.0 AS re, round((sum(-re * sin({_SIN.format(j='idx', n=128)}))) * pow(2, 20)) / pow(2, 20) + 0.0 AS im FROM p, range(65) t(k) GROUP BY b, k")
 def rdft_fibres(spark, d):
     """Pairs of vectors end to end, too long for the table of twiddles: a fast transform of each fibre."""
     x = tables.vectors(spark, d)
     x = x.select(F.floor(F.col("b") / 2).alias("b"), (F.col("b") % 2 * 64 + F.col("idx")).cast("int").alias("idx"), "re")
-    return _out(L.Fourier(128, "f64").apply(x, fast=False), 6)
+    return _out(L.Fourier(128, "f64").apply(x, fast=False), 20)
 
 
 @_query(f"WITH {_L}, f AS (SELECT b, idx % 16 AS idx, sum(re) AS re FROM l WHERE idx % 3 = 1 GROUP BY ALL) SELECT k.b, CAST(p AS INTEGER) AS idx, coalesce(re, 0.0) + 0.0 AS re FROM (SELECT DISTINCT b FROM f) k CROSS JOIN range(64) t(p) LEFT JOIN (SELECT b, CASE WHEN idx < 8 THEN idx ELSE idx + 48 END AS q, re FROM f WHERE idx % 3 = 1) f ON k.b = f.b AND p = q")
@@ -721,12 +725,12 @@ _CTWO = f"{_TWO}, cn AS (SELECT op_id, re, CASE WHEN length(op_id) = 1 THEN CAST
 
 
 def _complex_sql(re: str, im: str) -> str:
-    pick = lambda a, b, both: f"round(CASE WHEN ar IS NULL THEN {b} WHEN br IS NULL THEN {a} ELSE {both} END + 3.3e-8, 6) + 0.0"
+    pick = lambda a, b, both: f"round((CASE WHEN ar IS NULL THEN {b} WHEN br IS NULL THEN {a} ELSE {both} END) * pow(2, 20)) / pow(2, 20) + 0.0"
     return f"WITH {_CTWO} SELECT op_id, {pick('ar', 'br', re)} AS re, {pick('ai', 'bi', im)} AS im FROM j"
 
 
 def _complex_merged(spark, d, op: str) -> DataFrame:
-    value = lambda c: (F.round(F.col(c) + 3.3e-8, 6) + F.lit(0.0)).alias(c)
+    value = lambda c: (_rounded(c, 20) + F.lit(0.0)).alias(c)
     return merge(*_complex_tables(spark, d), op).select("op_id", value("re"), value("im"))
 
 
@@ -763,7 +767,7 @@ up AS (SELECT b, kt, ks, c, (CASE WHEN kt = 0 THEN 1 ELSE 2 END) / 16.0 * re AS
 mm AS (SELECT b, kt, ks, i AS c, sum(w * re - wi * im) AS re, sum(w * im + wi * re) AS im FROM f2 JOIN w ON c = j GROUP BY ALL),
 r AS (SELECT 'g' AS op_id, CAST(up.kt * 2 + up.ks AS INTEGER) AS i, 0 AS j, sum(up.re * mm.re + up.im * mm.im) AS re, sum(up.im * mm.re - up.re * mm.im) AS im FROM up JOIN mm USING (b, kt, ks, c) GROUP BY up.kt, up.ks
       UNION ALL SELECT 'M', CAST(up.c AS INTEGER), CAST(g.c AS INTEGER), sum(up.re * g.re + up.im * g.im), sum(up.im * g.re - up.re * g.im) FROM up JOIN g USING (b, kt, ks) GROUP BY up.c, g.c)
-SELECT op_id, i, j, round(re + 3.3e-8, 5) + 0.0 AS re, round(im + 3.3e-8, 5) + 0.0 AS im FROM r"""
+SELECT op_id, i, j, round((re) * pow(2, 26)) / pow(2, 26) + 0.0 AS re, round((im) * pow(2, 26)) / pow(2, 26) + 0.0 AS im FROM r"""
 
 
 @_query(_GRAD)
@@ -772,15 +776,15 @@ def grad_spectral_block(spark, d):
     leaves = [L.Diagonal(4, "g", "c64"), L.Matrix(4, 4, "M", "c64")]
     params = generated(spark, leaves[0], D, E).unionByName(generated(spark, leaves[1], W, V))
     x = tables.dense_vectors(spark, d)
-    value = lambda c: (F.round(F.col(c) + 3.3e-8, 5) + F.lit(0.0)).alias(c)
+    value = lambda c: (_rounded(c, 26) + F.lit(0.0)).alias(c)
     return grad_params(spectral_block().bind(params), x, x).select("op_id", "i", "j", value("re"), value("im"))
 
 
-@_query(f"WITH {_L}, y AS (SELECT b, k, sum(re * cos({_SIN.format(j='idx', n=64)})) AS re, sum(-re * sin({_SIN.format(j='idx', n=64)})) AS im FROM l, range(33) t(k) GROUP BY b, k) SELECT b, CAST(j AS INTEGER) AS idx, round(sum(re * cos({_SIN.format(j='j', n=64)}) - im * sin({_SIN.format(j='j', n=64)})) + 3.3e-8, 6) + 0.0 AS re FROM y, range(64) u(j) GROUP BY b, j")
+@_query(f"WITH {_L}, y AS (SELECT b, k, sum(re * cos({_SIN.format(j='idx', n=64)})) AS re, sum(-re * sin({_SIN.format(j='idx', n=64)})) AS im FROM l, range(33) t(k) GROUP BY b, k) SELECT b, CAST(j AS INTEGER) AS idx, round((sum(re * cos({_SIN.format(j='j', n=64)}) - im * sin({_SIN.format(j='j', n=64)}))) * pow(2, 20)) / pow(2, 20) + 0.0 AS re FROM y, range(64) u(j) GROUP BY b, j")
 def pullback_transform(spark, d):
     """The derivative of a real transform at its own output: each stored coefficient counts once, nothing is divided."""
     f = L.Fourier(64, "f64")
-    return _out(pullback(f, f.apply(tables.vectors(spark, d, deal=True))), 6)
+    return _out(pullback(f, f.apply(tables.vectors(spark, d, deal=True))), 20)
 
 
 def _two_range_sql() -> str:
@@ -789,7 +793,7 @@ def _two_range_sql() -> str:
 f1 AS (SELECT b, k AS kt, s, sum(re * cos({turn('t')})) AS re, sum(-re * sin({turn('t')})) AS im FROM x, range(3) r(k) GROUP BY ALL),
 f2 AS (SELECT b, kt, k AS ks, sum(re * cos({turn('s')}) + im * sin({turn('s')})) AS re, sum(im * cos({turn('s')}) - re * sin({turn('s')})) AS im FROM f1, (SELECT k FROM range(8) r(k) WHERE k < 2 OR k >= 6) GROUP BY ALL),
 i2 AS (SELECT b, kt, k AS s, sum(re * cos({turn('ks')}) - im * sin({turn('ks')})) / 8 AS re, sum(im * cos({turn('ks')}) + re * sin({turn('ks')})) / 8 AS im FROM f2, range(8) r(k) GROUP BY ALL)
-SELECT b, CAST(k * 8 + s AS INTEGER) AS idx, round(sum((CASE WHEN kt = 0 THEN 1 ELSE 2 END) * (re * cos({turn('kt')}) - im * sin({turn('kt')}))) / 8 + 3.3e-8, 6) + 0.0 AS re FROM i2, range(8) r(k) GROUP BY b, k, s"""
+SELECT b, CAST(k * 8 + s AS INTEGER) AS idx, round((sum((CASE WHEN kt = 0 THEN 1 ELSE 2 END) * (re * cos({turn('kt')}) - im * sin({turn('kt')}))) / 8) * pow(2, 20)) / pow(2, 20) + 0.0 AS re FROM i2, range(8) r(k) GROUP BY b, k, s"""
 
 
 @_query(_two_range_sql())
@@ -797,7 +801,7 @@ def spectral_two_ranges(spark, d):
     """Low frequencies of 8 x 8 arrays, both ends of the full axis, and back."""
     low = N.kron(L.Restriction(5, ((0, 3),), "c64"), L.Restriction(8, ((0, 2), (6, 8)), "c64"))
     modes = N.compose(low, N.kron(L.Fourier(8, "f64"), L.Fourier(8, "c64")))
-    return _out(N.compose(modes.H, modes).apply(tables.vectors(spark, d, deal=True)), 6)
+    return _out(N.compose(modes.H, modes).apply(tables.vectors(spark, d, deal=True)), 20)
 
 
 # --- tables of what expressions say about themselves ----------------------

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Inputs are cut to multiples of 1 / GRID, so sums with integer weights are exact in any order.
 GRID = 1024
 
 
+#: Schemas of the tables, as a catalog would hold them: footers are looked at once an application and path.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _SCHEMAS:
+        _SCHEMAS[at] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[at]).parquet(path)
 
 
 def dyadic(x: Column) -> Column:
