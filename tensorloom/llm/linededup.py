@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import every, fresh, table
+from .common import every, fresh, reshuffled, table
 
 #: Lines in a window.
 WINDOW = 3
@@ -36,7 +36,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     windows = hashed.select("d", "t", F.inline(F.transform(F.sequence(F.lit(0), F.size("h") - window), window_of))).where("NOT blank").drop("blank")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("d", "t", "i")).alias("first"), F.max(F.struct("d", "t", "i")).alias("last")).where("first != last")
-    first = first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
+    first = first.select(reshuffled("a").alias("fa"), reshuffled("b").alias("fb"), "first")  # hot windows are split
     later = windows.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(~F.struct("d", "t", "i").eqNullSafe(F.col("first")))
     same = F.struct("d", "t").eqNullSafe(F.struct("first.d", "first.t"))
     begin = F.when(same, F.greatest("i", F.col("first.i") + window)).otherwise(F.col("i"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, chunks, mix, spans_hash, texts, words
-from .common import checkpointed, components, discard, fresh, table
+from .common import checkpointed, components, discard, fresh, reshuffled, table
 
 #: Bands and coordinates in each. A pair at similarity 0.85 stays unseen with a chance of 6e-9, at 0.8 of 6e-7.
 BANDS, ROWS = 20, 3
@@ -199,7 +199,7 @@ def links(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
     each = classes.select("rep", "n", F.explode("bands").alias("key"))
     hubs = each.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # members of buckets with company, and the class that each is tested against first
-    members = checkpointed(each.join(hubs.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).where("rep != hub.rep").select("key", "rep", "n", "size", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
+    members = checkpointed(each.join(hubs.select(reshuffled("key").alias("k"), "hub", "size"), F.col("key") == F.col("k")).where("rep != hub.rep").select("key", "rep", "n", "size", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     pairs = members.where(near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     text = docs.select("doc_id", "text")
@@ -260,7 +260,7 @@ def _rare(large: DataFrame, text: DataFrame, n: int, percent: int) -> DataFrame:
     # rows that share an id are one member with the shingles of all
     each = members.mapInArrow(sets, "rep bigint, label bigint, s array<bigint>").select("rep", "label", F.explode("s").alias("token")).distinct()
     each = checkpointed(each)
-    common = each.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("held"))
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("held")).select(reshuffled("token").alias("t"), "held")
     ranked = each.join(common, F.col("token") == F.col("t")).groupBy("rep", "label").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("s"))  # a text's shingles
     first = F.expr(f"size(s) - CAST(ceil(size(s) * {percent} / 100) AS INT) + 1")
     rare = ranked.select("rep", "label", F.size("s").alias("n"), F.inline(F.slice("s", F.lit(1), first)))

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.llm import linededup, mixing, sharding
+from tensorloom.llm import common, linededup, mixing, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, k string, d int, t int, lines string, `a.b` string, key int, size int, copies int, shard_bytes int, taken int"
@@ -191,3 +191,43 @@ def test_native_plans(spark):
     for query in (linededup.op1_line_dedup, mixing.op6_mixture, sharding.op10_sharding):
         plan = query(spark, docs)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop|InMemoryTableScan", plan), query.__name__
+
+
+@pytest.fixture
+def splitting(spark):
+    """Adaptive execution as on large data: no broadcasts, and partitions above 64 KB and twice the median are split."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_windows_are_split(spark, splitting):
+    passage = F.lit("\n".join(f"line {k} of a passage" for k in range(8)))
+    docs = spark.range(0, 30_000, 1, 16).select(F.col("id").alias("doc_id"), F.concat(passage, F.lit("\nown "), F.col("id"))).toDF("doc_id", "text")
+    out = linededup.repeated_lines(docs)
+    assert out.toArrow().num_rows == 29_999
+    assert "SortMergeJoin(skew=true)" in final_plan(out)
+
+
+def test_hot_nodes_are_split(spark, splitting, monkeypatch):
+    plans, plain = [], common.checkpointed
+
+    def noted(df):
+        out = plain(df)
+        plans.append(final_plan(df))
+        return out
+
+    monkeypatch.setattr(common, "checkpointed", noted)
+    star = spark.range(0, 200_000, 1, 16).select(F.when(F.col("id") < 150_000, F.lit(-5)).otherwise(F.col("id")).alias("a"), F.shiftrightunsigned(F.xxhash64("id"), 2).alias("b"))
+    got = {r[0]: r[1] for r in common.components(star).groupBy("component").count().orderBy(F.desc("count")).limit(1).collect()}
+    assert got == {-5: 150_000}  # the smallest node itself has no row
+    assert any("SortMergeJoin(skew=true)" in p for p in plans)
