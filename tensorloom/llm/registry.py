@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, lexical, linededup, media, minhash, mixing, packing, quality, secretscan, sharding, suffixes, tokens
+from . import ann, lexical, linededup, media, minhash, mixing, packing, quality, secretscan, sharding, suffixes, tokens, trie
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_secret_scan": secretscan.op13_secret_scan,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": linededup.SQL_OP1,
     "op10_sharding": sharding.SQL_OP10,
+    "op11_prefix_trie": trie.SQL_OP11,
     "op12_lexical_search": lexical.SQL_OP12,
     "op13_secret_scan": secretscan.SQL_OP13,
 }
