@@ -8,6 +8,8 @@ cumulative segment lengths and the position of each id within its segment.
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -36,6 +38,44 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
+#: Characters that a text is encoded by at once, about; blank runs of this length are encoded apart.
+CUT, LONG_BLANKS = 1 << 20, 1 << 10
+#: White space as the split pattern's engine knows it.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD_END, _RUN = re.compile(f"(?<=[^{_BLANK}])[{_BLANK}]"), re.compile(f"[{_BLANK}]{{{LONG_BLANKS},}}")
+
+
+def _parts(text: str) -> Iterator[tuple[str, bool]]:
+    """``text`` in parts that ``PATTERN`` never reaches across, and whether a part is one match, for which no engine is needed.
+
+    No match goes on from another character into blanks, so a part may end where blanks begin. A run of
+    blanks is one match, up to its last blank if more text follows: that one belongs to what comes.
+    """
+    at = 0
+    while at < len(text):
+        cut = _WORD_END.search(text, at + CUT)
+        end = cut.start() if cut else len(text)
+        for run in _RUN.finditer(text, at, end):
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            if run.start() > at:
+                yield text[at : run.start()], False
+            yield text[run.start() : stop], True
+            at = stop
+        if end > at:
+            yield text[at:end], False
+        at = end
+
+
+def token_ids(encoding, text: str, pattern: str = PATTERN) -> np.ndarray:
+    """The ids of ``text``, as the encoding gives them for the whole of it. The engine of the split pattern keeps a frame
+    for each blank of a run and has no room for some hundred thousand, so it gets neither long runs nor very long texts."""
+    if pattern != PATTERN:  # where other patterns may be cut is not known; their splits are found by another engine
+        long_run = _RUN.search(text) is not None
+        return np.array(encoding._encode_only_native_bpe(text) if long_run else encoding.encode_ordinary(text), np.int32)
+    ids = [np.array(encoding._encode_single_piece(part) if whole else encoding.encode_ordinary(part), np.int32) for part, whole in _parts(text)]
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32)
+
+
 class Capacities:
     """Open rows by remaining capacity, under a segment tree that counts them; finds the least capacity that suffices."""
 
@@ -129,7 +169,8 @@ def pack_tokens(docs: DataFrame, length: int = LENGTH, pad: int = PAD, vocabular
     Every id of every text is in one row. A document of more than ``length`` ids is
     cut at multiples of it. Null and empty texts have no ids and are in no row; a
     null id stays null in ``doc_ids``; rows that repeat are packed as often as they
-    stand. Each task packs its own documents, some ``window`` ids at a time, so
+    stand. Runs of blanks, letters or signs of any length have the ids of the whole text; bytes that are not UTF-8
+    become replacement characters. Each task packs its own documents, some ``window`` ids at a time, so
     nothing is shuffled and memory does not grow with the input; rows are
     numbered by task and place, alike for the same files and split sizes.
     """
@@ -139,12 +180,12 @@ def pack_tokens(docs: DataFrame, length: int = LENGTH, pad: int = PAD, vocabular
         encoding = _encoding(ranks.value, pattern)
         made, segments, held = TaskContext.get().partitionId() << 36, [], 0
         for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1)):
+            for d, t in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 t = t.as_py()
                 if not t:
                     continue
                 d = d.as_py()
-                ids = np.array(encoding.encode_ordinary(t), np.int32)
+                ids = token_ids(encoding, t.decode("utf-8", "replace"), pattern)
                 for a in range(0, len(ids), length):
                     segments.append((d, a, ids[a : a + length]))
                 held += len(ids)

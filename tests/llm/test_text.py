@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -440,3 +441,38 @@ def test_pipeline(spark):
         assert stage(spark, odd.where("false"), "/root/testdata/sf0.001").count() == 0, name
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and {"doc_id", "bin_id"} <= set(out.columns)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "　", "\x1c"])
+def test_tokens_of_long_blank_runs(blank):
+    """Texts that the split pattern's engine still takes whole have the same ids in parts."""
+    encoding = tokens._encoding(Path(tokens.VOCABULARY).read_bytes(), tokens.PATTERN)
+    for text in (f"x{blank * 3000}y", f"{blank * 2000}", f"{blank * 1500}'s{blank * 1023}ab{blank}", f"don't {blank * 1024}7{blank * 1025}?!", ("word é" + blank * 3) * 3000):
+        for cut in (1 << 20, 1000):
+            tokens.CUT, before = cut, tokens.CUT
+            try:
+                assert tokens.token_ids(encoding, text).tolist() == encoding.encode_ordinary(text)
+            finally:
+                tokens.CUT = before
+        assert tokens.token_ids(encoding, text, pattern=tokens.PATTERN + "|x").tolist() == encoding.encode_ordinary(text) or blank == "\x1c"
+
+
+def test_no_text_stops_the_packing(spark):
+    """Runs of a million blanks, letters, digits and signs, 20 MB of words, and bytes that are no text."""
+    encoding = tokens._encoding(Path(tokens.VOCABULARY).read_bytes(), tokens.PATTERN)
+    n = 1_000_000
+    texts = ["x" + " " * n + "y", "\n" * n, "x" * n, "7" * n, "-" * n, "a" + "\t" * n + " b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = rows.unionByName(spark.range(1).selectExpr("100 AS doc_id", "repeat('the quick brown fox ', 1000000) AS text")).unionByName(spark.range(1).selectExpr("101 AS doc_id", "CAST(X'61FF62' AS STRING) AS text"))
+    got: dict = {}
+    for r in tokens.pack_tokens(rows).collect():
+        row = np.frombuffer(r["ids"], "<i4")
+        for d, at, a, b in zip(r["doc_ids"], r["doc_offsets"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            got.setdefault(d, {})[at] = row[a:b]
+    ids = {d: np.concatenate([x[k] for k in sorted(x)]).tolist() for d, x in got.items()}
+    piece = encoding._encode_single_piece
+    assert ids[0] == piece("x") + piece(" " * (n - 1)) + piece(" y")
+    assert ids[1] == piece("\n" * n) and ids[5] == piece("a") + piece("\t" * n) + piece(" b")
+    assert [ids[k] for k in (2, 3, 4)] == [piece(t) for t in texts[2:5]]
+    assert ids[100] == piece("the") + [piece(" quick")[0], piece(" brown")[0], piece(" fox")[0], piece(" the")[0]] * 999_999 + piece(" quick") + piece(" brown") + piece(" fox") + piece(" ")
+    assert ids[101] == encoding.encode_ordinary("a�b")
