@@ -4,17 +4,15 @@ A row's hash is read bit by bit. The directory starts as one bucket; only a
 bucket above the byte limit splits, on the next bit, until every bucket fits.
 A leaf is the shortest prefix of the hash whose rows fit the limit.
 
-Splits are worked out in passes. A pass takes the rows of the buckets that are
-still too large and looks at as many further bits as the largest of them needs, so its
-sums number a few for each leaf. Each pass leaves a directory of its own: an entry for
-every value of its bits, with the leaf there, or none where a later pass goes on.
-A row finds its leaf by one equi-join a pass, on its leading bits.
+Splits are worked out in passes over the hashes and sizes alone, which are written once. A pass takes the
+rows of the buckets that are still too large. Each bucket has bits of its own: those that all its rows share
+are skipped, as they part nothing, and of the next ones it looks at as many as its bytes call for. So a pass leaves a
+directory of a few entries for each leaf, whatever single keys weigh: an entry for every value that occurs of
+a bucket's bits, with its leaf, or the bits at which a later pass goes on. A row finds its leaf by one equi-join a pass.
 """
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +20,8 @@ from .common import checkpointed, every, fresh, table
 
 #: Byte limit of a shard in the query.
 LIMIT = 1 << 20
-#: Bits that the first pass looks at, and a later one at most.
-FIRST_BITS, PASS_BITS = 12, 20
+#: Bits that a pass looks at in a bucket at most.
+PASS_BITS = 20
 #: Bits of a row's hash: first those of the key, then those that part rows of equal key.
 BITS, KEY_BITS = 60, 40
 #: Directories up to so many entries are broadcast (some 60 bytes each); larger ones are joined by shuffle.
@@ -35,43 +33,52 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
 
 
-def _prefix(bits: str, depth: int) -> Column:
-    """The first ``depth`` bits."""
-    return F.shiftright(F.col(bits), BITS - depth)
+def _leaf_of(sums: DataFrame, limit: int) -> DataFrame:
+    """``sums(depth, prefix, bytes, n, low, high)`` with ``leaf``: the leaf that the bucket is, null if it has to split.
+
+    A bucket of several rows that have one hash (``low`` and ``high`` are the least and largest one) is a leaf with all bits used.
+    """
+    leaf = lambda depth, prefix: F.struct(depth.alias("depth"), prefix.alias("prefix"), F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"))
+    fits = (F.col("bytes") <= limit) | (F.col("n") == 1)
+    return sums.withColumn("leaf", F.when(fits, leaf(F.col("depth"), F.col("prefix"))).when(F.col("low") == F.col("high"), leaf(F.lit(BITS), F.col("low"))))
 
 
-def directory(rows: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]], DataFrame | None]:
-    """For each pass its number of bits and its leaves ``(depth, prefix, shard_bytes, shard_rows)``, from ``rows(bits, size)``.
-    Also the buckets of several rows that are too large with all bits used up, if there are any.
+def directory(rows: DataFrame, limit: int) -> tuple[list[DataFrame], int, DataFrame | None]:
+    """The directory of ``rows(bits, size)``: a table ``(at, entry, leaf, shared, next)`` for each pass, the number of all their
+    entries, and the hashes of several rows that are too large with all bits used up, if there are any.
 
-    Such a bucket stays a leaf whatever its size, and so does a single row above
-    the limit. Both halves of a bucket that splits are in the directory, an empty
-    one with 0 bytes, so every hash has exactly one leaf.
+    An entry is a value of the first ``at`` bits that occurs. It has a leaf ``(depth, prefix, shard_bytes, shard_rows)``,
+    or else the bits ``next`` at which the next pass has it: those that all its rows share, one for
+    each doubling of the limit that its bytes make, and one more. The first table is the single bucket of all rows. A hash
+    without rows has no entry; it would fall into an empty bucket. Rows with one hash stay a leaf
+    whatever their size, and so does a single row above the limit.
     """
-    done, step, passes, open_ = 0, FIRST_BITS, [], rows
+    totals = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("bits").alias("low"), F.max("bits").alias("high")]
+    shared = f"{BITS} - length(bin(low ^ high))"  # of a bucket that splits, so low and high differ
+    bits = f"least({PASS_BITS}, length(bin((bytes - 1) DIV {limit})) + 1)"
+    opening = [F.expr(f"IF(leaf IS NULL, {shared}, NULL)").alias("shared"), F.expr(f"IF(leaf IS NULL, CAST(least({BITS}, {shared} + {bits}) AS INT), NULL)").alias("next")]
+    rows, passes = rows.withColumn("at", F.lit(0)), []
+    fine = _leaf_of(rows.agg(*totals).where("n > 0").selectExpr("0 AS at", "0L AS entry", "0 AS depth", "0L AS prefix", "*"), limit)
     while True:
-        last = min(done + step, BITS)
-        fine = open_.groupBy(_prefix("bits", last).alias("fine")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        sums = (
-            fine.select("bytes", "n", F.inline(F.expr(f"transform(sequence({done}, {last}), d -> named_struct('depth', d, 'prefix', shiftright(fine, {last} - d)))")))
-            .groupBy("depth", "prefix")
-            .agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-        )
-        fits = (F.col("shard_bytes") <= limit) | (F.col("depth") == BITS) | (F.col("shard_rows") == 1)
-        sums = checkpointed(sums.withColumn("fits", fits))
-        # a leaf fits and its parent, one bit shorter, does not
-        parents = sums.where(~F.col("fits") & (F.col("depth") < last)).select((F.col("depth") + 1).alias("d"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("p"))
-        found = parents.join(sums, (F.col("depth") == F.col("d")) & (F.col("prefix") == F.col("p")), "left").where("coalesce(fits, true)")
-        found = found.select(F.col("d").alias("depth"), F.col("p").alias("prefix"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shard_bytes", "shard_rows")])
-        if done == 0:
-            found = found.unionByName(sums.where("fits AND depth = 0").select(*found.columns))
-        passes.append((last, checkpointed(found)))
-        over = sums.where((F.col("depth") == last) & ((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)))
-        most = over.agg(F.max("shard_bytes")).first()[0]
-        if most is None or last == BITS:
-            return passes, None if most is None else over.select("prefix")
-        open_ = open_.join(over.select(F.col("prefix").alias("over")), _prefix("bits", last) == F.col("over"), "left_semi")
-        done, step = last, min(PASS_BITS, ceil(log2(most / limit)) + 1)
+        passes.append(checkpointed(fine.select("at", "entry", "leaf", *opening)))
+        opened = passes[-1].where("next IS NOT NULL")
+        if opened.isEmpty():
+            break
+        opened = opened.select(F.col("at").alias("was"), F.col("entry").alias("bucket"), "shared", "next")
+        rows = rows.join(opened, (F.col("at") == F.col("was")) & (F.expr(f"shiftright(bits, {BITS} - at)") == F.col("bucket"))).select("bits", "size", F.col("next").alias("at"), "shared")
+        sums = checkpointed(rows.groupBy("at", "shared", F.expr(f"shiftright(bits, {BITS} - at)").alias("entry")).agg(*totals))
+        rows = rows.drop("shared")
+        # every bucket between the one that splits and the entries: an entry's leaf is the first of these that is one
+        between = sums.select("*", F.explode(F.expr("sequence(shared + 1, at)")).alias("depth")).withColumn("prefix", F.expr("shiftright(entry, at - depth)"))
+        whole = between.groupBy("at", "depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        whole = _leaf_of(whole, limit).where("leaf IS NOT NULL").select("at", "depth", "prefix", "leaf")
+        first = between.select("at", "entry", "depth", "prefix").join(whole, ["at", "depth", "prefix"]).groupBy("at", "entry").agg(F.min(F.struct("depth", "leaf"))["leaf"].alias("leaf"))
+        fine = sums.join(first, ["at", "entry"], "left")
+    full = [p.where(f"leaf.depth = {BITS} AND leaf.shard_bytes > {limit} AND leaf.shard_rows > 1").select("leaf.prefix") for p in passes]
+    stuck = full[0]
+    for more in full[1:]:
+        stuck = stuck.unionByName(more)
+    return passes, sum(p.count() for p in passes), None if stuck.isEmpty() else stuck
 
 
 def _content(docs: DataFrame) -> Column:
@@ -99,26 +106,24 @@ def assign(docs: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataF
     own = lambda x: F.shiftleft(F.shiftright(x, low), low)  # noqa: E731  the key's bits
     marked = docs.withColumn(bits, own(hash_bits(F.col(key))) + F.pmod(_content(docs), F.lit(1 << low)))
     marked = marked.withColumn(width, F.coalesce(size, F.lit(0)).cast("long"))
-    sizes = lambda rows: rows.select(F.col(bits).alias("bits"), F.col(width).alias("size"))
-    passes, stuck = directory(sizes(marked), limit)
+    sizes = lambda rows: checkpointed(rows.select(F.col(bits).alias("bits"), F.col(width).alias("size")))  # noqa: E731  16 bytes a row
+    passes, entries, stuck = directory(sizes(marked), limit)
     if stuck is not None:
         keys = checkpointed(stuck.select(F.shiftright("prefix", low).alias("stuck_key")).distinct())
         on = F.shiftright(F.col(bits), low) == F.col("stuck_key")
         place = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(1 << low))
         heavy = checkpointed(marked.join(keys, on, "left_semi").withColumn(bits, own(F.col(bits)) + place))
         marked = marked.join(keys, on, "left_anti").unionByName(heavy)
-        passes, _ = directory(sizes(marked), limit)
-    entries = 0
-    for last, leaves in passes:
-        entries += leaves.agg(F.sum(F.expr(f"shiftleft(1L, {last} - depth)"))).first()[0] or 0
+        passes, entries, _ = directory(sizes(marked), limit)
     small = entries <= BROADCAST_ENTRIES
     found = marked if small else marked.select(bits).distinct()
-    at = []
-    for k, (last, leaves) in enumerate(passes):
-        covers = F.expr(f"explode(sequence(shiftleft(prefix, {last} - depth), shiftleft(prefix + 1, {last} - depth) - 1))")
-        (entry, leaf) = fresh(found, f"shard_entry_{k}", f"shard_leaf_{k}")
-        table_ = leaves.select(covers.alias(entry), F.struct("depth", "prefix", "shard_bytes", "shard_rows").alias(leaf))
-        found = found.join(F.broadcast(table_) if small else table_, _prefix(bits, last) == F.col(entry), "left").drop(entry)
+    step, at = "0", []
+    for k, entries in enumerate(passes):
+        a, e, leaf, after = fresh(found, f"shard_at_{k}", f"shard_entry_{k}", f"shard_leaf_{k}", f"shard_next_{k}")
+        entries = entries.select(F.col("at").alias(a), F.col("entry").alias(e), F.col("leaf").alias(leaf), F.col("next").alias(after))
+        here = (F.expr(step) == F.col(a)) & (F.expr(f"shiftright({bits}, {BITS} - {step})") == F.col(e))
+        found = found.join(F.broadcast(entries) if small else entries, here, "left").drop(a, e)
+        step = after
         at.append(leaf)
     leaf = F.coalesce(*at)
     if not small:

@@ -163,7 +163,7 @@ def test_sharding_without_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x" * rng.randrange(0, 400)) for i in range(2000)], "doc_id long, text string")
     want = sorted(map(tuple, sharding.assign(docs, "doc_id", F.octet_length("text"), 3000).collect()), key=str)
     monkeypatch.setattr(sharding, "BROADCAST_ENTRIES", 0)
-    monkeypatch.setattr(sharding, "FIRST_BITS", 2)
+    monkeypatch.setattr(sharding, "PASS_BITS", 2)
     for moved in (docs, docs.repartition(7)):
         out = sharding.assign(moved, "doc_id", F.octet_length("text"), 3000)
         assert sorted(map(tuple, out.collect()), key=str) == want
@@ -176,6 +176,20 @@ def test_assignment_shuffles_no_text(spark):
     assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Generate" not in plan.split("BroadcastExchange")[0]
 
 
+def test_directory_of_a_hot_key(spark):
+    """Most buckets are a little too large and one key weighs as much as a thousand of them: entries stay a few for each leaf."""
+    bits = sharding.hash_bits(F.col("id"))
+    usual = spark.range(200_000).select(bits.alias("bits"), F.lit(25_000).cast("long").alias("size"))
+    hot = spark.range(1000).select(F.expr(f"(123L << {sharding.BITS - 40}) | (id * 1000)").alias("bits"), F.lit(1 << 20).cast("long").alias("size"))
+    heavy = spark.range(300).select(sharding.hash_bits(F.col("id") % 3 + 10**9).alias("bits"), F.lit(1 << 19).cast("long").alias("size"))
+    passes, entries, stuck = sharding.directory(usual.unionByName(hot).unionByName(heavy), 1 << 20)
+    leaves = sum(p.select("leaf.*").where("depth IS NOT NULL").distinct().count() for p in passes)
+    assert 4000 < leaves <= entries < 6 * leaves and len(passes) < 8
+    assert stuck.count() == 3, "rows of one hash"
+    for p in passes:
+        assert p.where("(leaf IS NULL) = (next IS NULL)").isEmpty()
+
+
 def test_sharding_edges(spark, tmp_path):
     df = wide(spark, [(1, "abc", "s"), (None, None, None), (2, "", "s"), (3, "x" * 100_000, "s")])
     out = sharding.assign(df, "doc_id", F.octet_length("text"), 50)
