@@ -3,7 +3,7 @@
 A gradient of a complex value is the derivative by its real part plus i times the
 derivative by its imaginary part. Trees are walked backwards in NumPy on Arrow batches:
 each task adds up the gradients of its own batch items, and only these sums, one row
-for each element of a parameter, are shuffled.
+for each element of a parameter, are shuffled. What does not fit in a task is walked by joins (``tape``).
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from ..operators import leaves as L
 from ..operators import nodes as N
 from ..operators.base import Operator, OperatorError
-from ..plans import lower
-from ..plans.grid import axis_exprs, flat_expr
-from ..plans.lower import apply, has_im, is_dense, keys_of
+from ..plans import lower, tiles
+from ..plans.lower import apply, has_im, is_dense, keys_of, long_of
 from ..plans.types import is_complex
+from .tape import record
 
 _CELLS = "op_id string, i int, j int, re double, im double"
 Grads = dict[str, np.ndarray]
@@ -35,11 +35,18 @@ def grad_input(op: Operator, upstream: DataFrame) -> DataFrame:
     return upstream if isinstance(op, L.Reduce) else apply(op.adjoint(), upstream)
 
 
-def pullback(op: Operator, upstream: DataFrame) -> DataFrame:
-    """The gradient of the input of a bound tree, for every kind of node the true derivative; LONG to LONG or DENSE to DENSE."""
+def pullback(op: Operator, upstream: DataFrame, joins: bool | None = None) -> DataFrame:
+    """The gradient of the input of a bound tree, for every kind of node the true derivative; LONG to LONG or DENSE to DENSE.
+ ``joins`` as in ``grad_params``."""
     if not op.applicable:
         raise OperatorError("the operator has parameters without values; bind them first")
     tree, dense = lower._stripped(op), is_dense(upstream)
+    if joins or joins is None and not _in_tasks(op):
+        g = lower._guarded(long_of(upstream) if dense else upstream, tree.range)
+        out = record(op, None, [])[1](g, "idx")
+        if tree.domain is not None and (dense or lower._shows_gaps(tree.adjoint())):
+            out = lower._filled(out, g, tree.domain)
+        return lower.dense_of(out) if dense else out
     into, out_of = is_complex(tree.rdt) and has_im(upstream), is_complex(tree.ddt)
 
     def rule(g: np.ndarray, values: dict[str, np.ndarray]) -> np.ndarray:
@@ -51,28 +58,31 @@ def pullback(op: Operator, upstream: DataFrame) -> DataFrame:
     return out if dense else lower.long_of(out)
 
 
-def grad_params(op: Operator, x: DataFrame, upstream: DataFrame) -> DataFrame:
+def grad_params(op: Operator, x: DataFrame, upstream: DataFrame, joins: bool | None = None) -> DataFrame:
     """Gradients of all bound leaves of ``op`` as a table of parameters, summed over the batch.
 
     ``x`` is the input and ``upstream`` the gradient of the output, both LONG or both DENSE,
     with the same keys; null keys are keys. Compositions, Kronecker products,
-    adjoints and broadcast operators are walked backwards. A single leaf whose
-    parameter is too large to send to every task is worked out by joins.
+    adjoints and broadcast operators are walked backwards: in NumPy on whole items, if these and all parameters together
+    fit in a task; else, or with ``joins``, by joins, which takes reductions too.
     """
-    leaves = [b.op for b in _bound(op)] or [x for x in [op] if isinstance(x, (L.Matrix, L.Diagonal, L.Tensor))]  # of a leaf alone no value is needed
-    if not leaves:
+    if not (tiles.bound(op) or isinstance(op, (L.Matrix, L.Diagonal, L.Tensor))):  # of a leaf alone no value is needed
         raise OperatorError("no parameter is bound")
-    if sum(N.parameter_bytes(leaf) for leaf in {leaf.op_id: leaf for leaf in leaves}.values()) <= N.BROADCAST_BYTES:
+    if not joins and (joins is not None or _in_tasks(op)):
         return _by_items(op, x, upstream)
-    while isinstance(op, (N.Broadcasted, N.Distributed)):
-        op = op.op
-    if isinstance(op, (N.Compose, N.Kron, N.Adjoint)) or is_dense(x):
-        raise OperatorError("parameters of a tree must be small enough to send to every task")
-    return _by_joins(leaves[0], x, upstream)
+    grads: list[DataFrame] = []
+    tree = lower._stripped(op)
+    sides = [lower._guarded(long_of(d) if is_dense(d) else d, n) for d, n in ((x, tree.domain), (upstream, tree.range))]
+    record(op, sides[0], grads)[1](sides[1], "idx")
+    out = grads[0]
+    for more in grads[1:]:
+        out = out.unionByName(more)
+    return gather_gradients(out)
 
 
-def _bound(op: Operator) -> list[N.Bound]:
-    return [op] if isinstance(op, N.Bound) else [b for c in op.children for b in _bound(c)]
+def _in_tasks(op: Operator) -> bool:
+    """Whether items and all parameters together are small enough for a task."""
+    return tiles.whole(op) and lower._widest(lower._stripped(op)) <= lower.ITEM_CELLS
 
 
 def _by_items(op: Operator, x: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -230,33 +240,6 @@ def _restriction_back(op: L.Restriction, g: np.ndarray, adjoint: bool) -> np.nda
     return out
 
 
-def _by_joins(leaf: Operator, x: DataFrame, upstream: DataFrame) -> DataFrame:
-    """The gradient of one leaf in LONG: the terms of a batch item meet by its key."""
-    keys = keys_of(x)
-    a, b = x.alias("x"), upstream.alias("y")
-    xr, yr = F.col("x.re"), F.col("y.re")
-    xi = F.col("x.im") if has_im(x) else F.lit(0.0)
-    yi = F.col("y.im") if has_im(upstream) else F.lit(0.0)
-    same = [F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`{k}`")) for k in keys]
-    if isinstance(leaf, L.Matrix):
-        joined = b.join(a, same)
-        i, j = F.col("y.idx"), F.col("x.idx")
-    elif isinstance(leaf, L.Diagonal):
-        joined = b.join(a, [*same, F.col("x.idx") == F.col("y.idx")])
-        i, j = F.col("y.idx"), F.lit(0)
-    elif isinstance(leaf, L.Tensor):
-        ax = dict(zip(leaf.input_axes, axis_exprs("x.idx", leaf.input_shape)))
-        ay = dict(zip(leaf.target_axes, axis_exprs("y.idx", leaf.target_shape)))
-        if missing := set(leaf.weight_axes) - set(ax) - set(ay):
-            raise OperatorError(f"the gradient is constant along {sorted(missing)}")
-        joined = b.join(a, [*same, *[F.expr(f"{ax[n]} = {ay[n]}") for n in leaf.input_axes if n in ay]])
-        i, j = F.expr(flat_expr([ay.get(n, ax.get(n)) for n in leaf.weight_axes], leaf.weight_shape)), F.lit(0)
-    else:
-        raise OperatorError(f"{type(leaf).__name__} has no parameter")
-    terms = joined.select(i.cast("int").alias("i"), j.cast("int").alias("j"), (yr * xr + yi * xi).alias("re"), (yi * xr - yr * xi).alias("im"))
-    return gather_gradients(terms.select(F.lit(leaf.op_id).alias("op_id"), "i", "j", "re", "im"))
-
-
 def gather_gradients(gradients: DataFrame) -> DataFrame:
     """Gradients of replicated parameters, one table with a share from each worker, summed at the root."""
     return gradients.groupBy("op_id", "i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from math import prod
 
 from ..plans.types import complex_of, is_complex, real_of
@@ -119,12 +121,13 @@ class Fourier(Operator):
 
     ``norm="backward"``: the adjoint is the inverse, scaled by 1/n. ``"ortho"``:
     both directions are scaled by 1/sqrt(n), so for complex input the inverse is
-    the conjugate transpose.
+    the conjugate transpose. Axes of more than ``piece`` elements are transformed in factors in LONG, so no row has to hold one.
     """
 
     n: int
     dtype: str = "c64"
     norm: str = "backward"
+    piece: int = 1 << 22
 
     def __post_init__(self):
         at_least(self.n, 0, "n")
@@ -206,19 +209,23 @@ class Restriction(Operator):
         moves = [(at, at + b - a, a) for a, b, at in self.gathered()]
         if self.accumulate or self.disjoint():
             return moves
+        # between neighbouring ends, the last range that is open there counts
+        ends = sorted({x for at, end, a in moves for x in (a, a + end - at)})
+        begins = deque(sorted(range(len(moves)), key=lambda k: moves[k][2]))
         out: list[tuple[int, int, int]] = []
-        for at, end, a in moves:
-            stop = a + end - at
-            kept = []
-            for x, y, to in out:  # earlier pieces lose what this one covers
-                last = to + y - x
-                if to < a:
-                    kept.append((x, x + min(last, a) - to, to))
-                if last > stop:
-                    cut = max(stop, to) - to
-                    kept.append((x + cut, y, to + cut))
-            out = [*kept, (at, end, a)]
-        return [(x, y, to) for x, y, to in out if y > x]
+        opened: list[int] = []
+        for lo, hi in zip(ends, ends[1:]):
+            while begins and moves[begins[0]][2] <= lo:
+                heappush(opened, -begins.popleft())
+            while opened and moves[-opened[0]][2] + moves[-opened[0]][1] - moves[-opened[0]][0] <= lo:
+                heappop(opened)
+            if opened:
+                at, _, a = moves[-opened[0]]
+                if out and out[-1][2] + out[-1][1] - out[-1][0] == lo and out[-1][1] == at + lo - a:
+                    out[-1] = (out[-1][0], at + hi - a, out[-1][2])
+                else:
+                    out.append((at + lo - a, at + hi - a, lo))
+        return out
 
 
 @dataclass(frozen=True)

@@ -187,8 +187,12 @@ class Bound(Operator):
     params: Any = field(compare=False, repr=False)
 
     def __post_init__(self):
+        from .leaves import Matrix
+
         if self.op.children or getattr(self.op, "op_id", None) is None:
             raise OperatorError("only parametric leaves are bound")
+        if "bi" in getattr(self.params, "columns", ()) and not isinstance(self.op, Matrix):
+            raise OperatorError("tiles are for matrices")
 
     @property
     def children(self):
@@ -219,7 +223,11 @@ class Bound(Operator):
         return Bound(c, self.params)
 
     def params_df(self):
-        """``(i, j, re, im)`` of this operator's parameter."""
+        """``(i, j, re, im)`` of this operator's parameter, whichever way its table is laid out."""
+        from ..plans import tiles
+
+        if tiles.is_tiled(self.params):
+            return tiles.elements(self.params, self.op)
         return self.params.where(self.params["op_id"] == self.op.op_id).select("i", "j", "re", "im")
 
     def __getitem__(self, cut):
@@ -310,5 +318,5 @@ class Distributed(_Around):
 
 
 def parameter_bytes(op: Operator) -> int:
-    """Bytes of a leaf's parameter."""
-    return prod(op.shape) * max(16, element_bytes(op.ddt))
+    """Bytes of a leaf's parameter as rows of positions and two values."""
+    return prod(op.shape) * max(24, element_bytes(op.ddt))

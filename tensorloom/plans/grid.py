@@ -58,22 +58,28 @@ def axis_columns(idx: str, shape: tuple[int, ...]) -> list[Column]:
     return [F.expr(x) for x in axis_exprs(idx, shape)]
 
 
+def index_type(n: int) -> str:
+    """The SQL type of positions below ``n``."""
+    return "INT" if n <= 1 << 31 else "LONG"
+
+
 def axis_exprs(idx: str, shape: tuple[int, ...]) -> list[str]:
     """The same as SQL text: one expression is one call to the JVM."""
     out, below = [], 1
     for n in shape:
-        out.append(f"CAST(({idx} DIV {below}) % {n} AS INT)" if n and below else "0")
+        out.append(f"CAST(({idx} DIV {below}) % {n} AS {index_type(n)})" if n and below else "0")
         below *= n
     return out
 
 
 def flat_expr(axes: list[str], shape: tuple[int, ...]) -> str:
-    """The flat index of coordinates as SQL text, the first axis fastest."""
-    terms, below = [], 1
+    """The flat index of coordinates as SQL text, the first axis fastest; a long where an int has no room."""
+    terms, below, kind = [], 1, index_type(prod(shape))
     for a, n in zip(axes, shape):
-        terms.append(f"{a} * {below}" if below != 1 else a)
+        a = a if kind == "INT" else f"CAST({a} AS LONG)"
+        terms.append(f"{a} * {below}{'L' if below > 1 << 30 else ''}" if below != 1 else a)
         below *= n
-    return f"CAST({' + '.join(terms) or '0'} AS INT)"
+    return f"CAST({' + '.join(terms) or '0'} AS {kind})"
 
 
 def rank_of(idx: str, shape: tuple[int, ...], grid: tuple[int, ...]) -> Column:

@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from ..operators import leaves as L
 from ..operators import nodes as N
 from ..operators.base import Operator, OperatorError
-from .grid import axis_exprs, flat_expr, rank_of
-from .types import is_complex
+from . import tiles
+from .grid import axis_exprs, flat_expr, index_type, rank_of
+from .types import complex_of, element_bytes, is_complex
 
 #: Elements of a generated table (twiddles, positions) that is broadcast at most.
 BROADCAST_ROWS = 1 << 20
@@ -87,15 +88,33 @@ def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int
     if is_complex(op.ddt) and not has_im(df):
         raise OperatorError(f"real input for an operator on {op.ddt}; add an im column")
     _check_ranges(op)
+    df = _stored(df, "double")
     if partitions and keys_of(df):
         df = df.repartition(partitions, *_quoted(keys_of(df)))
     if check and not dense:
         df = _guarded(df, _stripped(op).domain)
     if fast is None:
         fast = dense or _gathers(op)
+    if fast and not all(tiles.whole(o) or tiles.matrix_of(o) or isinstance(o, L.Reduce) for o, _, _ in tiles.axis_steps(op)):
+        fast = False  # a large diagonal or tensor is joined element by element
     if fast:
-        return _fast(op, df) if dense else long_of(_fast(op, df))
-    return dense_of(_long(op, _guarded(long_of(df), _stripped(op).domain))) if dense else _long(op, df)
+        out = _fast(op, df) if dense else long_of(_fast(op, df))
+    else:
+        given = _guarded(long_of(df), _stripped(op).domain) if dense else df
+        out = _long(op, given)
+        if _shows_gaps(op):
+            out = _filled(out, out if any(isinstance(x, L.Reduce) for x in op.leaves()) else given, op.range)
+        out = dense_of(out) if dense else out
+    return _stored(out, "float") if element_bytes(op.rdt) <= (8 if is_complex(op.rdt) else 4) else out
+
+
+def _stored(df: DataFrame, kind: str) -> DataFrame:
+    """Values as ``float``, as types of up to 32 bits are kept, or as ``double``, as all are worked on."""
+    of = {"re", "im"} & {*df.columns}
+    want = f"array<{kind}>" if is_dense(df) else kind
+    if all(df.schema[c].dataType.simpleString() == want for c in of):
+        return df
+    return df.withColumns({c: F.col(c).cast(want) for c in of})
 
 
 def _guarded(df: DataFrame, n: int | None) -> DataFrame:
@@ -114,12 +133,13 @@ def _check_ranges(op: Operator) -> None:
 
 
 def _gathers(op: Operator) -> bool:
-    """Whether LONG items are gathered into rows: the tree has transforms, nothing that crosses items, and fits."""
+    """Whether LONG items are gathered into rows: the tree has transforms or large matrices, nothing that crosses items, and fits."""
     leaves = list(op.leaves())
-    if not any(isinstance(x, L.Fourier) for x in leaves) or any(isinstance(x, (L.Reduce, L.Repartition)) for x in leaves):
+    if any(isinstance(x, (L.Reduce, L.Repartition)) for x in leaves) or _widest(op) > ITEM_CELLS or any(isinstance(x, L.Fourier) and x.n > x.piece for x in leaves):
         return False
-    small = all(N.parameter_bytes(x) <= N.BROADCAST_BYTES for x in leaves if x.parametricity != "nonparametric")
-    return small and _widest(op) <= ITEM_CELLS
+    if tiles.whole(op):
+        return any(isinstance(x, L.Fourier) for x in leaves)
+    return True
 
 
 def _widest(op: Operator) -> int:
@@ -217,6 +237,8 @@ def _fourier(op: L.Fourier, df: DataFrame, inverse: bool, axis: str = "idx") ->
     n, keys = op.n, _quoted(keys_of(df, axis))
     if not n:
         return df if is_complex(op.dtype) or not inverse else df.drop("im")
+    if n > op.piece:
+        return _factorised(op, df, inverse, axis)
     if n > TWIDDLE_LENGTH:
         return _fibres(op.adjoint() if inverse else op, df, axis)
     scale = float(1 / np.sqrt(n) if op.norm == "ortho" else 1 / n if inverse else 1.0)
@@ -231,6 +253,34 @@ def _fourier(op: L.Fourier, df: DataFrame, inverse: bool, axis: str = "idx") ->
     return _sum(terms.selectExpr(*keys, f"{to} AS {axis}", *value), axis)
 
 
+def _factorised(op: L.Fourier, df: DataFrame, inverse: bool, axis: str) -> DataFrame:
+    """A transform of length n1 n2 in fibres of n1 and n2: position j = j1 n2 + j2 is transformed along j1, turned by the angle
+    of j2 k1 / n, transformed along j2, and lands at k1 + n1 k2. No row holds more than a piece of the axis."""
+    n, wide = op.n, is_complex(op.dtype)
+    n1 = next((k for k in range(min(op.piece, n), 1, -1) if n % k == 0), 1)
+    if n1 == 1:
+        raise OperatorError(f"{n} has no factor of {op.piece} or less")
+    n2, keys = n // n1, keys_of(df, axis)
+    q = _quoted(keys)
+    if not has_im(df):
+        df = df.selectExpr(*q, axis, "re", "0D AS im")
+    if inverse and not wide:  # the other half of the spectrum is the mirrored conjugate
+        both = f"array(struct({axis} AS k, im AS im), struct(CAST({n} - {axis} AS {index_type(n)}) AS k, -im AS im))"
+        df = df.selectExpr(*q, "re", f"explode(IF({axis} = 0 OR {axis} * 2 = {n}, slice({both}, 1, 1), {both})) AS k_").selectExpr(*q, f"k_.k AS {axis}", "re", "k_.im AS im")
+    df, (a1, a2) = split_axis(df, axis, [n1, n2])
+    step = lambda d, m, a: _fourier(L.Fourier(m, complex_of(op.dtype), piece=op.piece), d, inverse, a) if m > op.piece else _fibres(L.Fourier(m, complex_of(op.dtype)).H if inverse else L.Fourier(m, complex_of(op.dtype)), d, a)
+    df = step(df, n1, a1)
+    turn = f"({(2 if inverse else -2) * np.pi / n!r}D * ((CAST({a1} AS LONG) * {a2}) % {n}))"
+    df = df.selectExpr(*q, a1, a2, "re", "im", f"cos({turn}) AS t_c", f"sin({turn}) AS t_s")
+    df = step(df.selectExpr(*q, a1, a2, "re * t_c - im * t_s AS re", "re * t_s + im * t_c AS im"), n2, a2)
+    by = (float(np.sqrt(n)) if inverse else float(1 / np.sqrt(n))) if op.norm == "ortho" else 1.0
+    kind = index_type(n)
+    df = df.selectExpr(*q, f"CAST({a1} + CAST({a2} AS LONG) * {n1} AS {kind}) AS {axis}", f"re * {by!r}D AS re", f"im * {by!r}D AS im")
+    if not wide:
+        df = df.drop("im") if inverse else df.where(f"{axis} <= {n // 2}")
+    return df
+
+
 def _fibres(op: Operator, df: DataFrame, axis: str) -> DataFrame:
     """``op`` in NumPy on each fibre along ``axis``; the other axes are keys like any others."""
     keys = keys_of(df, axis)
@@ -242,41 +292,83 @@ def _fibres(op: Operator, df: DataFrame, axis: str) -> DataFrame:
 MAX_CASES = 32
 
 
-def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool, sparse: bool = False, axis: str = "idx") -> DataFrame:
-    """``sparse``: positions that are zero get no row."""
+def _restriction(op: L.Restriction, df: DataFrame, adjoint: bool, axis: str = "idx") -> DataFrame:
+    """Rows moved. Positions that a scatter leaves empty are zero, and get rows at the end of ``apply``, if they can be seen there."""
+    # a gather may read one position for several ranges; a scatter sends each to one place
+    out = moved(df, op.scattered() if adjoint else op.gathered(), axis, op.n if adjoint else op.range, not adjoint and not op.disjoint())
+    return _sum(out, axis) if adjoint and op.accumulate and not op.disjoint() else out
+
+
+def moved(df: DataFrame, moves: list[tuple[int, int, int]], axis: str, n: int, several: bool) -> DataFrame:
+    """Rows moved by ranges ``(a, b, to)`` to positions below ``n``; ``several``: a position may be in more than one range."""
+    keys, values, kind = _quoted(keys_of(df, axis)), _values(df), index_type(n)
+    if len(moves) > MAX_CASES:
+        return _moved(df, moves, axis, kind)
+    shifted = [f"CASE WHEN {axis} BETWEEN {a} AND {b - 1} THEN CAST({axis} + {to - a} AS {kind}) END" for a, b, to in moves] or [f"CAST(NULL AS {kind})"]
+    hits = f"explode(filter(array({', '.join(shifted)}), x -> x IS NOT NULL))" if several else f"coalesce({', '.join(shifted)})"
+    return df.selectExpr(*keys, f"{hits} AS {axis}", *values).where(F.col(axis).isNotNull())
+
+
+def _moved(df: DataFrame, moves: list[tuple[int, int, int]], axis: str, kind: str) -> DataFrame:
+    """Rows moved by many ranges ``(a, b, to)``: each range stands in the buckets of positions that it touches, and a row
+    looks up its own. Buckets are as wide as ranges are long on average, so there are some three rows a range, and no row for a position."""
     keys, values = _quoted(keys_of(df, axis)), _values(df)
-    moves = op.scattered() if adjoint else op.gathered()
-    if len(moves) <= MAX_CASES:
-        shifted = [f"CASE WHEN {axis} BETWEEN {a} AND {b - 1} THEN {axis} + {to - a} END" for a, b, to in moves] or ["CAST(NULL AS INT)"]
-        # a gather may read one position for several ranges; a scatter sends each to one place
-        several = not adjoint and not op.disjoint()
-        hits = f"explode(filter(array({', '.join(shifted)}), x -> x IS NOT NULL))" if several else f"coalesce({', '.join(shifted)})"
-        out = df.selectExpr(*keys, f"{hits} AS {axis}", *values).where(F.col(axis).isNotNull())
+    a, b, to = np.array(moves, np.int64).T
+    width = max(1, int((b - a).sum()) // len(a))
+    n = (b - 1) // width - a // width + 1
+    which = np.repeat(np.arange(len(a)), n)
+    bucket = (a // width)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    ranges = df.sparkSession.createDataFrame(pa.table({"r_bucket": bucket, "r_a": a[which], "r_b": b[which], "r_by": (to - a)[which]}))
+    on = (F.expr(f"CAST({axis} AS LONG) DIV {width}") == F.col("r_bucket")) & (F.col(axis) >= F.col("r_a")) & (F.col(axis) < F.col("r_b"))
+    return df.join(_maybe_broadcast(ranges, len(which)), on).selectExpr(*keys, f"CAST({axis} + r_by AS {kind}) AS {axis}", *values)
+
+
+def _shows_gaps(op: Operator) -> bool:
+    """Whether the output may lack rows for positions that are zero because nothing was scattered there."""
+    if isinstance(op, N.Compose):
+        for o in op.ops:  # the last one first
+            if _sums(o):
+                return False
+            if _shows_gaps(o):
+                return True
+        return False
+    if isinstance(op, N.Adjoint) and isinstance(op.op, L.Restriction):
+        r = op.op
+        return bool(r.n) and (not r.disjoint() or r.range != r.n)
+    return any(map(_shows_gaps, op.children))
+
+
+#: Words of 64 positions that one row is unfolded into at most.
+WORDS = 1 << 20
+
+
+def _filled(out: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``out`` and a row of zeros for each of ``n`` positions that an item of ``items`` lacks.
+
+    Only a bit a position is shuffled, in words of 64: each item begins with words of empty
+    bits, its rows set theirs, and the bits that stay empty become rows. Values stay where they are, and no item is gathered.
+    """
+    keys, values = _quoted(keys_of(out)), _values(out)
+    word, bits = "word", "bits"
+    while {word, bits} & {*out.columns}:
+        word, bits = f"{word}_", f"{bits}_"
+    words, beyond = max(1, -(-n // 64)), -(1 << n % 64) if n % 64 else 0  # bits beyond the last position count as set
+    if words == 1:
+        begun = items.selectExpr(*keys, f"0L AS {word}", f"{beyond}L AS {bits}")
     else:
-        table = df.sparkSession.createDataFrame(moves, "a long, b long, t long")  # one row a range; positions are made on the executors
-        table = table.selectExpr("t - a AS r_by", "explode(sequence(a, b - 1)) AS r_p")
-        out = df.join(_maybe_broadcast(table, op.range), F.col(axis) == F.col("r_p")).selectExpr(*keys, f"CAST({axis} + r_by AS INT) AS {axis}", *values)
-    if not adjoint:
-        return out
-    if op.accumulate and not op.disjoint():
-        out = _sum(out, axis)
-    if sparse or (sum(b - a for a, b, _ in moves) == op.n and (op.disjoint() or not op.accumulate)):
-        return out
-    if not moves:  # nothing but zeros
-        zero = df.selectExpr(*keys).distinct() if keys else df.limit(1).select()
-        return zero.selectExpr(*keys, f"explode(sequence(0, {op.n - 1})) AS {axis}", *[f"0D AS {v}" for v in values]) if op.n else out
-    return _filled(out, op.n, axis)
-
-
-def _filled(df: DataFrame, n: int, axis: str) -> DataFrame:
-    """Zeros for the positions that an item lacks, in one pass: the item's rows in an array, and the rest behind them."""
-    keys, values = _quoted(keys_of(df, axis)), _values(df)
-    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(axis).cast("int").alias("p"), *values)).alias("v_"))
-    zero = ", ".join(f"'{v}', 0D" for v in values)
-    rest = f"transform(array_except(sequence(0, {n - 1}), v_.p), p -> named_struct('p', p, {zero}))"
-    names = f"({', '.join([axis, *values])})"
-    rows = rows.where("size(v_) > 0").selectExpr(*keys, f"inline(concat(v_, {rest})) AS {names}")
-    return rows
+        begun = items.selectExpr(*keys).distinct() if keys else items.limit(1).select()
+        if words > WORDS:
+            begun = begun.selectExpr(*keys, f"explode(sequence(0L, {(words - 1) // WORDS}L)) AS {bits}")
+            begun = begun.selectExpr(*keys, f"explode(sequence({bits} * {WORDS}, least({bits} * {WORDS} + {WORDS - 1}, {words - 1}L))) AS {word}")
+        else:
+            begun = begun.selectExpr(*keys, f"explode(sequence(0L, {words - 1}L)) AS {word}")
+        begun = begun.selectExpr(*keys, word, f"IF({word} = {words - 1}, {beyond}L, 0L) AS {bits}")
+    # the value is looked at so that both readers of ``out`` ask for the same columns, and its exchanges serve both
+    seen = out.selectExpr(*keys, f"CAST(idx DIV 64 AS LONG) AS {word}", f"IF(re IS NULL, 0L, shiftleft(1L, CAST(idx % 64 AS INT))) AS {bits}")
+    empty = begun.unionAll(seen).groupBy(*keys, word).agg(F.bit_or(bits).alias(bits)).where(f"{bits} <> -1")
+    free = f"IF({bits} = 0, sequence(0, 63), filter(sequence(0, 63), k -> (shiftrightunsigned({bits}, k) & 1L) = 0))"
+    free = empty.selectExpr(*keys, word, f"explode({free}) AS {bits}")
+    return out.unionByName(free.selectExpr(*keys, f"CAST({word} * 64 + {bits} AS {index_type(n)}) AS idx", *[f"0D AS {v}" for v in values]))
 
 
 def _values(df: DataFrame) -> list[str]:
@@ -294,40 +386,38 @@ def _sums(op: Operator) -> bool:
     return isinstance(op, (L.Matrix, L.Fourier)) and bool(op.n)
 
 
-def _tolerated(then: Operator | None, op: Operator, sparse):
-    """Of ``op``, or of each operand of a product, whether zeros may be left out as ``then`` follows."""
-    if then is None:
-        return sparse
-    if isinstance(then, N.Compose):
-        then = then.ops[-1]
-    if isinstance(op, N.Kron) and isinstance(then, N.Kron) and [o.range for o in op.ops] == [o.domain for o in then.ops]:
-        return tuple(map(_sums, then.ops))
-    return _sums(then)
+def split_axis(df: DataFrame, axis: str, sizes: list[int]) -> tuple[DataFrame, list[str]]:
+    """The flat index ``axis`` as a column for each of ``sizes``, the last one fastest."""
+    keys, mark = keys_of(df, axis), "axis"
+    while any(c.startswith(f"{mark}_") for c in [axis, *keys]):  # a product within a product, or a key of that name
+        mark += "_"
+    axes = [f"{mark}_{k}" for k in range(len(sizes))]
+    split = axis_exprs(axis, tuple(sizes[::-1]))[::-1]
+    return df.selectExpr(*_quoted(keys), *[f"{e} AS {a}" for e, a in zip(split, axes)], *_values(df)), axes
+
 
+def join_axis(df: DataFrame, axes: list[str], sizes: list[int], axis: str) -> DataFrame:
+    """Columns of ``split_axis`` as one flat index again."""
+    keys = [c for c in df.columns if c not in (*axes, "re", "im")]
+    return df.selectExpr(*_quoted(keys), f"{flat_expr(axes[::-1], tuple(sizes[::-1]))} AS {axis}", *_values(df))
 
-def _kron(op: N.Kron, df: DataFrame, sparse=False, axis: str = "idx") -> DataFrame:
+
+def _kron(op: N.Kron, df: DataFrame, axis: str = "idx") -> DataFrame:
     """The flat index falls apart into one column an axis, once; each operand then works on its own."""
-    keys, n = keys_of(df, axis), len(op.ops)
-    mark = "axis"
-    while any(c.startswith(f"{mark}_") for c in [axis, *keys]):  # a product within a product, or a key of that name
-        mark += "_"
-    axes = [f"{mark}_{k}" for k in range(n)]
     sizes = [o.domain for o in op.ops]
-    split = axis_exprs(axis, tuple(sizes[::-1]))[::-1]
-    out = df.selectExpr(*_quoted(keys), *[f"{e} AS {a}" for e, a in zip(split, axes)], *[c for c in df.columns if c in ("re", "im")])
+    out, axes = split_axis(df, axis, sizes)
     for k in op.order:
-        out = _long(op.ops[k], out, sparse[k] if isinstance(sparse, tuple) else sparse, axes[k])
+        out = _long(op.ops[k], out, axes[k])
         sizes[k] = op.ops[k].range
-    flat = flat_expr(axes[::-1], tuple(sizes[::-1]))
-    return out.selectExpr(*_quoted(keys), f"{flat} AS {axis}", *[c for c in out.columns if c in ("re", "im")])
+    return join_axis(out, axes, sizes, axis)
 
 
 def _reduce(df: DataFrame, axis: str = "idx") -> DataFrame:
-    """The sum over the key ``rank``, on every rank again."""
+    """The sum over the key ``rank``, on every rank again; of arrays where rows are DENSE."""
     if "rank" not in df.columns:
         raise OperatorError("a reduction needs the key column rank")
     ranks = df.select("rank").distinct().agg(F.sort_array(F.collect_list("rank")).alias("ranks"))  # one number a worker
-    total = _sum(df.drop("rank"), axis)
+    total = tiles.summed(df.drop("rank")) if is_dense(df) else _sum(df.drop("rank"), axis)
     out = total.crossJoin(F.broadcast(ranks)).withColumn("rank", F.explode("ranks"))  # one row of ranks
     return out.select(*_quoted(df.columns))
 
@@ -338,18 +428,18 @@ def _repartition(op: L.Repartition, df: DataFrame, axis: str = "idx") -> DataFra
     return out.repartitionById(prod(op.grid_out), F.col("rank")).select(*_quoted(df.columns))
 
 
-def _long(op: Operator, df: DataFrame, sparse=False, axis: str = "idx") -> DataFrame:
+def _long(op: Operator, df: DataFrame, axis: str = "idx") -> DataFrame:
     """``op`` along the index column ``axis``; all other columns but the values are keys."""
     if isinstance(op, N.Compose):
         for k in reversed(range(len(op.ops))):
             if k and isinstance(op.ops[k], L.Repartition):
                 continue  # what follows deals rows by its own keys, so only a last placement can be seen
-            df = _long(op.ops[k], df, _tolerated(op.ops[k - 1] if k else None, op.ops[k], sparse), axis)
+            df = _long(op.ops[k], df, axis)
         return df
     if isinstance(op, N.Kron):
-        return _kron(op, df, sparse, axis)
+        return _kron(op, df, axis)
     if isinstance(op, (N.Broadcasted, N.Distributed)):
-        return _long(op.op, df, sparse, axis)
+        return _long(op.op, df, axis)
     if isinstance(op, L.Identity):
         return df
     if isinstance(op, N.Bound):
@@ -357,7 +447,7 @@ def _long(op: Operator, df: DataFrame, sparse=False, axis: str = "idx") -> DataF
     if isinstance(op, L.Fourier):
         return _fourier(op, df, False, axis)
     if isinstance(op, L.Restriction):
-        return _restriction(op, df, False, axis=axis)
+        return _restriction(op, df, False, axis)
     if isinstance(op, L.Reduce):
         return _reduce(df, axis)
     if isinstance(op, L.Repartition):
@@ -369,8 +459,8 @@ def _long(op: Operator, df: DataFrame, sparse=False, axis: str = "idx") -> DataF
         if isinstance(inner, L.Fourier):
             return _fourier(inner, df, True, axis)
         if isinstance(inner, L.Restriction):
-            return _restriction(inner, df, True, sparse is True, axis)
-        return _long(inner.adjoint(), df, sparse, axis)
+            return _restriction(inner, df, True, axis)
+        return _long(inner.adjoint(), df, axis)
     raise OperatorError(f"no rule for {type(op).__name__}")
 
 
@@ -380,6 +470,8 @@ def _long(op: Operator, df: DataFrame, sparse=False, axis: str = "idx") -> DataF
 def add_bias(op: Operator, df: DataFrame) -> DataFrame:
     """``x + A`` or, for an adjoint, ``x + A'``: a parameter of one column is added to every item, any other
     element by element to a batch of its shape, whose columns are the key ``j``."""
+    if is_dense(df):
+        return dense_of(add_bias(op, long_of(df)))
     turned = isinstance(op, N.Adjoint)
     w, wr, wi = _weight(op.op if turned else op, turned)
     i, j = ("w_j", "w_i") if turned else ("w_i", "w_j")
@@ -396,6 +488,8 @@ def ieee_divide(a: Column, b: Column) -> Column:
 
 def divide_by(op: N.Bound, df: DataFrame) -> DataFrame:
     """``A / x`` element by element, for a real matrix of the shape of the batch (key ``j``: the column)."""
+    if is_dense(df):
+        return dense_of(divide_by(op, long_of(df)))
     w, wr, _ = _weight(op, False)
     out = df.join(w, (F.col("idx") == F.col("w_i")) & (F.col("j") == F.col("w_j")))
     return out.select(*_quoted(keys_of(df)), "idx", ieee_divide(F.col(wr), F.col("re")).alias("re"))
@@ -403,20 +497,20 @@ def divide_by(op: N.Bound, df: DataFrame) -> DataFrame:
 
 def scale_rows(op: N.Bound, df: DataFrame) -> DataFrame:
     """Each row of the batch times its element of the diagonal, from either side."""
-    return _bound(op, df, False)
+    return apply(op, df) if is_dense(df) else _bound(op, df, False)
 
 
 # --- DENSE ----------------------------------------------------------------
 
 
 def gathered(op: Operator) -> dict[str, np.ndarray]:
-    """Values of all bound leaves as arrays on the driver, one job a table; refused above the broadcast limit."""
+    """Values of all bound leaves as arrays on the driver, one job a table; refused above the broadcast limit, all together."""
+    if tiles.parameter_total(op) > N.BROADCAST_BYTES:
+        raise OperatorError("the parameters of the tree are too large to send to every task")
     tables: dict[int, tuple[DataFrame, dict[str, Operator]]] = {}
 
     def visit(o: Operator) -> None:
         if isinstance(o, N.Bound):
-            if N.parameter_bytes(o.op) > N.BROADCAST_BYTES:
-                raise OperatorError(f"{o.op.op_id!r} is too large to send to every task; use the LONG form")
             tables.setdefault(id(o.params), (o.params, {}))[1][o.op.op_id] = o.op
         else:
             for c in o.children:
@@ -547,14 +641,35 @@ def slices(batch: pa.RecordBatch, n: int):
 
 def _fast(op: Operator, df: DataFrame) -> DataFrame:
     """DENSE result from a DENSE or LONG table. A null array stays null."""
-    tree = _stripped(op)
-    return by_items(op, df, partial(evaluate, tree), tree.domain, is_complex(op.ddt), is_complex(op.rdt))
+    if tiles.whole(op):
+        tree = _stripped(op)
+        return by_items(op, df, partial(evaluate, tree), tree.domain, is_complex(op.ddt), is_complex(op.rdt))
+    if not is_dense(df):
+        n, same = _stripped(op).domain, lambda x, values: x
+        df = by_items(L.Identity(n, op.ddt), df, same, n, is_complex(op.ddt), is_complex(op.ddt))
+    for o, lead, trail in tiles.axis_steps(op):
+        if isinstance(o, L.Reduce):
+            df = _reduce(df)
+        elif tiles.whole(o):
+            tree = _stripped(o)
+            rule = partial(_along, tree=tree, lead=lead, trail=trail)
+            df = by_items(o, df, rule, lead * tree.domain * trail, is_complex(o.ddt), is_complex(o.rdt), lead * trail)
+        else:
+            bound, adjoint = tiles.matrix_of(o)
+            df = tiles.product(bound, df, adjoint, lead, trail)
+    return df
+
+
+def _along(x: np.ndarray, values: dict[str, np.ndarray], tree: Operator, lead: int, trail: int) -> np.ndarray:
+    """``tree`` along the middle axis of rows of ``lead`` x n x ``trail`` elements."""
+    y = evaluate(tree, np.moveaxis(x.reshape(len(x), lead, -1, trail), 2, -1), values)
+    return np.moveaxis(y, -1, 2).reshape(len(x), -1)
 
 
-def by_items(op: Operator, df: DataFrame, rule, length: int, into: bool, out_of: bool) -> DataFrame:
+def by_items(op: Operator, df: DataFrame, rule, length: int, into: bool, out_of: bool, copies: int = 1) -> DataFrame:
     """``rule(rows, values of op)`` on batches of the items of a DENSE or LONG table, of ``length`` elements each, as a DENSE
-    table; ``into`` and ``out_of`` say whether input and output are complex."""
-    keys, values, fibres, widest = keys_of(df), gathered(op), not is_dense(df), max(_widest(_stripped(op)), 1)
+    table; ``into`` and ``out_of`` say whether input and output are complex, ``copies`` how often an item has the operator's axis."""
+    keys, values, fibres, widest = keys_of(df), gathered(op), not is_dense(df), max(_widest(_stripped(op)), 1) * copies
     shared = df.sparkSession.sparkContext.broadcast(values)  # checked by gathered()
 
     def step(batches, n: int):

@@ -9,17 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.gradients import gather_gradients, grad_input, grad_params, pullback
-from .functions.params import generated, init, merge, scale, update
-from .functions.render import dot_string, latex_string
+from .functions.params import generated, merge, scale, update
 from .operators import leaves as L
 from .operators import nodes as N
-from .operators.base import OperatorError
-from .plans import types
-from .plans.cost import complexity, local_complexity
-from .plans.distribute import distribute, global_rows, local_params, local_part, local_rows
-from .plans.grid import block_of, cumulative_ranges, range_axes
-from .plans.lower import add_bias, divide_by, has_im, keys_of, scale_rows
+from .plans.distribute import distribute
+from .plans.grid import block_of, cumulative_ranges, rank_of
+from .plans.lower import add_bias, divide_by, has_im, keys_of, long_of, scale_rows
 from .plans.rewrite import Optimizer, merkle_hash, transforms
+from .plans.tiles import generated_tiles, tiled
 from .sources import tables
 from .sources.json_codec import from_json, to_json
 
@@ -259,26 +256,6 @@ def repartition_blocks(spark, d):
     return x.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"), (F.sum("re") + F.lit(0.0)).alias("re"))
 
 
-@_query("SELECT CAST(n AS INTEGER) AS n, CAST(p AS INTEGER) AS p, CAST(x AS INTEGER) AS x, CAST(CASE WHEN x < (n % p) * (n // p + 1) THEN x // (n // p + 1) ELSE n % p + (x - (n % p) * (n // p + 1)) // greatest(n // p, 1) END AS INTEGER) AS block FROM range(1, 12) a(n), range(1, 14) c(p), range(0, 11) e(x) WHERE x < n")
-def block_table(spark, d):
-    """Blocks of even divisions."""
-    grid = spark.range(11).select((F.col("id") + 1).cast("int").alias("n"))
-    parts = [grid.select("n", F.lit(p).alias("p"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x")) for p in range(1, 14)]
-    out = None
-    for p, df in enumerate(parts, 1):
-        block = F.coalesce(*[F.when(F.col("n") == n, block_of(F.col("x"), n, p)) for n in range(1, 12)])
-        df = df.select("n", "p", "x", block.alias("block"))
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
-@_query("SELECT CAST(k AS INTEGER) AS k, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM (VALUES (0, 0, 3), (1, 3, 3), (2, 3, 8), (3, 0, 2), (4, 2, 3), (5, 0, 3)) t(k, lo, hi)")
-def ranges_table(spark, d):
-    """Ranges of lengths 3, 0, 5, and the blocks of axes of 3 on 2 workers and 3 on 1."""
-    ranges = [*cumulative_ranges([3, 0, 5]), *[r for axis in range_axes((2, 1), (3, 3)) for r in axis]]
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(ranges)], "k int, lo int, hi int")
-
-
 def _chain(spark):
     a, g, c = L.Matrix(8, 16, "A"), L.Diagonal(16, "g"), L.Matrix(16, 64, "C")
     return N.compose(a, g, c).bind(_params(spark, a, g, c))
@@ -407,16 +384,6 @@ def params_scale(spark, d):
     return scale(2.5, _two_tables(spark, d)[0]).select("op_id", (F.col("re") + F.lit(0.0)).alias("re"))
 
 
-@_query("SELECT op_id, CAST(n AS BIGINT) AS n, true AS within, zero FROM (VALUES ('W', 200, false), ('bias', 10, true), ('Z', 60, false), ('d', 30, false), ('T', 24, false)) t(op_id, n, zero)")
-def params_init(spark, d):
-    """Sizes of initial parameters, whether they keep their bounds and whether they are all zero."""
-    ops = [L.Matrix(10, 20, "W"), L.Matrix(10, 1, "bias"), L.Matrix(6, 10, "Z", "c64"), L.Diagonal(30, "d"), L.Tensor(("i", "o"), (4, 6), ("i",), (4,), ("o",), (6,), "T")]
-    most = {"W": (24 / 30) ** 0.5 / 2, "bias": 0.0, "Z": 60**-0.5, "d": 1.0, "T": 24**-0.5}
-    limit = F.coalesce(*[F.when(F.col("op_id") == k, v) for k, v in most.items()])
-    inside = (F.abs("re") <= limit) & (F.abs("im") <= limit)
-    return init(spark, *ops).groupBy("op_id").agg(F.count(F.lit(1)).alias("n"), F.every(inside).alias("within"), F.every((F.col("re") == 0) & (F.col("im") == 0)).alias("zero"))
-
-
 def _step(spark, d):
     a = _matrix(spark, 8, 64)
     x = tables.vectors(spark, d, deal=True)
@@ -469,82 +436,6 @@ def grad_gather(spark, d):
     return gather_gradients(shares).select("i", (F.col("re") + F.lit(0.0)).alias("re"))
 
 
-def _cost_cases():
-    a, b, c = L.Matrix(10, 20, "A"), L.Matrix(30, 50, "B"), L.Matrix(60, 90, "C")
-    k = N.kron(c, b, a)
-    yield "greedy", k
-    yield "optimized", Optimizer(k).run()
-    f = N.kron(*[L.Fourier(n) for n in (12, 14, 16)])
-    m = N.kron(*[L.Matrix(8, n, f"M{n}", "c64") for n in (12, 14, 16)])
-    yield "unfused", N.compose(m, f)
-    yield "fused", next(x for x in transforms(N.compose(m, f)) if isinstance(x, N.Kron))
-    chain = [L.Matrix(3, 3, f"c{i}") for i in range(7)]
-    nested = chain[0]
-    for x in chain[1:]:
-        nested = N.composed([nested, x])
-    yield "nested chain", nested
-    yield "flat chain", Optimizer(nested).run()
-
-
-@_query("SELECT name, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('greedy', 15120000), ('optimized', 7740000), ('unfused', 276090.19694), ('fused', 228089.34814), ('nested chain', 126.00006), ('flat chain', 126.00001)) t(name, cost)")
-def optimizer_cost_table(spark, d):
-    return spark.createDataFrame([(k, round(complexity(op), 5)) for k, op in _cost_cases()], "name string, cost double")
-
-
-@_query("SELECT 'same' AS name, true AS equal UNION ALL SELECT 'shape', false UNION ALL SELECT 'type', false UNION ALL SELECT 'structure', false UNION ALL SELECT 'order', false UNION ALL SELECT 'wrapper', false")
-def merkle_table(spark, d):
-    m = lambda i, j, k="f64", op_id="x": L.Matrix(i, j, op_id, k)
-    k = N.kron(m(4, 4), m(4, 8))
-    pairs = {
-        "same": (m(4, 4, op_id="x"), m(4, 4, op_id="y")),
-        "shape": (m(4, 4), m(4, 8)),
-        "type": (m(4, 4), m(4, 4, "f32")),
-        "structure": (N.compose(m(4, 4), m(4, 4)), N.kron(m(4, 4), m(4, 4))),
-        "order": (k.with_order((0, 1)), k.with_order((1, 0))),
-        "wrapper": (N.Adjoint(m(4, 4)), N.broadcasted(m(4, 4))),
-    }
-    return spark.createDataFrame([(n, merkle_hash(a) == merkle_hash(b)) for n, (a, b) in pairs.items()], "name string, equal boolean")
-
-
-_TEX = r"(\mathrm{Matrix}(4 \rightarrow 2)\ast \mathrm{Diagonal}(4 \rightarrow 4))\otimes(\mathrm{Matrix}(3 \rightarrow 5)^\top)"
-_DOT = r'digraph g {NEWTAdjoint_1 [label="Adjoint #1"];NEWTMatrix_1 [label="Matrix #1\nid = M"];NEWTAdjoint_1 -> Matrix_1;NEW}'
-
-
-@_query(f"SELECT 'latex' AS name, '{_TEX}' AS text UNION ALL SELECT 'dot', replace(replace('{_DOT}', 'NEWT', chr(10) || chr(9)), 'NEW', chr(10))")
-def render_table(spark, d):
-    op = N.kron(N.compose(L.Matrix(2, 4, "A"), L.Diagonal(4, "d")), L.Matrix(5, 3, "M").H)
-    dot = dot_string(L.Matrix(5, 3, "M").H, {"id": lambda o: o.op_id})
-    return spark.createDataFrame([("latex", latex_string(op)), ("dot", dot)], "name string, text string")
-
-
-@_query("SELECT name, true AS equal FROM (VALUES ('identity'), ('diagonal'), ('matrix'), ('fourier'), ('restriction'), ('tensor'), ('adjoint'), ('compose'), ('kron')) t(name)")
-def json_round_trip(spark, d):
-    ops = {
-        "identity": L.Identity(4),
-        "diagonal": L.Diagonal(4, "d", "c32"),
-        "matrix": L.Matrix(4, 5, "1c2ff6a0-5d2a-4c5e-9f10-000000000001"),
-        "fourier": L.Fourier(4, "f16"),
-        "restriction": L.Restriction(8, ((0, 2), (6, 8))),
-        "tensor": L.Tensor(("i", "o"), (2, 3), ("i",), (2,), ("o",), (3,), "T"),
-    }
-    ops |= {"adjoint": ops["matrix"].H, "compose": N.compose(ops["matrix"], ops["matrix"].H), "kron": N.kron(ops["matrix"], ops["identity"]).with_order((1, 0))}
-    return spark.createDataFrame([(k, from_json(to_json(op)) == op) for k, op in ops.items()], "name string, equal boolean")
-
-
-@_query("SELECT CAST(7 AS BIGINT) AS n, true AS equal")
-def rewrites_agree(spark, d):
-    """Seven forms of one product of three factors: how many there are, and whether their sums over the table agree."""
-    op, x = _product(spark, (4, 4), (4, 4), (4, 4)), tables.vectors(spark, d, deal=True)
-    forms: dict[str, N.Operator] = {}
-    for other in transforms(op):
-        forms.setdefault(merkle_hash(other), other)
-    out = None
-    for k, other in enumerate(list(forms.values())[:7]):
-        s = other.apply(x).agg(F.sum(F.col("re") * (F.col("idx") % 13)).alias("s")).select(F.lit(k).alias("k"), "s")
-        out = s if out is None else out.unionByName(s)
-    return out.agg(F.count(F.lit(1)).alias("n"), (F.min("s") == F.max("s")).alias("equal"))
-
-
 @_query(f"WITH h AS (SELECT user_id AS b, CAST(date_part('hour', ts) AS INTEGER) AS h, sum(floor(coalesce(value, 0) * 1024) / 1024) AS v FROM events GROUP BY 1, 2) SELECT b, CAST(k AS INTEGER) AS idx, round((sum(v * cos({_SIN.format(j='h', n=24)}))) * pow(2, 14)) / pow(2, 14) + 0.0 AS re, round((sum(-v * sin({_SIN.format(j='h', n=24)}))) * pow(2, 14)) / pow(2, 14) + 0.0 AS im FROM h, range(13) t(k) GROUP BY b, k")
 def events_hour_dft(spark, d):
     return _out(L.Fourier(24, "f64").apply(tables.hourly(spark, d)), 14)
@@ -680,29 +571,6 @@ def zeros_like_table(spark, d):
     return _out(zeros_like(tables.vectors(spark, d)))
 
 
-@_query(f"WITH {_L}, {_d(64)} SELECT b, idx, w * re + 0.0 AS re FROM l JOIN d ON idx = i")
-def distributed_diagonal(spark, d):
-    """Each of four workers applies the diagonal of its own block to its own rows."""
-    leaf = L.Diagonal(64, "d")
-    return _out(_by_workers(leaf, (64,), (64,), (4,), _params(spark, leaf), tables.vectors(spark, d)))
-
-
-@_query(f"WITH {_L}, w AS (SELECT i, o, t, CAST((7 * (i + 8 * o + 24 * t)) % 11 - 5 AS DOUBLE) AS w FROM range(8) a(i), range(3) c(o), range(8) e(t)) SELECT b, CAST(o + 3 * t AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx % 8 = i AND idx // 8 = t GROUP BY b, o, t")
-def distributed_tensor(spark, d):
-    """Each of four workers contracts its own block of the third axis with its part of the weight."""
-    leaf = L.Tensor(("i", "o", "t"), (8, 3, 8), ("i", "t"), (8, 8), ("o", "t"), (3, 8), "T")
-    return _out(_by_workers(leaf, (8, 8), (3, 8), (1, 4), _params(spark, leaf), tables.vectors(spark, d)))
-
-
-def _by_workers(leaf, shape, shape_out, grid, params, x) -> DataFrame:
-    out = None
-    for rank in range(int(np.prod(grid))):
-        local = local_part(leaf, grid, rank).bind(local_params(leaf, grid, rank, params))
-        y = global_rows(local.apply(local_rows(x, shape, grid, rank)), shape_out, grid, rank)
-        out = y if out is None else out.unionByName(y)
-    return out
-
-
 @_query(f"WITH {_L}, f AS (SELECT b // 16 AS b, ((b % 16) * 64 + idx) % 1000 AS idx, sum(re) AS re FROM l GROUP BY ALL) SELECT CAST((idx % 10 // 5) * 4 + (idx // 10 % 10 // 5) * 2 + idx // 100 // 5 AS INTEGER) AS rank, count(*) AS n, sum(re) + 0.0 AS re FROM f GROUP BY 1")
 def repartition_back(spark, d):
     """The adjoint of a move of 10 x 10 x 10 arrays from a grid of 2 x 2 x 2 workers to 8 x 1 x 1: back to the eight octants."""
@@ -807,71 +675,122 @@ def spectral_two_ranges(spark, d):
 # --- tables of what expressions say about themselves ----------------------
 
 
-@_query("SELECT name, CAST(value AS VARCHAR) AS value FROM (VALUES ('flattened', '4'), ('as given', '2'), ('single', 'Matrix'), ('parametric', 'parametric'), ('bound', 'parameterized'), ('free', 'nonparametric'), ('mixed', 'parametric'), ('linear', 'linear'), ('leaf', 'external'), ('node', 'internal'), ('types', 'f64 to c64'), ('lengths', '8 to 5'), ('children', '3'), ('rebuilt', 'True'), ('parameters', 'A,d'), ('mismatch', 'OperatorError'), ('negative', 'OperatorError'), ('unbound', 'OperatorError')) t(name, value)")
-def traits_table(spark, d):
-    """Flattening, traits, types, lengths, parameters and errors of expressions."""
-    a, g, f = L.Matrix(4, 4, "A"), L.Diagonal(4, "d"), L.Fourier(8, "f64")
-    nested = N.composed([a, N.composed([a, a])])
-    bound = a.bind(_params(spark, a))
-    k = N.kron(a, g, L.Identity(2))
-
-    def fails(make) -> str:
-        try:
-            make()
-        except OperatorError as e:
-            return type(e).__name__
-        return "nothing"
-
-    rows = {
-        "flattened": len(N.compose(N.compose(a, a), N.compose(a, a)).ops), "as given": len(nested.ops), "single": type(N.compose(a)).__name__,
-        "parametric": a.parametricity, "bound": bound.parametricity, "free": f.parametricity, "mixed": N.composed([bound, a]).parametricity,
-        "linear": k.linearity, "leaf": a.location, "node": k.location, "types": f"{f.ddt} to {f.rdt}", "lengths": f"{f.domain} to {f.range}",
-        "children": len(k.children), "rebuilt": k.rebuild(k.children) == k, "parameters": ",".join(k.slots()),
-        "mismatch": fails(lambda: N.compose(a, L.Matrix(3, 4, "B"))), "negative": fails(lambda: L.Identity(-1)), "unbound": fails(lambda: a.apply(tables.vectors(spark, d))),
-    }
-    return spark.createDataFrame([(n, str(v)) for n, v in rows.items()], "name string, value string")
-
-
-@_query("SELECT name, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('add f16', 0.25), ('add f32', 1.5), ('add f64', 1), ('add c16', 0.5), ('add c32', 1), ('add c64', 2), ('multiply f64', 2), ('multiply c64', 4), ('transfer 3 bytes', 300), ('identity', 0), ('restriction', 0), ('tensor', 48), ('reduce', 1), ('repartition', 9600), ('local half', 16), ('local all', 32)) t(name, cost)")
-def cost_table(spark, d):
-    """Unit costs and the costs of single leaves, whole and on one of two workers."""
-    costs = {f"add {k}": types.addition_cost(k) for k in types.NAMES}
-    costs |= {f"multiply {k}": types.multiplication_cost(k) for k in ("f64", "c64")}
-    m = L.Matrix(4, 4, "A")
-    costs |= {
-        "transfer 3 bytes": types.transfer_cost(3), "identity": complexity(L.Identity(4)), "restriction": complexity(L.Restriction(8, ((0, 2),))), "tensor": complexity(L.Tensor(("i", "o"), (4, 6), ("i",), (4,), ("o",), (6,), "T")),
-        "reduce": complexity(L.Reduce()), "repartition": complexity(L.Repartition((4, 4), (4, 1), (1, 4))), "local half": local_complexity(N.Distributed(m, 0, 2)), "local all": local_complexity(m),
-    }
-    return spark.createDataFrame([(k, float(v)) for k, v in costs.items()], "name string, cost double")
-
-
-@_query("SELECT name, text FROM (VALUES ('matrix', '{\"type\": \"ParMatrix\", \"m\": 4, \"n\": 5, \"T\": \"Float64\", \"id\": \"W\"}'), ('restriction', '{\"type\": \"ParRestriction\", \"n\": 8, \"ranges\": [[1, 2], [7, 8]], \"T\": \"Float64\"}'), ('adjoint', '{\"type\": \"ParAdjoint\", \"of\": {\"type\": \"ParDFT\", \"n\": 4, \"m\": 3, \"T\": \"Float32\"}}'), ('no type', 'OperatorError'), ('unknown type', 'OperatorError'), ('unknown element', 'OperatorError'), ('wrong length', 'OperatorError'), ('no form', 'OperatorError'), ('no program', 'OperatorError')) t(name, text)")
-def text_forms(spark, d):
-    """JSON texts, and what is refused when reading, writing or drawing."""
-    from .functions.render import plot_operator_graph
-
-    def tried(make) -> str:
-        try:
-            return str(make())
-        except OperatorError as e:
-            return type(e).__name__
-
-    forms = {
-        "matrix": lambda: to_json(L.Matrix(4, 5, "W")), "restriction": lambda: to_json(L.Restriction(8, ((0, 2), (6, 8)))), "adjoint": lambda: to_json(L.Fourier(4, "f32").H),
-        "no type": lambda: from_json("{}"), "unknown type": lambda: from_json('{"type": "Nothing"}'), "unknown element": lambda: from_json('{"type": "ParIdentity", "T": "Int8", "n": 4}'),
-        "wrong length": lambda: from_json('{"type": "ParDFT", "T": "Float64", "n": 4, "m": 4}'), "no form": lambda: to_json(L.Reduce()), "no program": lambda: plot_operator_graph(L.Identity(1), "x", program="no such program"),
-    }
-    return spark.createDataFrame([(k, tried(f)) for k, f in forms.items()], "name string, text string")
-
-
-@_query("SELECT op_id, CAST(n AS BIGINT) AS n FROM (VALUES ('A', 12), ('B', 6), ('d', 4)) t(op_id, n)")
-def params_init_tree(spark, d):
-    """Initial values of a tree with inner, adjoint and broadcast nodes, one set for each id, kept by both devices."""
-    from .functions.arrays import cpu, gpu
-
-    a, b, g = L.Matrix(3, 4, "A"), L.Matrix(2, 3, "B"), L.Diagonal(4, "d")
-    tree = N.compose(N.broadcasted(N.kron(b, L.Identity(2))), N.kron(a, L.Identity(2)), N.kron(a.H, L.Identity(2)), N.kron(a, L.Identity(2)), N.kron(g, L.Identity(2)))
-    return cpu(gpu(init(spark, tree))).groupBy("op_id").agg(F.count(F.lit(1)).alias("n"))
+_BLOCKS = "SELECT p, CASE WHEN x < (n % p) * (n // p + 1) THEN x // (n // p + 1) ELSE n % p + (x - (n % p) * (n // p + 1)) // greatest(n // p, 1) END AS block, x"
+
+
+@_query(f"WITH o AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS x, count(*) OVER () AS n FROM customer), b AS ({_BLOCKS} FROM o, (VALUES (1), (3), (7), (13)) t(p)) SELECT CAST(p AS INTEGER) AS p, CAST(block AS INTEGER) AS block, count(*) AS n, min(x) AS lo, max(x) + 1 AS hi FROM b GROUP BY p, block")
+def block_table(spark, d):
+    """Customers in even blocks: how many each worker has, and which range."""
+    keys = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("x"))  # numbered from 0 without gaps
+    n, out = keys.count(), None
+    for p in (1, 3, 7, 13):
+        part = keys.groupBy(F.lit(p).alias("p"), block_of(F.col("x"), n, p).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), (F.max("x") + 1).alias("hi"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query("WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) SELECT CAST(k AS INTEGER) AS k, CAST(sum(n) OVER (ORDER BY k) - n AS BIGINT) AS lo, CAST(sum(n) OVER (ORDER BY k) AS BIGINT) AS hi FROM c")
+def ranges_table(spark, d):
+    """The ranges that the customers of each nation take, one nation after the other."""
+    sizes = tables.read(spark, d, "customer").groupBy("c_nationkey").count().orderBy("c_nationkey").collect()  # one row a nation
+    ranges = cumulative_ranges([r["count"] for r in sizes])
+    return spark.createDataFrame([(r["c_nationkey"], a, b) for r, (a, b) in zip(sizes, ranges)], "k int, lo long, hi long")
+
+
+@_query(ORACLE_SQL["compose_chain"])
+def json_round_trip(spark, d):
+    """A chain that is written as JSON text, read back, bound and applied."""
+    leaves = [L.Matrix(8, 16, "A"), L.Diagonal(16, "g"), L.Matrix(16, 64, "C")]
+    return _out(from_json(to_json(N.compose(*leaves))).bind(_params(spark, *leaves)).apply(tables.vectors(spark, d, deal=True)))
+
+
+@_query("SELECT CAST(64 * 10 * count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS bad FROM embeddings")
+def rewrites_agree(spark, d):
+    """Elements of all forms of one product of three factors, and how many differ from another form's."""
+    op, x = _product(spark, (4, 4), (4, 4), (4, 4)), tables.vectors(spark, d, deal=True)
+    forms: dict[str, N.Operator] = {}
+    for other in transforms(op):
+        forms.setdefault(merkle_hash(other), other)
+    out = None
+    for other in forms.values():
+        y = other.apply(x)
+        out = y if out is None else out.unionByName(y)
+    same = out.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("n"), (F.min("re") != F.max("re")).cast("long").alias("bad"))
+    return same.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
+def _by_rank(x: DataFrame, shape: tuple[int, ...], grid: tuple[int, ...]) -> DataFrame:
+    """Rows with the worker that has them on ``grid`` as a key, in its partition."""
+    return x.withColumn("rank", rank_of("idx", shape, grid)).repartitionById(int(np.prod(grid)), F.col("rank"))
+
+
+@_query(f"WITH {_L}, {_d(64)} SELECT CAST(idx // 16 AS INTEGER) AS rank, b, idx, w * re + 0.0 AS re FROM l JOIN d ON idx = i")
+def distributed_diagonal(spark, d):
+    """A diagonal on rows that lie with four workers, each with its block."""
+    leaf = L.Diagonal(64, "d")
+    return _out(leaf.bind(_params(spark, leaf)).apply(_by_rank(tables.vectors(spark, d), (64,), (4,))))
+
+
+@_query(f"WITH {_L}, w AS (SELECT i, o, t, CAST((7 * (i + 8 * o + 24 * t)) % 11 - 5 AS DOUBLE) AS w FROM range(8) a(i), range(3) c(o), range(8) e(t)) SELECT CAST(t // 2 AS INTEGER) AS rank, b, CAST(o + 3 * t AS INTEGER) AS idx, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx % 8 = i AND idx // 8 = t GROUP BY b, o, t")
+def distributed_tensor(spark, d):
+    """A contraction on rows that lie with four workers by their third axis, which it does not sum over."""
+    leaf = L.Tensor(("i", "o", "t"), (8, 3, 8), ("i", "t"), (8, 8), ("o", "t"), (3, 8), "T")
+    return _out(leaf.bind(_params(spark, leaf)).apply(_by_rank(tables.vectors(spark, d), (8, 8), (1, 4))))
+
+
+@_query(f"WITH {_L}, {_w('w', 64, 64)} SELECT b, {_I}, sum(w * re) + 0.0 AS re FROM l JOIN w ON idx = j GROUP BY b, i")
+def matrix_tiled(spark, d):
+    """A matrix as tiles of 16 x 16 on panels of vectors."""
+    leaf = L.Matrix(64, 64, "W")
+    return _out(long_of(leaf.bind(generated_tiles(spark, leaf, W, tile=16)).apply(tables.dense_vectors(spark, d))))
+
+
+@_query(f"WITH {_L}, {_Z}, {_w('w', 32, 16, True)} SELECT b, CAST(j AS INTEGER) AS idx, sum(w * re + wi * im) + 0.0 AS re, sum(w * im - wi * re) + 0.0 AS im FROM z JOIN w ON idx = i GROUP BY b, j")
+def matrix_tiled_adjoint(spark, d):
+    """The adjoint of a complex matrix, its elements tiled by 8 x 8, on LONG items."""
+    leaf = L.Matrix(32, 16, "W", "c64")
+    return _out(leaf.bind(tiled(_params(spark, leaf, im=V), leaf, 8)).H.apply(tables.complex_vectors(spark, d)))
+
+
+@_query(f"WITH {_L}, {_w('w', 8, 64)} SELECT b, {_I}, CAST(CAST(sum(CAST(re AS FLOAT) * w) AS FLOAT) AS DOUBLE) + 0.0 AS re FROM l JOIN w ON idx = j GROUP BY b, i")
+def matrix_apply_f32(spark, d):
+    """Floats in and out, added up as doubles."""
+    x = tables.vectors(spark, d, deal=True).withColumn("re", F.col("re").cast("float"))
+    return _out(_matrix(spark, 8, 64, "f32").apply(x))
+
+
+@_query(f"WITH {_L}, s AS (SELECT b // 40 AS b, idx, sum(re) AS re FROM l GROUP BY ALL), r AS (SELECT DISTINCT CAST(b % 8 AS INTEGER) AS rank FROM l) SELECT b, rank, idx, re + 0.0 AS re FROM s, r")
+def reduce_dense(spark, d):
+    """Arrays of eight workers added up item by item, and again on every worker."""
+    rows = tables.dense_vectors(spark, d).select(F.floor(F.col("b") / 40).alias("b"), (F.col("b") % 8).cast("int").alias("rank"), "re")
+    return _out(long_of(L.Reduce().apply(rows).dropDuplicates(["b", "rank"])))
+
+
+@_query(f"WITH {_L}, p AS (SELECT b // 64 AS b, (b % 64) * 64 + idx AS idx, re FROM l) SELECT b, CAST(k AS INTEGER) AS idx, round((sum(re * cos({_SIN.format(j='idx', n=4096)}))) * pow(2, 10)) / pow(2, 10) + 0.0 AS re, round((sum(-re * sin({_SIN.format(j='idx', n=4096)}))) * pow(2, 10)) / pow(2, 10) + 0.0 AS im FROM p, range(2049) t(k) GROUP BY b, k")
+def rdft_long_axis(spark, d):
+    """64 vectors end to end, transformed in two passes of 64: no row holds the axis."""
+    x = tables.vectors(spark, d)
+    x = x.select(F.floor(F.col("b") / 64).alias("b"), (F.col("b") % 64 * 64 + F.col("idx")).cast("int").alias("idx"), "re")
+    return _out(L.Fourier(4096, "f64", piece=64).apply(x), 10)
+
+
+_MANY = [(3 * k % 61, 3 * k % 61 + 2 + k % 2) for k in range(50)]
+
+
+@_query(f"WITH {_L}, r AS (SELECT k, 3 * k % 61 AS a, 2 + k % 2 AS n FROM range(50) t(k)), s AS (SELECT a, n, sum(n) OVER (ORDER BY k) - n AS o FROM r) SELECT b, CAST(idx - a + o AS INTEGER) AS idx, re + 0.0 AS re FROM l JOIN s ON idx >= a AND idx < a + n")
+def restrict_many_ranges(spark, d):
+    """More ranges than an expression has cases for, some of them overlapping: looked up by buckets of positions."""
+    return _out(L.Restriction(64, tuple(_MANY)).apply(tables.vectors(spark, d)))
+
+
+@_query(ORACLE_SQL["grad_spectral_block"])
+def grad_tree_long(spark, d):
+    """The same gradients by joins alone, as for parameters and items that do not fit in a task."""
+    leaves = [L.Diagonal(4, "g", "c64"), L.Matrix(4, 4, "M", "c64")]
+    params = generated(spark, leaves[0], D, E).unionByName(generated(spark, leaves[1], W, V))
+    x = tables.vectors(spark, d)
+    value = lambda c: (_rounded(c, 26) + F.lit(0.0)).alias(c)
+    return grad_params(spectral_block().bind(params), x, x, joins=True).select("op_id", "i", "j", value("re"), value("im"))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "spectral_block"]

@@ -1,6 +1,7 @@
 """Rewrites, costs, hashes, JSON, rendering, distribution, parameters, gradients and streams."""
 
 import json
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -313,6 +314,49 @@ def test_gradients_of_trees(spark, k):
         slope = ((evaluate(tree, x + e, w) - evaluate(tree, x - e, w)) * up.conj()).real.sum() / 2e-6
         assert slope == pytest.approx(back[at].real, rel=1e-4, abs=1e-5)
     np.testing.assert_allclose(pulled, back, atol=1e-9)
+    # and both by joins, without a broadcast
+    again = {i: np.zeros(v.shape, complex) for i, v in w.items()}
+    with mock.patch("tensorloom.operators.nodes.BROADCAST_BYTES", 0):
+        for r in t.grad_params(op.bind(params), table(spark, x), table(spark, up)).collect():
+            again[r["op_id"]][(r["i"], r["j"]) if again[r["op_id"]].ndim == 2 else r["i"]] = complex(r["re"], r["im"])
+        np.testing.assert_allclose(array(t.pullback(op.bind(params), table(spark, up)), x.shape), back, atol=1e-9)
+    for i, v in got.items():
+        np.testing.assert_allclose(again[i], v, atol=1e-9)
+
+
+def test_gradients_through_a_reduction(spark):
+    """A reduction's gradient is each worker's own, for a leaf alone, in a tree, in LONG and in arrays."""
+    up = spark.createDataFrame([(r, k, float(r + k)) for r in range(3) for k in range(4)], "rank int, idx int, re double")
+    rows = lambda df: sorted(map(tuple, df.select("rank", "idx", "re").collect()))
+    assert rows(t.pullback(t.Reduce(), up)) == rows(up)
+    d = t.Diagonal(4, "d").bind(t.from_arrays(spark, {"d": np.arange(4.0)}))
+    op = t.compose(t.Reduce(), d)
+    assert rows(t.pullback(op, up)) == sorted((r, k, float((r + k) * k)) for r in range(3) for k in range(4))
+    got = {r["i"]: r["re"] for r in t.grad_params(op, up, up).collect()}
+    assert got == {k: float(sum((r + k) ** 2 for r in range(3))) for k in range(4)}
+    arrays = t.dense_of(up)
+    assert sorted(map(tuple, t.long_of(t.pullback(op, arrays)).collect())) == rows(t.pullback(op, up))
+    assert {r["i"]: r["re"] for r in t.grad_params(op, arrays, arrays).collect()} == got
+
+
+@pytest.mark.parametrize("dtype, norm", [("c64", "backward"), ("f64", "ortho"), ("f64", "backward")])
+def test_transforms_in_factors(spark, dtype, norm):
+    """Axes of more than a piece, in two or three factors, there and back, within a product, and their derivative."""
+    from tensorloom.plans.lower import evaluate
+
+    n = 12 if dtype == "f64" else 18
+    short, f = t.Fourier(n, dtype, norm), t.Fourier(n, dtype, norm, 4 if n == 12 else 3)
+    x = draw(2, n, complex_=dtype == "c64")
+    y = evaluate(short, x, {})
+    np.testing.assert_allclose(array(f.apply(table(spark, x)), y.shape), y, atol=1e-9)
+    np.testing.assert_allclose(array(f.H.apply(table(spark, y)), x.shape), x, atol=1e-9)
+    np.testing.assert_allclose(array(t.pullback(f, table(spark, y), joins=True), x.shape), array(t.pullback(short, table(spark, y)), x.shape), atol=1e-9)
+    op = lambda g: t.kron(t.Fourier(3, "c64"), g)
+    z = draw(2, 3 * n, complex_=dtype == "c64")
+    want = evaluate(op(short), z, {})
+    np.testing.assert_allclose(array(op(f).apply(table(spark, z)), want.shape), want, atol=1e-9)
+    with pytest.raises(t.OperatorError, match="no factor"):
+        t.Fourier(17, dtype, norm, 4).apply(table(spark, draw(1, 17, complex_=dtype == "c64")))
 
 
 def test_training_step(spark):
@@ -352,8 +396,11 @@ def test_large_parameters_by_joins(spark, monkeypatch):
     y = x @ w.T
     got = {(r["i"], r["j"]): r["re"] for r in t.grad_params(a, table(spark, x), table(spark, y)).collect()}
     np.testing.assert_allclose([[got[i, j] for j in range(4)] for i in range(3)], y.T @ x, atol=1e-9)
-    with pytest.raises(t.OperatorError):
-        t.grad_params(a @ M(4, 4, "V").bind(t.from_arrays(spark, {"V": draw(4, 4)})), table(spark, x), table(spark, y))
+    v = draw(4, 4)
+    tree = a @ M(4, 4, "V").bind(t.from_arrays(spark, {"V": v}))
+    got = {(r["op_id"], r["i"], r["j"]): r["re"] for r in t.grad_params(tree, table(spark, x), table(spark, y)).collect()}
+    np.testing.assert_allclose([[got["W", i, j] for j in range(4)] for i in range(3)], y.T @ (x @ v.T), atol=1e-9)
+    np.testing.assert_allclose([[got["V", i, j] for j in range(4)] for i in range(4)], (y @ w).T @ x, atol=1e-9)
 
 
 def test_distribution_moves_rows_once(spark):
