@@ -43,6 +43,13 @@ CUT, LONG_BLANKS = 1 << 20, 1 << 10
 #: White space as the split pattern's engine knows it.
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD_END, _RUN = re.compile(f"(?<=[^{_BLANK}])[{_BLANK}]"), re.compile(f"[{_BLANK}]{{{LONG_BLANKS},}}")
+_TWO = re.compile(f"[{_BLANK}]{{2}}")
+
+
+def _has_run(text: str) -> bool:
+    """Whether ``text`` may have a long run of blanks: such a run holds two neighbours of every ``LONG_BLANKS / 2``-th character."""
+    step = LONG_BLANKS // 2
+    return _TWO.search(text[step - 1 :: step]) is not None
 
 
 def _parts(text: str) -> Iterator[tuple[str, bool]]:
@@ -51,11 +58,11 @@ def _parts(text: str) -> Iterator[tuple[str, bool]]:
     No match goes on from another character into blanks, so a part may end where blanks begin. A run of
     blanks is one match, up to its last blank if more text follows: that one belongs to what comes.
     """
-    at = 0
+    at, runs = 0, _has_run(text)
     while at < len(text):
         cut = _WORD_END.search(text, at + CUT)
         end = cut.start() if cut else len(text)
-        for run in _RUN.finditer(text, at, end):
+        for run in _RUN.finditer(text, at, end) if runs else ():
             stop = run.end() if run.end() == len(text) else run.end() - 1
             if run.start() > at:
                 yield text[at : run.start()], False
