@@ -20,6 +20,8 @@ connected are made.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +39,19 @@ LARGE_BLOCKS = 16
 _U, _W = np.uint64, np.uint32
 
 
+#: Words of so many bytes are hashed by a digest: for a polynomial there are long words of equal hash, whatever its base.
+LONG_WORD = 256
+
+
 def shingles(codes: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``n``-word shingles of each text, A-Z lower-cased; fewer words form one shingle."""
     starts, ends, first = words(codes, offsets)
     if not len(starts):
         return [np.zeros(0, _U)] * (len(offsets) - 1)
-    h = spans_hash(LOWER[codes], starts, ends)
+    low = LOWER[codes]
+    h = spans_hash(low, starts, ends)
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        h[k] = int.from_bytes(blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8).digest())
     count = max(len(h) - n + 1, 0)
     run = h[:count].copy()
     for i in range(1, n):

@@ -476,3 +476,14 @@ def test_no_text_stops_the_packing(spark):
     assert [ids[k] for k in (2, 3, 4)] == [piece(t) for t in texts[2:5]]
     assert ids[100] == piece("the") + [piece(" quick")[0], piece(" brown")[0], piece(" fox")[0], piece(" the")[0]] * 999_999 + piece(" quick") + piece(" brown") + piece(" fox") + piece(" ")
     assert ids[101] == encoding.encode_ordinary("a�b")
+
+
+def test_long_words_of_equal_polynomials(spark):
+    """A word of the doubling sequence and its complement have one polynomial hash for every base; they are not copies."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = [(1, a), (2, b), (3, a.upper()), (4, f"{a} x y"), (5, f"{b} x y"), (6, a[:1024]), (7, b[:1024])]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, docs), 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
