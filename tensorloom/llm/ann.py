@@ -28,6 +28,8 @@ from .common import checkpointed, discard, table
 SAMPLE_ROWS = 8192
 #: Leaves with more rows get a subtree.
 LEAF_MOST = 16384
+#: Bytes of the tree at most, as all tasks get it, and nodes of a subtree, about; beyond that the smaller ones of the large leaves stay whole.
+TREE_BYTES, SUBTREE_NODES = 256 << 20, 1024
 #: Children of a node; sample rows of a leaf, at most, if they differ.
 BRANCHES, LEAF_ROWS = 8, 48
 #: Queries that are answered exactly for calibration, at most, and the mean recall that they must reach.
@@ -82,20 +84,26 @@ class Tree:
         number[number >= 0] = np.arange((number >= 0).sum())
         return Tree(np.concatenate(centre), np.concatenate(spread), children, number)
 
-    def order(self, q: np.ndarray, visits: int, least: int) -> list[list[int]]:
-        """Leaves that each query visits, best bin first: ``visits`` of them, and on until they hold ``least`` rows."""
-        hope = q @ self.centre.T + np.linalg.norm(q, axis=1)[:, None] * self.spread
+    def order(self, q: np.ndarray, visits: int, least: int, wanted: list[set[int]] | None = None) -> list[list[int]]:
+        """Leaves that each query visits, best bin first: ``visits`` of them, and on until they hold ``least`` rows; with
+        ``wanted``, until these leaves are among them. Only children of nodes that are taken from the queue are scored."""
+        inside = [np.array(c, np.int64) for c in self.children]
         out = []
-        for h in hope:
-            queue, got, rows = [(-h[0], 0)], [], 0
-            while queue and (len(got) < visits or rows < least):
+        for i, x in enumerate(q):
+            length = float(np.linalg.norm(x))
+            queue, got, rows, missing = [(0.0, 0)], [], 0, set(wanted[i]) if wanted else None
+            while queue and (missing if wanted else len(got) < visits or rows < least):
                 _, node = heappop(queue)
                 if self.children[node]:
-                    for child in self.children[node]:
-                        heappush(queue, (-h[child], child))
+                    at = inside[node]
+                    for hope, child in zip((self.centre[at] @ x + length * self.spread[at]).tolist(), self.children[node]):
+                        heappush(queue, (-hope, child))
                 else:
                     got.append(int(self.leaf[node]))
-                    rows += self.held[got[-1]]
+                    if wanted:
+                        missing.discard(got[-1])
+                    else:
+                        rows += self.held[got[-1]]
             out.append(got)
         return out
 
@@ -215,9 +223,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, recall: float
     schema = "id bigint, v array<double>, q boolean, leaf int"
 
     def filing(tree: Tree):
+        shared = spark.sparkContext.broadcast(tree)  # at most TREE_BYTES
+
         def filed(batches):
             for batch in batches:
-                leaf = tree.file(_matrix(batch.column(1), width)) if batch.num_rows else np.zeros(0, np.int32)
+                leaf = shared.value.file(_matrix(batch.column(1), width)) if batch.num_rows else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaf, pa.int32())], ["id", "v", "q", "leaf"])
 
         return filed
@@ -231,7 +241,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, recall: float
     rows = checkpointed(rows.mapInArrow(filing(tree), schema))
     held = counted(rows, tree)
     if held.max() > LEAF_MOST:
-        whole, tree = rows, tree.graft(_subtrees(rows, held, width, seed))
+        # as many subtrees as the tree has room for, for the largest leaves first; the other leaves stay large
+        room = max(1, TREE_BYTES // (8 * (width + 1) * SUBTREE_NODES))
+        split = np.where((held > LEAF_MOST) & (np.argsort(np.argsort(-held, kind="stable"), kind="stable") < room), held, 0)
+        whole, tree = rows, tree.graft(_subtrees(rows, split, width, seed))
         rows = checkpointed(whole.mapInArrow(filing(tree), schema))
         discard(whole)
         held = counted(rows, tree)
@@ -242,7 +255,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, recall: float
     group, row_blocks = _blocks(held)
     group_of = np.array(group)
 
+    shared = spark.sparkContext.broadcast(tree)
+
     def visited(batches):
+        tree = shared.value
         for batch in batches:
             q = _matrix(batch.column(1), width)
             row, block, leaves = [], [], []
@@ -369,7 +385,7 @@ def calibrate(rows: DataFrame, tree: Tree, width: int, k: int, recall: float) ->
     near = rows.select(F.col("id").alias("vec_id"), "leaf").join(F.broadcast(checkpointed(true)), "vec_id").select("query_id", "leaf").toPandas()
     wanted = {i: g.to_numpy() for i, g in near.groupby("query_id")["leaf"]}
     at = []
-    for (i, _), order in zip(queries, tree.order(q, tree.leaves, 0)):
+    for (i, _), order in zip(queries, tree.order(q, tree.leaves, 0, [{*wanted.get(i, [])} for i, _ in queries])):
         place = {leaf: n + 1 for n, leaf in enumerate(order)}
         at += [place[x] for x in wanted.get(i, [])]
     return int(np.sort(at)[max(0, int(np.ceil(recall * len(at))) - 1)]) if at else 1

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -130,6 +131,43 @@ def test_tree_visits_best_leaves_first():
     assert np.mean([o.index(k) for o, k in zip(order, leaf[:50])]) < tree.leaves / 4
     assert all(sum(tree.held[k] for k in o) >= 300 for o in tree.order(x[:20], 1, 300))
     assert ann.grow(np.ones((500, 4))).leaves == 1
+    # a walk that looks for some leaves ends with the last of them
+    wanted = [{o[3], o[7]} for o in order]
+    assert tree.order(x[:50], 1, 0, wanted) == [o[:8] for o in order] and tree.order(x[:1], 1, 0, [set()]) == [[]]
+
+
+def test_work_a_query_falls_as_clustered_tables_grow(spark, monkeypatch):
+    """Clusters that grow in number: leaves get subtrees, and a query visits and scores a falling share of them, at the same recall."""
+    monkeypatch.setattr(ann, "LEAF_MOST", 400)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 512)
+    rng, shares = np.random.default_rng(5), []
+    for n in (1000, 5000):
+        centres = rng.normal(size=(n // 25, 16)) * 4
+        x = centres[np.arange(n) % len(centres)] + rng.normal(size=(n, 16)) * 0.3
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        seen = []
+        monkeypatch.setattr(ann, "calibrate", lambda rows, tree, *a, run=ann.calibrate: seen.append((run(rows, tree, *a), tree.leaves)) or seen[-1][0])
+        got = defaultdict(set)
+        for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        monkeypatch.undo()
+        monkeypatch.setattr(ann, "LEAF_MOST", 400)
+        monkeypatch.setattr(ann, "SAMPLE_ROWS", 512)
+        hits = [len(got[q] & {*sorted((k for k in range(n) if k != q), key=lambda k: (-float(x[k] @ x[q]), k))[:20]}) for q in range(0, n, 20)]
+        assert np.mean(hits) >= 0.9 * 20
+        shares.append(seen[0][0] / seen[0][1])
+    assert shares[1] < shares[0]
+
+
+def test_tree_stays_within_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_MOST", 20)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 128)
+    monkeypatch.setattr(ann, "TREE_BYTES", 1)
+    grafted, graft = [], ann.Tree.graft
+    monkeypatch.setattr(ann.Tree, "graft", lambda self, subtrees: grafted.append(len(subtrees)) or graft(self, subtrees))
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 4)))], "vec_id long, embedding array<double>")
+    assert ann.search(df, F.col("vec_id") == 0).count() == 20 and grafted == [1]
 
 
 @pytest.mark.parametrize("n", [64, 128, 2048, 2112, 64 * 1000])
