@@ -15,7 +15,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom import Fourier, Identity, Matrix, Restriction, Tensor, compose, kron, kron_of
+from tensorloom import Diagonal, Fourier, Identity, Matrix, Restriction, Tensor, compose, kron, kron_of, long_of
 from tensorloom.functions.params import generated
 from tensorloom.queries import QUERIES, V, W
 from tensorloom.sources import tables
@@ -29,10 +29,28 @@ HEADLINE = [
 def dense64(spark: SparkSession, sf_dir: str, fast: bool):
     """A dense 64 x 64 matrix on all vectors, in LONG or DENSE."""
     leaf = Matrix(64, 64, "W")
-    x = tables.dense_vectors(spark, sf_dir) if fast else tables.vectors(spark, sf_dir)
+    x = tables.plain_vectors(spark, sf_dir)
+    x = x if fast else long_of(x)
     return leaf.bind(generated(spark, leaf, W)).apply(x, partitions=None if fast else spark.sparkContext.defaultParallelism)
 
 
+def spectral_block(spark: SparkSession, sf_dir: str):
+    """The same block with a diagonal over all modes and channels after a matrix of the channels."""
+    ends = Restriction(64, ((0, 8), (56, 64)), "c64")
+    modes = compose(kron(Restriction(11, ((0, 8),), "c64"), ends, ends, Identity(20, "c64")), kron(Fourier(20, "f64"), Fourier(64), Fourier(64), Identity(20, "c64")))
+    channels, weights = Matrix(20, 20, "M", "c64"), Diagonal(40_960, "g", "c64")
+    block = compose(modes.H, weights, kron(Identity(2048, "c64"), channels), modes)
+    params = generated(spark, channels, W, V).unionByName(generated(spark, weights, W, V))
+    return block.bind(params).apply(_arrays(spark, sf_dir, block.domain))
+
+
+def _arrays(spark: SparkSession, sf_dir: str, cells: int):
+    """Two arrays that the vectors of the table fill."""
+    x, n = tables.vectors(spark, sf_dir), tables.read(spark, sf_dir, "embeddings").count()
+    rows = spark.range(2 * cells).selectExpr(f"CAST(id DIV {cells} AS INT) AS item", f"CAST(id % {cells} AS INT) AS cell", f"(id DIV 64) % {n} AS b", "CAST(id % 64 AS INT) AS idx")
+    return rows.join(F.broadcast(x), ["b", "idx"]).select(F.col("item").alias("b"), F.col("cell").alias("idx"), "re")
+
+
 def spectral_full(spark: SparkSession, sf_dir: str):
     """A spectral block on two arrays of 64 x 64 x 20 with 20 channels (the fastest axis): 16 x 16 x 8 modes, from both ends
     of the full axes, channels mixed by weights of their own for each mode, and back. The vectors of the table fill the arrays."""
@@ -41,16 +59,12 @@ def spectral_full(spark: SparkSession, sf_dir: str):
     modes = kron_of([compose(low, kron(Fourier(20, "f64"), Fourier(64), Fourier(64))), Identity(20, "f64")])
     mix = Tensor(("o", "i", "m"), (20, 20, 2048), ("i", "m"), (20, 2048), ("o", "m"), (20, 2048), "R", "c64")
     block = compose(modes.H, mix, modes)
-    x = tables.vectors(spark, sf_dir)
-    n = tables.read(spark, sf_dir, "embeddings").count()
-    cells = spark.range(2 * block.domain).selectExpr(f"CAST(id DIV {block.domain} AS INT) AS item", f"CAST(id % {block.domain} AS INT) AS cell", f"(id DIV 64) % {n} AS b", "CAST(id % 64 AS INT) AS idx")
-    x = cells.join(F.broadcast(x), ["b", "idx"]).select(F.col("item").alias("b"), F.col("cell").alias("idx"), "re")
-    return block.bind(generated(spark, mix, W, V)).apply(x)
+    return block.bind(generated(spark, mix, W, V)).apply(_arrays(spark, sf_dir, block.domain))
 
 
 BASELINE = {"dense64_long": lambda s, d: dense64(s, d, False), "dense64_numpy": lambda s, d: dense64(s, d, True)}
 
-LARGE = {"spectral_64x64x20x20": spectral_full}
+LARGE = {"spectral_64x64x20x20": spectral_full, "spectral_block_64x64x20x20": spectral_block}
 
 
 def main() -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from math import prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..operators import leaves as L
 from ..operators.base import Operator, OperatorError
 from ..plans.types import is_complex
 
+#: Positions of generated parameters up to this number are rows of the plan, whose values need no job.
+LOCAL_CELLS = 1 << 14
 SCHEMA = "op_id string, i int, j int, re double, im double"
 
 
@@ -30,10 +33,14 @@ def from_arrays(spark: SparkSession, values: dict[str, np.ndarray]) -> DataFrame
 
 
 def generated(spark: SparkSession, leaf: Operator, re, im=None) -> DataFrame:
-    """The parameter of a leaf from column functions of ``(i, j)``, made on the executors."""
+    """The parameter of a leaf from column functions of ``(i, j)``, made on the executors, or a small one while it is planned."""
     m, n = leaf.shape if isinstance(leaf, L.Matrix) else (prod(leaf.shape), 1)
-    i, j = F.floor(F.col("id") / max(n, 1)).cast("int"), (F.col("id") % max(n, 1)).cast("int")
-    cells = spark.range(0, m * n, 1, max(1, m * n >> 16)).select(i.alias("i"), j.alias("j"))
+    if 0 < m * n <= LOCAL_CELLS:
+        i, j = np.divmod(np.arange(m * n, dtype=np.int32), n)
+        cells = spark.createDataFrame(pa.table({"i": i, "j": j}))
+    else:
+        i, j = F.floor(F.col("id") / max(n, 1)).cast("int"), (F.col("id") % max(n, 1)).cast("int")
+        cells = spark.range(0, m * n, 1, max(1, m * n >> 16)).select(i.alias("i"), j.alias("j"))
     value = lambda f: f(F.col("i"), F.col("j")).cast("double") if f else F.lit(0.0)
     return cells.select(F.lit(leaf.op_id).alias("op_id"), "i", "j", value(re).alias("re"), value(im).alias("im"))
 

@@ -39,6 +39,8 @@ BROADCAST_ROWS = 1 << 20
 ITEM_CELLS = 1 << 22
 #: Transforms up to this length are a join with a table of twiddles, longer ones a fast transform of each fibre.
 TWIDDLE_LENGTH = 64
+#: Elements of parameters that are collected row by row at most.
+SMALL_CELLS = 1 << 14
 #: Elements that a task evaluates at once, about.
 BATCH_CELLS = 1 << 22
 
@@ -70,7 +72,7 @@ def is_dense(df: DataFrame) -> bool:
     return isinstance(df.schema["re"].dataType, T.ArrayType)
 
 
-def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int | None = None, check: bool = True) -> DataFrame:
+def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int | None = None, check: bool = True, complete: bool = False) -> DataFrame:
     """``op`` on each batch item of ``df``, LONG to LONG or DENSE to DENSE.
 
     ``fast``: NumPy on Arrow batches; by default for DENSE tables, and for LONG ones
@@ -79,6 +81,7 @@ def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int
     go without a shuffle. Worth it where there are many more items than partitions.
     ``check``: refuse positions outside of the domain and null values in LONG tables; without
     it, filters on positions reach the source, and such rows are lost or spoil sums.
+    ``complete``: LONG items have each position once, so zeros of a last scatter come with the rows that are there, in one pass.
     """
     if not op.applicable:
         raise OperatorError("the operator has parameters without values; bind them first")
@@ -101,8 +104,13 @@ def apply(op: Operator, df: DataFrame, fast: bool | None = None, partitions: int
         out = _fast(op, df) if dense else long_of(_fast(op, df))
     else:
         given = _guarded(long_of(df), _stripped(op).domain) if dense else df
-        out = _long(op, given)
-        if _shows_gaps(op):
+        last, *before = op.ops if isinstance(op, N.Compose) else (op,)
+        if (dense or complete) and _spreads(last) and not any(map(_shows_gaps, before)):
+            out = _spread(last.op, _long(N.composed(before), given) if before else given)
+        elif not _shows_gaps(op):
+            out = _long(op, given)
+        else:
+            out = _long(op, given)
             out = _filled(out, out if any(isinstance(x, L.Reduce) for x in op.leaves()) else given, op.range)
         out = dense_of(out) if dense else out
     return _stored(out, "float") if element_bytes(op.rdt) <= (8 if is_complex(op.rdt) else 4) else out
@@ -338,6 +346,53 @@ def _shows_gaps(op: Operator) -> bool:
     return any(map(_shows_gaps, op.children))
 
 
+#: Zeros that come with one row at most.
+ZEROS = 1 << 12
+
+
+def _empty_ranges(r: L.Restriction) -> list[tuple[int, int]]:
+    """Positions that a scatter leaves empty, as ranges."""
+    out, at = [], 0
+    for to, end in [*sorted((to, to + b - a) for a, b, to in r.scattered()), (r.n, r.n)]:
+        if to > at:
+            out.append((at, to))
+        at = max(at, end)
+    return out
+
+
+def _spreads(op: Operator) -> bool:
+    """Whether ``op`` is a scatter of few ranges, to one place each, with few zeros for each row."""
+    if not (isinstance(op, N.Adjoint) and isinstance(op.op, L.Restriction)):
+        return False
+    r = op.op
+    moves, empty = r.scattered(), _empty_ranges(r)
+    rows = sum(b - a for a, b, _ in moves)
+    return 0 < len(moves) <= MAX_CASES and len(empty) <= MAX_CASES and (r.disjoint() or not r.accumulate) and sum(b - a for a, b in empty) <= ZEROS * rows
+
+
+def _spread(r: L.Restriction, df: DataFrame) -> DataFrame:
+    """A scatter of complete items, row by row: each moved row brings its share of the zeros, every so-manieth one."""
+    keys, values, kind = _quoted(keys_of(df)), _values(df), index_type(r.n)
+    moves, empty = r.scattered(), _empty_ranges(r)
+    rows, zeros = sum(b - a for a, b, _ in moves), sum(b - a for a, b in empty)
+    place, number, at = [], [], 0
+    for a, b, to in moves:
+        here = f"WHEN idx BETWEEN {a} AND {b - 1} THEN"
+        place.append(f"{here} CAST(idx + {to - a} AS {kind})")
+        number.append(f"{here} CAST(idx + {at - a} AS LONG)")
+        at += b - a
+    df = df.selectExpr(*keys, f"CASE {' '.join(place)} END AS idx", f"CASE {' '.join(number)} END AS number_", *values).where("idx IS NOT NULL")
+    if not zeros:
+        return df.drop("number_")
+    goes, at = [], 0
+    for a, b in empty:
+        goes.append(f"WHEN z < {at + b - a} THEN CAST(z + {a - at} AS {kind})")
+        at += b - a
+    zero = ", ".join(f"'{v}', 0D" for v in values)
+    more = f"IF(number_ < {zeros}, transform(sequence(number_, {zeros - 1}L, {rows}L), z -> named_struct('idx', CASE {' '.join(goes)} END, {zero})), array())"
+    return df.selectExpr(*keys, f"inline(concat(array(struct(idx, {', '.join(values)})), {more})) AS (idx, {', '.join(values)})")
+
+
 #: Words of 64 positions that one row is unfolded into at most.
 WORDS = 1 << 20
 
@@ -519,7 +574,12 @@ def gathered(op: Operator) -> dict[str, np.ndarray]:
     visit(op)
     out: dict[str, np.ndarray] = {}
     for params, slots in tables.values():
-        t = params.where(F.col("op_id").isin(list(slots))).select("op_id", "i", "j", "re", "im").toArrow()
+        rows = params.where(F.col("op_id").isin(list(slots))).select("op_id", "i", "j", "re", "im")
+        if sum(prod(leaf.shape) for leaf in slots.values()) <= SMALL_CELLS:  # values that stand in the plan come without a job
+            columns = list(zip(*rows.collect())) or [()] * 5
+            t = pa.table({c: pa.array(v, k) for c, v, k in zip(rows.columns, columns, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))})
+        else:
+            t = rows.toArrow()
         names = t.column("op_id").combine_chunks().dictionary_encode()
         which, known = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
         i, j, re, im = (t.column(c).to_numpy() for c in ("i", "j", "re", "im"))

@@ -194,6 +194,12 @@ def restrict_gather(spark, d):
 
 @_query(f"WITH {_L} SELECT b, idx, CASE WHEN idx < 8 OR idx >= 56 THEN re ELSE 0 END + 0.0 AS re FROM l")
 def restrict_scatter(spark, d):
+    return _out(N.compose(_ENDS.H, _ENDS).apply(tables.vectors(spark, d, deal=True), complete=True))
+
+
+@_query(ORACLE_SQL["restrict_scatter"])
+def restrict_scatter_words(spark, d):
+    """The same without knowing that items are complete: empty positions are found by bits."""
     return _out(N.compose(_ENDS.H, _ENDS).apply(tables.vectors(spark, d, deal=True)))
 
 

@@ -35,6 +35,11 @@ def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("b"), F.transform("embedding", dyadic).alias("re"))
 
 
+def plain_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as DENSE, as they are: ``(b, re)``."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("b"), F.col("embedding").cast("array<double>").alias("re"))
+
+
 def complex_vectors(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     """Halves of the 64 values as real and imaginary parts of 32: ``(b, idx, re, im)``."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")

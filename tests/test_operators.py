@@ -282,6 +282,57 @@ def test_overlaps(spark, ranges):
     assert r.disjoint() == (len({i for a, b in ranges for i in range(a, b)}) == r.range)
 
 
+@pytest.mark.parametrize("ranges", [((0, 5), (2, 4)), ((2, 4), (5, 6)), ((0, 3), (3, 6)), ((4, 6), (0, 2)), ((90, 91),), ()])
+def test_complete_items(spark, ranges):
+    """Zeros that come with the rows: the same as those that are found by bits, each position once, null keys too."""
+    r = t.Restriction(100, ranges)
+    y = draw(3, r.range)
+    rows = [(b or None, i, float(v)) for (b, i), v in np.ndenumerate(y)]
+    df = spark.createDataFrame(rows, "b long, idx int, re double")
+    got, want = (sorted(map(repr, r.H.apply(df, complete=c).collect())) for c in (True, False))
+    assert got == want and len(got) == (300 if ranges else 0)
+    assert r.H.apply(df.where("false"), complete=True).count() == 0
+
+
+def test_scatter_without_keys(spark, monkeypatch):
+    """One item alone, over more words than one row unfolds."""
+    from tensorloom.plans import lower
+
+    monkeypatch.setattr(lower, "WORDS", 3)
+    df = spark.range(500).selectExpr("CAST(id AS INT) AS idx", "CAST(id + 1 AS DOUBLE) AS re").where("idx != 7")
+    rows = {r["idx"]: r["re"] for r in t.Restriction(1000, ((100, 350), (700, 950))).H.apply(df).collect()}
+    assert sorted(rows) == list(range(1000)) and rows[107] == 0 and rows[100] == 1 and rows[949] == 500 and rows[99] == rows[950] == 0
+    assert t.Restriction(1000, ((100, 350), (700, 950))).H.apply(df.where("false")).count() == 0
+
+
+def test_positions_beyond_int(spark):
+    """A product of 4.9e9 positions: applied to the few that are not zero, its positions are longs."""
+    op = t.kron(t.Identity(70_000), t.Matrix(2, 1, "W"), t.Identity(35_000)).bind(t.from_arrays(spark, {"W": np.array([[1.0], [2.0]])}))
+    assert op.range == 4_900_000_000
+    df = spark.createDataFrame([(0, 69_999 * 35_000 + 34_999, 3.0)], "b long, idx long, re double")
+    got = {r["idx"]: r["re"] for r in op.apply(df).collect()}
+    assert got == {(69_999 * 2 + k) * 35_000 + 34_999: 3.0 * (k + 1) for k in range(2)}
+    back = {r["idx"]: r["re"] for r in op.H.apply(op.apply(df)).collect()}
+    assert back == {69_999 * 35_000 + 34_999: 15.0}
+
+
+def test_many_ranges(spark):
+    """A hundred thousand ranges over 10^8 positions are looked up without a row for a position; overlaps are cut in one sweep."""
+    n = 10**8
+    ranges = tuple((k * 1000 + k % 7, k * 1000 + 500) for k in range(100_000))
+    r = t.Restriction(n, ranges)
+    df = spark.range(2000).selectExpr("id % 3 AS b", "CAST(pmod(xxhash64(id), 100000000) AS INT) AS idx", "CAST(id AS DOUBLE) AS re")
+    out = r.apply(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    starts = np.cumsum([0] + [b - a for a, b in ranges])
+    want = sorted((x["b"], int(starts[x["idx"] // 1000] + x["idx"] - ranges[x["idx"] // 1000][0]), x["re"]) for x in df.collect() if ranges[x["idx"] // 1000][0] <= x["idx"] < ranges[x["idx"] // 1000][1])
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 500
+    over = t.Restriction(10**6, tuple((k * 10, k * 10 + 25) for k in range(90_000)))
+    moves = over.scattered()
+    assert sum(b - a for a, b, _ in moves) == 90_000 * 10 + 15 and len(moves) == 90_000
+
+
 def test_large_restriction_stays_small(spark):
     """A range of many positions is one move, not a list of positions."""
     r = t.Restriction(10**12, ((0, 10**11), (5 * 10**11, 10**12)))
