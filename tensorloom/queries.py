@@ -12,6 +12,7 @@ from .functions.gradients import gather_gradients, grad_input, grad_params, pull
 from .functions.params import generated, merge, scale, update
 from .operators import leaves as L
 from .operators import nodes as N
+from .plans.chunks import chunked, matrix_blocks, moved_blocks, rotated_blocks
 from .plans.distribute import distribute
 from .plans.grid import block_of, cumulative_ranges, rank_of
 from .plans.lower import add_bias, divide_by, has_im, keys_of, long_of, scale_rows
@@ -780,6 +781,20 @@ def rdft_long_axis(spark, d):
     return _out(L.Fourier(4096, "f64", piece=64).apply(x), 10)
 
 
+@_query(f"WITH {_L} SELECT b, CAST(idx % 4 AS INTEGER) AS rank, CAST(idx // 4 AS INTEGER) AS idx, re + 0.0 AS re FROM l")
+def repartition_chunks(spark, d):
+    """4 x 4 x 4 arrays in blocks, from a grid of 2 x 2 x 2 to one of 4 x 1 x 1: a row for each pair of overlapping blocks."""
+    op = L.Repartition((4, 4, 4), (2, 2, 2), (4, 1, 1))
+    return _out(long_of(moved_blocks(op, chunked(tables.dense_vectors(spark, d), op.shape, op.grid_in))))
+
+
+@_query(f"WITH {_L} SELECT b, CAST((idx // 8) // 2 AS INTEGER) AS rank, CAST((idx // 8) % 2 + 2 * (idx % 8) AS INTEGER) AS idx, re + 0.0 AS re FROM l")
+def rotate_chunks(spark, d):
+    """8 x 8 arrays in blocks of 4 x 2, turned, so the second axis comes first, and their other axis gathered."""
+    blocks, shape, grid = rotated_blocks(chunked(tables.dense_vectors(spark, d), (8, 8), (2, 4)), (8, 8), (2, 4), 1)
+    return _out(long_of(matrix_blocks(blocks, shape, grid)[0]))
+
+
 _MANY = [(3 * k % 61, 3 * k % 61 + 2 + k % 2) for k in range(50)]
 
 
