@@ -44,6 +44,8 @@ HOT_UNITS, UNIT_PIECES = 20_000, 4
 #: Chunks whose hot strings meet first; bytes of text behind a partition, about, where the session's shuffle partitions are
 #: too few, and the most partitions that are asked for (a task takes one group after the other, so larger ones only take longer).
 FAN_IN, PARTITION_BYTES, MOST_PARTITIONS = 2048, 64 << 20, 50_000
+#: Lots of a bucket that are settled together.
+LOTS_AT_ONCE = 64
 #: Starts that are hashed at once, and the bits that hold a place among them.
 _BLOCK, _LOW = 1 << 15, (1 << 16) - 1
 _U = np.uint64
@@ -449,6 +451,25 @@ def _settled(length: int):
     return settle
 
 
+def _handed(asked: pa.Table, found: pa.Table) -> pa.Table:
+    """Step 4, lots of a group and what was settled for the group's different strings: for each string of each lot its smallest owner."""
+    _, _, _, _, _, back, cut = _distinct(asked.column("data"))
+    (least,) = _unpress(found.column("data")[0].as_py(), np.int64)
+    data = [_press(x) for x in np.split(least[back], cut)]
+    return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "data": pa.array(data, pa.binary()), "lot": asked.column("lot")})
+
+
+def _owners(met: DataFrame, lots: int, length: int) -> DataFrame:
+    """Step 4, the rows of ``_met`` with the smallest owner among all lots of each string: in a tree, so that at most
+    ``LOTS_AT_ONCE`` lots of a bucket come together, however many there are."""
+    if lots <= LOTS_AT_ONCE:
+        return met.groupBy("bucket").applyInArrow(_settled(length), _HOT)
+    grouped = met.withColumn("up", F.expr(f"lot DIV {LOTS_AT_ONCE}"))
+    above = grouped.select("chunk", "bucket", "data", F.col("up").alias("lot")).groupBy("bucket", "lot").applyInArrow(_met, _HOT)
+    above = _owners(above, -(-lots // LOTS_AT_ONCE), length)
+    return grouped.groupBy("bucket", "up").cogroup(above.groupBy("bucket", "lot")).applyInArrow(_handed, _HOT)
+
+
 def _returned(asked: pa.Table, found: pa.Table) -> pa.Table:
     """Step 4, hot strings of a lot and their smallest owners: masks as from ``_answered``, of one start each."""
     if not asked.num_rows:
@@ -553,7 +574,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         lots = max(1, -(-total // (CHUNK_BYTES * FAN_IN)))
         single = sent.where(F.col("bucket") >= buckets).withColumn("lot", F.pmod(F.xxhash64("chunk"), F.lit(lots)))
         lot = single.groupBy("bucket", "lot")
-        owners = lot.applyInArrow(_met, _HOT).groupBy("bucket").applyInArrow(_settled(length), _HOT)
+        owners = _owners(lot.applyInArrow(_met, _HOT), lots, length)
         told = told.unionByName(lot.cogroup(owners.groupBy("bucket", "lot")).applyInArrow(_returned, _ROW))
     return held.cogroup(by(told, "chunk").groupBy("chunk")).applyInArrow(_removed(length), _OUT)
 

@@ -175,6 +175,7 @@ def test_repeats_brute_force(spark, length, hot, fan_in, monkeypatch):
     """Also with hot minimizers, whose strings meet in lots of chunks first, and with partitions of a few bytes."""
     monkeypatch.setattr(suffixes, "HOT_UNITS", hot)
     monkeypatch.setattr(suffixes, "FAN_IN", fan_in)
+    monkeypatch.setattr(suffixes, "LOTS_AT_ONCE", 4 if fan_in < 4 else 64)
     monkeypatch.setattr(suffixes, "PARTITION_BYTES", 700 if fan_in == 3 else 64 << 20)
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 600)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
